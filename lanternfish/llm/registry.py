@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules",)
+MODULES = ("mixing", "quality_rules", "url_filters")
 
 
 def queries() -> dict:
