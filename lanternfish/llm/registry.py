@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality_rules", "token_output", "url_filters")
+MODULES = ("decontamination", "mixing", "quality_rules", "token_output", "url_filters")
 
 
 def queries() -> dict:
