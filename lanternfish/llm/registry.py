@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontamination", "mixing", "quality_rules", "token_output", "toxicity", "url_filters")
+MODULES = ("decontamination", "mixing", "ngram_join", "quality_rules", "token_output", "toxicity", "url_filters")
 
 
 def queries() -> dict:
