@@ -34,7 +34,7 @@ from lanternfish.llm.common import map_arrow, shared_dir, stored, table
 END_ID = 0
 #: Ids of a frame before it is closed (1 MB); a document is never split over frames.
 FRAME_IDS = 1 << 18
-#: Distinct blank-free stretches whose ids a task keeps; at the bound the cache starts anew.
+#: Distinct stretches and pieces whose ids a worker keeps in its young cache; at the bound that becomes the old one.
 CACHE = 500_000
 LEVEL = 1
 
@@ -80,7 +80,7 @@ class Encoder:
     def __init__(self, path: str):
         import re
 
-        self.tok, self.cache = tokenizer(path), {}
+        self.tok, self.cache, self.old = tokenizer(path), {}, {}
         # Letters, then marks, then perhaps a new line that starts alike: each group is a pre-token of its own.
         letter, mark = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
         self.plain = re.compile(rf"( ?{letter}+)({mark}*)(?:(\n)({letter}+)({mark}*))?").fullmatch
@@ -89,14 +89,15 @@ class Encoder:
         return text[0] == " " or text[-1] == " " or any(map(text.__contains__, ODD))
 
     def _fill(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of stretches that the cache lacks, put together from pieces where these are sure pre-tokens."""
-        cut = [m.groups("") if (m := self.plain(s)) else (s,) for s in stretches]
-        new = list({p for pieces in cut for p in pieces if p and p not in self.cache})
+        """Ids of stretches that the young cache lacks: from the old one, or put together from pieces that are sure pre-tokens."""
+        old, young = self.old, self.cache
+        whole = {s: old[s] for s in stretches if s in old}
+        cut = {s: m.groups("") if (m := self.plain(s)) else (s,) for s in stretches if s not in whole}
+        new = list({p for pieces in cut.values() for p in pieces if p and p not in young and p not in old})
         fresh = {p: array("I", e.ids).tobytes() for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        old = self.cache
-        whole = {s: b"".join(fresh.get(p) or old[p] for p in pieces if p) for s, pieces in zip(stretches, cut, strict=True)}
-        if len(old) + len(fresh) + len(whole) > CACHE:
-            self.cache = {}
+        whole |= {s: b"".join([fresh.get(p) or young.get(p) or old[p] for p in pieces if p]) for s, pieces in cut.items()}
+        if len(young) + len(fresh) + len(whole) > CACHE:
+            self.old, self.cache = young, {}
         self.cache.update(fresh)
         self.cache.update(whole)
         return whole
