@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontamination", "licenses", "mixing", "ngram_join", "quality_rules", "token_output", "toxicity", "url_filters")
+MODULES = ("decontamination", "licenses", "mixing", "ngram_join", "pii", "quality_rules", "token_output", "toxicity", "url_filters")
 
 
 def queries() -> dict:
