@@ -67,7 +67,7 @@ def structure(items: DataFrame) -> DataFrame:
     shown = items.filter(~F.col("hidden"))
     content = F.lower(F.regexp_replace(F.coalesce(_a("content"), F.lit("")), r"\s", ""))
     zoom = items.filter((F.col("tag") == "meta") & (F.lower(_a("name")) == "viewport")).filter(content.rlike("user-scalable=(no|0)") | (F.regexp_extract(content, r"maximum-scale=([0-9.]+)", 1).try_cast("double") < 2))
-    frames = shown.filter((F.col("tag") == "iframe") & ~_given(_a("title")) & ~_given(_a("aria-label")) & ~((_a("width") == "1") & (_a("height") == "1")))
+    frames = shown.filter((F.col("tag") == "iframe") & ~_given(_a("title")) & ~_given(_a("aria-label")) & ~F.coalesce((_a("width") == "1") & (_a("height") == "1"), F.lit(False)))
     labelled = shown.filter(F.col("tag").isin("div", "span", "p") & _given(_a("aria-label")) & ~_given(_a("role")))
     return (
         jumps.unionByName(_seen(dangling, "aria_ref_cassee", "moyenne", F.col("id"))).unionByName(_seen(zoom, "zoom_bloque", "haute", content))
