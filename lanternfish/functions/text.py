@@ -146,7 +146,8 @@ MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "ao
 def long_date(day: Column) -> Column:
     """`1er mars 2026`."""
     d = F.when(F.dayofmonth(day) == 1, F.lit("1er")).otherwise(F.dayofmonth(day).cast("string"))
-    return F.concat_ws(" ", d, F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day)), F.year(day).cast("string"))
+    whole = F.concat_ws(" ", d, F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day)), F.year(day).cast("string"))
+    return F.when(day.isNotNull(), whole)
 
 
 def short_date(day: Column) -> Column:

@@ -63,9 +63,10 @@ def skipped_headings(headings: DataFrame) -> DataFrame:
 
 def representatives(pages: DataFrame, per_segment: int = 1, most: int = 12) -> DataFrame:
     """site, segment, url, place: the most linked pages of each first path segment; segments by number of pages, home first."""
-    n = Window.partitionBy("site", "segment")
-    rows = pages.withColumn("pages", F.count("*").over(n)).withColumn("in_segment", F.row_number().over(n.orderBy(F.desc("inlinks"), "seq")))
-    rows = rows.filter(F.col("in_segment") <= per_segment)
+    # Counts are summed up before the exchange, and a ranking that is cut keeps only its first rows in each task.
+    sizes = pages.groupBy("site", "segment").agg(F.count("*").alias("pages"))
+    rank = F.row_number().over(Window.partitionBy("site", "segment").orderBy(F.desc("inlinks"), "seq"))
+    rows = pages.withColumn("in_segment", rank).filter(F.col("in_segment") <= per_segment).join(sizes, ["site", "segment"])
     order = Window.partitionBy("site").orderBy(F.col("segment") != "", F.desc("pages"), "segment", "in_segment")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("site", "segment", "url", "place")
 

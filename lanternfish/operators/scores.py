@@ -42,12 +42,23 @@ def half_up_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Element n // 2 of the sorted values, and the largest; exact, by rank, so no group is collected."""
+    """Element n // 2 of the sorted values, and the largest; exact.
+
+    Approximate percentiles (partial aggregates) bracket the element; what lies below the bracket is counted, and only what lies
+    in it, some thousandths of a group, is ranked. So a group of any size never meets in one task.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(*keys).agg(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col(value))).alias("median"), F.max(value).alias("largest"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    ends = F.percentile_approx("v", [0.498, 0.502], F.lit(10_000))
+    brackets = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("v").alias("largest"), ends.alias("e"))
+    # Small groups are ranked whole, as an element more or less is more than a thousandth of them.
+    brackets = brackets.withColumn("lo", F.when(F.col("n") > 5000, F.get("e", F.lit(0)))).withColumn("hi", F.when(F.col("n") > 5000, F.get("e", F.lit(1)))).drop("e")
+    met = rows.join(brackets, keys)
+    below = met.filter("v < lo").groupBy(*keys).agg(F.count("*").alias("below"))
+    inside = met.filter("lo IS NULL OR v BETWEEN lo AND hi").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v"))).join(below, keys, "left")
+    picked = inside.filter("r + coalesce(below, 0) = floor(n / 2) + 1").select(*keys, F.col("v").alias("median"))
+    return picked.join(brackets.select(*keys, "largest"), keys)
 
 
 def lower_median_run(runs: DataFrame, keys: list[str], value: str, run: str) -> DataFrame:

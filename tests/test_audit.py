@@ -260,6 +260,25 @@ def test_export(spark, items, tmp_path):
     assert files.summary(folded).count("\n") == 2 + folded.count()
 
 
+def test_stream_of_pages_gives_the_same_violations(spark, tmp_path):
+    from lanternfish.streaming import pages as stream
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").repartition(4)
+    pages.write.parquet(str(tmp_path / "in"))
+    stream.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), 1).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, stream.violations(pages).collect()))
+
+
+def test_upper_median_is_exact_on_large_groups(spark):
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"))
+    values = {0: [], 1: []}
+    for r in rows.collect():
+        values[r.k].append(r.v)
+    got = {r.k: (r.median, r.largest) for r in scores.upper_median(rows, ["k"], "v").collect()}
+    assert got == {k: (sorted(v)[len(v) // 2], max(v)) for k, v in values.items()}
+
+
 def test_every_query_has_rows_and_a_stable_schema(spark):
     import __spark_entry__ as entry
 
