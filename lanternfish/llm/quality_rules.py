@@ -128,7 +128,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op10_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(ledger(table(spark, sf_dir, "documents")), "v1")
 
 
@@ -151,8 +151,8 @@ ORACLE_SQL = {
     "op10_quality_rules": _LEDGER_SQL + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed & {POLICIES["base"]} <> 0 AS base_failed, failed & {POLICIES["v1"]} = 0 AS kept, n_lines, failed FROM f""",
-    "op10_ablations": _LEDGER_SQL + ", x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, {b} AS bit" for n, b in BITS.items()) + """)
+    "quality_rule_ablations": _LEDGER_SQL + ", x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, {b} AS bit" for n, b in BITS.items()) + """)
 SELECT rule, count_if(failed & bit <> 0)::BIGINT AS n_failed, count_if(failed = bit)::BIGINT AS n_failed_alone,
        count_if(failed & ~bit = 0)::BIGINT AS n_kept_without FROM f CROSS JOIN x GROUP BY rule""",
 }
-QUERIES = {"op10_quality_rules": op10_quality_rules, "op10_ablations": op10_ablations}
+QUERIES = {"op10_quality_rules": op10_quality_rules, "quality_rule_ablations": quality_rule_ablations}
