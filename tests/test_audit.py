@@ -232,6 +232,12 @@ def test_findings_from_lines_and_files(spark):
     assert (sh.fields["id"], sh.fields["titre"], sh.triggers, sh.body) == ("t1", "Un titre", ["crawl: title_short"], "Corps")
 
 
+def test_folding_and_escaping(spark):
+    t = spark.createDataFrame([("L’Été — ﬁn !", "Bücher.DE.", "a_b|<c>"), (None, None, None)], "a string, h string, m string")
+    got = t.select(text.folded("a"), text.ascii_host("h"), text.escaped_prose(F.col("m")), text.inline_code(F.lit("x`y"))).collect()
+    assert tuple(got[0]) == ("l été fin", "xn--bcher-kva.de", "a\\_b\\|&lt;c>", "`` x`y ``") and got[1][0] is None and got[1][1] is None
+
+
 def test_history_and_headings(spark):
     a = spark.createDataFrame([("s", 1, None), ("s", 2, 50), ("s", 3, None), ("s", 4, 60)], "site string, day int, score int")
     assert [(r.day, r.delta, r.first) for r in history.audit_deltas(a).orderBy("day").collect()] == [(1, None, False), (2, None, True), (3, None, False), (4, 10, False)]
