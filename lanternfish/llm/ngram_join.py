@@ -33,7 +33,7 @@ from lanternfish.llm.common import map_arrow, stored, table
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.9995
 #: Members and shingles of a block of a bucket.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Distinct words whose hashes a task keeps; at the bound it starts anew.
 CACHE = 300_000
 
@@ -287,7 +287,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group: that of the least id, and of several such rows one of the least text hash."""
-    judged = classes(docs, id_col, text_col)
+    judged = stored(classes(docs, id_col, text_col), "ngram-judged")
     grouped = judged.filter("root IS NOT NULL")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key")).alias("x"), F.count("*").alias("rows"))
     first = stored(first.select(F.col("x.id").alias("keep_id"), F.col("x.key").alias("keep_key"), "rows"), "ngram-kept")

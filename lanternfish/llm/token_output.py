@@ -81,27 +81,54 @@ class Encoder:
         import re
 
         self.tok, self.cache, self.old = tokenizer(path), {}, {}
+        self.new_line = self._ids("\n")
+        self.line = int.from_bytes(self.new_line, "little")
         # Letters, then marks, then perhaps a new line that starts alike: each group is a pre-token of its own.
         letter, mark = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
         self.plain = re.compile(rf"( ?{letter}+)({mark}*)(?:(\n)({letter}+)({mark}*))?").fullmatch
+
     def odd(self, text: str) -> bool:
         """Whether the text has a space at its ends or beside another blank, a rare blank, or what may be a special token."""
         return text[0] == " " or text[-1] == " " or any(map(text.__contains__, ODD))
 
     def _fill(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of stretches that the young cache lacks: from the old one, or put together from pieces that are sure pre-tokens."""
-        old, young = self.old, self.cache
-        whole = {s: old[s] for s in stretches if s in old}
-        cut = {s: m.groups("") if (m := self.plain(s)) else (s,) for s in stretches if s not in whole}
-        new = list({p for pieces in cut.values() for p in pieces if p and p not in young and p not in old})
-        fresh = {p: array("I", e.ids).tobytes() for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        whole |= {s: b"".join([fresh.get(p) or young.get(p) or old[p] for p in pieces if p]) for s, pieces in cut.items()}
-        if len(young) + len(fresh) + len(whole) > CACHE:
+        """Ids of stretches that the young cache lacks: from the old one, or put together from pieces that are sure pre-tokens.
+
+        New pieces are encoded as the lines of one text: a new line before letters, marks or a space is a pre-token of its own,
+        and no piece holds its id. Stretches over two lines hardly recur and are not kept.
+        """
+        old, young, whole, parts, pieces = self.old, self.cache, {}, {}, set()
+        for s in stretches:
+            if s in old:
+                whole[s] = young[s] = old[s]
+            elif m := self.plain(s):
+                parts[s] = m.groups()
+                pieces.update(m.group(1, 2, 4, 5))
+            else:
+                whole[s] = young[s] = self._ids(s)
+        known = {p: young.get(p) or old.get(p) for p in pieces if p}
+        fresh = [p for p, x in known.items() if x is None]
+        if fresh:
+            raw = self._ids("\n".join(fresh))
+            at = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.line)
+            lines = {p: raw[x:y] for p, x, y in zip(fresh, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)}
+            known.update(lines)
+        young.update((p, x) for p, x in known.items() if x is not None)
+        known[""] = known[None] = b""
+        known["\n"] = self.new_line
+        for s, (a, b, c, d, e) in parts.items():
+            whole[s] = known[a] + known[b]
+            if c:
+                whole[s] += known[c] + known[d] + known[e]
+            elif b:
+                young[s] = whole[s]
+        if len(young) > CACHE:
             self.old, self.cache = young, {}
-        self.cache.update(fresh)
-        self.cache.update(whole)
         return whole
 
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """For each text its ids and END_ID, as little-endian unsigned 32-bit integers."""
         end, get = END_ID.to_bytes(4, "little"), self.cache.get
@@ -114,7 +141,7 @@ class Encoder:
             if not text:
                 out.append(end)
             elif x is None:
-                out.append(array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes() + end)
+                out.append(self._ids(text) + end)
             else:
                 y = [fresh[s] if v is None else v for s, v in zip(x, y, strict=True)] if None in y else y
                 out.append(b"".join(y) + end)
