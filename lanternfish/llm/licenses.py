@@ -4,6 +4,8 @@ A text is cut into sentences, each is normalised, and known licence sentences be
 sequence of identifiers, and a rule is met where its identifiers follow one another in the document's sequence of known
 sentences (other sentences may stand between). Longer rules come first: a rule is not reported where a rule that contains it is.
 
+Published headers and full texts are known by the pieces that the cut leaves of them (HEADERS), wrapped, indented or in comments.
+
 All work is row by row: there is no shuffle, and the tables of sentences and rules are fixed values.
 
 Defined cases: null and empty texts have no sentences and no licences; sentences repeat freely; repeated rows are scanned row by
@@ -70,6 +72,55 @@ RULES = (
     ("All-Rights-Reserved", "proprietary", (("proprietary.all",),)),
 )
 
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation "
+_LATER = "either version {1} of the license or at your option any later version"
+
+# Pieces of published headers and of the titles of full texts, as the cut leaves them. The SQL has the notices above only.
+HEADERS = {
+    "apache2.header": "licensed under the apache license version 2 0 the license",
+    "apache2.asf": "the asf licenses this file to you under the apache license version 2 0 the license",
+    "apache2.title": "apache license version 2 0 january 2004 http www apache org licenses",
+    "apache2.title2": "apache license version 2 0 january 2004 https www apache org licenses",
+    "apache2.title3": "apache license version 2 0 january 2004",
+    "gpl3.later": (_FSF + _LATER).format("", "3"),
+    "gpl3.only": (_FSF + "version 3 of the license").format(""),
+    "gpl3.title": "gnu general public license version 3 29 june 2007",
+    "gpl2.later": (_FSF + _LATER).format("", "2"),
+    "gpl2.only": (_FSF + "version 2 of the license").format(""),
+    "gpl2.only2": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl2.title": "gnu general public license version 2 june 1991",
+    "gpl.useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl.implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl3.later": (_FSF + _LATER).format("lesser ", "3"),
+    "lgpl3.title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3.later": (_FSF + _LATER).format("affero ", "3"),
+    "agpl3.title": "gnu affero general public license version 3 19 november 2007",
+    "ccbync4.work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "ccbync4.title": "creative commons attribution noncommercial 4 0 international public license",
+    "ccby4.title": "creative commons attribution 4 0 international public license",
+    "ccbysa4.title": "creative commons attribution sharealike 4 0 international public license",
+    "cc0.title": "cc0 1 0 universal",
+    "bsd.author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc.grant2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mpl2.title": "mozilla public license version 2 0",
+}
+
+# Further sequences of the licences in RULES.
+HEADER_RULES = {
+    "Apache-2.0": (("apache2.header",), ("apache2.asf",), ("apache2.title",), ("apache2.title2",), ("apache2.title3",)),
+    "GPL-3.0": (("gpl3.later",), ("gpl3.only",), ("gpl3.title",)),
+    "GPL-2.0": (("gpl2.later",), ("gpl2.only",), ("gpl2.only2",), ("gpl2.title",)),
+    "LGPL-3.0": (("lgpl3.later",), ("lgpl3.title",)),
+    "AGPL-3.0": (("agpl3.later",), ("agpl3.title",)),
+    "CC-BY-NC-4.0": (("ccbync4.work",), ("ccbync4.title",)),
+    "CC-BY-4.0": (("ccby4.title",),),
+    "CC-BY-SA-4.0": (("ccbysa4.title",),),
+    "CC0-1.0": (("cc0.title",),),
+    "BSD-3-Clause": (("bsd.redistribute", "bsd.source", "bsd.binary", "bsd.author"),),
+    "ISC": (("isc.grant2",),),
+    "MPL-2.0": (("mpl2.title",),),
+}
+
 #: Within a document, this rule gives way to those after it.
 YIELDS = {"BSD-2-Clause": ("BSD-3-Clause",)}
 
@@ -77,11 +128,27 @@ YIELDS = {"BSD-2-Clause": ("BSD-3-Clause",)}
 SENTENCE_END = r"[.!?;:]+(?=\s|$)|\n+"
 
 
+#: Leaders of comments, quotes and lists at the start of a line, and what closes a comment at its end.
+LEADER = r"(?m)^[ \t]*(?:(?:/\*+|\*+/|\*+|//+!?|#+|--+|;+|%+|>+|<!--+|\"{3}|'{3}|\(\*|dnl(?=[ \t]|$))[ \t]*)?(?:[-*\u2022][ \t]+|\(?(?:[0-9]{1,2}|[a-z])\)[ \t]+)?"
+CLOSER = r"(?m)(?<![ \t])[ \t]*(?:\*+/|--+>|[ \t][*#]+|\*\)|\"{3}|'{3})?[ \t]*$"
+#: The end of a line within a sentence: what stands before it closes no sentence, what stands after it opens no item of a list
+#: and, unless a word or comma stands before, no notice.
+WRAP = r"([a-z,](?=\n[a-z(])|[a-z0-9,)\"'\u201d/-](?=\n(?!(?:licensed|released) under |this work is |all rights )(?:[a-z(\"'<\u201c]|[0-9](?![0-9]*[.)][ \t]))))\n"
+#: Marks that close no sentence: 'v. 2.0', those of the GNU notices before the version, and 'Inc.' in the last BSD condition.
+INNER = r"(?<![a-z])(v)\.\s+(?=[0-9])|\.\s+(?=nor\s+the\s+names\s+of\s)|(foundation);\s+(?=(?:either\s+)?version\s+[0-9])"
+#: The holder's own name in the last condition of the BSD licence.
+NAMED = r"^neither the name of .{1,300}? nor the names of (?:its|his|her|their|the|any) contributors may be used"
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order. Lines of prose that wrap within a sentence are joined first."""
-    low = F.regexp_replace(F.lower(text), r"([a-z,])\n(?=[a-z(])", "$1 ")
+    """Normalised sentences of a text, in order. Comment leaders and indents go, and lines that wrap within a sentence are joined first."""
+    low = F.regexp_replace(F.lower(text), "\r\n?", "\n")
+    low = F.regexp_replace(F.regexp_replace(low, LEADER, ""), CLOSER, "")
+    low = F.regexp_replace(F.regexp_replace(low, WRAP, "$1 "), INNER, "$1$2 ")
     cut = F.split(low, SENTENCE_END)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
+    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
+    holder = "neither the name of the copyright holder nor the names of its contributors may be used"
+    return F.transform(plain, lambda s: F.when(s.startswith("neither the name of"), F.regexp_replace(s, NAMED, holder)).otherwise(s))
 
 
 #: Texts without any of these are not cut into sentences; each known sentence holds one of them.
@@ -90,8 +157,8 @@ HINT = "(?i)licen[sc]e|permi|redistribut|warrant|copyright|rights|public domain|
 
 def found(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    number = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    known = list(SENTENCES.values())
+    number = F.create_map(*(F.lit(x) for i, s in (SENTENCES | HEADERS).items() for x in (s, i)))
+    known = [*SENTENCES.values(), *HEADERS.values()]
     kept = F.filter(sentences(text), lambda s: s.isin(known))
     ids = F.transform(kept, lambda s: number[s])
     return F.when(text.rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
@@ -107,7 +174,7 @@ def _met(ids: Column, sequences: tuple[tuple[str, ...], ...]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sentence_ids, licenses (sorted), kinds (sorted) and n_sentences for every row of docs."""
     rows = docs.select(F.col(id_col), found(F.coalesce(F.col(text_col), F.lit(""))).alias("sentence_ids"))
-    met = {name: _met(F.col("sentence_ids"), seqs) for name, _, seqs in RULES}
+    met = {name: _met(F.col("sentence_ids"), (*seqs, *HEADER_RULES.get(name, ()))) for name, _, seqs in RULES}
     for name, others in YIELDS.items():
         for other in others:
             met[name] = met[name] & ~met[other]

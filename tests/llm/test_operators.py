@@ -403,6 +403,100 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == len(ROWS) and licenses.scan(empty(spark)).count() == 0
 
 
+NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "LGPL-3.0": """This library is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Example Works, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+}
+
+
+def test_published_notices_plain_indented_and_in_comments(spark):
+    def dressed(text):
+        lines = text.split("\n")
+        yield text
+        yield text.replace("\n", "\r\n")
+        yield "\n".join("    " + x for x in lines)
+        for lead in ("# ", "// ", ";; ", "-- ", "> "):
+            yield "code()\n\n" + "\n".join((lead + x).rstrip() for x in lines) + "\n\ncode()"
+        yield "/*\n" + "\n".join((" * " + x).rstrip() for x in lines) + "\n */\ncode()"
+        yield "/* " + "\n   ".join(lines) + " */"
+        yield "<!--\n" + text + "\n-->"
+
+    rows = [(f"{name} {k}", t) for name, text in NOTICES.items() for k, t in enumerate(dressed(text))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {k: [k.split()[0]] for k, _ in rows}
+
+
+def test_near_misses_of_notices_are_no_licences(spark):
+    bsd, gpl = NOTICES["BSD-3-Clause"], NOTICES["GPL-2.0"]
+    texts = [bsd[: bsd.index("3. Neither")], bsd[: bsd.index("2. Redis")], gpl.replace("version 2", "version 1"), gpl.replace("General", "Lesser General"), "the mozilla public license, v. 2.0 is a license", "call 555-0938\nLicensed under the Apache License, Version 2.0."]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.licenses for r in rows} == {0: ["BSD-2-Clause"], 1: [], 2: [], 3: [], 4: [], 5: ["Apache-2.0"]}
+
+
+def test_every_header_is_normal_and_used_by_known_rules():
+    known = licenses.SENTENCES | licenses.HEADERS
+    assert len(set(known.values())) == len(known) and {i for seqs in licenses.HEADER_RULES.values() for q in seqs for i in q} <= set(known)
+    assert set(licenses.HEADER_RULES) <= {name for name, _, _ in licenses.RULES}
+    for s in licenses.HEADERS.values():
+        assert re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", s), s
+
+
 def test_every_known_sentence_is_normal_and_hinted():
     for s in licenses.SENTENCES.values():
         assert re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", s) and re.search(licenses.HINT, s), s
