@@ -20,8 +20,8 @@ from lanternfish.functions import urls
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NO_TEXT = frozenset("script style noscript svg template".split())
 LANDMARKS = frozenset("main nav header footer aside section article".split())
-#: Characters of an element's text that are kept.
-MOST_TEXT = 20_000
+#: Characters of text after which a batch is handed on; texts stay whole.
+BATCH_TEXT = 4_000_000
 
 
 class Reader(HTMLParser):
@@ -40,7 +40,7 @@ class Reader(HTMLParser):
         style = seen.get("style", "").replace(" ", "").lower()
         hidden = "hidden" in seen or seen.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or tag in ("template", "noscript") or (tag == "dialog" and "open" not in seen)
         row = {
-            "tag": tag, "attrs": seen, "parent": self.open[-1] if self.open else -1, "text": [], "size": 0, "words": 0, "alts": [], "hidden": hidden or bool(up and up["hidden"]),
+            "tag": tag, "attrs": seen, "parent": self.open[-1] if self.open else -1, "text": [], "words": 0, "alts": [], "hidden": hidden or bool(up and up["hidden"]),
             "landmark": len(self.rows) if tag in LANDMARKS else (up["landmark"] if up else -1), "head": tag == "head" or bool(up and up["head"]), "main": tag == "main" or bool(up and up["main"]), "closed": tag in VOID,
         }
         self.rows.append(row)
@@ -67,18 +67,13 @@ class Reader(HTMLParser):
             return
         quiet = any(self.rows[k]["tag"] in NO_TEXT for k in self.open)
         if quiet:
-            own = self.rows[self.open[-1]]
-            if own["size"] < MOST_TEXT:
-                own["text"].append(data[: MOST_TEXT - own["size"]])
-                own["size"] += len(data)
+            self.rows[self.open[-1]]["text"].append(data)
             return
         n = len(data.split())
         for k in self.open:
             r = self.rows[k]
             r["words"] += n
-            if r["size"] < MOST_TEXT:
-                r["text"].append(data[: MOST_TEXT - r["size"]])
-                r["size"] += len(data)
+            r["text"].append(data)
 
 
 ELEMENT = "seq bigint, site string, url string, pos int, tag string, attrs map<string,string>, parent int, text string, words int, alts string, hidden boolean, landmark int, head boolean, main boolean, closed boolean"
@@ -103,10 +98,14 @@ def elements(pages: DataFrame, seq_col: str = "page_id") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):
-                out = []
+                out, size = [], 0
                 for seq, site, url, html in zip(*(c.slice(k, 64).to_pylist() for c in b.columns), strict=True):
                     for pos, r in enumerate(rows_of(html or "")):
+                        if size > BATCH_TEXT:
+                            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                            out, size = [], 0
                         out.append({"seq": seq, "site": site, "url": url, "pos": pos, **r, "attrs": list(r["attrs"].items()), "text": " ".join("".join(r["text"]).split()), "alts": " ".join(r["alts"]).strip()})
+                        size += len(out[-1]["text"])
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = pages.filter(F.col("url").isNotNull()).select(F.col(seq_col).cast("bigint").alias("seq"), urls.host(F.col("url")).alias("site"), "url", "html")

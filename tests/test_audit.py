@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_scan, domain, findings, headers, history, issues, links, modules, robots, scores
+from lanternfish.operators import code_scan, domain, findings, geo, headers, history, issues, links, modules, robots, scores
 from lanternfish.sources import files, html
 from lanternfish.sources import pages as source
 
@@ -290,3 +290,18 @@ def test_every_query_has_rows_and_a_stable_schema(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_long_pages_are_read_whole(spark):
+    things = ",".join('{"@type": "Product", "name": "thing %d"}' % k for k in range(2000))
+    block = '<script type="application/ld+json">{"@graph": [%s, {"@type": "Offer", "price": "42.50"}, {"@type": "Offer", "price": "43.50"}]}</script>' % things
+    body = "<div><p>" + "word " * 30_000 + "</p></div><p>Price: 42.50</p>"
+    page = f"<html><head>{block}</head><body>{body}</body></html>"
+    items = html.elements(spark.createDataFrame([(k, f"https://a.b/{k}", page) for k in range(30)], "page_id bigint, url string, html string").coalesce(1)).cache()
+    assert items.filter("tag = 'body'").count() == 30
+    record = html.page_records(items).first()
+    assert (record.n_jsonld, record.jsonld_errors) == (1, 0)
+    objects = html.jsonld(items.filter("seq = 0"))
+    assert objects.count() == 2002
+    missing = geo.prices_not_shown(objects.filter("type = 'Offer'"), items.filter("tag = 'body'")).collect()
+    assert [float(r.price) for r in missing] == [43.5]
