@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,11 @@ def with_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
     return out.withColumn("in_sitemap", F.col("s_url").isNotNull()).drop("s_site", "s_url")
 
 
-def click_depth(pages: DataFrame, links: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
+def click_depth(pages: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
     """site, url, depth: fewest clicks from a start page over links between known pages; null if none leads there.
 
     pages: site, url; links: site, src, target; starts: site, url. Each round reads only the frontier; rounds are tables, so a
-    lost executor costs a round at most.
+    lost executor costs a round at most. There are as many rounds as the deepest page needs.
     """
     known = pages.select("site", "url").distinct()
     edges = stored(
@@ -51,7 +53,7 @@ def click_depth(pages: DataFrame, links: DataFrame, starts: DataFrame, most: int
     )
     seen = stored(starts.select("site", "url").distinct().join(known, ["site", "url"], "left_semi").withColumn("depth", F.lit(0)), "depth-seen")
     frontier = seen
-    for d in range(1, most + 1):
+    for d in count(1):
         step = edges.join(frontier.select("site", F.col("url").alias("src")), ["site", "src"]).select("site", "url").distinct()
         frontier = stored(step.join(seen.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(d)), "depth-frontier")
         if frontier.isEmpty():

@@ -142,6 +142,14 @@ def test_click_depth_and_orphans(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None, "z": None}
 
 
+def test_click_depth_of_a_long_chain(spark):
+    n = 104
+    pages = spark.range(n + 1).select(F.lit("s").alias("site"), F.col("id").alias("url")).coalesce(1)
+    edges = spark.range(n - 1).select(F.lit("s").alias("site"), F.col("id").alias("src"), (F.col("id") + 1).alias("target")).coalesce(1)
+    got = {r.url: r.depth for r in links.click_depth(pages, edges, pages.filter("url = 0")).collect()}
+    assert got == {n: None} | {k: k for k in range(n)}
+
+
 def test_canonical_targets(spark):
     p = spark.createDataFrame([("s", "a", ["b"], 200, 0, False), ("s", "b", [], 404, 0, False), ("s", "c", ["x"], 200, 0, False)], "site string, url string, canonicals array<string>, final_status int, redirect_hops int, noindex boolean")
     assert {(r.url, r.target, r.t_status) for r in links.canonical_targets(p).collect()} == {("a", "b", 404), ("c", "x", None)}
