@@ -542,31 +542,67 @@ def test_random_indexing_matches_a_plain_loop(spark):
         assert np.allclose(got[a], total[a] / n - centre, atol=1e-4)
 
 
-def brute_nearest(index, query):
-    q = dict(query)
-    return np.array([sum(w * v.get(t, 0.0) for t, w in q.items()) for v in index.vectors])
-
-
 def test_block_max_search_is_exact():
     rnd = np.random.default_rng(9)
-    vocabulary = {f"t{i}": i for i in range(50)}
-    idf = rnd.uniform(1, 6, 50)
-    vec = lambda: toxicity._vector({int(t): int(rnd.integers(1, 4)) for t in rnd.choice(50, rnd.integers(0, 6), replace=False)}, idf)
-    index = toxicity.Index(vocabulary, idf, rnd.integers(0, 2, 900).astype(float), [dict(vec()) for _ in range(900)], np.arange(900), 0.5)
-    for _ in range(200):
-        q = vec()
-        all_of = brute_nearest(index, q)
-        at, score = index.nearest(q)
-        cut = np.sort(all_of)[-toxicity.K]
-        assert set(np.flatnonzero(all_of > cut + 1e-9)) <= set(at) <= set(np.flatnonzero(all_of >= cut - 1e-9))
-        assert np.allclose(score, all_of[at])
+    factor = np.r_[rnd.uniform(1, 6, 400), 0.0]
+    chance = 1 / np.arange(2, 402)  # some terms are in most vectors, most in few
+    picks = [np.flatnonzero(rnd.random(400) < chance * 3) for _ in range(1100)]
+    vectors = [(p, toxicity.weigh(rnd.integers(1, 4, len(p)).astype(float), factor[p])) for p in picks]
+    flat = [np.concatenate([v[k] for v in vectors[:900]]) for k in (0, 1)]
+    index = toxicity.Index({f"t{i}": i for i in range(401)}, factor, np.array([len(v[0]) for v in vectors[:900]]), flat[0].astype(int), flat[1], rnd.integers(0, 2, 900).astype(float), np.arange(900), 0.5)
+    assert index.often.any() and not index.often.all()
+    for terms, weights in [*vectors[900:], (np.empty(0, int), np.empty(0)), (np.array([400]), np.array([1.0])), (np.array([399]), np.array([1.0]))]:
+        q = np.zeros(401)
+        q[terms] = weights
+        of = {int(index.ids[i]): i for i in range(900)}
+        cosines = np.zeros(900)
+        for e, (t, w) in enumerate(vectors[:900]):
+            cosines[of[e]] = (q[t] * w).sum()
+        at, score = index.nearest(terms.astype(int), weights)
+        cut = max(np.sort(cosines)[-toxicity.K], 1e-9)
+        assert set(np.flatnonzero(cosines > cut + 1e-9)) <= set(at) <= set(np.flatnonzero(cosines >= cut - 1e-9))
+        assert np.allclose(score, cosines[at])
+
+
+def test_toxicity_matches_a_plain_cosine_over_all_words(spark, labels):
+    """Fit and scores against dictionaries, with every word of every indexed example as a term."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    keep = fold_of("doc_id", 4) != 2
+    index = toxicity.fit(docs, labels, keep=keep)
+    held = {r.doc_id: r.held for r in toxicity.examples(docs, labels, "toxic", keep, toxicity.MAX_EXAMPLES).collect()}
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    words = {r.doc_id: Counter(re.findall(r"[^\W\d_]+", (r.text or "").lower())) for r in docs.collect()}
+    frequency = Counter(w for c in words.values() for w in c)
+    inside = [d for d, h in held.items() if not h]
+    of = [Counter(w for d in inside if label[d] == y for w in words[d]) for y in (0, 1)]
+    assert set(index.vocabulary) == set(of[0]) | set(of[1])
+    factor = {w: np.log((1 + len(words)) / (1 + frequency[w])) * np.log2(2 + of[1][w] / max(1, of[0][w])) for w in index.vocabulary}
+
+    def vector(d):
+        raw = {w: (1 + np.log(n)) * factor[w] for w, n in words[d].items() if w in factor}
+        norm = sum(x * x for x in raw.values()) ** 0.5
+        return {w: x / norm for w, x in raw.items()} if norm else {}
+
+    vectors = {d: vector(d) for d in inside}
+    near = {r.doc_id: (r.score, r.near) for r in toxicity.scored(docs, index).collect()}
+    for d in words:
+        v = vector(d)
+        cosine = {e: sum(x * vectors[e].get(w, 0.0) for w, x in v.items()) for e in inside}
+        cut = max(sorted(cosine.values())[-toxicity.K], 1e-11)
+        votes = {e: c**toxicity.SHARPNESS for e, c in cosine.items() if c >= cut - 1e-12}
+        if not votes:
+            assert near[d] == (index.prior, [])
+            continue
+        share = sum(x for e, x in votes.items() if label[e]) / sum(votes.values())
+        assert abs(np.interp(share, index.grid, index.table) - near[d][0]) < 1e-6
+        assert near[d][1] == sorted(votes, key=lambda e: (-round(cosine[e], 9), e))[:5]
 
 
 def test_toxicity_on_held_out_rows(spark, labels):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     index = toxicity.fit(docs, labels, keep=fold_of("doc_id", 4) != 2)
     rows = toxicity.scored(docs, index).join(labels, "doc_id").filter(fold_of("doc_id", 4) == 2).collect()
-    assert sum((r.score >= 0.3) == (r.toxic == 1) for r in rows) / len(rows) > 0.85
+    assert sum((r.score >= 0.3) == (r.toxic == 1) for r in rows) / len(rows) > 0.85 and len({r.score for r in rows}) > len(rows) / 4
     kept = toxicity.keep_clean(docs, index)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
