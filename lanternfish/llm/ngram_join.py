@@ -4,13 +4,17 @@ Texts are lower-cased words; a shingle is SHINGLE consecutive words (a text of f
 if the Jaccard similarity of their shingle sets is at least THRESHOLD.
 
 1. Rows are grouped by the hash of the text into classes of exact copies; all that follows is about one text for each class.
-2. A signature feeds TREES prefix tries of DEPTH MinHash values. Matched prefixes are shortened from DEPTH until the expected
-   recall of a pair at the threshold reaches RECALL; equal prefixes of that depth in any tree are candidates.
-3. Buckets of equal prefixes are cut into blocks by count and by weight, and pairs of blocks are the units of work, so no task
-   holds a whole bucket. A pair is looked at only in the first tree in which it meets; no pair is ever a row.
-4. Units whose members have such a pair get the shingles of these members and count exact links; they return a count for each
+2. A signature feeds TREES prefix tries, each a path of DEPTH MinHash values. The paths of all texts are sorted by tree and path
+   over ranges, so a trie's nodes are runs of a sorted array; a walk over each range counts the runs at every depth, and runs
+   that go on in the next range are summed up.
+3. Matched prefixes are shortened from DEPTH. At the depth at which a pair at the threshold is found with probability RECALL the
+   texts of every node meet; a node of at most WIDE texts is shortened further, as long as it stays so small, which finds the
+   rest of the pairs for next to nothing. So every text has one open node in each tree, at a depth of its own.
+4. Open nodes are cut into blocks by count and by weight, and pairs of blocks are the units of work, so no task holds a whole
+   node. A pair is looked at only in the first tree in which it meets; no pair is ever a row.
+5. Units whose members have such a pair get the shingles of these members and count exact links; they return a count for each
    member and the edges of a spanning forest.
-5. Classes that are linked, directly or over others, form groups (minimum labels with pointer jumping on tables).
+6. Classes that are linked, directly or over others, form groups (minimum labels with pointer jumping on tables).
 
 Defined cases: null texts and texts without words link to nothing and stand alone, even when equal; repeated rows are copies;
 null ids are allowed, the least id that is not null names a group (null if there is none); empty tables give no rows; further
@@ -28,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import map_arrow, stored, table
+from lanternfish.llm.common import fresh, map_arrow, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 6, 0.9995
-#: Members and shingles of a block of a bucket.
+TREES, DEPTH, RECALL = 20, 4, 0.9999
+#: Texts of a node up to which its prefix is shortened further, and by how many values at most.
+WIDE, SHORTER = 32, 2
+#: Members and shingles of a block of a node.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Distinct words whose hashes a task keeps; at the bound it starts anew.
 CACHE = 300_000
@@ -77,16 +83,12 @@ def shingles(text: str | None, cache: dict[str, int]) -> np.ndarray:
     return np.unique(acc)
 
 
-def prefixes(sh: np.ndarray, depth: int) -> np.ndarray:
-    """One 64-bit hash of the first `depth` MinHash values for each tree."""
+def paths(sh: np.ndarray) -> bytes:
+    """DEPTH MinHash values of 4 bytes for each tree, one tree after the other; bytes sort as the values do."""
     low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(sh), 2048):
         np.minimum(low, ((sh[k : k + 2048, None] ^ _FLIP) * _MULTIPLY).min(axis=0), out=low)
-    low = low.reshape(TREES, DEPTH)
-    acc = np.arange(TREES, dtype=np.uint64)
-    for k in range(depth):
-        acc = _mixed(acc * _STEP + (low[:, k] >> np.uint64(16)))
-    return acc.view(np.int64)
+    return (_mixed(low * _STEP) >> np.uint64(32)).astype(">u4").tobytes()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -184,38 +186,38 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         cache: dict[str, int] = {}
         for b in batches:
             sets = [shingles(t, cache) for t in b.column(2).to_pylist()]
-            keys = [prefixes(s, depth).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary())], ["id", "key", "n", "keys"])
+            made = [paths(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(made, pa.binary())], ["id", "key", "n", "paths"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
-    signed = stored(map_arrow(rows, sign, f"id {id_type}, key binary, n int, keys binary"), "ngram-signed")
-    texts = signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("text_id"), F.max("n").alias("n"), F.max("keys").alias("keys"))
+    signed = stored(map_arrow(rows, sign, f"id {id_type}, key binary, n int, paths binary"), "ngram-signed")
+    texts = signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("text_id"), F.max("n").alias("n"), F.max("paths").alias("paths"))
     texts = stored(texts.select(F.monotonically_increasing_id().alias("cid"), "*"), "ngram-texts")
 
-    entries = _entries(texts)
-    sizes = entries.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    met = entries.join(stored(sizes, "ngram-buckets"), ["tree", "prefix"]).select("tree", "prefix", "cid", "n", blocks.alias("blocks"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    unit = ["tree", "prefix", "bi", "bj"]
-    met = met.select("tree", "prefix", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid")
-    met = met.join(texts.select("cid", "keys"), "cid").select(*unit, "block", "cid", "keys")
+    nodes = stored(_open_nodes(texts, depth), "ngram-nodes")
+    # One row for each text again, with its open nodes of all trees (a number of its own where it has none).
+    of = F.map_from_entries(F.collect_list(F.struct("tree", "node")))
+    mine = nodes.groupBy("cid").agg(of.alias("of"), F.collect_list(F.struct("tree", "node", "blocks")).alias("open"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.lpad(F.hex(F.coalesce(F.col("of")[t], F.xxhash64("cid", t))), 16, "0"))
+    mine = mine.select("cid", F.unhex(F.array_join(keys, "")).alias("keys"), F.inline("open"))
+    met = mine.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    unit = ["tree", "node", "bi", "bj"]
+    met = met.select("tree", "node", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid", "keys")
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for (tree, prefix, bi, bj), rows in _runs(batches, 4):
+        for (tree, node, bi, bj), rows in _runs(batches, 4):
             block = np.array([r[0] for r in rows])
-            keys = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(len(rows), TREES)
+            keys = np.frombuffer(b"".join(r[2] for r in rows), ">i8").reshape(len(rows), TREES)
             a, b, meet = _pairs(tree, bi, bj, block, keys)
             for k in sorted({*a[meet.any(axis=1)].tolist(), *b[meet.any(axis=0)].tolist()}):
-                out.append((tree, prefix, bi, bj, *rows[k]))
+                out.append((tree, node, bi, bj, *rows[k]))
             if len(out) >= 4096:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    fields = "tree int, prefix bigint, bi int, bj int, block int, cid bigint, keys binary"
+    fields = "tree int, node bigint, bi int, bj int, block int, cid bigint, keys binary"
     members = stored(map_arrow(met.repartition(*unit).sortWithinPartitions(*unit), needed, fields), "ngram-members")
 
     # The shingles of the texts that have a candidate, each made once.
@@ -238,7 +240,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         for (tree, _, bi, bj), rows in _runs(batches, 4):
             block = np.array([r[0] for r in rows])
             cid = [r[1] for r in rows]
-            keys = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(len(rows), TREES)
+            keys = np.frombuffer(b"".join(r[2] for r in rows), ">i8").reshape(len(rows), TREES)
             sets = [np.frombuffer(r[3], np.uint64) for r in rows]
             a, b, meet = _pairs(tree, bi, bj, block, keys)
             linked = _links(meet, [sets[k] for k in a], [sets[k] for k in b], threshold)
@@ -267,36 +269,91 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def _entries(texts: DataFrame) -> DataFrame:
-    """cid, n, tree and prefix for each tree of each text."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
-            cid, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            trees = np.tile(np.arange(TREES, dtype=np.int32), b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, TREES), pa.int64()), pa.array(np.repeat(n, TREES), pa.int32()), pa.array(trees), pa.array(keys)], ["cid", "n", "tree", "prefix"])
-
-    return map_arrow(texts.select("cid", "n", "keys"), spread, "cid bigint, n int, tree int, prefix bigint")
+    """tree, path, cid and n for each tree of each text."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("paths"), t * F.lit(4 * DEPTH) + F.lit(1), F.lit(4 * DEPTH)))
+    return texts.select("cid", "n", F.posexplode(each).alias("tree", "path")).select("tree", "path", "cid", "n")
+
+
+def _walk(batches: Iterator[pa.RecordBatch], depths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """A sorted range of tree, path, cid, n: members and weight of each row's run at each depth, and whether the run is the first
+    or last of the range, so that it may go on outside. Rows that stand alone at every depth are left out."""
+
+    def annotated(held: list[pa.RecordBatch], first: bool, last: bool) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        tree, n = t["tree"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+        values = np.frombuffer(b"".join(t["path"].to_pylist()), ">u4").reshape(len(tree), DEPTH)
+        new, out, keep = np.r_[True, tree[1:] != tree[:-1]], [], np.zeros(len(tree), bool)
+        for d in range(1, max(depths) + 1):
+            new[1:] |= values[1:, d - 1] != values[:-1, d - 1]
+            if d not in depths:
+                continue
+            starts = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            members, weight = np.diff(np.r_[starts, len(tree)])[run], np.add.reduceat(n, starts)[run]
+            edge = (first & (run == 0)) | (last & (run == len(starts) - 1))
+            keep |= (members > 1) | edge
+            out += [pa.array(members, pa.int64()), pa.array(weight, pa.int64()), pa.array(edge, pa.bool_())]
+        names = [x + str(d) for d in depths for x in ("members", "weight", "edge")]
+        return pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in t.column_names), *out], [*t.column_names, *names]).filter(pa.array(keep))
+
+    # A chunk ends with a run of the shortest depth.
+    wide, held, at, first = 4 * min(depths), [], None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lead = list(zip(b.column("tree").to_pylist(), (x[:wide] for x in b.column("path").to_pylist()), strict=True))
+        cut = 0
+        if lead[-1] != at:
+            cut = lead.index(lead[-1])
+            if held or cut:
+                if cut:
+                    held.append(b.slice(0, cut))
+                yield annotated(held, first, False)
+                first, held = False, []
+            at = lead[-1]
+        held.append(b.slice(cut))
+    if held:
+        yield annotated(held, first, True)
+
+
+def _open_nodes(texts: DataFrame, depth: int) -> DataFrame:
+    """tree, node, blocks and cid of each text's open node in each tree in which others share it."""
+    depths = tuple(range(max(1, depth - SHORTER), depth + 1))
+    ranges = _entries(texts).repartitionByRange("tree", "path", "cid").sortWithinPartitions("tree", "path", "cid")
+    fields = "tree int, path binary, cid bigint, n int, " + ", ".join(f"members{d} bigint, weight{d} bigint, edge{d} boolean" for d in depths)
+    rows = stored(map_arrow(ranges, lambda batches: _walk(batches, depths), fields), "ngram-tries")
+    chosen = F.lit(None)
+    for d in reversed(depths):
+        lead = F.substring("path", 1, 4 * d)
+        # Two runs of a range at most are at its edges, so there are at most two rows for each task; all rows of such a run are marked.
+        whole = rows.filter(f"edge{d}").groupBy(F.col("tree").alias("at"), lead.alias("lead")).agg(F.count("*").alias(f"all{d}"), F.sum("n").alias(f"sum{d}"))
+        rows = rows.join(F.broadcast(whole), F.col(f"edge{d}") & (F.col("tree") == F.col("at")) & (lead == F.col("lead")), "left").drop("at", "lead")
+        members, weight = F.coalesce(f"all{d}", f"members{d}"), F.coalesce(f"sum{d}", f"weight{d}")
+        node = F.struct(F.xxhash64("tree", F.lit(d), lead).alias("node"), members.alias("members"), weight.alias("weight"))
+        chosen = node if d == depth else F.when(members <= WIDE, node).otherwise(chosen)
+    out = rows.select("tree", "cid", chosen.alias("x")).filter("x.members > 1")
+    blocks = F.greatest(F.ceil(F.col("x.members") / BLOCK), F.ceil(F.col("x.weight") / BLOCK_SHINGLES)).cast("int")
+    return out.select("tree", F.col("x.node").alias("node"), blocks.alias("blocks"), "cid")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"tree": pa.int32(), "prefix": pa.int64(), "bi": pa.int32(), "bj": pa.int32(), "block": pa.int32(), "cid": pa.int64(), "keys": pa.binary()}
+    kinds = {"tree": pa.int32(), "node": pa.int64(), "bi": pa.int32(), "bj": pa.int32(), "block": pa.int32(), "cid": pa.int64(), "keys": pa.binary()}
     cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group: that of the least id, and of several such rows one of the least text hash."""
-    judged = stored(classes(docs, id_col, text_col), "ngram-judged")
+    of, keep_id, keep_key = fresh(docs, "ngram_key", "ngram_keep_id", "ngram_keep_key")
+    judged = stored(classes(docs, id_col, text_col), "ngram-judged").select(F.col(id_col).alias("id"), "key", "root")
     grouped = judged.filter("root IS NOT NULL")
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key")).alias("x"), F.count("*").alias("rows"))
-    first = stored(first.select(F.col("x.id").alias("keep_id"), F.col("x.key").alias("keep_key"), "rows"), "ngram-kept")
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    marked = docs.withColumn("ngram_key", key)
-    kept = marked.join(first, F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("ngram_key") == F.col("keep_key")))
-    many = grouped.groupBy(id_col, "key").count().filter("count > 1")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
+    first = stored(first.select(F.col("x.id").alias(keep_id), F.col("x.key").alias(keep_key)), "ngram-kept")
+    marked = docs.withColumn(of, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    kept = marked.join(first, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(of) == F.col(keep_key)))
+    many = grouped.groupBy("id", "key").count().filter("count > 1")
     if not many.isEmpty():  # the same row several times
-        kept = kept.dropDuplicates([id_col, "ngram_key"])
+        kept = kept.dropDuplicates([id_col, of])
     wordless = docs.filter(F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return kept.select(*docs.columns).unionByName(wordless)
 

@@ -17,7 +17,9 @@ AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PROSE = "the quick brown fox jumps over the lazy dog while the old grey cat sleeps near the warm stove and dreams of fish"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, n int, size string, score string, token string, rid string, h string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, n int, size string, score string, token string, rid string, h string, " \
+    "ngram_key string, ngram_keep_id string, keep_id string, keep_key string, rows string, root string, bad_id string, bad_key string, mix_source string, mix_full string, mix_upto string, mix_copy string"
+CLASH = tuple(f"clash{i}" for i in range(12))
 ROWS = [
     (1, PROSE, "en", "a"), (2, PROSE, "en", "a"), (2, PROSE, "en", "a"), (3, None, None, None), (4, "", "en", "b"), (5, "!!! ...", "en", "b"),
     (6, PROSE + " indeed", None, "c"), (None, "a null id with some words in it", "en", None), (7, LONG, "en", "c"), (8, "  two \n\n spaces\tand tabs ", "de", "b"),
@@ -28,7 +30,7 @@ ROWS = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, repeats, ties, and further columns with names that operators use inside."""
-    return spark.createDataFrame([(*r, 0, "x", "y", 1, "z", "s", "t", "r", "h") for r in ROWS], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, 0, "x", "y", 1, "z", "s", "t", "r", "h", *CLASH) for r in ROWS], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -160,6 +162,7 @@ def test_decontamination_keeps_and_drops(spark, odd):
     bench = spark.createDataFrame([(1, PROSE)], "item_id bigint, text string")
     kept = decontamination.clean(odd, bench)
     assert kept.columns == odd.columns
+    assert {r[-len(CLASH) :] for r in kept.collect()} == {CLASH}
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in ROWS if not (r[1] or "").startswith(PROSE)), key=repr)
     assert decontamination.measured(empty(spark), bench).count() == 0
     assert decontamination.measured(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
@@ -273,13 +276,62 @@ def test_ngram_edges(spark, odd):
     assert {(1, 1, 1), (2, 1, 1), (6, 1, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0), (11, 11, 0), (12, 11, 0), (None, None, 0)} <= got
     kept = ngram_join.deduplicated(odd)
     assert kept.columns == odd.columns
+    assert {r[-len(CLASH) :] for r in kept.collect()} == {CLASH}
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, 7, 8, 9, 10, 11, None], key=repr)
     assert ngram_join.classes(empty(spark)).count() == 0 == ngram_join.deduplicated(empty(spark)).count()
 
 
 def test_forest_depth_reaches_recall():
     d = ngram_join.depth_for()
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL and (d == ngram_join.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES < ngram_join.RECALL)
+
+
+def near_threshold(n, rnd):
+    """Pairs of texts with a similarity between 0.8 and 0.83."""
+    out = []
+    for k in range(n):
+        words = [f"p{k}w{i}" for i in range(int(rnd.integers(90, 120)))]
+        other = list(words)
+        for at in range(8, 8 + 12 * int(len(words) * 0.0206), 12):  # each changed word costs five shingles on either side
+            other[at] += "x"
+        out += [" ".join(words), " ".join(other)]
+    return out
+
+
+def test_forest_recall_near_the_threshold(spark):
+    texts = near_threshold(400, np.random.default_rng(3))
+    roots, links = brute_near(texts[:40])
+    assert sum(links) >= 30
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = sum(10 * len(a & b) >= 8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    got = ngram_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).agg(F.sum("n_links")).first()[0]
+    assert want >= 300 and got == 2 * want
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_tries_count_runs_over_all_ranges(spark, monkeypatch, parts):
+    """Open nodes against counts of prefixes, with small values so that nodes are shared and cross the ranges."""
+    monkeypatch.setattr(ngram_join, "WIDE", 6)
+    rnd = np.random.default_rng(7)
+    made = [(i, int(rnd.integers(1, 50)), rnd.integers(0, 3, ngram_join.TREES * ngram_join.DEPTH).astype(">u4").tobytes()) for i in range(300)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {(r.tree, r.cid): (r.node, r.blocks) for r in ngram_join._open_nodes(spark.createDataFrame(made, "cid bigint, n int, paths binary"), 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    names = {}
+    for tree in range(ngram_join.TREES):
+        path = {i: p[16 * tree : 16 * tree + 16] for i, _, p in made}
+        count = Counter(p[: 4 * d] for p in path.values() for d in (2, 3, 4))
+        for i, p in path.items():
+            lead = next(p[: 4 * d] for d in (2, 3, 4) if d == 4 or count[p[: 4 * d]] <= 6)
+            if count[lead] < 2:
+                assert (tree, i) not in got
+                continue
+            node, blocks = got.pop((tree, i))
+            assert names.setdefault((tree, lead), node) == node and blocks == -(-count[lead] // 4)
+    assert not got and len(set(names.values())) == len(names)
 
 
 # Token output
