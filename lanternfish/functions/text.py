@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 SEVERITIES = ("critique", "haute", "moyenne", "basse", "info")
 POINTS = {"critique": 20, "haute": 10, "moyenne": 4, "basse": 1}
 # Words of titles that say nothing about the page.
-STOP_WORDS = ("les", "des", "une", "pour", "avec", "dans", "sur", "par", "que", "qui", "est", "vos", "nos", "votre", "notre", "aux", "plus", "sans", "son", "ses", "the", "and", "for", "with", "your")
+STOP_WORDS = ("les", "des", "une", "pour", "avec", "dans", "sur", "par", "est", "vos", "nos", "votre", "notre", "the", "and", "for", "you", "your", "comment", "qui", "que", "aux", "plus", "tout", "tous")
 # Grades by least score.
 GRADES = ((90, "A"), (75, "B"), (60, "C"), (40, "D"))
 # Metric, good up to, poor beyond (milliseconds, but for the shift).
@@ -125,8 +125,14 @@ def octets(product: Column) -> Column:
     return F.aggregate(factors, F.lit(1).cast("bigint"), lambda a, x: a * x)
 
 
+# Words that open a question.
+QUESTION_WORDS = (
+    "comment", "pourquoi", "quel", "quelle", "quels", "quelles", "qu['’]est", "combien", "où", "quand", "faut-il", "peut-on", "est-ce", "how", "what", "why", "which", "when", "where", "can", "does", "is",
+)
+
+
 def is_question(heading: Column) -> Column:
-    return F.trim(heading).rlike(r"\?\s*$") | F.lower(F.trim(heading)).rlike(r"^(comment|pourquoi|quand|combien|quel|quelle|quels|quelles|qui|où|que|faut-il|how|why|when|what|which|who|where)\b")
+    return F.trim(heading).rlike(r"\?\s*$") | F.trim(heading).rlike(rf"(?iU)^({'|'.join(QUESTION_WORDS)})\b")
 
 
 def max_snippet(directives: Column) -> Column:

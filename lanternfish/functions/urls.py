@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What a crawl of pages does not follow.
-SKIPPED_EXTENSIONS = "jpg|jpeg|png|gif|webp|avif|svg|ico|css|js|mjs|json|xml|pdf|zip|gz|mp3|mp4|webm|woff|woff2|ttf|eot|txt"
-SKIPPED_PATHS = "/(wp-admin|wp-json|cart|panier|login|logout|cdn-cgi)(/|$)"
-SKIPPED_QUERY = "(^|&)(replytocom|add-to-cart|sort|orderby|filter)="
+SKIPPED_EXTENSIONS = "jpe?g|png|gif|webp|avif|svg|ico|bmp|tiff?|pdf|zip|gz|rar|7z|mp[34]|m4a|wav|ogg|webm|mov|avi|css|js|json|xml|txt|woff2?|ttf|eot|otf|docx?|xlsx?|pptx?|csv|ics"
+SKIPPED_PATHS = "(/wp-admin/|/wp-login[.]php|/wp-json/|/xmlrpc[.]php|/feed/?$|/comments/feed|/wp-content/|/wp-includes/|/cdn-cgi/|/trackback/?$)"
+SKIPPED_QUERY = "(^|&)(replytocom|share|add-to-cart|add_to_wishlist|preview|s|ver|nocache)="
 IGNORED_HREF = r"^(mailto:|tel:|javascript:|#|data:)"
 
 

@@ -9,8 +9,9 @@ from lanternfish.functions import text, urls
 
 # Kinds of pages that show who stands behind a site, by the path.
 TRUST_PAGES = {
-    "contact": r"contact|nous-contacter", "a_propos": r"a-propos|about|qui-sommes-nous|equipe|team", "mentions": r"mentions-legales|legal|imprint|impressum", "confidentialite": r"confidentialite|privacy|donnees-personnelles|rgpd",
-    "conditions": r"cgv|cgu|conditions|terms", "faq": r"faq|questions", "avis": r"avis|temoignages|testimonials|reviews", "auteurs": r"auteur|author|redaction",
+    "a_propos": "a-propos|about|qui-sommes-nous|notre-histoire|l-agence|le-cabinet|presentation", "contact": "contact", "mentions_legales": "mentions-legales|legal-notice|imprint|informations-legales",
+    "confidentialite": "confidentialit|privacy|donnees-personnelles|rgpd", "equipe_auteurs": "equipe|team|auteur|author|fondateur|formateur|expert", "faq": "faq|questions-frequentes|foire-aux-questions",
+    "avis": "avis|temoignages|testimonials|reviews|references|realisations|etudes-de-cas|case-stud", "cgv": "cgv|conditions-generales|terms",
 }
 ENTITIES = ("Organization", "LocalBusiness", "Person", "Corporation", "EducationalOrganization", "NGO", "OnlineStore")
 ARTICLES = ("Article", "NewsArticle", "BlogPosting")
@@ -19,7 +20,7 @@ ARTICLES = ("Article", "NewsArticle", "BlogPosting")
 def trust_pages(pages: DataFrame) -> DataFrame:
     """site, kind of trust pages that a site lacks, from flags that are summed up before the exchange."""
     path = F.lower(urls.path(F.col("url")))
-    flags = pages.groupBy("site").agg(*[F.bool_or(path.rlike(rf"(^|[/_-])({rx})([/_.-]|$)")).alias(k) for k, rx in TRUST_PAGES.items()])
+    flags = pages.groupBy("site").agg(*[F.bool_or(path.rlike(rx)).alias(k) for k, rx in TRUST_PAGES.items()])
     return flags.select("site", F.explode(F.array_compact(F.array(*[F.when(~F.col(k), F.lit(k)) for k in TRUST_PAGES]))).alias("kind"))
 
 

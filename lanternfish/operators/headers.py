@@ -72,9 +72,9 @@ def policy_findings(responses: DataFrame) -> DataFrame:
 
 
 # Names of cookies by purpose.
-SESSION = r"(?i)sess|sid$|^sid|auth|token|jwt|login"
+SESSION = r"(?i)session|sessid|(^|[^a-z])sid($|[^a-z])|[a-z]sid$|auth(?!or)|token|jwt"
 CSRF = r"(?i)csrf|xsrf"
-ANALYTICS = r"^(_ga|_gid|_gat|_fbp|_pk_|_hj|amplitude|mp_)"
+ANALYTICS = r"(?i)^(_ga|_gid|_gat|_gcl_|_gac_|_fbp|_fbc|_hj|_pk_|__utm|_clck|_clsk|ajs_|amplitude|mp_|_uet|_scid|_ttp|_tt_|_pin_|_dc_gtm|__hs|hubspotutk|_vwo|_pendo|_cs_|_lr_)"
 
 
 def cookie_findings(cookies: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from lanternfish.functions import text, urls
 
 P, H, I = "TRUE", "is_html AND final_status = 200 AND redirect_hops = 0", "is_html AND final_status = 200 AND redirect_hops = 0 AND indexable"  # noqa: E741
 
-#: key, severity, scope, predicate over a page record, and how often it counts.
+#: key, severity, scope, predicate over a page record, and how often it counts. A fact that is not known (null) fires no rule.
 PAGE_RULES = (
     ("http_5xx", "critique", P, "final_status >= 500", "1"),
     ("http_4xx", "haute", P, "final_status BETWEEN 400 AND 499", "1"),
@@ -19,19 +19,19 @@ PAGE_RULES = (
     ("redirect_chain", "moyenne", P, "redirect_hops > 1", "1"),
     ("redirect_temp", "basse", P, "redirect_hops >= 1 AND status IN (302, 303, 307)", "1"),
     ("slow_ttfb", "moyenne", P, "ttfb > 1.0 AND final_status = 200", "1"),
-    ("title_missing", "haute", I, "coalesce(title, '') = ''", "1"),
+    ("title_missing", "haute", I, "title = ''", "1"),
     ("title_long", "basse", I, "length(title) > 65", "1"),
     ("title_short", "basse", I, "length(title) BETWEEN 1 AND 24", "1"),
-    ("desc_missing", "moyenne", I, "coalesce(meta_description, '') = ''", "1"),
+    ("desc_missing", "moyenne", I, "meta_description = ''", "1"),
     ("desc_long", "basse", I, "length(meta_description) > 160", "1"),
     ("desc_short", "basse", I, "length(meta_description) BETWEEN 1 AND 69", "1"),
-    ("h1_missing", "haute", I, "coalesce(n_h1, 0) = 0", "1"),
+    ("h1_missing", "haute", I, "n_h1 = 0", "1"),
     ("h1_multiple", "basse", I, "n_h1 > 1", "1"),
     ("thin_content", "moyenne", I, "content_words < 300", "1"),
     ("deep_page", "moyenne", I, "depth > 3", "1"),
-    ("no_jsonld", "basse", I, "coalesce(n_jsonld, 0) = 0", "1"),
-    ("og_title_absent", "basse", I, "NOT coalesce(og_title, FALSE)", "1"),
-    ("og_image_absent", "basse", I, "NOT coalesce(og_image, FALSE)", "1"),
+    ("no_jsonld", "basse", I, "n_jsonld = 0", "1"),
+    ("og_title_absent", "basse", I, "NOT og_title", "1"),
+    ("og_image_absent", "basse", I, "NOT og_image", "1"),
     ("canonical_missing", "moyenne", H, "n_canonicals = 0", "1"),
     ("canonical_multiple", "haute", H, "n_canonicals > 1", "1"),
     ("canonical_other", "basse", H, "n_canonicals = 1 AND canonical <> url", "1"),
@@ -40,8 +40,8 @@ PAGE_RULES = (
     ("form_no_label", "moyenne", H, "form_fields_no_label > 0", "form_fields_no_label"),
     ("img_no_dims", "basse", H, "imgs_no_dims > 0", "imgs_no_dims"),
     ("lazy_first_img", "moyenne", H, "lazy_first_img", "1"),
-    ("lang_missing", "moyenne", H, "coalesce(lang, '') = ''", "1"),
-    ("viewport_missing", "haute", H, "NOT coalesce(viewport, FALSE)", "1"),
+    ("lang_missing", "moyenne", H, "lang = ''", "1"),
+    ("viewport_missing", "haute", H, "NOT viewport", "1"),
     ("mixed_content", "haute", H, "n_mixed > 0", "1"),
     ("jsonld_invalid", "moyenne", H, "jsonld_errors > 0", "1"),
     ("heavy_html", "basse", H, "bytes_html > 300000", "1"),
@@ -53,7 +53,7 @@ PAGE_RULES = (
 
 def judged(pages: DataFrame) -> DataFrame:
     """Page records with the columns that rules name beside the record's own."""
-    canonicals = F.coalesce("canonicals", F.array().cast("array<string>"))
+    canonicals = F.col("canonicals")
     noindex = F.coalesce("noindex", F.lit(False))
     url = F.col("url")
     return pages.withColumns({
@@ -166,7 +166,11 @@ def fold(found: DataFrame, most: int = 25) -> DataFrame:
     return totals.join(listed, ["site", "key"]).select("site", "key", F.col("f.severity").alias("severity"), "count", "examples")
 
 
+# Paths of style sheets and scripts that a page needs to be drawn.
+ASSETS = r"(?i)\.(css|m?js)\b|wp-content/(themes|plugins)|wp-includes|/_astro\b|/_next/"
+
+
 def robots_findings(rules: DataFrame, home_allowed: Column) -> DataFrame:
     """robots_blocks_all and robots_blocks_assets by site. rules: site, agent, allow, pattern."""
-    assets = ~F.col("allow") & F.col("pattern").rlike(r"(?i)\.(css|js)|/(_astro|assets|static|css|js)(/|$)")
+    assets = ~F.col("allow") & F.col("pattern").rlike(ASSETS)
     return rules.groupBy("site").agg((~F.bool_or(home_allowed)).alias("robots_blocks_all"), F.coalesce(F.bool_or(assets), F.lit(False)).alias("robots_blocks_assets"))

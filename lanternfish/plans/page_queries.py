@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import geo, history, issues, links, robots
+from lanternfish.operators import geo, history, issues, links, robots, site_issues
 from lanternfish.plans.tables import stored
 from lanternfish.sources import html
 from lanternfish.sources import pages as source
@@ -29,16 +29,27 @@ def _f(piece: str, column: str) -> str:
     return piece.replace("{0}", column)
 
 
+TAG = r"""regexp_extract(html, '(?is)<{0}[^>]*\s{1}="([^"]*)"', 1)"""
+META = r"""trim(regexp_extract(html, '(?is)<meta [^>]*(name|property)="{0}"[^>]*content="([^"]*)"', 2))"""
+IMAGES = r"regexp_extract_all(html, '(?is)<img\b[^>]*>')"
+JSONLD = r"""regexp_extract_all(html, '(?is)<script [^>]*application/ld\+json[^>]*>(.*?)</script>', 1)"""
+PLAIN = "replace(replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), '&middot;', '·'), '&copy;', '©')"
+_TITLE = r"trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g'))"
 RECORDS = rf"""
-rec AS (SELECT {_f(HOST, "url")} AS site, url, page_id AS seq, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
-    [trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1))] AS h1, len(regexp_extract_all(html, '<h1'))::INT AS n_h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-    len(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\S+'))::BIGINT AS content_words,
-    strlen(html)::BIGINT AS bytes_html FROM pages)"""
+rec AS (SELECT {_f(HOST, "url")} AS site, url, page_id AS seq, {_f(PLAIN, _TITLE)} AS title,
+    [{_f(PLAIN, "trim(x)")} for x in regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)] AS h1, len(regexp_extract_all(html, '<h1'))::INT AS n_h1, {TAG.replace("{0}", "html").replace("{1}", "lang")} AS lang,
+    len(regexp_extract_all(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<[^>]*>', ' ', 'g'), '\S+'))::BIGINT AS content_words, strlen(html)::BIGINT AS bytes_html,
+    {_f(META, "description")} AS meta_description, regexp_matches(html, '<meta name="viewport"') AS viewport, regexp_matches(html, '<meta property="og:title"') AS og_title, regexp_matches(html, '<meta property="og:image"') AS og_image,
+    lower({_f(META, "robots")}) AS meta_robots, regexp_extract_all(html, '<link rel="canonical" href="([^"]*)"', 1) AS canonicals, regexp_extract_all(html, '<link rel="alternate" hreflang="[^"]*" href="([^"]*)"', 1) AS hreflang,
+    len({JSONLD})::INT AS n_jsonld, len([x for x in {JSONLD} if NOT json_valid(x)])::INT AS jsonld_errors, len([x for x in {IMAGES} if NOT contains(x, ' alt=')])::BIGINT AS imgs_no_alt,
+    len([x for x in {IMAGES} if NOT (contains(x, ' width=') AND contains(x, ' height='))])::BIGINT AS imgs_no_dims, coalesce(contains({IMAGES}[1], 'loading="lazy"'), FALSE) AS lazy_first_img,
+    len([x for x in regexp_extract_all(html, '<input type="text"[^>]*>') if NOT regexp_matches(x, ' (id|aria-label)=')])::BIGINT AS form_fields_no_label,
+    CASE WHEN url LIKE 'https://%' THEN len(regexp_extract_all(html, '<(img|script|iframe) [^>]*src="http://')) ELSE 0 END AS n_mixed FROM pages)"""
 JUDGED = f"""
-jud AS (SELECT *, 200 AS final_status, 0 AS redirect_hops, NULL::INT AS status, TRUE AS is_html, TRUE AS indexable, FALSE AS noindex, 0 AS n_canonicals, NULL::VARCHAR AS canonical, 0 AS n_mixed, 0 AS n_hreflang,
-    FALSE AS hreflang_self, NULL::DOUBLE AS ttfb, NULL::VARCHAR AS meta_description, NULL::INT AS depth, NULL::INT AS n_jsonld, NULL::BOOLEAN AS og_title, NULL::BOOLEAN AS og_image, NULL::BIGINT AS imgs_no_alt,
-    NULL::BIGINT AS form_fields_no_label, NULL::BIGINT AS imgs_no_dims, NULL::BOOLEAN AS lazy_first_img, NULL::BOOLEAN AS viewport, NULL::INT AS jsonld_errors, NULL::BIGINT AS inlinks,
-    regexp_matches({_f(PATH, "url")}, '[A-Z]') OR contains({_f(PATH, "url")}, '_') OR length(url) > 115 AS unclean, {_f(QUERY, "url")} <> '' AS has_query FROM rec)"""
+jud AS (SELECT *, NOT noindex AND coalesce(canonical = url, TRUE) AS indexable FROM (SELECT *, 200 AS final_status, 0 AS redirect_hops, NULL::INT AS status, TRUE AS is_html, contains(meta_robots, 'noindex') AS noindex,
+    len(list_distinct(canonicals)) AS n_canonicals, canonicals[1] AS canonical, len(hreflang) AS n_hreflang, len([x for x in hreflang if {_f(NORMALIZED, "x")} = {_f(NORMALIZED, "url")}]) > 0 AS hreflang_self,
+    NULL::DOUBLE AS ttfb, NULL::INT AS depth, NULL::BIGINT AS inlinks,
+    regexp_matches({_f(PATH, "url")}, '[A-Z]') OR contains({_f(PATH, "url")}, '_') OR length(url) > 115 AS unclean, {_f(QUERY, "url")} <> '' AS has_query FROM rec))"""
 VIOLATIONS = "vio AS (" + " UNION ALL ".join(f"SELECT site, '{k}' AS key, '{s}' AS severity, seq, url, ({n})::BIGINT AS n FROM jud WHERE ({scope}) AND ({rule})" for k, s, scope, rule, n in issues.PAGE_RULES) + ")"
 LINKS = rf"""
 raw AS (SELECT url, page_id AS seq, unnest(range(1, len(l) + 1)) AS pos, l FROM (SELECT url, page_id, regexp_extract_all(html, '(?s)<a\s[^>]*>.*?</a>') AS l FROM pages)),
@@ -62,7 +73,37 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.completed(source.records(pages_of(spark, sf_dir)))
+    return source.completed(html.page_records(html.parsed(pages_of(spark, sf_dir))))
+
+
+def addresses_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.addresses(pages_of(spark, sf_dir))
+
+
+# Heads and bodies with every fact that page rules read, by the page's id and url, so that the same rules meet both cases at full size.
+HEADS = (
+    ("page_id % 2 = 0", '<meta name="viewport" content="width=device-width">'), ("page_id % 3 = 0", '<meta name="description" content="what this page says to those who search for it, in some seventy letters">'),
+    ("page_id % 3 = 1", '<meta name="description" content="short">'), ("page_id % 5 < 3", '<meta property="og:title" content="t"><meta property="og:image" content="/i.png">'),
+    ("page_id % 7 = 0", '<meta name="robots" content="noindex, follow">'), ("page_id % 4 = 1", '<link rel="canonical" href="{url}">'), ("page_id % 4 = 2", '<link rel="canonical" href="https://other.example.org/">'),
+    ("page_id % 8 = 5", '<link rel="canonical" href="/second">'), ("page_id % 6 = 0", '<link rel="alternate" hreflang="fr" href="{url}">'), ("page_id % 6 = 1", '<link rel="alternate" hreflang="fr" href="/fr/">'),
+    ("page_id % 3 < 2", '<script type="application/ld+json">{"@type": "WebPage", "name": "x"}</script>'), ("page_id % 11 = 0", '<script type="application/ld+json">{"@type": </script>'),
+)
+BODIES = (
+    ("page_id % 5 = 1", '<img loading="lazy" src="/a.png"><img src="/b.png" alt="" width="1" height="1">'), ("page_id % 5 = 2", '<img src="http://cdn.example.org/a.png" alt="a">'),
+    ("page_id % 9 = 0", '<input type="text"><input type="text" id="q"><input type="hidden">'), ("page_id % 10 = 0", "<h1>Second</h1>"),
+)
+
+
+def _inserted(parts) -> str:
+    """SQL of both engines for the parts whose condition holds."""
+    return " || ".join(f"CASE WHEN {when} THEN replace('{part}', '{{url}}', url) ELSE '' END" for when, part in parts)
+
+
+RICH = f"page_id, url, replace(replace(html, '</head>', {_inserted(HEADS)} || '</head>'), '<article>', {_inserted(BODIES)} || '<article>') AS html"
+
+
+def rich_pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_of(spark, sf_dir).selectExpr(*[RICH[: RICH.index(", replace(")].split(", ")[0], "url", RICH[RICH.index("replace(") :]])
 
 
 @query("url_parts", f"""
@@ -79,9 +120,49 @@ def url_parts(spark, sf_dir):
     )
 
 
-@query("page_records", f"WITH {RECORDS} SELECT site, url, seq, title, h1[1] AS h1, n_h1, lang, content_words, bytes_html FROM rec")
+SHOWN = ("site", "url", "seq", "title", "n_h1", "lang", "content_words", "bytes_html", "meta_description", "viewport", "og_title", "og_image", "meta_robots", "n_jsonld", "jsonld_errors", "imgs_no_alt", "imgs_no_dims", "lazy_first_img", "form_fields_no_label")
+RECORD_SQL = f"SELECT {', '.join(SHOWN)}, h1[1] AS h1, len(canonicals)::INT AS n_canonicals, array_to_string(hreflang, ' ') AS hreflang, n_mixed::INT AS n_mixed FROM rec"
+
+
+def _shown(records: DataFrame) -> DataFrame:
+    robots = F.regexp_replace("meta_robots", "^,|,$", "")
+    return records.withColumn("meta_robots", robots).select(*SHOWN, F.get("h1", F.lit(0)).alias("h1"), F.size("canonicals").alias("n_canonicals"), F.array_join("hreflang", " ").alias("hreflang"), F.size("mixed_content").alias("n_mixed"))
+
+
+@query("page_records", f"WITH {RECORDS} {RECORD_SQL}")
 def page_records(spark, sf_dir):
-    return source.records(pages_of(spark, sf_dir)).select("site", "url", "seq", "title", F.get("h1", F.lit(0)).alias("h1"), "n_h1", "lang", "content_words", "bytes_html")
+    return _shown(records_of(spark, sf_dir))
+
+
+RICH_RECORDS = f"rich AS (SELECT {RICH} FROM pages), {RECORDS.replace('FROM pages)', 'FROM rich)')}"
+
+
+def rich_records_of(spark, sf_dir):
+    return source.completed(html.page_records(html.parsed(rich_pages_of(spark, sf_dir))))
+
+
+@query("rich_records", f"WITH {RICH_RECORDS} {RECORD_SQL}")
+def rich_records(spark, sf_dir):
+    return _shown(rich_records_of(spark, sf_dir))
+
+
+@query("rich_violations", f"WITH {RICH_RECORDS}, {JUDGED}, {VIOLATIONS} SELECT * FROM vio")
+def rich_violations(spark, sf_dir):
+    return issues.violations(rich_records_of(spark, sf_dir))
+
+
+@query("rich_issues", f"""
+WITH {RICH_RECORDS}, {JUDGED}, {VIOLATIONS}, p AS (SELECT *, row_number() OVER (PARTITION BY site, key ORDER BY seq, url) AS place FROM vio)
+SELECT site, key, min_by(severity, place) AS severity, sum(n)::BIGINT AS count, string_agg(url, ' ' ORDER BY place) FILTER (place <= 25) AS examples FROM p GROUP BY site, key""")
+def rich_issues(spark, sf_dir):
+    return issues.fold(issues.violations(rich_records_of(spark, sf_dir)))
+
+
+@query("description_duplicates", f"""
+WITH {RICH_RECORDS}, {JUDGED} SELECT site, 'desc_dup' AS key, 'moyenne' AS severity, min(seq) AS seq, min_by(url, seq) AS url, count(*)::BIGINT AS n, substr(lower(trim(meta_description)), 1, 90) AS value
+FROM jud WHERE indexable AND meta_description <> '' GROUP BY site, lower(trim(meta_description)) HAVING count(*) > 1""")
+def description_duplicates(spark, sf_dir):
+    return issues.duplicates(rich_records_of(spark, sf_dir), "meta_description", "desc_dup")
 
 
 @query("crawl_violations", f"WITH {RECORDS}, {JUDGED}, {VIOLATIONS} SELECT * FROM vio")
@@ -104,7 +185,7 @@ def title_duplicates(spark, sf_dir):
 
 
 WORDS = f"""
-tok AS (SELECT site, seq, url, unnest(list_filter(list_distinct(regexp_extract_all(lower(title || ' ' || h1[1]), '[a-zà-ÿ0-9]{{3,}}')), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in text.STOP_WORDS)}], w))) AS token FROM rec),
+tok AS (SELECT site, seq, url, unnest(list_filter(list_distinct(regexp_extract_all(lower(title || ' ' || coalesce(h1[1], '')), '[a-zà-ÿ0-9]{{3,}}')), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in text.STOP_WORDS)}], w))) AS token FROM rec),
 tot AS (SELECT site, count(*) AS pages FROM rec GROUP BY site),
 brd AS (SELECT site, token FROM tok JOIN tot USING (site) GROUP BY site, token, pages HAVING pages > 4 AND count(*) > 0.5 * pages),
 wrd AS (SELECT tok.* FROM tok ANTI JOIN brd USING (site, token))"""
@@ -148,31 +229,29 @@ def shared_resources(spark, sf_dir):
     return links.resources(source.links(pages_of(spark, sf_dir)).select("site", F.col("src").alias("page"), F.col("target").alias("resource")))
 
 
-GRAPH = "e AS (SELECT DISTINCT o_orderstatus AS site, o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS url FROM orders WHERE o_orderkey % 3 = 0)"
+GRAPH = "e AS (SELECT DISTINCT o_orderstatus AS site, o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS url FROM orders)"
+DEPTHS = f"""{GRAPH}, v AS (SELECT site, src AS url FROM e UNION SELECT site, url FROM e), b AS (SELECT site, min(url) AS url FROM v GROUP BY site),
+w(site, url, depth) USING KEY (site, url) AS (SELECT site, url, 0 FROM b UNION (SELECT e.site, e.url, min(w.depth) + 1 FROM w JOIN e ON e.site = w.site AND e.src = w.url
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.site = e.site AND r.url = e.url) GROUP BY ALL)),
+d AS (SELECT v.site, v.url, depth::INT AS depth FROM v LEFT JOIN w USING (site, url))"""
 
 
 def graph(spark, sf_dir):
     """A link graph of the size of the orders table: customers as pages, order states as sites."""
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.count("*").alias("n"))
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 3 = 0").join(F.broadcast(n))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(F.broadcast(n))
     edges = o.select(F.col("o_orderstatus").alias("site"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("n")).alias("target"))
     nodes = edges.select("site", F.col("src").alias("url")).union(edges.select("site", "target")).distinct()
     return nodes, edges
 
 
-@query("click_depth", f"""
-WITH RECURSIVE {GRAPH}, v AS (SELECT site, src AS url FROM e UNION SELECT site, url FROM e), b AS (SELECT site, min(url) AS url FROM v GROUP BY site),
-w AS (SELECT site, url, 0 AS depth FROM b UNION SELECT e.site, e.url, w.depth + 1 FROM w JOIN e ON e.site = w.site AND e.src = w.url WHERE w.depth < 25)
-SELECT v.site, v.url, min(depth)::INT AS depth FROM v LEFT JOIN w USING (site, url) GROUP BY ALL""")
+@query("click_depth", f"WITH RECURSIVE {DEPTHS} SELECT * FROM d")
 def click_depth(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
     return links.click_depth(nodes, edges, nodes.groupBy("site").agg(F.min("url").alias("url")))
 
 
-@query("depth_histogram", f"""
-WITH RECURSIVE {GRAPH}, v AS (SELECT site, src AS url FROM e UNION SELECT site, url FROM e), b AS (SELECT site, min(url) AS url FROM v GROUP BY site),
-w AS (SELECT site, url, 0 AS depth FROM b UNION SELECT e.site, e.url, w.depth + 1 FROM w JOIN e ON e.site = w.site AND e.src = w.url WHERE w.depth < 25),
-d AS (SELECT v.site, v.url, min(depth)::INT AS depth FROM v LEFT JOIN w USING (site, url) GROUP BY ALL) SELECT site, depth, count(*)::BIGINT AS pages FROM d GROUP BY ALL""")
+@query("depth_histogram", f"WITH RECURSIVE {DEPTHS} SELECT site, depth, count(*)::BIGINT AS pages FROM d GROUP BY ALL")
 def depth_histogram(spark, sf_dir):
     return click_depth(spark, sf_dir).groupBy("site", "depth").agg(F.count("*").alias("pages"))
 
@@ -235,7 +314,7 @@ p AS (SELECT rec.site, rec.url, seq, regexp_extract({_f(PATH, "rec.url")}, '^/([
 r AS (SELECT *, count(*) OVER (PARTITION BY site, segment) AS pages, row_number() OVER (PARTITION BY site, segment ORDER BY inlinks DESC, seq) AS k FROM p)
 SELECT site, segment, url, row_number() OVER (PARTITION BY site ORDER BY segment <> '', pages DESC, segment)::INT AS place FROM r WHERE k = 1 QUALIFY place <= 12""")
 def representatives(spark, sf_dir):
-    p = links.with_inlinks(source.records(pages_of(spark, sf_dir)), links.inlinks(source.links(pages_of(spark, sf_dir))))
+    p = links.with_inlinks(addresses_of(spark, sf_dir), links.inlinks(source.links(pages_of(spark, sf_dir))))
     return history.representatives(p.withColumn("segment", urls.segment(F.col("url"))))
 
 
@@ -244,26 +323,26 @@ WITH {RECORDS}, c AS (SELECT site, regexp_extract({_f(PATH, "url")}, '^/([^/]*)'
 , d AS (SELECT site, segment, count(DISTINCT child)::BIGINT AS children FROM c WHERE segment <> '' AND child <> '' GROUP BY site, segment HAVING count(DISTINCT child) >= 2)
 SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY site ORDER BY children DESC, segment) <= 6""")
 def child_segments(spark, sf_dir):
-    return history.child_segments(source.records(pages_of(spark, sf_dir)))
+    return history.child_segments(addresses_of(spark, sf_dir))
 
 
 @query("probe_urls", f"""
 WITH {RECORDS}, a AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY site ORDER BY seq) <= 200), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY site, {_f(SCHEME, "url")} ORDER BY seq) <= 2)
 SELECT site, url FROM b QUALIFY row_number() OVER (PARTITION BY site ORDER BY seq) <= 5""")
 def probe_urls(spark, sf_dir):
-    return history.probe_urls(source.records(pages_of(spark, sf_dir)))
+    return history.probe_urls(addresses_of(spark, sf_dir))
 
 
 @query("missing_trust_pages", f"""
 WITH {RECORDS}, k(kind, rx) AS (VALUES {", ".join(f"('{k}', '{x}')" for k, x in geo.TRUST_PAGES.items())})
-SELECT site, kind FROM rec CROSS JOIN k GROUP BY site, kind, rx HAVING NOT bool_or(regexp_matches(lower({_f(PATH, "url")}), '(^|[/_-])(' || rx || ')([/_.-]|$)'))""")
+SELECT site, kind FROM rec CROSS JOIN k GROUP BY site, kind, rx HAVING NOT bool_or(regexp_matches(lower({_f(PATH, "url")}), rx))""")
 def missing_trust_pages(spark, sf_dir):
-    return geo.trust_pages(source.records(pages_of(spark, sf_dir)))
+    return geo.trust_pages(addresses_of(spark, sf_dir))
 
 
 @query("text_ratio", f"WITH {RECORDS} SELECT site, url, round(content_words * 6 / bytes_html, 3) AS ratio, regexp_matches(trim(title), '\\?\\s*$') AS question FROM rec")
 def text_ratio(spark, sf_dir):
-    r = source.records(pages_of(spark, sf_dir))
+    r = records_of(spark, sf_dir)
     return r.select("site", "url", text.text_ratio(F.col("content_words"), F.col("bytes_html")).alias("ratio"), F.trim("title").rlike(r"\?\s*$").alias("question"))
 
 
@@ -272,17 +351,24 @@ def element_counts(spark, sf_dir):
     return html.elements(pages_of(spark, sf_dir)).groupBy("seq", "tag").agg(F.count("*").alias("n"))
 
 
-@query("parsed_records", f"""
-WITH {RECORDS} SELECT site, seq, url, lang, n_h1, 0 AS n_canonicals, FALSE AS viewport, 0::BIGINT AS imgs_no_alt, replace(replace(title, '&amp;', '&'), '&middot;', '·') AS title FROM rec""")
+def _from_aggregates(items: DataFrame) -> DataFrame:
+    """Facts of pages from the table of elements, summed up by page."""
+    head = lambda name: F.max(F.when((F.col("tag") == "meta") & (F.lower(F.coalesce(F.col("attrs")["name"], F.col("attrs")["property"])) == name), F.col("attrs")["content"]))
+    return items.groupBy("site", "seq", "url").agg(
+        F.min_by(F.when(F.col("tag") == "title", F.col("text")), F.when(F.col("tag") == "title", F.col("pos"))).alias("title"), F.count_if(F.col("tag") == "h1").cast("int").alias("n_h1"),
+        F.coalesce(head("description"), F.lit("")).alias("meta_description"), head("viewport").isNotNull().alias("viewport"), F.count_if((F.col("tag") == "img") & F.col("attrs")["alt"].isNull()).alias("imgs_no_alt"),
+    )
+
+
+@query("parsed_records", f"WITH {RICH_RECORDS} SELECT site, seq, url, title, n_h1, meta_description, viewport, imgs_no_alt FROM rec")
 def parsed_records(spark, sf_dir):
-    r = html.page_records(html.elements(pages_of(spark, sf_dir)))
-    return r.select("site", "seq", "url", "lang", "n_h1", F.size("canonicals").alias("n_canonicals"), "viewport", "imgs_no_alt", "title")
+    return _from_aggregates(html.elements(rich_pages_of(spark, sf_dir)))
 
 
 @query("parsed_issues", SQL["crawl_issues"])
 def parsed_issues(spark, sf_dir):
-    r = stored(source.completed(html.page_records(html.elements(pages_of(spark, sf_dir)))), "records")
-    return issues.fold(issues.violations(r))
+    """The issues of records that are stored first, for reports that read them several times."""
+    return issues.fold(issues.violations(stored(records_of(spark, sf_dir), "records")))
 
 
 @query("module_observations", "SELECT " + ", ".join(f"NULL::{t} AS {c}" for c, t in (("site", "VARCHAR"), ("key", "VARCHAR"), ("severity", "VARCHAR"), ("signature", "VARCHAR"), ("occurrences", "BIGINT"), ("pages", "BIGINT"), ("first_pages", "VARCHAR"), ("example", "VARCHAR"))) + " WHERE FALSE")
@@ -300,3 +386,84 @@ def broken_heads(spark, sf_dir):
     from lanternfish.operators import modules
 
     return modules.broken_head(pages_of(spark, sf_dir))
+
+
+# Findings over several pages. States that the tables lack are read from the page's id: of every site, pages 2 of 5 are in the
+# sitemap (every other one of them as http), and one page in nine is closed by robots.txt.
+SITES = "sit AS (SELECT site, min_by(url, seq) AS start, min(seq) AS first FROM rec GROUP BY site)"
+STATES = f"{SITES}, smp AS (SELECT site, CASE WHEN seq % 10 = 0 THEN regexp_replace(url, '^https:', 'http:') ELSE url END AS url FROM rec WHERE seq % 5 < 2)"
+SHAPE_SQL = "NULL::BIGINT AS seq, url, 1::BIGINT AS n"
+
+
+def _states(records: DataFrame):
+    sites = records.groupBy("site").agg(F.min_by("url", "seq").alias("start"), F.min("seq").alias("first"))
+    sitemap = records.filter("seq % 5 < 2").select("site", F.expr("CASE WHEN seq % 10 = 0 THEN regexp_replace(url, '^https:', 'http:') ELSE url END").alias("url"))
+    return sites, sitemap
+
+
+@query("canonical_findings", f"""
+WITH {RICH_RECORDS}, {JUDGED}, x AS (SELECT site, 'https://other.example.org/' AS target, CASE WHEN first % 3 = 0 THEN 0 WHEN first % 3 = 1 THEN 404 ELSE 200 END AS t_status FROM (SELECT site, min(seq) AS first FROM rec GROUP BY site))
+SELECT jud.site, CASE WHEN t_status <= 0 THEN 'canonical_target_unreachable' ELSE 'canonical_bad_target' END AS key, CASE WHEN t_status <= 0 THEN 'basse' ELSE 'haute' END AS severity, seq, url, 1::BIGINT AS n
+FROM jud JOIN x ON x.site = jud.site AND x.target = canonical WHERE n_canonicals = 1 AND canonical <> url AND t_status <> 200""")
+def canonical_findings(spark, sf_dir):
+    """Pages whose canonical names another site's page, which is gone, out of reach or fine by the first page of the site."""
+    r = rich_records_of(spark, sf_dir)
+    first = r.groupBy("site").agg(F.min("seq").alias("first"))
+    status = F.when(F.col("first") % 3 == 0, 0).when(F.col("first") % 3 == 1, 404).otherwise(200)
+    checked = first.select("site", F.lit("https://other.example.org/").alias("target"), status.alias("t_status"), F.lit(0).alias("t_hops"), F.lit(False).alias("t_noindex"))
+    return site_issues.canonical_targets(r, checked)
+
+
+@query("site_file_findings", f"""
+WITH {RECORDS}, {STATES}, r AS (SELECT site, start FROM sit WHERE first % 2 = 0)
+SELECT site, 'no_sitemap' AS key, 'haute' AS severity, NULL::BIGINT AS seq, start AS url, 1::BIGINT AS n FROM sit WHERE site NOT IN (SELECT site FROM smp)
+UNION ALL SELECT site, 'robots_missing', 'moyenne', NULL, start, 1 FROM sit WHERE site NOT IN (SELECT site FROM r) UNION ALL SELECT site, 'robots_sitemap_relative', 'moyenne', NULL, '/sitemap.xml', 1 FROM r""")
+def site_file_findings(spark, sf_dir):
+    """The robots file of every site whose first page has an even number answers."""
+    sites, sitemap = _states(addresses_of(spark, sf_dir))
+    files = sites.select("site", F.when(F.col("first") % 2 == 0, 200).otherwise(404).alias("status"), F.lit(ROBOTS).alias("text"))
+    return site_issues.site_files(sites, sitemap, files, robots.sitemap_lines(files.filter("status = 200").select("site", "text")))
+
+
+@query("blocked_findings", f"""
+WITH {RECORDS}, {STATES}, {LINKS}, b AS (SELECT DISTINCT site, url FROM rec WHERE seq % 9 = 1 UNION SELECT site, target FROM lk WHERE target IS NOT NULL AND contains(target, 'th')),
+c AS (SELECT site, url, (site, url) IN (SELECT site, url FROM smp) AS listed, (site, url) IN (SELECT site, target FROM lk WHERE src <> target AND target IS NOT NULL) AS linked FROM b)
+SELECT site, CASE WHEN listed THEN 'sitemap_blocked' ELSE 'linked_blocked' END AS key, CASE WHEN listed THEN 'haute' ELSE 'basse' END AS severity, {SHAPE_SQL} FROM c WHERE listed OR linked""")
+def blocked_findings(spark, sf_dir):
+    p, l = addresses_of(spark, sf_dir), source.links(pages_of(spark, sf_dir))  # noqa: E741
+    closed = p.filter("seq % 9 = 1").select("site", "url").unionByName(l.filter("contains(target, 'th')").select("site", F.col("target").alias("url")))
+    return site_issues.blocked(closed, _states(p)[1], links.inlinks(l))
+
+
+@query("broken_images", f"""
+WITH rich AS (SELECT {RICH} FROM pages), i AS (SELECT {_f(HOST, "url")} AS site, unnest(regexp_extract_all(html, '(?i)<img[^>]* src="([^"]*)"', 1)) AS src FROM rich)
+SELECT DISTINCT site, 'broken_images' AS key, 'moyenne' AS severity, NULL::BIGINT AS seq, src AS url, 1::BIGINT AS n FROM i WHERE src LIKE '%a.png'""")
+def broken_images(spark, sf_dir):
+    """Images named a.png do not answer."""
+    items = html.elements(rich_pages_of(spark, sf_dir)).filter("tag = 'img'")
+    src = F.col("attrs")["src"]
+    return site_issues.broken_images(items.select("site", src.alias("url"), F.when(src.endswith("a.png"), 404).otherwise(200).alias("status")))
+
+
+@query("sitemap_variants", f"""
+WITH {RECORDS}, {STATES}, s AS (SELECT DISTINCT site, url FROM smp WHERE (site, url) NOT IN (SELECT site, url FROM rec)), t AS (SELECT s.*, start, first, length(s.url) % 3 AS k FROM s JOIN sit USING (site)),
+g AS (SELECT site, {_f(SCHEME, "url")} AS scheme, {_f(PLACE, "url")} AS place, count(*) FILTER (k = 0 OR first % 2 = 0) AS fine, count(*) FILTER (k = 1 AND first % 2 = 1) AS moved FROM t WHERE k < 2 GROUP BY ALL),
+v AS (SELECT t.*, fine, moved, {_f(SCHEME, "url")} <> {_f(SCHEME, "start")} OR {_f(PLACE, "url")} <> {_f(PLACE, "start")} AS variant FROM t LEFT JOIN g ON g.site = t.site AND g.scheme = {_f(SCHEME, "t.url")} AND g.place = {_f(PLACE, "t.url")})
+SELECT site, CASE WHEN variant AND fine > 0 AND moved = 0 THEN 'sitemap_sans_redirection' ELSE 'sitemap_redirect' END AS key, 'moyenne' AS severity, {SHAPE_SQL} FROM v
+WHERE variant OR (k = 1 AND first % 2 = 1)""")
+def sitemap_variants(spark, sf_dir):
+    """Two of three urls are probed, by their length; sites whose first page has an even number never redirect."""
+    p = addresses_of(spark, sf_dir)
+    sites, sitemap = _states(p)
+    k = F.length("url") % 3
+    probed = sitemap.join(sites.select("site", "first"), "site").filter(k < 2)
+    probed = probed.join(p.select("site", "url"), ["site", "url"], "left_anti")
+    status = F.when((k == 0) | (F.col("first") % 2 == 0), 200).otherwise(301)
+    return site_issues.sitemap_variants(sitemap, p, sites, probed.select("site", "url", status.alias("status")))
+
+
+@query("duplicate_findings", SQL["title_duplicates"].replace("SELECT site, 'title_dup'", "SELECT site, key, severity, seq, url, n FROM (SELECT site, 'title_dup'").replace(RECORDS, RICH_RECORDS).replace("WHERE title", "WHERE indexable AND title") + ")"
+       + " UNION ALL SELECT site, key, severity, seq, url, n FROM (" + SQL["description_duplicates"] + ") UNION ALL SELECT site, 'near_dup_titles', 'moyenne', seq, a, 1::BIGINT FROM ("
+       + SQL["near_titles"].replace(RECORDS, RICH_RECORDS).replace("FROM rec)", "FROM jud WHERE indexable)").replace("FROM rec GROUP", "FROM jud WHERE indexable GROUP").replace(f"{RICH_RECORDS}, ", f"{RICH_RECORDS}, {JUDGED}, ") + ")")
+def duplicate_findings(spark, sf_dir):
+    return site_issues.duplicates(stored(rich_records_of(spark, sf_dir), "rich-records"))

@@ -31,7 +31,7 @@ DOMAINS = {"title_short": "SEO technique", "param_indexable": "Indexation", "thi
 _DOMAIN_SQL = "CASE key " + " ".join(f"WHEN '{k}' THEN '{d}'" for k, d in DOMAINS.items()) + " ELSE 'Sécurité' END"
 _COUNTS_SQL = "CASE domain " + " ".join(f"WHEN '{k}' THEN '{d}'" for k, d in scores.COUNTS_WITH.items()) + " ELSE domain END"
 _WEIGHT_SQL = "CASE domain " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in scores.WEIGHTS.items()) + " END"
-SIGNALS = f"WITH {RECORDS}, {JUDGED}, {VIOLATIONS}, sig AS (SELECT DISTINCT site, 'crawl' AS source, key, severity, {_DOMAIN_SQL} AS domain, key AS text FROM vio WHERE key <> 'h1_missing')"
+SIGNALS = f"WITH {RECORDS}, {JUDGED}, {VIOLATIONS}, sig AS (SELECT DISTINCT site, 'crawl' AS source, key, severity, {_DOMAIN_SQL} AS domain, key AS text FROM vio)"
 COUNTS = ", ".join(f"(count(*) FILTER (severity = '{s}'))::BIGINT AS {s}" for s in text.SEVERITIES)
 SCORES = f""", dom AS (SELECT *, greatest(0, 100 - 20 * critique - 10 * haute - 4 * moyenne - basse)::BIGINT AS score FROM (
     SELECT site, {_COUNTS_SQL} AS domain, {COUNTS} FROM (SELECT site, domain, severity FROM sig UNION ALL SELECT DISTINCT site, 'Performance', NULL FROM sig) GROUP BY 1, 2))"""
@@ -39,7 +39,7 @@ SCORES = f""", dom AS (SELECT *, greatest(0, 100 - 20 * critique - 10 * haute -
 
 def signals_of(spark, sf_dir) -> DataFrame:
     """A signal for each rule that a site breaks."""
-    v = issues.violations(records_of(spark, sf_dir)).filter("key <> 'h1_missing'").select("site", "key", "severity").distinct()
+    v = issues.violations(records_of(spark, sf_dir)).select("site", "key", "severity").distinct()
     of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in DOMAINS.items() for x in p]), F.col("key")), F.lit("Sécurité"))
     return v.select("site", F.lit("crawl").alias("source"), "key", "severity", of.alias("domain"), F.col("key").alias("text"), F.lit(0).cast("long").alias("seq"))
 
@@ -234,8 +234,8 @@ def masked_texts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(text.masked(F.col("text")).cast("binary")).alias("masked"))
 
 
-@query("question_turns", r"""
-SELECT conv_id, turn, regexp_matches(trim(text), '\?\s*$') OR regexp_matches(lower(trim(text)), '^(comment|pourquoi|quand|combien|quel|quelle|quels|quelles|qui|où|que|faut-il|how|why|when|what|which|who|where)\b') AS question FROM conversations""")
+@query("question_turns", rf"""
+SELECT conv_id, turn, regexp_matches(trim(text), '\?\s*$') OR regexp_matches(lower(trim(text)), '^({"|".join(text.QUESTION_WORDS).replace("'", "''")})([^\p{{L}}\p{{N}}_]|$)') AS question FROM conversations""")
 def question_turns(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", text.is_question(F.col("text")).alias("question"))
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet below spark.checkpoint.dir (a temporary folder where that is unset), and read again."""
+    """df written once as Parquet below spark.checkpoint.dir, and read again. Where that is unset, a temporary folder serves in local
+    mode, and it is an error elsewhere."""
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="lanternfish-")
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -1,7 +1,7 @@
-"""HTML as a table of elements, and page records as aggregates over it.
+"""HTML as elements, and page records as expressions over them.
 
-The only Python is a small reader that turns a page into rows (one pass, Arrow batches); every rule over them is a DataFrame
-expression. Reader rules: tag and attribute names in lower case, the first of equal attributes counts; an end tag closes
+The only Python is a small reader that turns a page into an array of elements (one pass, Arrow batches); every rule over them is a
+DataFrame expression. Page records need no shuffle, so tables and streams share them. Reader rules: tag and attribute names in lower case, the first of equal attributes counts; an end tag closes
 everything above its match; void elements have no content; text in script, style, noscript, svg and template is not visible;
 an element is hidden by `hidden`, `aria-hidden`, an inline `display:none` or `visibility:hidden`, a closed dialog, or an ancestor.
 """
@@ -76,75 +76,108 @@ class Reader(HTMLParser):
             r["text"].append(data)
 
 
-ELEMENT = "seq bigint, site string, url string, pos int, tag string, attrs map<string,string>, parent int, text string, words int, alts string, hidden boolean, landmark int, head boolean, main boolean, closed boolean"
+ITEM = "pos int, tag string, attrs map<string,string>, parent int, text string, words int, alts string, hidden boolean, landmark int, head boolean, main boolean, closed boolean"
+PARSED = f"seq bigint, site string, url string, bytes_html bigint, items array<struct<{ITEM.replace(' ', ':').replace(',:', ', ')}>>"
 
 
-def elements(pages: DataFrame, seq_col: str = "page_id") -> DataFrame:
-    """One row for each element of each page (url, html). A page that cannot be read gives one row with the tag `!error`."""
+def _rows_of(html: str) -> list[dict]:
+    reader = Reader()
+    try:
+        reader.feed(html)
+        reader.close()
+    except Exception as e:  # a page that breaks the reader must not end the job; it is reported as an element
+        return [{"tag": "!error", "attrs": {"why": type(e).__name__}, "parent": -1, "text": [], "words": 0, "alts": [], "hidden": False, "landmark": -1, "head": False, "main": False, "closed": True}]
+    return reader.rows
+
+
+def parsed(pages: DataFrame, seq_col: str = "page_id") -> DataFrame:
+    """seq, site, url, bytes_html and items (its elements in order) of each page (url, html). A page that cannot be read has one
+    element with the tag `!error`; a page without elements has an empty array; pages without url are left out."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = to_arrow_schema(_parse_datatype_string(ELEMENT))
-
-    def rows_of(html: str) -> list[dict]:
-        reader = Reader()
-        try:
-            reader.feed(html)
-            reader.close()
-        except Exception as e:  # a page that breaks the reader must not end the job; it is reported as a row
-            return [{"tag": "!error", "attrs": {"why": type(e).__name__}, "parent": -1, "text": [], "words": 0, "alts": [], "hidden": False, "landmark": -1, "head": False, "main": False, "closed": True}]
-        return reader.rows
+    schema = to_arrow_schema(_parse_datatype_string(PARSED))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                out, size = [], 0
-                for seq, site, url, html in zip(*(c.slice(k, 64).to_pylist() for c in b.columns), strict=True):
-                    for pos, r in enumerate(rows_of(html or "")):
-                        if size > BATCH_TEXT:
-                            yield pa.RecordBatch.from_pylist(out, schema=schema)
-                            out, size = [], 0
-                        out.append({"seq": seq, "site": site, "url": url, "pos": pos, **r, "attrs": list(r["attrs"].items()), "text": " ".join("".join(r["text"]).split()), "alts": " ".join(r["alts"]).strip()})
-                        size += len(out[-1]["text"])
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    rows = pages.filter(F.col("url").isNotNull()).select(F.col(seq_col).cast("bigint").alias("seq"), urls.host(F.col("url")).alias("site"), "url", "html")
-    return rows.mapInArrow(work, ELEMENT)
-
-
-def _first(tag: str, value):
-    return F.min_by(value, F.when(F.col("tag") == tag, F.col("pos")))
-
-
-def page_records(items: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Page records from elements(), in one aggregation. facts: url, final_status, … of the fetch, joined where given."""
-    a = lambda k: F.col("attrs")[k]
-    tag = F.col("tag")
-    name = F.lower(F.coalesce(a("name"), a("property"), a("http-equiv")))
-    meta = lambda n: F.min_by(a("content"), F.when((tag == "meta") & (name == n), F.col("pos")))
-    rel = F.split(F.lower(F.coalesce(a("rel"), F.lit(""))), r"\s+")
-    link = lambda r: (tag == "link") & F.array_contains(rel, r)
-    listed = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("pos", value.alias("v"))))), lambda x: x["v"])
-    field = tag.isin("input", "select", "textarea") & ~F.coalesce(F.lower(a("type")), F.lit("text")).isin("hidden", "submit", "button", "image", "reset")
-    robots = F.concat_ws(",", meta("robots"), meta("googlebot"))
-    jsonld = (tag == "script") & (F.lower(F.coalesce(a("type"), F.lit(""))) == "application/ld+json")
-    src = F.coalesce(a("src"), a("href"))
-    rows = items.groupBy("site", "seq", "url").agg(
-        _first("title", F.col("text")).alias("title"), meta("description").alias("meta_description"), robots.alias("meta_robots"), meta("viewport").isNotNull().alias("viewport"),
-        meta("og:title").isNotNull().alias("og_title"), meta("og:image").isNotNull().alias("og_image"), _first("html", a("lang")).alias("lang"),
-        F.count_if(tag == "h1").cast("int").alias("n_h1"), listed(tag == "h1", F.substring("text", 1, 200)).alias("h1"), listed(link("canonical"), a("href")).alias("canonicals"),
-        listed(link("alternate") & a("hreflang").isNotNull(), a("href")).alias("hreflang"), F.max(F.when(tag == "body", F.col("words"))).cast("bigint").alias("words"),
-        F.max(F.when(tag.isin("main", "article"), F.struct((tag == "main").alias("m"), "words"))).alias("zone"),
-        F.count_if((tag == "img") & a("alt").isNull()).alias("imgs_no_alt"), F.count_if((tag == "img") & (a("width").isNull() | a("height").isNull())).alias("imgs_no_dims"),
-        (F.coalesce(F.lower(F.min_by(a("loading"), F.when(tag == "img", F.col("pos")))), F.lit("")) == "lazy").alias("lazy_first_img"),
-        F.count_if(field & a("aria-label").isNull() & a("aria-labelledby").isNull() & a("title").isNull() & a("id").isNull()).alias("form_fields_no_label"),
-        F.count_if(jsonld).cast("int").alias("n_jsonld"), F.count_if(jsonld & F.try_parse_json("text").isNull()).cast("int").alias("jsonld_errors"),
-        listed(tag.isin("img", "script", "iframe", "link") & src.startswith("http://") & F.col("url").startswith("https://") & ~link("canonical") & ~link("alternate"), src).alias("mixed_content"),
+            out, size = [], 0
+            for seq, site, url, n, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                items = [{"pos": pos, **r, "attrs": list(r["attrs"].items()), "text": " ".join("".join(r["text"]).split()), "alts": " ".join(r["alts"]).strip()} for pos, r in enumerate(_rows_of(html or ""))]
+                out.append({"seq": seq, "site": site, "url": url, "bytes_html": n, "items": items})
+                size += 200 * len(items) + sum(len(x["text"]) for x in items)
+                if size > BATCH_TEXT:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    rows = pages.filter(F.col("url").isNotNull()).select(F.col(seq_col).cast("bigint").alias("seq"), urls.host(F.col("url")).alias("site"), "url", F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint").alias("bytes_html"), "html")
+    return rows.mapInArrow(work, PARSED)
+
+
+def elements(pages: DataFrame, seq_col: str = "page_id") -> DataFrame:
+    """One row for each element of each page."""
+    return parsed(pages, seq_col).select("seq", "site", "url", F.inline("items"))
+
+
+def page_records(read: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Page records from parsed(), page by page. facts: url, final_status, … of the fetch, joined where given. Texts that a page
+    lacks are empty and counts are 0; null is left for what is not known."""
+    def lower(x, k):
+        return F.lower(F.coalesce(x["attrs"][k], F.lit("")))
+
+    def rel(x):
+        return F.split(lower(x, "rel"), r"\s+")
+
+    def every(when, value):
+        return F.transform(F.filter("items", when), value)
+
+    def first(when, value):
+        return F.coalesce(F.get(every(when, value), F.lit(0)), F.lit(""))
+
+    def count(when):
+        return F.size(F.filter("items", when))
+
+    def is_tag(*names):
+        return lambda x: x["tag"].isin(*names)
+
+    def named(name):
+        return lambda x: (x["tag"] == "meta") & (F.lower(F.coalesce(x["attrs"]["name"], x["attrs"]["property"], x["attrs"]["http-equiv"])) == name)
+
+    def meta(name):
+        return first(named(name), lambda x: F.trim(x["attrs"]["content"]))
+
+    def field(x):
+        return x["tag"].isin("input", "select", "textarea") & ~lower(x, "type").isin("hidden", "submit", "button", "image", "reset")
+
+    def nameless(x):
+        return x["attrs"]["aria-label"].isNull() & x["attrs"]["aria-labelledby"].isNull() & x["attrs"]["title"].isNull() & x["attrs"]["id"].isNull()
+
+    def jsonld(x):
+        return (x["tag"] == "script") & (lower(x, "type") == "application/ld+json")
+
+    def src(x):
+        return F.coalesce(x["attrs"]["src"], x["attrs"]["href"])
+
+    def insecure(x):
+        link = F.array_contains(rel(x), "canonical") | F.array_contains(rel(x), "alternate")
+        return x["tag"].isin("img", "script", "iframe", "link") & src(x).startswith("http://") & ~((x["tag"] == "link") & link)
+
+    zone = F.array_max(every(is_tag("main", "article"), lambda x: F.struct((x["tag"] == "main").alias("m"), x["words"].alias("words"))))["words"]
+    words = F.array_max(every(is_tag("body"), lambda x: x["words"]))
+    robots = F.lower(F.concat_ws(",", meta("robots"), meta("googlebot")))
+    out = read.select(
+        "site", "seq", "url", first(is_tag("title"), lambda x: x["text"]).alias("title"), meta("description").alias("meta_description"), robots.alias("meta_robots"), (count(named("viewport")) > 0).alias("viewport"),
+        (count(named("og:title")) > 0).alias("og_title"), (count(named("og:image")) > 0).alias("og_image"), F.trim(first(is_tag("html"), lambda x: x["attrs"]["lang"])).alias("lang"),
+        count(is_tag("h1")).alias("n_h1"), every(is_tag("h1"), lambda x: F.substring(x["text"], 1, 200)).alias("h1"),
+        every(lambda x: (x["tag"] == "link") & F.array_contains(rel(x), "canonical") & x["attrs"]["href"].isNotNull(), lambda x: x["attrs"]["href"]).alias("canonicals"),
+        every(lambda x: (x["tag"] == "link") & F.array_contains(rel(x), "alternate") & x["attrs"]["hreflang"].isNotNull(), lambda x: x["attrs"]["href"]).alias("hreflang"),
+        words.cast("bigint").alias("words"), F.coalesce(F.nullif(zone, F.lit(0)), words, F.lit(0)).cast("bigint").alias("content_words"),
+        count(lambda x: (x["tag"] == "img") & x["attrs"]["alt"].isNull()).cast("bigint").alias("imgs_no_alt"), count(lambda x: (x["tag"] == "img") & (x["attrs"]["width"].isNull() | x["attrs"]["height"].isNull())).cast("bigint").alias("imgs_no_dims"),
+        (F.lower(first(is_tag("img"), lambda x: x["attrs"]["loading"])) == "lazy").alias("lazy_first_img"), count(lambda x: field(x) & nameless(x)).cast("bigint").alias("form_fields_no_label"),
+        count(jsonld).alias("n_jsonld"), count(lambda x: jsonld(x) & F.try_parse_json(x["text"]).isNull()).alias("jsonld_errors"),
+        F.when(F.col("url").startswith("https://"), every(insecure, src)).otherwise(F.array().cast("array<string>")).alias("mixed_content"), "bytes_html",
     )
-    out = rows.withColumns({
-        "content_words": F.coalesce(F.nullif(F.col("zone.words"), F.lit(0)), F.col("words"), F.lit(0)).cast("bigint"), "is_html": F.lit(True),
-        "noindex": F.contains(F.lower("meta_robots"), F.lit("noindex")) | F.array_contains(F.split(F.regexp_replace(F.lower("meta_robots"), r"\s", ""), ","), "none"),
-    }).drop("zone")
+    out = out.withColumns({"is_html": F.lit(True), "noindex": F.contains("meta_robots", F.lit("noindex")) | F.array_contains(F.split(F.regexp_replace("meta_robots", r"\s", ""), ","), "none")})
     if facts is not None:
         return out.join(facts, "url", "left")
     return out.withColumns({"final_status": F.lit(200), "redirect_hops": F.lit(0)})

@@ -1,4 +1,4 @@
-"""Crawled pages as records, with built-in functions only; sources/html.py has the full parser."""
+"""The columns of page records, addresses and followed links of crawled pages; sources/html.py reads the records."""
 
 from __future__ import annotations
 
@@ -12,24 +12,14 @@ DEFAULTS = {
     "site": "string", "url": "string", "seq": "bigint", "final_url": "string", "status": "int", "final_status": "int", "redirect_hops": "int", "redirect_statuses": "array<int>", "is_html": "boolean",
     "ttfb": "double", "title": "string", "meta_description": "string", "n_h1": "int", "h1": "array<string>", "words": "bigint", "content_words": "bigint", "bytes_html": "bigint",
     "depth": "int", "inlinks": "bigint", "in_sitemap": "boolean", "n_jsonld": "int", "jsonld_errors": "int", "og_title": "boolean", "og_image": "boolean", "canonicals": "array<string>",
-    "noindex": "boolean", "lang": "string", "viewport": "boolean", "imgs_no_alt": "bigint", "imgs_no_dims": "bigint", "form_fields_no_label": "bigint", "lazy_first_img": "boolean",
+    "noindex": "boolean", "meta_robots": "string", "lang": "string", "viewport": "boolean", "imgs_no_alt": "bigint", "imgs_no_dims": "bigint", "form_fields_no_label": "bigint", "lazy_first_img": "boolean",
     "mixed_content": "array<string>", "hreflang": "array<string>",
 }
 
 
-def _part(html: str, pattern: str):
-    return F.regexp_extract(html, pattern, 1)
-
-
-def records(pages: DataFrame) -> DataFrame:
-    """Page records of the table (page_id, url, html): every page counts as fetched with status 200 and in the order of its id."""
-    text = F.regexp_replace(F.regexp_replace(_part("html", r"(?s)<article>(.*?)</article>"), r"(?s)<[^>]*>", " "), r"&[a-z]+;", " ")
-    return pages.select(
-        urls.host(F.col("url")).alias("site"), "url", F.col("page_id").alias("seq"), F.lit(200).alias("final_status"), F.lit(0).alias("redirect_hops"), F.lit(True).alias("is_html"),
-        F.trim(F.regexp_replace(_part("html", r"(?s)<title>(.*?)</title>"), r"\s+", " ")).alias("title"), F.array(F.trim(_part("html", r"(?s)<h1>(.*?)</h1>"))).alias("h1"),
-        F.regexp_count("html", F.lit("<h1")).alias("n_h1"), _part("html", r'<html lang="([^"]*)"').alias("lang"), F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("content_words"),
-        F.octet_length("html").cast("bigint").alias("bytes_html"),
-    )
+def addresses(pages: DataFrame) -> DataFrame:
+    """site, url and seq of the table (page_id, url, html): its pages count as fetched in the order of their ids."""
+    return pages.select(urls.host(F.col("url")).alias("site"), "url", F.col("page_id").alias("seq"))
 
 
 def completed(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lanternfish.operators import issues
+from lanternfish.sources import html
 from lanternfish.sources import pages as source
 
 PAGE = "page_id bigint, url string, html string"
@@ -13,7 +14,7 @@ PAGE = "page_id bigint, url string, html string"
 
 def violations(stream: DataFrame) -> DataFrame:
     """Violations of page-local rules for a streaming or static table of pages."""
-    return issues.violations(source.completed(source.records(stream)))
+    return issues.violations(source.completed(html.page_records(html.parsed(stream))))
 
 
 def start(spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_batch: int = 64) -> StreamingQuery:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_scan, domain, findings, geo, headers, history, issues, links, modules, robots, scores
+from lanternfish.operators import code_scan, domain, findings, geo, headers, history, issues, links, modules, robots, scores, site_issues
 from lanternfish.sources import files, html
 from lanternfish.sources import pages as source
 
@@ -73,18 +73,41 @@ PAGE = """<!DOCTYPE html><html><head><title> A &amp; B
 <a href="/c">ici</a><a href="/d">ici</a><a href="/d">Le tarif complet</a><label for="nope">l</label><input type="text"></main></body></html>"""
 
 
+PAGES = [(1, "https://s.com/a", PAGE), (2, "https://s.com/b", "<html lang=fr><p>ok"), (3, "https://s.com/c", None), (4, None, PAGE)]
+
+
+@pytest.fixture(scope="module")
+def read(spark):
+    return html.parsed(spark.createDataFrame(PAGES, "page_id bigint, url string, html string")).cache()
+
+
 @pytest.fixture(scope="module")
 def items(spark):
-    return html.elements(spark.createDataFrame([(1, "https://s.com/a", PAGE), (2, "https://s.com/b", "<html lang=fr><p>ok"), (3, "https://s.com/c", None)], "page_id bigint, url string, html string")).cache()
+    return html.elements(spark.createDataFrame(PAGES, "page_id bigint, url string, html string")).cache()
+
+
+WHOLE = """<!DOCTYPE html><html lang="fr"><head><title>Un titre de page qui dit assez</title><meta name="description" content="%s"><meta name="viewport" content="width=device-width">
+<meta property="og:title" content="t"><meta property="og:image" content="https://s.com/i.png"><link rel="canonical" href="https://s.com/page"><script type="application/ld+json">{"@type": "WebPage"}</script></head>
+<body><main><h1>Titre</h1><p>%s</p><img src="/i.png" alt="x" width="1" height="1"></main></body></html>""" % ("d" * 100, "mot " * 300)
 
 
-def test_reader_and_records(spark, items):
-    r = {x.seq: x for x in html.page_records(items).collect()}
+def test_a_page_with_every_fact_gives_no_finding(spark):
+    pages = spark.createDataFrame([(1, "https://s.com/page", WHOLE)], "page_id bigint, url string, html string")
+    assert issues.violations(source.completed(html.page_records(html.parsed(pages)))).collect() == []
+
+
+def test_facts_that_are_not_known_fire_no_rule(spark):
+    pages = source.completed(spark.createDataFrame([("s.com", "https://s.com/page", 1, 200, 0, True)], "site string, url string, seq bigint, final_status int, redirect_hops int, is_html boolean"))
+    assert issues.violations(pages).collect() == []
+
+
+def test_reader_and_records(spark, read):
+    r = {x.seq: x for x in html.page_records(read).collect()}
     a = r[1]
     assert (a.title, a.meta_description, a.noindex, a.viewport, a.n_h1, a.h1, a.canonicals, a.n_jsonld, a.jsonld_errors) == ("A & B c", "d", True, True, 1, ["T"], ["https://s.com/a"], 2, 1)
     assert (a.imgs_no_alt, a.imgs_no_dims, a.form_fields_no_label, a.mixed_content) == (0, 2, 1, ["http://s.com/p.jpg"])
-    assert r[2].lang == "fr" and r[2].title is None and 3 not in r
-    found = {(x.key, x.n) for x in issues.violations(source.completed(html.page_records(items))).filter("seq = 1").collect()}
+    assert r[2].lang == "fr" and r[2].title == "" and r[3].n_h1 == 0 and r[3].bytes_html == 0 and 4 not in r
+    found = {(x.key, x.n) for x in issues.violations(source.completed(html.page_records(read))).filter("seq = 1").collect()}
     assert {("noindex", 1), ("lang_missing", 1), ("mixed_content", 1), ("jsonld_invalid", 1), ("img_no_dims", 2), ("form_no_label", 1)} <= found and "title_short" not in {k for k, _ in found}
 
 
@@ -265,11 +288,11 @@ def test_scores_cap_and_round(spark):
     assert g == {"s": (49, True, "D"), "t": (93, False, "A")}
 
 
-def test_export(spark, items, tmp_path):
-    r = source.completed(html.page_records(items))
+def test_export(spark, read, tmp_path):
+    r = source.completed(html.page_records(read))
     files.write_pages(r, str(tmp_path / "p"))
     back = spark.read.csv(str(tmp_path / "p"), header=True)
-    assert tuple(back.columns) == files.PAGE_COLUMNS and back.count() == 2
+    assert tuple(back.columns) == files.PAGE_COLUMNS and back.count() == 3
     folded = issues.fold(issues.violations(r))
     assert files.summary(folded).count("\n") == 2 + folded.count()
 
@@ -305,11 +328,36 @@ def test_long_pages_are_read_whole(spark):
     block = '<script type="application/ld+json">{"@graph": [%s, {"@type": "Offer", "price": "42.50"}, {"@type": "Offer", "price": "43.50"}]}</script>' % things
     body = "<div><p>" + "word " * 30_000 + "</p></div><p>Price: 42.50</p>"
     page = f"<html><head>{block}</head><body>{body}</body></html>"
-    items = html.elements(spark.createDataFrame([(k, f"https://a.b/{k}", page) for k in range(30)], "page_id bigint, url string, html string").coalesce(1)).cache()
+    pages = spark.createDataFrame([(k, f"https://a.b/{k}", page) for k in range(30)], "page_id bigint, url string, html string").coalesce(1)
+    items = html.elements(pages).cache()
     assert items.filter("tag = 'body'").count() == 30
-    record = html.page_records(items).first()
+    record = html.page_records(html.parsed(pages)).first()
     assert (record.n_jsonld, record.jsonld_errors) == (1, 0)
     objects = html.jsonld(items.filter("seq = 0"))
     assert objects.count() == 2002
     missing = geo.prices_not_shown(objects.filter("type = 'Offer'"), items.filter("tag = 'body'")).collect()
     assert [float(r.price) for r in missing] == [43.5]
+
+
+def test_findings_over_several_pages(spark):
+    shape = "site string, url string, seq bigint, canonicals array<string>, final_status int, redirect_hops int, noindex boolean, is_html boolean"
+    rows = [("s", "a", 1, ["b"], 200, 0, False, True), ("s", "b", 2, [], 404, 0, False, True), ("s", "c", 3, ["d"], 200, 0, False, True), ("s", "d", 4, ["d"], 200, 0, True, True), ("s", "e", 5, ["x"], 200, 0, False, True),
+            ("s", "f", 6, ["unknown"], 200, 0, False, True), ("s", "g", 7, ["a"], 200, 0, False, True), ("s", "h", 8, ["b", "a"], 200, 0, False, True)]
+    pages = source.completed(spark.createDataFrame(rows, shape))
+    checked = spark.createDataFrame([("s", "x", 0, 0, False)], "site string, target string, t_status int, t_hops int, t_noindex boolean")
+    got = {(r.url, r.key, r.severity) for r in site_issues.canonical_targets(pages, checked).collect()}
+    assert got == {("a", "canonical_bad_target", "haute"), ("c", "canonical_bad_target", "haute"), ("e", "canonical_target_unreachable", "basse")}
+    site = spark.createDataFrame([("s", "https://s.com/"), ("t", "https://t.com/")], "site string, start string")
+    smap = spark.createDataFrame([("s", u) for u in ("https://s.com/1", "http://s.com/2", "http://s.com/3", "https://www.s.com/4", "https://s.com/5")], "site string, url string")
+    files = spark.createDataFrame([("s", 200, "User-agent: *\nSitemap: map.xml"), ("t", 200, " ")], "site string, status int, text string")
+    found = site_issues.site_files(site, smap, files, robots.sitemap_lines(files))
+    assert {(r.site, r.key) for r in found.collect()} == {("t", "no_sitemap"), ("t", "robots_missing"), ("s", "robots_sitemap_relative")}
+    probes = spark.createDataFrame([("s", "http://s.com/2", 200), ("s", "https://www.s.com/4", 301), ("s", "https://s.com/5", 302)], "site string, url string, status int")
+    crawled = spark.createDataFrame([("s", "https://s.com/1")], "site string, url string")
+    got = {(r.url, r.key) for r in site_issues.sitemap_variants(smap, crawled, site, probes).collect()}
+    assert got == {("http://s.com/2", "sitemap_sans_redirection"), ("http://s.com/3", "sitemap_sans_redirection"), ("https://www.s.com/4", "sitemap_redirect"), ("https://s.com/5", "sitemap_redirect")}
+    closed = spark.createDataFrame([("s", "https://s.com/1"), ("s", "https://s.com/9"), ("s", "https://s.com/8")], "site string, url string")
+    counts = spark.createDataFrame([("s", "https://s.com/1", 1), ("s", "https://s.com/9", 2)], "site string, target string, inlinks bigint")
+    assert {(r.url, r.key) for r in site_issues.blocked(closed, smap, counts).collect()} == {("https://s.com/1", "sitemap_blocked"), ("https://s.com/9", "linked_blocked")}
+    broken = html.elements(spark.createDataFrame([(1, "https://s.com/", "<p>")], "page_id bigint, url string, html string")).withColumns({"tag": F.lit("!error"), "attrs": F.create_map(F.lit("why"), F.lit("ValueError"))})
+    assert [(r.key, r.severity, r.seq) for r in site_issues.reader_errors(broken).collect()] == [("modules_en_erreur", "haute", 1)]
