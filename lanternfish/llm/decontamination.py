@@ -5,8 +5,9 @@ rarest word of a window is its prefix token, as a document that holds the window
 with the prefix tokens; the token's place in the window bounds where the window can start and end in the document (positional and
 length bounds), and a comparison of the words in between verifies it exactly.
 
-With at most BROADCAST_WINDOWS windows the token join is a broadcast join that is fused with the explosion of the words, so no
-text is shuffled. Beyond it, thin (row, place, token) rows are joined by shuffle and verified against the words of their rows.
+With at most BROADCAST_WINDOWS windows of BROADCAST_BYTES the token join is a broadcast join that is fused with the explosion of the
+words, so no text is shuffled. Beyond it, corpus words are counted before they meet the benchmark's, thin (row, place, token) rows
+are joined by shuffle, tokens with a large share of them under SALTS keys, and verified against the words of their rows.
 
 Defined cases: a null or wordless text has no words, no hits and no items, and is not contaminated; items without words have no
 window; an item shorter than WIDTH words is one window; equal windows of several items name them all; repeated rows are judged
@@ -18,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import stored, table
+from lanternfish.llm.common import fresh, stored, table
 
 WIDTH = 13
-#: Distinct windows up to which they are broadcast: 13 words of some 10 bytes each, so at most some 60 MB.
-BROADCAST_WINDOWS = 200_000
+#: Distinct windows, and bytes of their words, up to which they are broadcast.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 48 << 20
+#: A token that makes up one in HOT of the corpus' words (so there are at most HOT of them) is joined under so many keys.
+HOT, SALTS = 1_000, 64
 
 AZ, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,14 +47,16 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 def _prefixed(corpus_words: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
     """win -> its rarest word over the corpus and that word's place. corpus_words: w (array)."""
-    vocabulary = wins.select(F.explode("win").alias("token")).distinct()
-    vocabulary = F.broadcast(vocabulary) if small else vocabulary
-    counts = corpus_words.select(F.explode("w").alias("token")).join(vocabulary, "token").groupBy("token").count()
+    vocabulary, each = wins.select(F.explode("win").alias("token")).distinct(), corpus_words.select(F.explode("w").alias("token"))
+    if small:
+        counts = each.join(F.broadcast(vocabulary), "token").groupBy("token").count()
+    else:  # summed up within each task first, so a frequent word is one row of it
+        counts = each.groupBy("token").count().join(vocabulary, "token", "left_semi")
     counts = stored(counts, "decon-rarity")  # at most one row for each word of the benchmark
     places = wins.select("win", F.posexplode("win").alias("place", "token"))
     rare = places.join(counts, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "place")).alias("x"))
     # A window with a word that the corpus lacks cannot occur.
-    return rare.filter("x.n > 0").select("win", "x.token", "x.place", F.size("win").alias("len"), F.xxhash64("win").alias("wid"))
+    return rare.filter("x.n > 0").select("win", "x.n", "x.token", "x.place", F.size("win").alias("len"), F.xxhash64("win").alias("wid"))
 
 
 def _same() -> Column:
@@ -64,23 +69,28 @@ def hits(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str, broadcast
     """rid, id, n_words, key (hash of the text) and, where a window occurs, start, len and wid; each row of docs has one row without."""
     words = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("w"), F.xxhash64(text_col).alias("key"))
     distinct = stored(wins.select("win").distinct(), "decon-windows")
-    small = distinct.count() <= broadcast_windows
+    n, size = distinct.agg(F.count("*"), F.sum(F.length(F.concat_ws(" ", "win")))).first()
+    small = n <= broadcast_windows and 4 * (size or 0) <= BROADCAST_BYTES  # a character has four bytes at most
     marked = stored(_prefixed(words.select("w"), distinct, small), "decon-prefixes")
-    out = ["rid", "id", "n_words", "key", "start", "len", "wid"]
-    # Each row of docs also has the token '' behind its words, which stands for the row itself.
-    itself = docs.sparkSession.range(1).select(F.array(F.lit("")).alias("win"), F.lit("").alias("token"), F.lit(0).alias("place"), F.lit(-1).alias("len"), F.lit(0).cast("long").alias("wid"))
-    marked = marked.unionByName(itself)
     rows = words.select(F.monotonically_increasing_id().alias("rid"), "id", "key", F.size("w").alias("n_words"), "w")
+    start = F.col("pos") - F.col("place")
     if small:
+        # Each row also has the token '' behind its words, which stands for the row itself.
+        itself = docs.sparkSession.range(1).select(F.array(F.lit("")).alias("win"), F.lit("").alias("token"), F.lit(0).alias("place"), F.lit(-1).alias("len"), F.lit(0).cast("long").alias("wid"))
         spread = rows.select("*", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "token"))
+        marked = marked.drop("n").unionByName(itself)
         met = spread.join(F.broadcast(marked), (spread["token"] == marked["token"]) & ((F.col("len") < 0) | _same()))
-    else:
-        rows = stored(rows, "decon-rows")
-        thin = rows.select("rid", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "token"))
-        near = thin.join(marked.select("token", "place", "len", "wid", "win"), "token")
-        met = near.join(rows, "rid").filter((F.col("len") < 0) | _same())
-    place = F.when(F.col("len") > 0, F.col("pos") - F.col("place"))
-    return met.select("rid", "id", "n_words", "key", place.alias("start"), F.when(F.col("len") > 0, F.col("len")).alias("len"), F.when(F.col("len") > 0, F.col("wid")).alias("wid")).select(*out)
+        real = F.col("len") > 0
+        return met.select("rid", "id", "n_words", "key", F.when(real, start).alias("start"), F.when(real, F.col("len")).alias("len"), F.when(real, F.col("wid")).alias("wid"))
+    rows = stored(rows, "decon-rows")
+    total = rows.agg(F.sum("n_words")).first()[0] or 0
+    hot = marked.filter(F.col("n") * HOT >= total).select("token").distinct().withColumn("salts", F.lit(SALTS))  # at most HOT rows
+    salts = F.coalesce("salts", F.lit(1))
+    thin = rows.select("rid", F.posexplode("w").alias("pos", "token")).join(F.broadcast(hot), "token", "left").withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), salts).cast("int")).drop("salts")
+    marked = marked.join(F.broadcast(hot), "token", "left").select("token", "place", "len", "wid", "win", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    near = thin.join(marked, ["token", "salt"])
+    met = near.join(rows, "rid").filter(_same()).select("rid", "id", "n_words", "key", start.alias("start"), "len", "wid")
+    return rows.select("rid", "id", "n_words", "key", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("long").alias("wid")).unionByName(met)
 
 
 def measured(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -109,8 +119,9 @@ def measured(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows of docs that are not contaminated."""
     judged = measured(docs, benchmark, id_col, text_col, item_col, item_text)
-    bad = judged.filter("contaminated").select(F.col(id_col).alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_col) == F.col("bad_key")), "left_anti")
+    bad_id, bad_key = fresh(docs, "bad_id", "bad_key")
+    bad = judged.filter("contaminated").select(F.col(id_col).alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.xxhash64(text_col) == F.col(bad_key)), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,23 @@ HEADER_RULES = {
     "MPL-2.0": (("mpl2.title",),),
 }
 
+# How a notice may open; it then counts as one that starts with "licensed under".
+OPENING = (
+    "^(?:(?:this|the) (?:file|project|software|code|source code|program|package|library|repository|work|data|dataset) is )?"
+    "(?:licensed|released|distributed|made available|available) under (?:the terms of )?"
+)
+# What follows such an opening.
+NOTICES = {
+    "mit": "mit.notice2", "mit license": "mit.notice2", "an mit license": "mit.notice2", "the mit license": "mit.notice2", "the apache license version 2 0": "apache2.notice", "the apache license 2 0": "apache2.notice",
+    "the apache 2 0 license": "apache2.notice", "apache 2 0": "apache2.notice", "the gnu general public license version 3": "gpl3.notice", "the gnu general public license v3 0": "gpl3.notice",
+    "the gnu general public license version 2": "gpl2.notice", "the gnu lesser general public license version 3": "lgpl3.notice", "the gnu affero general public license version 3": "agpl3.notice",
+    "a creative commons attribution 4 0 international license": "ccby4.work", "a creative commons attribution sharealike 4 0 international license": "ccbysa4.work",
+    "cc by 4 0": "ccby4.notice", "cc by sa 4 0": "ccbysa4.notice", "cc by nc 4 0": "ccbync4.notice",
+}
+
+#: Normalised sentence -> identifier. The SQL has SENTENCES only.
+KNOWN = {f"licensed under {notice}": i for notice, i in NOTICES.items()} | {s: i for i, s in HEADERS.items()} | {s: i for i, s in SENTENCES.items()}
+
 #: Within a document, this rule gives way to those after it.
 YIELDS = {"BSD-2-Clause": ("BSD-3-Clause",)}
 
@@ -151,24 +168,33 @@ def sentences(text: Column) -> Column:
     return F.transform(plain, lambda s: F.when(s.startswith("neither the name of"), F.regexp_replace(s, NAMED, holder)).otherwise(s))
 
 
-#: Texts without any of these are not cut into sentences; each known sentence holds one of them.
-HINT = "(?i)licen[sc]e|permi|redistribut|warrant|copyright|rights|public domain|neither the name|gnu general public"
+#: Words, or parts of a word, one of which every known sentence holds; texts without any are not cut into sentences. No blank
+#: stands inside, so however a sentence is wrapped or spaced, its word is found.
+HINTS = ("licen", "permi", "redistribut", "warrant", "copyright", "rights", "domain", "neither", "gnu", "endorse", "universal", "mit", "apache")
+HINT = "(?i)" + "|".join(HINTS)
 
 
 def found(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    number = F.create_map(*(F.lit(x) for i, s in (SENTENCES | HEADERS).items() for x in (s, i)))
-    known = [*SENTENCES.values(), *HEADERS.values()]
-    kept = F.filter(sentences(text), lambda s: s.isin(known))
+    number = F.create_map(*(F.lit(x) for s, i in KNOWN.items() for x in (s, i)))
+    known = list(KNOWN)
+    opened = lambda s: F.when(s.isin(known), s).when(s.rlike(OPENING), F.regexp_replace(s, OPENING, "licensed under ")).otherwise(s)
+    kept = F.filter(F.transform(sentences(text), opened), lambda s: s.isin(known))
     ids = F.transform(kept, lambda s: number[s])
     return F.when(text.rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
 
 
 def _met(ids: Column, sequences: tuple[tuple[str, ...], ...]) -> Column:
-    """Whether one of the sequences occurs in order: written as marks, others may stand between."""
-    line = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
-    patterns = (".*".join(f" {x.replace('.', '[.]')} " for x in seq) for seq in sequences)
-    return line.rlike("|".join(patterns))
+    """Whether one of the sequences occurs in order; others may stand between. A pass over the identifiers counts how many of the
+    sequence have been met, so the work is linear in them."""
+    single = [seq[0] for seq in sequences if len(seq) == 1]
+    out = F.exists(ids, lambda x: x.isin(single)) if single else F.lit(False)
+    for seq in sequences:
+        if len(seq) > 1:
+            names = F.array(*map(F.lit, seq))
+            step = lambda k, x, names=names: F.when(F.get(names, k) == x, k + 1).otherwise(k)
+            out = out | (F.aggregate(ids, F.lit(0), step) == len(seq))
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

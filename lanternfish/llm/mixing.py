@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import stored, table
+from lanternfish.llm.common import fresh, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # 150 % of all sizes, as a fraction of whole numbers
@@ -127,10 +127,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed corpus: every row of docs as often as the mix takes it. Texts are not shuffled."""
     sized = stored(_sized(docs, id_col, text_col, source_col), "mix-sized")
     cuts, n = _plan(sized)
-    cuts = _maybe_broadcast(cuts.select(F.col("source").alias("mix_source"), F.col("full").alias("mix_full"), F.col("upto").alias("mix_upto")), n)
-    copies = F.col("mix_full") + F.when(hash_of(id_col, text_col) <= F.col("mix_upto"), F.lit(1)).otherwise(F.lit(0))
-    joined = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*(docs[c] for c in docs.columns))
+    source, full, upto, copy = fresh(docs, "mix_source", "mix_full", "mix_upto", "mix_copy")
+    cuts = _maybe_broadcast(cuts.select(F.col("source").alias(source), F.col("full").alias(full), F.col("upto").alias(upto)), n)
+    copies = F.col(full) + F.when(hash_of(id_col, text_col) <= F.col(upto), F.lit(1)).otherwise(F.lit(0))
+    joined = docs.join(cuts, F.col(source_col).eqNullSafe(F.col(source)), "left")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,14 +83,11 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                ids = slots.of(t)
-                for k in range(0, len(ids), 1 << 17):  # neighbours over a cut in a text of more tokens are kept by overlap below
-                    held += [ids[k : k + (1 << 17)]]
-                    n += len(held[-1])
-                    if n > 1 << 18:
-                        add()
-                        held, n = [held[-1][-WINDOW:]] if k + (1 << 17) < len(ids) else [], 0
-                held.append(stop)
+                held += [slots.of(t), stop]
+                n += len(held[-2])
+                if n > 1 << 18:
+                    add()
+                    held, n = [], 0
         if held:
             add()
         used = np.flatnonzero(counts[:VOCABULARY])

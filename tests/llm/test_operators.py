@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -158,6 +159,17 @@ def test_decontamination_matches_brute_force(spark, docs, odd, bound):
         assert got == sorted(want, key=repr)
 
 
+def test_decontamination_with_hot_tokens_on_the_shuffle_path(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "HOT", 4)
+    rnd = np.random.default_rng(1)
+    words = ["aa", "bb", "cc", "dd"]  # every prefix token is hot
+    text = lambda n: " ".join(rnd.choice(words, n))
+    bench = spark.createDataFrame([(k, text(n)) for k, n in enumerate((3, 5, 13, 14, 20))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, text(int(rnd.integers(0, 400)))) for k in range(30)] + [(30, None), (31, "")], "doc_id bigint, text string")
+    both = [sorted(map(repr, decontamination.measured(docs, bench, broadcast_windows=b).drop("key").collect())) for b in (0, 200_000)]
+    assert both[0] == both[1] and len(both[0]) == 32
+
+
 def test_decontamination_keeps_and_drops(spark, odd):
     bench = spark.createDataFrame([(1, PROSE)], "item_id bigint, text string")
     kept = decontamination.clean(odd, bench)
@@ -417,6 +429,14 @@ def test_long_runs_stay_linear():
     assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "." * 100_000) == []
 
 
+@pytest.mark.parametrize("n", [256, 257, 300, 5000])
+def test_secrets_have_no_greatest_length(n):
+    rnd = np.random.default_rng(n)
+    s = "".join(rnd.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    text = f'set token = "{s}" here'
+    assert ("secret", 13, 13 + n) in [x[:3] for x in pii.added_spans([text], [pii.base_spans(text)])[0]]
+
+
 def test_added_spans_and_redaction(spark, odd):
     text = 'write to bob@mail.example.com, token = "ede43f42c939b6405768150e0411590525cf889e", phone (609) 555-7932.'
     assert pii.redact(text) == 'write to [EMAIL], token = "[SECRET]", phone [PHONE].'
@@ -439,6 +459,22 @@ def test_thresholds_reach_their_precision():
 # Licenses
 
 
+def test_every_known_sentence_holds_a_hint_and_blanks_do_not_matter(spark):
+    assert all(any(h in s for h in licenses.HINTS) for s in licenses.KNOWN)
+    free = "This is free and unencumbered software released into the public{}domain."
+    texts = [free.format(x) for x in (" ", "\n", "  ", "\t")] + ["This file is licensed under the MIT License.", "Note. The library is distributed under the terms of the Apache License, Version 2.0.", "CC0 1.0 Universal", "Sold under the counter."]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: ["Unlicense"], 1: ["Unlicense"], 2: ["Unlicense"], 3: ["Unlicense"], 4: ["MIT"], 5: ["Apache-2.0"], 6: ["CC0-1.0"], 7: []}
+
+
+def test_license_sequences_are_matched_in_linear_time(spark):
+    parts = [licenses.SENTENCES[x] + ".\n" for x in ("bsd.redistribute", "bsd.source", "bsd.binary")]
+    texts = ["".join(parts) * 3000, "".join(reversed(parts)), "".join(parts) * 3000 + licenses.SENTENCES["bsd.endorse"] + "."]
+    began = time.time()
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: ["BSD-2-Clause"], 1: [], 2: ["BSD-3-Clause"]} and time.time() - began < 60
+
+
 def test_licenses(spark, odd):
     texts = [
         "x. Released under the MIT License. y", "Licensed under CC BY-NC 4.0.", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0!", "mit license", None, "",
