@@ -184,6 +184,11 @@ def found(text: Column) -> Column:
     return F.when(text.rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
 
 
+def _further(seq: tuple[str, ...]):
+    names = F.array(*map(F.lit, seq))
+    return lambda k, x: F.when(F.get(names, k) == x, k + 1).otherwise(k)
+
+
 def _met(ids: Column, sequences: tuple[tuple[str, ...], ...]) -> Column:
     """Whether one of the sequences occurs in order; others may stand between. A pass over the identifiers counts how many of the
     sequence have been met, so the work is linear in them."""
@@ -191,9 +196,7 @@ def _met(ids: Column, sequences: tuple[tuple[str, ...], ...]) -> Column:
     out = F.exists(ids, lambda x: x.isin(single)) if single else F.lit(False)
     for seq in sequences:
         if len(seq) > 1:
-            names = F.array(*map(F.lit, seq))
-            step = lambda k, x, names=names: F.when(F.get(names, k) == x, k + 1).otherwise(k)
-            out = out | (F.aggregate(ids, F.lit(0), step) == len(seq))
+            out = out | (F.aggregate(ids, F.lit(0), _further(seq)) == len(seq))
     return out
 
 

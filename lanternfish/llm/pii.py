@@ -97,7 +97,7 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto"),
     "secret": ("token", "key", "secret", "password", "passwd", "bearer", "auth", "credential"),
     "ssn": ("ssn", "social", "security"),
-    "against": ("version", "isbn", "order", "invoice", "part", "commit", "sha", "md5", "serial", "item", "page", "http", "www"),
+    "against": ("version", "isbn", "order", "invoice", "part", "commit", "sha", "md5", "serial", "item", "page", "http", "www", "base64"),
 }
 _CONTEXT_WORDS = {k: re.compile("|".join(v)) for k, v in CONTEXT.items()}
 FEATURES = 14
@@ -161,8 +161,10 @@ def _example(rnd: random.Random) -> tuple[str, str, int, int, int]:
     else:
         # Signatures and keys run to some hundred characters, and so do harmless encoded pictures.
         long = mix(rnd.randint(257, 700), all62 + "-_")
-        s = rnd.choice((mix(40, hexes), mix(32, all62), "sk_" + mix(28, all62), mix(64, hexes), long)) if y else rnd.choice(("base64/" + mix(rnd.randint(257, 700), all62 + "+/"), word() * 4, "_".join(word() for _ in range(5)), "-".join(word() for _ in range(5)), "=" * 24, num(24), "/".join(word() for _ in range(6))))
+        s = rnd.choice((mix(40, hexes), mix(32, all62), "sk_" + mix(28, all62), mix(64, hexes), long)) if y else rnd.choice((picture := mix(rnd.randint(257, 700), all62 + "+/"), word() * 4, "_".join(word() for _ in range(5)), "-".join(word() for _ in range(5)), "=" * 24, num(24), "/".join(word() for _ in range(6))))
         s = s if len(s) >= 20 else s + "a" * (20 - len(s))
+        if not y and s is picture:
+            lead = plain + "data:image/png;base64,"
         if y and rnd.random() < 0.7:
             lead = plain + rnd.choice(CONTEXT["secret"]) + rnd.choice((' = "', ": ", "="))
     return kind, lead + s + " " + word(), len(lead), len(lead) + len(s), y
