@@ -14,6 +14,7 @@ themselves but by text; an empty table gives no files and no rows; very long tex
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -216,8 +217,19 @@ class FrameReader:
         return self.frame(frame)[4 * at : 4 * (at + count)]
 
 
+def qualified(spark: SparkSession, place: str) -> str:
+    """The place with its scheme, as Spark's default file system resolves it, so that workers and Spark mean the same files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(place: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pafs.LocalFileSystem(), place)
+    """File system and path of a qualified place. Object stores have other scheme names here than in Hadoop."""
+    if place.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + place.removeprefix("file:").lstrip("/")
+    if place.startswith("/"):
+        return pafs.LocalFileSystem(), place
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", place))
 
 
 def write(docs: DataFrame, place: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +298,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def encoded(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs below the shared folder and reads them back."""
-    place = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    place = qualified(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}")
     return read(write(docs, place, str(vocabulary or vocabulary_path()), id_col, text_col), place)
 
 
