@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
@@ -77,7 +77,7 @@ def hydration(files: DataFrame) -> DataFrame:
 
 
 def bundle_sizes(files: DataFrame, top: int = 15) -> DataFrame:
-    """site, ext, octets, largest: compressed sizes by extension; the largest files are ranked in Spark."""
+    """site, ext, octets, largest, heaviest: compressed sizes by extension, and the paths of the `top` largest files in order."""
 
     @F.pandas_udf(LongType())
     def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -87,7 +87,10 @@ def bundle_sizes(files: DataFrame, top: int = 15) -> DataFrame:
             yield t.map(lambda x: len(gzip.compress((x or "").encode(), 6, mtime=0)))
 
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return files.select("site", ext.alias("ext"), packed("text").alias("size")).groupBy("site", "ext").agg(F.sum("size").alias("octets"), F.max("size").alias("largest"))
+    sized = files.select("site", ext.alias("ext"), "path", packed("text").alias("size"))
+    ranked = sized.withColumn("place", F.row_number().over(Window.partitionBy("site", "ext").orderBy(F.desc("size"), "path"))).filter(F.col("place") <= top)
+    heaviest = ranked.groupBy("site", "ext").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("heaviest"))
+    return sized.groupBy("site", "ext").agg(F.sum("size").alias("octets"), F.max("size").alias("largest")).join(heaviest, ["site", "ext"])
 
 
 def tracked_secrets(files: DataFrame) -> DataFrame:

@@ -185,9 +185,20 @@ MODULES = {
 
 
 def observations(items: DataFrame, modules=None) -> DataFrame:
-    """Observations of all registered modules over one table of elements (store it first: each module reads it once)."""
-    out = None
+    """Observations of all registered modules over one table of elements (store it first: each module reads it once). A module
+    whose rule cannot be built does not end the others: it is reported, for every site, as modules_en_erreur."""
+    out, failed = None, []
     for name, rule in (modules or MODULES).items():
-        rows = rule(items).withColumn("module", F.lit(name))
+        try:
+            rows = rule(items).withColumn("module", F.lit(name))
+            rows.schema  # resolved here, so that a rule over missing columns fails in its own turn
+        except Exception as e:
+            failed.append((name, type(e).__name__))
+            continue
         out = rows if out is None else out.unionByName(rows)
+    if failed:
+        names = F.explode(F.array(*[F.struct(F.lit(n).alias("module"), F.lit(e).alias("example")) for n, e in failed]))
+        rows = items.groupBy("site").agg(F.min("url").alias("url")).select("site", "url", names.alias("x"))
+        rows = rows.select("site", "url", F.lit("modules_en_erreur").alias("key"), F.lit("haute").alias("severity"), F.col("x.module").alias("signature"), "x.example", "x.module")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out

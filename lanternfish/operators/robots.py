@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +49,17 @@ def pattern_regex(pattern):
     return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*+", ".*"), F.when(pattern.endswith("$"), F.lit("$")).otherwise(F.lit("")))
 
 
-def verdicts(urls: DataFrame, table: DataFrame, agents: DataFrame) -> DataFrame:
+def verdicts(urls: DataFrame, table: DataFrame, agents: Sequence[str]) -> DataFrame:
     """site, path, agent, allowed: the longest matching pattern decides, allow on ties, and what nothing matches is allowed.
 
-    urls: site, path; table: rules(); agents: agent. An agent without a group of its own falls under `*`. The join is on site and
-    agent; patterns are tested within it.
+    urls: site, path; table: rules(). An agent without a group of its own falls under `*`. Which group speaks to an agent is
+    settled for each site before the paths come in; patterns are tested within site and group.
     """
-    known = table.select("site", "agent").distinct()
-    asked = urls.select("site", "path").distinct().crossJoin(F.broadcast(agents.select("agent")))
-    own = known.select("site", F.col("agent").alias("group_agent"))
-    a = asked.withColumn("low", F.lower("agent"))
-    a = a.join(own, (a["site"] == own["site"]) & (a["low"] == own["group_agent"]), "left").select(a["site"], "path", "agent", F.coalesce("group_agent", F.lit("*")).alias("group_agent"))
+    asked = urls.select("site", "path").distinct()
+    groups = asked.select("site").distinct().select("site", F.explode(F.array(*map(F.lit, agents)) if agents else F.array().cast("array<string>")).alias("agent"))
+    own = table.select(F.col("site").alias("own_site"), F.col("agent").alias("own")).distinct()
+    groups = groups.join(own, (F.col("site") == F.col("own_site")) & (F.lower("agent") == F.col("own")), "left").select("site", "agent", F.coalesce("own", F.lit("*")).alias("group_agent"))
+    a = asked.join(groups, "site")
     r = table.filter("pattern IS NOT NULL").select(F.col("site").alias("r_site"), F.col("agent").alias("r_agent"), "allow", "pattern", pattern_regex(F.col("pattern")).alias("rx"))
     met = a.join(r, (F.col("site") == F.col("r_site")) & (F.col("group_agent") == F.col("r_agent")) & F.expr("path rlike rx"), "left")
     best = F.max_by("allow", F.struct(F.length("pattern"), "allow"))

@@ -296,7 +296,7 @@ SELECT site, path, agent, coalesce(max_by(allow, (n, allow)), TRUE) AS allowed F
 def robots_access(spark, sf_dir):
     at = pages_of(spark, sf_dir).select(urls.host(F.col("url")).alias("site"), urls.path(F.col("url")).alias("path"))
     files = at.select("site").distinct().withColumn("text", F.lit(ROBOTS))
-    return robots.verdicts(at, robots.rules(files), spark.createDataFrame([("GPTBot",), ("Googlebot",)], "agent string"))
+    return robots.verdicts(at, robots.rules(files), ("GPTBot", "Googlebot"))
 
 
 @query("blocked_bots", f"""
@@ -305,7 +305,7 @@ SELECT site, agent, purpose, 'info' AS severity FROM s CROSS JOIN b WHERE agent
 def blocked_bots(spark, sf_dir):
     sites = pages_of(spark, sf_dir).select(urls.host(F.col("url")).alias("site")).distinct()
     rules = robots.rules(sites.withColumn("text", F.lit(ROBOTS)))
-    return robots.blocked_bots(robots.verdicts(sites.withColumn("path", F.lit("/")), rules, spark.createDataFrame([(b,) for b in robots.BOTS], "agent string")))
+    return robots.blocked_bots(robots.verdicts(sites.withColumn("path", F.lit("/")), rules, tuple(robots.BOTS)))
 
 
 @query("representatives", f"""

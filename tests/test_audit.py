@@ -123,6 +123,14 @@ def test_modules_fire_where_they_should(items):
     assert g["lien_sans_nom"] == (1, 1)
 
 
+def test_a_failing_module_does_not_end_the_others(items):
+    def broken(df):
+        return df.select("no_such_column")
+
+    rows = modules.observations(items, {"a11y_noms": modules.nameless, "broken": broken}).collect()
+    assert {r.key for r in rows if r.module == "broken"} == {"modules_en_erreur"} and any(r.key == "lien_sans_nom" for r in rows)
+
+
 def test_broken_head(spark):
     rows = [(1, "http://a.b/1", "<head><title>t</title><div></div><link rel=canonical href=x></head>"), (2, "http://a.b/2", "<head><title>t</title><script>'<div>'</script></head><body><div></div></body>"), (3, "http://a.b/3", "<head><meta name=x><p>y</p></head>")]
     got = {(r.url, r.severity, r.signature) for r in modules.broken_head(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
@@ -188,7 +196,7 @@ def test_robots(spark):
     f = spark.createDataFrame([("s", "User-agent: a\nUser-agent: B\nDisallow: /x\nAllow: /x\n\nUser-agent: *\nDisallow: /*.pdf$\nDisallow: # all\nSitemap: /m.xml")], "site string, text string")
     r = robots.rules(f)
     ask = spark.createDataFrame([("s", p) for p in ("/x", "/d.pdf", "/d.pdf?q", "/")], "site string, path string")
-    got = {(v.path, v.agent): v.allowed for v in robots.verdicts(ask, r, spark.createDataFrame([("b",), ("z",)], "agent string")).collect()}
+    got = {(v.path, v.agent): v.allowed for v in robots.verdicts(ask, r, ("b", "z")).collect()}
     assert got[("/x", "b")] and got[("/d.pdf", "b")] and not got[("/d.pdf", "z")] and got[("/d.pdf?q", "z")] and got[("/", "z")]
     assert [(x.url, x.relative) for x in robots.sitemap_lines(f).collect()] == [("/m.xml", True)]
 
@@ -247,6 +255,7 @@ def test_code_scan(spark):
     assert code_scan.absences(f, done.limit(0)).count() == 0
     assert {(r.directive, r.n) for r in code_scan.hydration(f).collect()} == {("load", 1), ("only", 2)}
     assert {r.ext: r.octets > 0 for r in code_scan.bundle_sizes(f).collect()}["json"]
+    assert all(len(r.heaviest) == 1 for r in code_scan.bundle_sizes(f, 1).collect())
 
 
 def test_findings_from_lines_and_files(spark):
