@@ -170,7 +170,7 @@ def sentences(text: Column) -> Column:
 
 #: Words, or parts of a word, one of which every known sentence holds; texts without any are not cut into sentences. No blank
 #: stands inside, so however a sentence is wrapped or spaced, its word is found.
-HINTS = ("licen", "permi", "redistribut", "warrant", "copyright", "rights", "domain", "neither", "gnu", "endorse", "universal", "mit", "apache")
+HINTS = ("licen", "permi", "redistribut", "warrant", "copyright", "rights", "domain", "neither", "gnu", "endorse", "universal", "released", "distributed", "available")
 HINT = "(?i)" + "|".join(HINTS)
 
 
