@@ -96,20 +96,40 @@ def cookie_findings(cookies: DataFrame) -> DataFrame:
     return c.select("site", "name", "kind", F.explode(F.array_compact(found)).alias("f")).select("site", "name", "kind", "f.key", "f.severity")
 
 
-# Paths that must not be served, and what their content would show.
+# Paths that must not be served, what their content would show (case aside; empty: nothing proves it), and how grave it is.
 PROBES = (
-    ("/.env", r"(?m)^[A-Z_]+=", "critique"), ("/.git/config", r"\[core\]", "critique"), ("/.git/HEAD", r"^ref: ", "critique"), ("/.DS_Store", "Bud1", "basse"), ("/package.json", r'"dependencies"', "moyenne"),
-    ("/wp-config.php.bak", "DB_PASSWORD", "critique"), ("/backup.sql", r"(?i)insert into|create table", "critique"), ("/phpinfo.php", "phpinfo\\(\\)", "haute"), ("/server-status", "Apache Server Status", "haute"),
-    ("/.npmrc", "_authToken", "critique"), ("/docker-compose.yml", r"(?m)^services:", "haute"), ("/id_rsa", "PRIVATE KEY", "critique"),
+    ("/.env", "^[A-Z_]+=|CONVEX_|SECRET|API_KEY|TOKEN", "critique"), ("/.env.local", "^[A-Z_]+=", "critique"), ("/.env.production", "^[A-Z_]+=", "critique"), ("/.git/HEAD", "^ref: refs/", "critique"),
+    ("/.git/config", r"\[core\]", "critique"), ("/.npmrc", "_authToken|registry", "haute"), ("/.DS_Store", "Bud1", "basse"), ("/package.json", '"dependencies"', "moyenne"), ("/package-lock.json", '"lockfileVersion"', "basse"),
+    ("/astro.config.mjs", "defineConfig", "moyenne"), ("/astro.config.ts", "defineConfig", "moyenne"), ("/convex/schema.ts", "defineSchema", "moyenne"), ("/src/pages/index.astro", "---", "moyenne"),
+    ("/dist/server/entry.mjs", "import", "haute"), ("/server/entry.mjs", "import", "haute"), ("/Dockerfile", "FROM ", "basse"), ("/docker-compose.yml", "services:", "moyenne"), ("/backup.zip", "", "haute"),
+    ("/backup.sql", "INSERT INTO|CREATE TABLE", "critique"), ("/dump.sql", "INSERT INTO|CREATE TABLE", "critique"), ("/db.sqlite", "SQLite format", "critique"), ("/__vite_ping", "", "moyenne"),
+    ("/@vite/client", "import.meta.hot|vite", "haute"), ("/phpinfo.php", r"phpinfo\(\)|PHP Version", "haute"), ("/server-status", "Apache Server Status", "moyenne"), ("/wp-login.php", "wp-submit|user_login", "info"),
+    ("/xmlrpc.php", "XML-RPC", "info"), ("/wp-content/debug.log", "PHP (Warning|Notice|Fatal)", "haute"),
 )
 
 
+def probe_verdicts(responses: DataFrame) -> DataFrame:
+    """site, path, severity, verdict of the probed paths: `expose` if the content proves it, `generique` for a page served in its
+    place, `a_verifier` for other answers with 200, `ferme` else. responses: site, path, status, body."""
+    spark = responses.sparkSession
+    rules = spark.createDataFrame(PROBES, "path string, pattern string, severity string")  # one row for each of PROBES
+    fine = F.coalesce(F.col("status") == 200, F.lit(False))
+    shown = (F.col("pattern") != "") & F.coalesce(F.expr("body rlike concat('(?im)', pattern)"), F.lit(False))
+    page = F.coalesce(F.col("body").rlike("(?i)<html|<!doctype"), F.lit(False))
+    verdict = F.when(~fine, "ferme").when(shown, "expose").when(page, "generique").otherwise("a_verifier")
+    return responses.join(F.broadcast(rules), "path").select("site", "path", "severity", verdict.alias("verdict"))
+
+
 def exposures(responses: DataFrame) -> DataFrame:
     """site, path, severity of probes that answer 200 with what must not be there. responses: site, path, status, body."""
-    spark = responses.sparkSession
-    rules = spark.createDataFrame(PROBES, "path string, pattern string, severity string")
-    met = responses.filter("status = 200").join(F.broadcast(rules), "path").filter(F.expr("body rlike pattern"))
-    return met.select("site", "path", "severity")
+    return probe_verdicts(responses).filter("verdict = 'expose'").drop("verdict")
+
+
+def security_txt(responses: DataFrame) -> DataFrame:
+    """site, verdict of /.well-known/security.txt: `present` with a Contact field, `absent` for 200 without one, 404 and 410, else `inconnu`."""
+    rows = responses.filter("path = '/.well-known/security.txt'")
+    has = F.coalesce(F.col("body").rlike("(?im)^contact:"), F.lit(False))
+    return rows.select("site", F.when((F.col("status") == 200) & has, "present").when(F.col("status").isin(200, 404, 410), "absent").otherwise("inconnu").alias("verdict"))
 
 
 def soft_404(answers: DataFrame) -> DataFrame:

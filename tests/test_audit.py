@@ -243,6 +243,16 @@ def test_headers_policies_cookies(spark):
     assert {x.key for x in headers.asset_findings(a).collect()} == {"hache_sans_immutable", "cache_court", "non_compresse", "js_lourd"}
 
 
+def test_probe_verdicts(spark):
+    rows = [("s", "/.env.production", 200, "x\nKEY=1"), ("s", "/dump.sql", 200, "insert into t"), ("s", "/backup.zip", 200, "PK"), ("s", "/db.sqlite", 200, "<!DOCTYPE html>"), ("s", "/Dockerfile", 404, "FROM x"), ("s", "/xmlrpc.php", None, None), ("s", "/other", 200, "KEY=1")]
+    got = {(r.path, r.verdict) for r in headers.probe_verdicts(spark.createDataFrame(rows, "site string, path string, status int, body string")).collect()}
+    assert got == {("/.env.production", "expose"), ("/dump.sql", "expose"), ("/backup.zip", "a_verifier"), ("/db.sqlite", "generique"), ("/Dockerfile", "ferme"), ("/xmlrpc.php", "ferme")}
+    assert len({p for p, _, _ in headers.PROBES}) == 28
+    files = [("a", 200, "Contact: mailto:x"), ("b", 200, "hello"), ("c", 404, None), ("d", 503, None)]
+    t = spark.createDataFrame([(s, "/.well-known/security.txt", c, b) for s, c, b in files], "site string, path string, status int, body string")
+    assert {r.site: r.verdict for r in headers.security_txt(t).collect()} == {"a": "present", "b": "absent", "c": "absent", "d": "inconnu"}
+
+
 def test_code_scan(spark):
     f = spark.createDataFrame([
         ("s", "src/a.astro", "<X client:load />\n// <Y client:only />\n<p>'// client:only'</p>\n/* <img */ <img src=x>"), ("s", "node_modules/b.astro", "<X client:load />"), ("s", ".env", "A=1"), ("s", "package.json", "{}"), ("s", "bin.astro", "a\x00 client:load"),
