@@ -9,28 +9,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 #: key, severity, file pattern, line pattern.
 LINE_RULES = (
-    ("client_load", "moyenne", r"\.(astro|mdx)$", r"\bclient:load\b"),
-    ("client_only", "moyenne", r"\.(astro|mdx)$", r"\bclient:only\b"),
-    ("img_brute", "basse", r"\.(astro|mdx)$", r"<img\s"),
-    ("set_html", "haute", r"\.astro$", r"\bset:html=\{(?!\s*JSON\.stringify)"),
+    ("client_load", "moyenne", r"^src/.*\.(astro|[jt]sx?|mjs|svelte|vue|mdx?)$", r"\bclient:load\b"),
+    ("client_only", "basse", r"^src/.*\.(astro|[jt]sx?|mjs|svelte|vue|mdx?)$", r"\bclient:only\b"),
+    ("img_brute", "moyenne", r"^src/.*\.(astro|[jt]sx|svelte|vue|mdx)$", r"(?i)<img\b"),
     ("env_public_secret", "critique", r"\.(astro|[jt]sx?|mjs)$", r"PUBLIC_[A-Z_]*(SECRET|TOKEN|PASSWORD|PRIVATE)"),
-    ("polices_google", "moyenne", r"\.(astro|css|html|mdx)$", r"fonts\.(googleapis|gstatic)\.com"),
-    ("collect_sans_borne", "moyenne", r"convex/.*\.[jt]s$", r"\.collect\(\)"),
-    ("filtre_sans_index", "moyenne", r"convex/.*\.[jt]s$", r"\.filter\(\(?\s*q\b"),
-    ("validateur_any", "basse", r"convex/.*\.[jt]s$", r"\bv\.any\(\)"),
+    ("polices_google", "moyenne", r"^src/.*\.(astro|[jt]sx?|mjs|svelte|vue|mdx?)$", r"fonts\.(googleapis|gstatic)\.com"),
+    ("tiers_charges", "info", r"^src/.*\.(astro|[jt]sx?|mjs|svelte|vue|mdx?)$", r"(?i)googletagmanager|google-analytics|gtag\(|connect\.facebook|fbq\(|hotjar|clarity\.ms|intercom|crisp\.chat|tawk\.to|hs-scripts|linkedin\.com/insight|tiktok|calendly|youtube\.com/embed|player\.vimeo"),
+    ("validateur_any", "basse", r"^convex/.*\.[jt]s$", r"\bv\.any\(\)"),
     ("console", "info", r"\.(astro|[jt]sx?|mjs)$", r"\bconsole\.(log|debug)\("),
 )
 #: key, severity, and the pattern of a path that a complete tree must have.
 REQUIRED_FILES = (
-    ("page_404_absente", "moyenne", r"src/pages/404\.(astro|md|mdx)$"), ("robots_absent", "basse", r"public/robots\.txt$|src/pages/robots\.txt\.[jt]s$"), ("favicon_absente", "basse", r"public/favicon\."),
-    ("llms_absent", "info", r"public/llms\.txt$|src/pages/llms\.txt\.[jt]s$"), ("lockfile_absent", "moyenne", r"(package-lock\.json|pnpm-lock\.yaml|yarn\.lock|bun\.lockb?)$"), ("package_absent", "haute", r"^package\.json$"),
+    ("page_404_absente", "moyenne", r"^src/pages/404\.(astro|md|mdx)$"), ("robots_absent", "moyenne", r"^public/robots\.txt$|^src/pages/.*robots[^/]*\.[jt]s$"), ("favicon_absente", "basse", r"^public/favicon\.(ico|svg|png)$"),
+    ("llms_absent", "basse", r"^public/llms\.txt$|^src/pages/.*llms[^/]*\.[jt]s$"), ("lockfile_absent", "moyenne", r"^(package-lock\.json|pnpm-lock\.yaml|yarn\.lock|bun\.lockb?)$"), ("package_absent", "haute", r"^package\.json$"),
 )
+#: Category of the keys above; the others are `code`.
+CATEGORIES = {
+    "client_load": "performance", "client_only": "seo", "img_brute": "performance", "env_public_secret": "securite", "polices_google": "performance", "tiers_charges": "performance", "validateur_any": "securite",
+    "page_404_absente": "seo", "robots_absent": "seo", "favicon_absente": "seo", "llms_absent": "geo", "lockfile_absent": "projet", "package_absent": "projet", "env_suivi": "securite", "env_non_ignore": "securite",
+}
 MOST_BYTES = 1_500_000
 
 
@@ -46,10 +49,21 @@ def without_comments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.map(lambda x: None if x is None else both.sub(blank, x))
 
 
+# Folders of builds and dependencies.
+LEFT_OUT = r"(^|/)(node_modules|\.git|dist|\.astro|\.vercel|\.netlify|\.output|_generated|\.turbo|\.cache|coverage|\.next)/"
+
+
+def in_tree() -> Column:
+    return ~F.col("path").rlike(LEFT_OUT)
+
+
+def is_text() -> Column:
+    return (F.octet_length("text") <= MOST_BYTES) & ~F.contains(F.substring("text", 1, 8192), F.lit("\x00"))
+
+
 def readable(files: DataFrame) -> DataFrame:
     """Text files of at most MOST_BYTES bytes without NUL near their start, outside build and dependency folders."""
-    fine = ~F.col("path").rlike(r"(^|/)(node_modules|dist|\.git|\.astro|build|coverage)/")
-    return files.filter(fine & (F.octet_length("text") <= MOST_BYTES) & ~F.contains(F.substring("text", 1, 8192), F.lit("\x00")))
+    return files.filter(in_tree() & is_text())
 
 
 def line_findings(files: DataFrame, rules=LINE_RULES) -> DataFrame:
@@ -76,16 +90,17 @@ def hydration(files: DataFrame) -> DataFrame:
     return readable(files).filter(F.col("path").rlike(r"\.(astro|mdx)$")).select("site", found.alias("directive")).groupBy("site", "directive").agg(F.count("*").alias("n"))
 
 
-def bundle_sizes(files: DataFrame, top: int = 15) -> DataFrame:
-    """site, ext, octets, largest, heaviest: compressed sizes by extension, and the paths of the `top` largest files in order."""
+@F.pandas_udf(LongType())
+def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Compressed size."""
+    import gzip
 
-    @F.pandas_udf(LongType())
-    def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import gzip
+    for t in texts:
+        yield t.map(lambda x: len(gzip.compress((x or "").encode(), 6, mtime=0)))
 
-        for t in texts:
-            yield t.map(lambda x: len(gzip.compress((x or "").encode(), 6, mtime=0)))
 
+def bundle_sizes(files: DataFrame, top: int = 15) -> DataFrame:
+    """site, ext, octets, largest, heaviest: compressed sizes by extension, and the paths of the `top` largest files in order."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     sized = files.select("site", ext.alias("ext"), "path", packed("text").alias("size"))
     ranked = sized.withColumn("place", F.row_number().over(Window.partitionBy("site", "ext").orderBy(F.desc("size"), "path"))).filter(F.col("place") <= top)

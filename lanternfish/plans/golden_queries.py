@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_scan, domain, findings, geo, headers, history, issues, links, robots, scores
+from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, robots, scores
 from lanternfish.sources import files
 
 QUERIES, SQL = {}, {}
@@ -113,16 +113,43 @@ def _tree(spark):
     return spark.createDataFrame(TREE, "site string, path string, text string")
 
 
-@golden("code_lines", "key:VARCHAR severity:VARCHAR path:VARCHAR line_no:INT", ("client_load", "moyenne", "src/a.astro", 1), ("client_only", "moyenne", "src/a.astro", 3), ("img_brute", "basse", "src/a.astro", 4))
+@golden("code_lines", "key:VARCHAR severity:VARCHAR path:VARCHAR line_no:INT", ("client_load", "moyenne", "src/a.astro", 1), ("client_only", "basse", "src/a.astro", 3), ("img_brute", "moyenne", "src/a.astro", 4))
 def code_lines(spark):
     return code_scan.line_findings(_tree(spark)).drop("site", "excerpt")
 
 
-@golden("code_absences", "key:VARCHAR severity:VARCHAR", ("page_404_absente", "moyenne"), ("robots_absent", "basse"), ("favicon_absente", "basse"), ("llms_absent", "info"), ("lockfile_absent", "moyenne"))
+@golden("code_absences", "key:VARCHAR severity:VARCHAR", ("page_404_absente", "moyenne"), ("robots_absent", "moyenne"), ("favicon_absente", "basse"), ("llms_absent", "basse"), ("lockfile_absent", "moyenne"))
 def code_absences(spark):
     return code_scan.absences(_tree(spark), spark.createDataFrame([("s",)], "site string")).drop("site")
 
 
+# A tree with faults of each group of rules, and one whose only fault is a missing option.
+FAULTS = [
+    ("s", "package.json", '{"dependencies": {"astro": "^6.1.0", "lodash": "4"}}'), ("s", "package-lock.json", "{}"), ("s", ".gitignore", ".env"), ("s", "public/favicon.svg", "<svg/>"), ("s", "public/llms.txt", "#"), ("s", "public/robots.txt", "User-agent: *\nSitemap: /m.xml"), ("s", "src/pages/404.astro", "<p>404</p>"),
+    ("s", "astro.config.mjs", "// site: 'https://x.fr'\nexport default { trailingSlash: 'never', security: { checkOrigin: false, csp: true }, session: { driver: { ttl: 1 } }, experimental: { logger: 1 }, prefetch: 1, clientPrerender: 1 }"),
+    ("s", "src/pages/[id].astro", "<p>\n<img src={a} alt='' width='1' height='1'>\n<p set:html={x} /><script type='application/ld+json' set:html={y} />"), ("s", "src/actions/index.ts", "export const a = defineAction({\n handler: (x) => x })"),
+    ("s", "convex/a.ts", "export const put = mutation({\n handler: async (ctx) => ctx.db })\nexport const get = query({ args: {}, handler: (c) => c.db.query('t')\n .collect() })"),
+    ("t", "astro.config.ts", "export default { site: 'https://x.fr', trailingSlash: 'never', prefetch: 0, clientPrerender: 1 }"),
+]
+
+
+@golden(
+    "code_findings", "site:VARCHAR key:VARCHAR severity:VARCHAR category:VARCHAR n:BIGINT first_place:VARCHAR", ("s", "site_non_defini", "haute", "seo", 1, "astro.config.mjs"), ("s", "origine_non_verifiee", "moyenne", "securite", 1, "astro.config.mjs"), ("s", "version_en_retard", "moyenne", "code", 1, "astro.config.mjs"),
+    ("s", "dependances_lourdes", "basse", "performance", 1, "astro.config.mjs"), ("s", "options_a_retirer", "basse", "code", 1, "astro.config.mjs"), ("s", "session_sans_fin", "info", "securite", 1, "astro.config.mjs"), ("s", "img_brute", "moyenne", "performance", 1, "src/pages/[id].astro:2"), ("s", "set_html", "moyenne", "securite", 1, "src/pages/[id].astro:3"),
+    ("s", "route_sans_404", "haute", "seo", 1, "src/pages/[id].astro"), ("s", "robots_sitemap_relatif", "moyenne", "seo", 1, "public/robots.txt:2"), ("s", "action_sans_validation", "moyenne", "securite", 1, "src/actions/index.ts:1"), ("s", "fonction_sans_identite", "haute", "securite", 1, "convex/a.ts:1"),
+    ("s", "fonction_sans_args", "moyenne", "securite", 1, "convex/a.ts:1"), ("s", "collect_sans_borne", "basse", "performance", 1, "convex/a.ts:4"), ("t", "env_non_ignore", "haute", "securite", 1, None),
+)
+def code_findings(spark):
+    files = spark.createDataFrame(FAULTS, "site string, path string, text string")
+    found = code_rules.code_findings(files, spark.createDataFrame([("s",)], "site string"), 7)
+    return found.select("site", "key", "severity", "category", "n", F.get("places", F.lit(0)).alias("first_place"))
+
+
+@golden("server_counters", "what:VARCHAR n:BIGINT", ("mutation", 1), ("query", 1))
+def server_counters(spark):
+    return code_rules.server_counters(spark.createDataFrame(FAULTS, "site string, path string, text string")).drop("site")
+
+
 @golden("tracked_secrets", "key:VARCHAR severity:VARCHAR", ("env_suivi", "critique"), ("env_non_ignore", "haute"))
 def tracked_secrets(spark):
     return code_scan.tracked_secrets(_tree(spark)).drop("site")

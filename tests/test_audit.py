@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_scan, domain, findings, geo, headers, history, issues, links, modules, robots, scores, site_issues
+from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, modules, robots, scores, site_issues
 from lanternfish.sources import files, html
 from lanternfish.sources import pages as source
 
@@ -268,6 +268,65 @@ def test_code_scan(spark):
     assert all(len(r.heaviest) == 1 for r in code_scan.bundle_sizes(f, 1).collect())
 
 
+BROKEN_TREE = {
+    "package.json": '{"dependencies": {"astro": "^6.1.0", "lodash": "4"}, "devDependencies": {"@astrojs/db": "1"}}',
+    "astro.config.mjs": "// site: 'https://x.fr'\nexport default { output: 'server', compressHTML: false, security: { checkOrigin: false, actionBodySizeLimit: 10 * 1024 * 1024 }, vite: { build: { sourcemap: true } },\n fonts: [1], prefetch: true, experimental: { logger: { a: 1 }, other: { cache: 1 } }, session: { driver: { ttl: 1 } } }",
+    "src/layouts/Base.astro": "<html>\n<head><title>x</title><link rel=\"canonical\" href={Astro.url.href}>\n</head>",
+    "src/pages/[slug].astro": "<Image src={a} />\n<Picture src=\"/p.png\"\n alt=\"\" />\n<img src=\"/q.jpg\" width=\"1\" height=\"2\">\n<p set:html={x} /><script type=\"application/ld+json\" set:html={y}></script>\n<script>process.env.KEY</script>",
+    "src/pages/sitemap.xml.ts": "const a = url.origin; // site\nconst b = 'http://www.sitemaps.org/x http://own.fr/'; const c = 'site';",
+    "src/components/Menu.astro": "{Astro.cookies.get('a')}",
+    "src/content.config.ts": "z.object({\n  cover: z.string(),\n})",
+    "src/posts/a.md": "text\n![alt](/images/x.png)",
+    "src/actions/index.ts": "export const server = {\n a: defineAction({ handler: async (input) => { return { input: 1 } } }),\n b: defineAction({ input: z.object({}), handler: (x) => x }),\n c: defineAction({ handler: () => 1 }),\n d: defineAction({ ...base, handler: (x) => x }) }",
+    "convex/a.ts": "export const put = mutation({\n handler: async (ctx) => ctx.db\n })\nexport const get = query({ args: {}, handler: (ctx) => ctx.db.query('t')\n .filter((q) => q)\n .collect() })\nexport const inner = internalMutation({ x: v.any() })",
+    "convex/schema.ts": "defineTable({}).index('a', []).searchIndex('b', [])", "public/robots.txt": "User-agent: *\nSitemap: /map.xml", "src/fetch.ts": "1", "src/big.ts": "x" * 1_500_001, ".gitignore": ".env",
+}
+CLEAN_TREE = {
+    "package.json": '{"dependencies": {"astro": "7.0.0"}}', "package-lock.json": "{}", ".gitignore": ".env\n", "public/robots.txt": "Sitemap: https://x.fr/map.xml", "public/llms.txt": "# x", "public/favicon.svg": "<svg/>", "src/pages/404.astro": "<p>404</p>",
+    "astro.config.ts": "export default { site: 'https://x.fr', trailingSlash: 'never', prefetch: { a: 1 }, experimental: { clientPrerender: true }, security: { csp: true }, session: { ttl: 5 } }",
+    "src/pages/[id].astro": "import { getStaticPaths } from './a';\n<Image src={a} alt='x' widths={[1]} priority />", "src/pages/sitemap.xml.js": "const u = new URL(request.url, context.site); // lastmod http://old.fr\nconst lastmod = 1",
+    "convex/a.ts": "export const put = mutation({ args: {}, handler: async (ctx) => { await requireUser(ctx); } })\nexport const l = query({ args: {}, handler: (c) => ctx.db.query('t').withIndex('a')\n.filter((q) => q)\n.collect() })",
+}
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    rows = [(s, p, t) for s, tree in (("broken", BROKEN_TREE), ("clean", CLEAN_TREE), ("partial", {"src/a.ts": "1", "astro.config.js": "site: 'http://x'"})) for p, t in tree.items()]
+    return spark.createDataFrame([*rows, ("clean", None, "x"), ("clean", "src/null.ts", None)], "site string, path string, text string")
+
+
+def test_rules_over_source_trees(spark, trees):
+    done = spark.createDataFrame([("broken",), ("clean",), ("none",)], "site string")
+    got = code_rules.code_findings(trees, done, 7).collect()
+    assert {(r.key, r.severity) for r in got if r.site == "clean"} == set()
+    assert {(r.key, r.severity) for r in got if r.site == "partial"} == {("site_en_http", "haute"), ("barre_finale_libre", "basse"), ("prefetch_absent", "info"), ("env_non_ignore", "haute")}
+    broken = {r.key: (r.severity, r.n, list(r.places)) for r in got if r.site == "broken"}
+    slug, conf = "src/pages/[slug].astro", ["astro.config.mjs"]
+    assert broken == {
+        "site_non_defini": ("haute", 1, conf), "html_non_compresse": ("basse", 1, conf), "origine_non_verifiee": ("moyenne", 1, conf), "corps_action_releve": ("basse", 10_485_760, conf), "source_maps": ("basse", 1, conf), "barre_finale_libre": ("basse", 1, conf), "prerendu_client": ("info", 1, conf),
+        "version_en_retard": ("moyenne", 1, conf), "images_non_responsives": ("moyenne", 2, conf), "image_prioritaire_absente": ("moyenne", 1, conf), "images_a_la_demande": ("info", 1, conf), "police_non_prechargee": ("basse", 1, conf), "cache_absent": ("moyenne", 1, conf), "ilots_serveur": ("info", 1, conf),
+        "domaines_non_declares": ("moyenne", 1, conf), "csp_absente": ("basse", 1, conf), "dependances_lourdes": ("basse", 1, conf), "base_retiree": ("basse", 1, conf), "fetch_reserve": ("basse", 1, conf), "options_a_retirer": ("basse", 1, conf), "session_sans_fin": ("info", 1, conf),
+        "tete_incomplete": ("moyenne", 1, ["src/layouts/Base.astro"]), "canonique_de_requete": ("haute", 1, ["src/layouts/Base.astro"]), "route_sans_404": ("haute", 1, [slug]), "picture_sans_avif": ("basse", 1, [slug + ":2"]), "image_de_public": ("moyenne", 2, [slug + ":2", slug + ":4"]),
+        "img_brute": ("moyenne", 1, [slug + ":4"]), "img_sans_alt": ("moyenne", 1, [slug + ":4"]), "set_html": ("moyenne", 1, [slug + ":5"]), "env_cote_client": ("haute", 1, [slug]), "sitemap_de_requete": ("haute", 1, ["src/pages/sitemap.xml.ts"]), "sitemap_en_http": ("haute", 1, ["src/pages/sitemap.xml.ts"]), "sitemap_sans_lastmod": ("basse", 1, ["src/pages/sitemap.xml.ts"]),
+        "champ_image_texte": ("moyenne", 1, ["src/content.config.ts:2"]), "image_markdown_de_public": ("moyenne", 1, ["src/posts/a.md:2"]), "action_sans_validation": ("moyenne", 1, ["src/actions/index.ts:2"]), "fonction_sans_identite": ("haute", 1, ["convex/a.ts:1"]), "fonction_sans_args": ("moyenne", 1, ["convex/a.ts:1"]),
+        "filtre_sans_index": ("moyenne", 1, ["convex/a.ts:5"]), "collect_sans_borne": ("basse", 1, ["convex/a.ts:6"]), "validateur_any": ("basse", 1, ["convex/a.ts:7"]), "robots_sitemap_relatif": ("moyenne", 1, ["public/robots.txt:2"]), "fichier_ignore": ("basse", 1, ["src/big.ts"]),
+        "page_404_absente": ("moyenne", 1, []), "favicon_absente": ("basse", 1, []), "llms_absent": ("basse", 1, []), "lockfile_absent": ("moyenne", 1, []),
+    }
+    assert {(r.what, r.n) for r in code_rules.server_counters(trees).filter("site = 'broken'").collect()} == {("mutation", 1), ("query", 1), ("internalMutation", 1), ("tables", 1), ("index", 2)}
+
+
+def test_places_keep_the_first_and_count_all(spark):
+    rows = spark.range(500).select(F.lit("s").alias("site"), F.lit("k").alias("key"), F.lit("basse").alias("severity"), F.lit("c").alias("category"), F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("path"), F.lit(1).alias("line_no"))
+    r = code_rules.places(rows).first()
+    assert (r.n, r.places) == (500, [f"p{k:03d}:1" for k in range(20)])
+    rnd = random.Random(1)
+    noise = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    built = spark.createDataFrame([("s", "dist/_astro/a.js", noise), ("s", "dist/_astro/b.js", "a" * 200_000), ("s", "src/c.js", noise)], "site string, path string, text string")
+    assert [(r.key, r.path) for r in code_rules.heavy_chunks(built).collect()] == [("script_lourd", "dist/_astro/a.js")]
+    empty = built.limit(0)
+    assert code_rules.code_findings(empty, spark.createDataFrame([], "site string")).count() == 0
+
+
 def test_findings_from_lines_and_files(spark):
     rows = [("s", 0, "# ⚠️ titre"), ("s", 1, "| compression | ❌ absente |"), ("s", 2, "| cache | ⚠️ court |"), ("s", 3, "- ⚠️ à voir"), ("s", 4, "- ⚠️ mais ✅"), ("s", 5, "⚠️ prose"), ("s", 6, "| x | ❌ (mode test) |")]
     got = [(r.seq, r.severity) for r in findings.from_lines(spark.createDataFrame(rows, "site string, pos int, line string"), "http", "Sécurité").orderBy("seq").collect()]
