@@ -52,6 +52,17 @@ def is_followed_href(href: Column) -> Column:
     return F.coalesce((F.trim(href) != "") & ~F.trim(href).rlike(IGNORED_HREF), F.lit(False))
 
 
+def own_page(url: Column, start: Column) -> Column:
+    """Struct of `url` (the same path and query on the scheme and host of the start page) and `variant` (whether that changes it) for
+    urls of that host, with and without www; null for others."""
+    place = lambda u: F.regexp_replace(authority(u), r"^.*@", "")
+    bare = F.regexp_replace(place(start), r"^www\.", "")
+    p, q = path(url), query(url)
+    whole = F.concat(scheme(start), F.lit("://"), place(start), F.when(p == "", F.lit("/")).otherwise(p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    other = (scheme(url) != scheme(start)) | (place(url) != place(start))
+    return F.when(F.regexp_replace(place(url), r"^www\.", "") == bare, F.struct(whole.alias("url"), other.alias("variant")))
+
+
 def has_utm(url: Column) -> Column:
     return query(url).rlike("(?i)(^|&)utm_")
 

@@ -75,3 +75,44 @@ def recall(truth: DataFrame) -> DataFrame:
     each = truth.groupBy("domain").agg(F.count_if("detected").alias("found"), F.count("*").alias("total"))
     every = each.agg(F.lit("*").alias("domain"), F.sum("found").alias("found"), F.sum("total").alias("total"))
     return each.unionByName(every).withColumn("recall", F.round(F.col("found") / F.col("total"), 3))
+
+
+def met(truth: DataFrame, outputs: DataFrame, strict: bool = True) -> DataFrame:
+    """id of the entries of `truth` that the outputs of an audit show.
+
+    truth: id, type, source, pattern, contains. outputs: type, source, key, text, places. By type: crawl_issue wants the key itself;
+    code, geo_signal and texte search the text; lighthouse searches key and text. `contains` must be part of a place where it is
+    given; without `strict` it is not asked for, as the places of one site do not exist on its twin.
+    """
+    rows = outputs.select("type", "source", "key", "text", "places").distinct()
+    pairs = truth.filter("type <> 'unitaire'").select("id", "type", "source", "pattern", "contains").join(rows, ["type", "source"])
+    searched = F.expr("text rlike concat('(?im)', pattern)") | (F.col("type") == "lighthouse") & F.expr("key rlike concat('(?i)', pattern)")
+    fits = F.when(F.col("type") == "crawl_issue", F.col("key") == F.col("pattern")).otherwise(searched)
+    if strict:
+        fits = fits & (F.col("contains").isNull() | F.coalesce(F.expr("exists(places, x -> contains(x, contains))"), F.lit(False)))
+    return pairs.filter(fits).select("id").distinct()
+
+
+def evaluation(truth: DataFrame, broken: DataFrame, clean: DataFrame, phase: int = 0) -> DataFrame:
+    """truth with detected, required and false_positive; entries of type `unitaire` are left to unit tests.
+
+    required: the entry's phase has come. false_positive: the clean twin shows it too, unless `on_clean` says that it may (any value
+    but `absent`). truth: id, domain, phase, on_clean, and what met() reads.
+    """
+    t = truth.filter("type <> 'unitaire'")
+    seen = t.join(met(t, broken).withColumn("detected", F.lit(True)), "id", "left").join(met(t, clean, strict=False).withColumn("wrong", F.lit(True)), "id", "left")
+    false = F.coalesce("wrong", F.lit(False)) & (F.coalesce("on_clean", F.lit("absent")) == "absent")
+    return seen.select(*t.columns, F.coalesce("detected", F.lit(False)).alias("detected"), (F.col("phase") <= phase).alias("required"), false.alias("false_positive"))
+
+
+def evaluation_verdicts(details: DataFrame, clean: DataFrame, least: float = 0.0, least_by_domain: dict[str, float] | None = None, most_false: int = 0, most_unexpected: int = 0) -> DataFrame:
+    """what, value, bound of each threshold that an evaluation misses: recall of all and of a domain (1 without required entries; 0
+    for a domain that is not there), false positives, and grave findings on the clean twin. clean: severity."""
+    spark = details.sparkSession
+    required = details.filter("required")
+    recalls = recall(required).select("domain", "recall")
+    bounds = spark.createDataFrame([("*", float(least)), *((d, float(x)) for d, x in (least_by_domain or {}).items())], "domain string, bound double")
+    low = bounds.join(recalls, "domain", "left").withColumn("value", F.coalesce("recall", F.when(F.col("domain") == "*", 1.0).otherwise(0.0))).filter("value < bound")
+    low = low.select(F.concat(F.lit("recall "), "domain").alias("what"), F.col("value").cast("double").alias("value"), "bound")
+    counted = lambda df, what, most: df.agg(F.count("*").cast("double").alias("value")).filter(F.col("value") > most).select(F.lit(what).alias("what"), "value", F.lit(float(most)).alias("bound"))
+    return low.unionByName(counted(details.filter("false_positive"), "false positives", most_false)).unionByName(counted(clean.filter("severity IN ('critique', 'haute')"), "unexpected", most_unexpected))

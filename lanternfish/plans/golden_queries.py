@@ -183,6 +183,12 @@ def sitemap_urls(spark):
     return files.sitemaps(spark.createDataFrame([("s", "m0")], "site string, url string"), spark.createDataFrame(docs, "site string, url string, xml string")).drop("site")
 
 
+@golden("suffix_rules", "rule:VARCHAR kind:VARCHAR private:BOOLEAN", ("com", "plain", False), ("ck", "wildcard", False), ("www.ck", "exception", False), ("xn--p1ai", "plain", False), ("github.io", "plain", True), ("uk", "plain", False))
+def suffix_rules(spark):
+    listed = "// head\ncom // note\n*.ck\n!WWW.ck\nрф\n\n// ===BEGIN PRIVATE DOMAINS===\ngithub.io\n// ===END PRIVATE DOMAINS===\nuk"
+    return files.suffix_rules(spark.createDataFrame([("a", listed)], "name string, text string"))
+
+
 REPORT = '{"categories":{"performance":{"score":0.885}},"audits":{"a":{"id":"a","title":"A","score":0.5,"scoreDisplayMode":"numeric","details":{"overallSavingsMs":400}},"b":{"id":"b","title":"B","score":1,"scoreDisplayMode":"binary"},"c":{"id":"c","title":"C","score":0,"scoreDisplayMode":"binary"}}}'
 
 

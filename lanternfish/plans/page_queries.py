@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import geo, history, issues, links, robots, site_issues
+from lanternfish.operators import geo, history, issues, links, reports, robots, site_issues
 from lanternfish.plans.tables import stored
-from lanternfish.sources import html
+from lanternfish.sources import bodies, html
 from lanternfish.sources import pages as source
 
 QUERIES, SQL = {}, {}
@@ -467,3 +467,44 @@ def sitemap_variants(spark, sf_dir):
        + SQL["near_titles"].replace(RECORDS, RICH_RECORDS).replace("FROM rec)", "FROM jud WHERE indexable)").replace("FROM rec GROUP", "FROM jud WHERE indexable GROUP").replace(f"{RICH_RECORDS}, ", f"{RICH_RECORDS}, {JUDGED}, ") + ")")
 def duplicate_findings(spark, sf_dir):
     return site_issues.duplicates(stored(rich_records_of(spark, sf_dir), "rich-records"))
+
+
+_STATUS = "CASE WHEN seq % 7 = 0 THEN 301 WHEN seq % 11 = 0 THEN 404 ELSE 200 END"
+
+
+@query("status_histogram", f"WITH {RECORDS} SELECT site, {_STATUS} AS status, count(*)::BIGINT AS pages FROM rec GROUP BY ALL")
+def status_histogram(spark, sf_dir):
+    """Every seventh page was redirected, every eleventh of the others is gone."""
+    first = F.expr(_STATUS)
+    final = F.when(first == 301, 200).otherwise(first)
+    return reports.status_histogram(addresses_of(spark, sf_dir).withColumns({"status": first, "final_status": final, "redirect_hops": (first == 301).cast("int")}))
+
+
+@query("linked_extremes", f"""
+WITH {RECORDS}, {JUDGED}, {LINKS}, c AS (SELECT site, target, count(DISTINCT src)::BIGINT AS n FROM lk WHERE src <> target GROUP BY ALL), p AS (SELECT jud.site, url, seq, coalesce(c.n, 0)::BIGINT AS inlinks FROM jud LEFT JOIN c ON c.site = jud.site AND target = url WHERE indexable)
+SELECT site, 'most' AS kind, row_number() OVER (PARTITION BY site ORDER BY inlinks DESC, seq)::INT AS place, url, inlinks FROM p QUALIFY place <= 10
+UNION ALL SELECT site, 'least' AS kind, row_number() OVER (PARTITION BY site ORDER BY inlinks, seq DESC)::INT AS place, url, inlinks FROM p QUALIFY place <= 10""")
+def linked_extremes(spark, sf_dir):
+    counted = links.with_inlinks(issues.judged(records_of(spark, sf_dir)), links.inlinks(source.links(pages_of(spark, sf_dir))))
+    return reports.linked_extremes(counted)
+
+
+@query("decoded_bodies", "SELECT page_id, md5(html) AS digest FROM pages")
+def decoded_bodies(spark, sf_dir):
+    """Every third page as UTF-16, the others as UTF-8, with or without a charset, or with one that nobody knows."""
+    k = F.col("page_id") % 3
+    kind = F.when(k == 0, "text/html; Charset=UTF-16BE").when(k == 1, "text/html").otherwise("text/html; charset=x-none")
+    body = F.when(k == 0, F.encode("html", "UTF-16BE")).otherwise(F.encode("html", "UTF-8"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(F.encode(bodies.decoded(body, kind), "UTF-8")).alias("digest"))
+
+
+@query("own_pages", rf"""
+WITH s AS (SELECT DISTINCT {_f(HOST, "url")} AS host FROM pages), p AS (SELECT page_id, url, {_f(HOST, "url")} AS host, (SELECT min(host) FROM s) AS h FROM pages)
+SELECT page_id, 'https://www.' || h || CASE WHEN {PATH.replace("{0}", "url")} = '' THEN '/' ELSE {PATH.replace("{0}", "url")} END || CASE WHEN {QUERY.replace("{0}", "url")} <> '' THEN '?' || {QUERY.replace("{0}", "url")} ELSE '' END AS own, TRUE AS variant
+FROM p WHERE {PLACE.replace("{0}", "url")} IN (h, 'www.' || h)""")
+def own_pages(spark, sf_dir):
+    """Pages of the first host, as seen from a start page of its www form."""
+    p = pages_of(spark, sf_dir).select("page_id", "url")
+    first = p.agg(F.min(urls.host(F.col("url"))).alias("h"))
+    own = urls.own_page(F.col("url"), F.concat(F.lit("https://www."), "h", F.lit("/")))
+    return p.join(F.broadcast(first)).withColumn("o", own).filter("o IS NOT NULL").select("page_id", F.col("o.url").alias("own"), F.col("o.variant").alias("variant"))

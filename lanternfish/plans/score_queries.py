@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import domain, findings, history, issues, scores
+from lanternfish.operators import domain, findings, history, issues, reports, scores
 from lanternfish.plans.page_queries import HOST, JUDGED, RECORDS, VIOLATIONS, _f, pages_of, records_of
 
 QUERIES, SQL = {}, {}
@@ -265,3 +265,47 @@ SELECT coalesce(domain, '*') AS domain, count_if(detected)::BIGINT AS found, cou
 def label_recall(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0"), "doc_id")
     return scores.recall(d.select(F.col("lang").alias("domain"), F.col("text").rlike("%%%|!!|[|]").alias("detected")))
+
+
+@query("report_head", SIGNALS + f" SELECT site, key, severity, domain, row_number() OVER (PARTITION BY site ORDER BY {_RANK}, domain, key)::INT AS place FROM sig QUALIFY place <= 15")
+def report_head(spark, sf_dir):
+    return reports.report_head(signals_of(spark, sf_dir)).select("site", "key", "severity", "domain", "place")
+
+
+@query("history_index", f"""
+WITH {AUDITS}, l AS (SELECT site, min(day) AS first_day, max(day) AS last_day, count(*)::BIGINT AS n_audits, count(score)::BIGINT AS n_scored FROM aud GROUP BY site),
+s AS (SELECT l.*, (SELECT a.score FROM aud a WHERE a.site = l.site AND a.day = last_day) AS score, (SELECT max_by(a.score, a.day) FROM aud a WHERE a.site = l.site AND a.day < last_day AND a.score IS NOT NULL) AS b FROM l)
+SELECT site, first_day, last_day, n_audits, n_scored, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' WHEN score IS NOT NULL THEN 'E' END AS grade, score - b AS delta FROM s""")
+def history_index(spark, sf_dir):
+    return reports.history_index(audits_of(spark, sf_dir))
+
+
+# Entries: id, domain, type, source, pattern, contains, phase, on_clean. The clean twin are the sites whose names hold a 1.
+EVALUATED = (
+    ("E1", "seo", "crawl_issue", "crawl", "title_short", None, 0, "absent"), ("E2", "seo", "crawl_issue", "crawl", "http_5xx", None, 0, "absent"), ("E3", "seo", "crawl_issue", "crawl", "thin_content", "example", 0, "present"), ("E4", "seo", "crawl_issue", "crawl", "no_jsonld", "nowhere", 0, "absent"),
+    ("E5", "geo", "texte", "crawl", "^TITLE_", None, 0, "absent"), ("E6", "geo", "texte", "crawl", "h1_", None, 1, "absent"), ("E7", "geo", "unitaire", "crawl", "x", None, 0, "absent"), ("E8", "a11y", "texte", "other", ".", None, 0, "absent"),
+)
+_EVALUATED_SQL = ", t(id, domain, type, source, pattern, part, phase, on_clean) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in EVALUATED) + ")"
+_DETAILS = SIGNALS + _EVALUATED_SQL + """, s AS (SELECT DISTINCT site, source, key, text, severity, contains(site, '1') AS clean FROM sig),
+d AS (SELECT id, domain, EXISTS (SELECT 1 FROM s WHERE NOT clean AND s.source = t.source AND (part IS NULL OR contains(site, part)) AND CASE WHEN t.type = 'crawl_issue' THEN key = pattern ELSE regexp_matches(text, '(?im)' || pattern) END) AS detected, phase <= 0 AS required,
+    on_clean = 'absent' AND EXISTS (SELECT 1 FROM s WHERE clean AND s.source = t.source AND CASE WHEN t.type = 'crawl_issue' THEN key = pattern ELSE regexp_matches(text, '(?im)' || pattern) END) AS false_positive FROM t WHERE type <> 'unitaire')"""
+
+
+def _twins(spark, sf_dir):
+    s = signals_of(spark, sf_dir).withColumns({"type": F.explode(F.array(F.lit("crawl_issue"), F.lit("texte"))), "places": F.array("site")})
+    truth = spark.createDataFrame(EVALUATED, "id string, domain string, type string, source string, pattern string, contains string, phase int, on_clean string")
+    clean = F.contains("site", F.lit("1"))
+    return truth, s.filter(~clean), s.filter(clean)
+
+
+@query("evaluation_details", _DETAILS + " SELECT * FROM d")
+def evaluation_details(spark, sf_dir):
+    return scores.evaluation(*_twins(spark, sf_dir)).select("id", "domain", "detected", "required", "false_positive")
+
+
+@query("evaluation_verdicts", _DETAILS + """, r AS (SELECT coalesce(domain, '*') AS domain, round(count_if(detected) / count(*), 3) AS recall FROM d WHERE required GROUP BY ROLLUP (domain))
+SELECT 'recall ' || b.domain AS what, coalesce(recall, 0) AS value, bound FROM (VALUES ('*', 0.9::DOUBLE), ('seo', 0.1::DOUBLE), ('code', 0.5::DOUBLE)) b(domain, bound) LEFT JOIN r USING (domain) WHERE coalesce(recall, 0) < bound
+UNION ALL SELECT 'false positives', count(*)::DOUBLE, 0::DOUBLE FROM d WHERE false_positive HAVING count(*) > 0 UNION ALL SELECT 'unexpected', count(*)::DOUBLE, 0::DOUBLE FROM s WHERE clean AND severity IN ('critique', 'haute') HAVING count(*) > 0""")
+def evaluation_verdicts(spark, sf_dir):
+    truth, broken, clean = _twins(spark, sf_dir)
+    return scores.evaluation_verdicts(scores.evaluation(truth, broken, clean), clean.filter("type = 'texte'"), 0.9, {"seo": 0.1, "code": 0.5})

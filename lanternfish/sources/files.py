@@ -30,17 +30,39 @@ def sitemap(texts: DataFrame) -> DataFrame:
     return rows.select("site", plain("loc").alias("url"), F.nullif(plain("lastmod"), F.lit("")).alias("lastmod"), "is_index").filter("url <> ''")
 
 
-def sitemaps(start: DataFrame, documents: DataFrame, most_levels: int = 5) -> DataFrame:
-    """All page urls below start maps (site, url), following index files through `documents` (site, url, xml)."""
-    at, out = start.select("site", "url"), None
-    for _ in range(most_levels):
-        found = sitemap(documents.join(at.distinct(), ["site", "url"], "left_semi").select("site", "xml"))
+def sitemaps(start: DataFrame, documents: DataFrame) -> DataFrame:
+    """All page urls below start maps (site, url), following index files of any depth through `documents` (site, url, xml); a file
+    that names itself, or one read before, is not read again."""
+    from lanternfish.plans.tables import stored
+
+    at, read, out = start.select("site", "url").distinct(), None, None
+    while not at.isEmpty():
+        read = at if read is None else read.unionByName(at)
+        found = stored(sitemap(documents.join(at, ["site", "url"], "left_semi").select("site", "xml")), "sitemaps")
         pages = found.filter("NOT is_index").drop("is_index")
         out = pages if out is None else out.unionByName(pages)
-        at = found.filter("is_index").select("site", "url")
-        if at.isEmpty():
-            break
-    return out.distinct()
+        at = stored(found.filter("is_index").select("site", "url").distinct().join(read, ["site", "url"], "left_anti"), "sitemap-frontier")
+    return sitemap(documents.limit(0)).drop("is_index") if out is None else out.distinct()
+
+
+def suffix_rules(texts: DataFrame) -> DataFrame:
+    """rule, kind (plain, wildcard, exception; without its marks), private of public suffix lists (name, text).
+
+    Comments begin with `//`; those that open and close the private section set `private`. Rules stand in lower case and ASCII;
+    what has no such form is left out. Of equal rules the last one holds. The lines of one list are put in order by a window.
+    """
+    from pyspark.sql import Window
+
+    from lanternfish.functions.text import ascii_host
+
+    each = texts.select("name", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    mark = F.when(F.contains("line", F.lit("===BEGIN PRIVATE DOMAINS===")), True).when(F.contains("line", F.lit("===END PRIVATE DOMAINS===")), False)
+    mark = F.when(F.col("line").startswith("//"), mark)
+    told = each.withColumn("private", F.coalesce(F.last(mark, ignorenulls=True).over(Window.partitionBy("name").orderBy("pos")), F.lit(False)))
+    rules = told.filter("line <> '' AND NOT startswith(line, '//')").withColumn("raw", F.lower(F.regexp_extract("line", r"^(\S+)", 1)))
+    kind = F.when(F.col("raw").startswith("!"), "exception").when(F.col("raw").startswith("*."), "wildcard").otherwise("plain")
+    clean = rules.select("name", "pos", "private", kind.alias("kind"), ascii_host(F.regexp_replace("raw", r"^(!|\*\.)", "")).alias("rule")).filter("rule IS NOT NULL")
+    return clean.groupBy("rule", "kind").agg(F.max_by("private", F.struct("name", "pos")).alias("private"))
 
 
 def lighthouse(reports: DataFrame) -> DataFrame:

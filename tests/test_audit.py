@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, modules, robots, scores, site_issues
-from lanternfish.sources import files, html
+from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, modules, reports, robots, scores, site_issues
+from lanternfish.sources import bodies, files, html
 from lanternfish.sources import pages as source
 
 
@@ -439,3 +439,76 @@ def test_findings_over_several_pages(spark):
     assert {(r.url, r.key) for r in site_issues.blocked(closed, smap, counts).collect()} == {("https://s.com/1", "sitemap_blocked"), ("https://s.com/9", "linked_blocked")}
     broken = html.elements(spark.createDataFrame([(1, "https://s.com/", "<p>")], "page_id bigint, url string, html string")).withColumns({"tag": F.lit("!error"), "attrs": F.create_map(F.lit("why"), F.lit("ValueError"))})
     assert [(r.key, r.severity, r.seq) for r in site_issues.reader_errors(broken).collect()] == [("modules_en_erreur", "haute", 1)]
+
+
+def test_bodies_are_decoded_like_a_lenient_reader(spark):
+    rnd = random.Random(3)
+    kinds = ["utf-8", "UTF8", "latin-1", "windows-1252", "shift_jis", "utf-16", "nothing", "hex", ""]
+    rows = [(k, rnd.choice(kinds), bytearray(b"".join(rnd.choice([b"abc ", "é".encode(), "日本".encode(), b"\xff ", b"\xe9 "]) for _ in range(6)))) for k in range(300)]
+    t = spark.createDataFrame(rows, "id int, charset string, body binary")
+    kind = F.when(F.col("charset") != "", F.concat(F.lit("text/html; CHARSET="), "charset"))
+    got = {r.id: r.x for r in t.select("id", bodies.decoded(F.col("body"), kind).alias("x")).collect()}
+
+    def want(charset, body):
+        try:
+            return bytes(body).decode(charset or "utf-8", errors="replace")
+        except LookupError:
+            return bytes(body).decode("utf-8", errors="replace")
+
+    assert got == {k: want(c, b) for k, c, b in rows}
+    assert spark.createDataFrame([(None, None)], "b binary, c string").select(bodies.decoded(F.col("b"), F.col("c")).alias("x")).first().x is None
+
+
+def test_own_pages(spark):
+    start = F.lit("https://www.a.b/")
+    see = lambda u: one(spark, urls.own_page(F.col("u"), start), u=u)
+    assert tuple(see("http://a.b")) == ("https://www.a.b/", True)
+    assert tuple(see("https://www.a.b/x?y#z")) == ("https://www.a.b/x?y", False)
+    assert see("https://c.a.b/") is None and see("mailto:x@a.b") is None
+
+
+def test_sitemaps_of_any_depth_and_in_circles(spark):
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    docs = [("s", f"m{k}", index(f"m{k + 1}", "m0")) for k in range(9)] + [("s", "m9", "<urlset><url><loc>http://s/deep</loc></url></urlset>"), ("t", "m0", "<urlset><url><loc>broken")]
+    t = spark.createDataFrame(docs, "site string, url string, xml string")
+    start = spark.createDataFrame([("s", "m0"), ("t", "m0"), ("u", "m0")], "site string, url string")
+    assert [(r.site, r.url) for r in files.sitemaps(start, t).collect()] == [("s", "http://s/deep")]
+    assert files.sitemaps(start.limit(0), t).count() == 0
+
+
+def test_reports(spark):
+    pages = spark.createDataFrame([("s", f"u{k:02d}", k, k != 3, k // 4 if k else None) for k in range(30)], "site string, url string, seq int, indexable boolean, inlinks bigint")
+    rows = [r for r in pages.collect() if r.indexable]
+    order = sorted(rows, key=lambda r: -(r.inlinks or 0))
+    got = reports.linked_extremes(pages).collect()
+    assert [r.url for r in sorted((r for r in got if r.kind == "most"), key=lambda r: r.place)] == [r.url for r in order[:10]]
+    assert [r.url for r in sorted((r for r in got if r.kind == "least"), key=lambda r: -r.place)] == [r.url for r in order[-10:]]
+    status = spark.createDataFrame([("s", 301, 200, 1), ("s", 200, 200, 0), ("s", None, None, 0)], "site string, status int, final_status int, redirect_hops int")
+    assert {(r.status, r.pages) for r in reports.status_histogram(status).collect()} == {(301, 1), (200, 1), (None, 1)}
+    audits = spark.createDataFrame([("s", 1, 50), ("s", 2, None), ("s", 3, 80), ("t", 1, 40), ("t", 2, None), ("u", 1, 95)], "site string, day int, score bigint")
+    assert {(r.site, r.n_audits, r.n_scored, r.score, r.grade, r.delta) for r in reports.history_index(audits).collect()} == {("s", 3, 2, 80, "B", 30), ("t", 2, 1, None, None, None), ("u", 1, 1, 95, "A", None)}
+    found = spark.createDataFrame([("s", "b", "info", "x"), ("s", "a", "haute", "x"), ("s", "c", "haute", "a")], "site string, key string, severity string, category string")
+    assert [r.key for r in reports.ranked_code(found).orderBy("place").collect()] == ["c", "a", "b"]
+
+
+def test_evaluation_of_twins(spark):
+    shape = "id string, domain string, type string, source string, pattern string, contains string, phase int, on_clean string"
+    truth = spark.createDataFrame([
+        ("1", "seo", "crawl_issue", "crawl", "k", "/a", 0, "absent"), ("2", "seo", "crawl_issue", "crawl", "k", "/zz", 0, "absent"), ("3", "seo", "crawl_issue", "crawl", "k.", None, 0, "absent"), ("4", "perf", "lighthouse", "perf", "LCP", "img", 0, None),
+        ("5", "perf", "texte", "http", "^bad$", None, 2, "absent"), ("6", "perf", "unitaire", "x", "x", None, 0, None), ("7", "geo", "geo_signal", "geo", "no llms", None, 0, "present"),
+    ], shape)
+    out = "type string, source string, key string, text string, places array<string>, severity string"
+    broken = spark.createDataFrame([("crawl_issue", "crawl", "k", "t", ["x/a/b"], "basse"), ("lighthouse", "perf", "lcp-x", None, ["img.png"], "basse"), ("texte", "http", None, "ok\nBAD\nok", None, "info"), ("geo_signal", "geo", "g", "No LLMS", [], "info")], out)
+    clean = spark.createDataFrame([("crawl_issue", "crawl", "k", "t", ["other"], "haute"), ("geo_signal", "geo", "g", "No LLMS", [], "info")], out)
+    got = scores.evaluation(truth, broken, clean)
+    assert {(r.id, r.detected, r.required, r.false_positive) for r in got.collect()} == {("1", True, True, True), ("2", False, True, True), ("3", False, True, False), ("4", True, True, False), ("5", True, False, False), ("7", True, True, False)}
+    missed = {(r.what, r.value, r.bound) for r in scores.evaluation_verdicts(got, clean, 0.7, {"seo": 0.3, "perf": 1.0, "code": 0.1}, 2, 0).collect()}
+    assert missed == {("recall *", 0.6, 0.7), ("recall code", 0.0, 0.1), ("unexpected", 1.0, 0.0)}
+    nothing = scores.evaluation(truth.limit(0), broken, clean)
+    assert scores.evaluation_verdicts(nothing, clean.limit(0), 1.0).count() == 0
+
+
+def test_suffix_lists(spark):
+    listed = "a\n*.b\n!c.b\n// ===BEGIN PRIVATE DOMAINS===\r\na  comment\n\n// other\nd.e\n// ===END PRIVATE DOMAINS===\nf"
+    got = files.suffix_rules(spark.createDataFrame([("l", listed), ("m", None), ("n", "")], "name string, text string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "plain", True), ("b", "wildcard", False), ("c.b", "exception", False), ("d.e", "plain", True), ("f", "plain", False)}
