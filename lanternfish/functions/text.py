@@ -113,10 +113,23 @@ def is_briefly_cached(cache_control: Column, least: int = 86_400) -> Column:
     return F.coalesce(~F.lower(cache_control).rlike("immutable") & (max_age(cache_control) < least), F.lit(False))
 
 
+def is_versioned_path(path: Column) -> Column:
+    """A path whose name changes with each version: in a folder of built files, or a name with a content hash. Eight lower-case
+    letters may be a word and count as none; eight upper-case ones count."""
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.map$", ""), r"\.[^.]*$", "")
+    part = F.exists(F.slice(F.split(stem, r"\."), 2, 1000), lambda x: (F.length(x) >= 8) & x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    end = F.regexp_extract(stem, r"[.\-_]([A-Za-z0-9_-]{8})$", 1)
+    mixed = end.rlike("[0-9]") & end.rlike("[A-Za-z]") | end.rlike("[a-z]") & end.rlike("^.+[A-Z]") | end.rlike("[A-Z]") & ~end.rlike("[a-z]") | end.rlike("[A-Za-z0-9][_-][A-Za-z0-9]")
+    return path.rlike("/_astro/|/_next/static/") | part | ((end != "") & ~end.rlike(r"^[0-9]+[xX][0-9]+$") & mixed)
+
+
 def fonts_without_display(css: Column) -> Column:
-    """Families of @font-face blocks that lack font-display."""
-    blocks = F.filter(F.regexp_extract_all(F.lower(css), F.lit(r"@font-face\s*\{[^}]*\}"), F.lit(0)), lambda b: ~F.contains(b, F.lit("font-display")))
-    return F.transform(blocks, lambda b: F.trim(F.regexp_extract(b, r"font-family\s*:\s*[\"']?([^;\"'}]+)", 1)))
+    """Families of @font-face blocks that lack font-display, or set it to block or auto; blocks that load only local fonts are fine."""
+    found = F.regexp_extract_all(F.regexp_replace(css, r"(?s)/\*.*?\*/", ""), F.lit(r"(?i)(@font-face\s*\{[^}]*\})"), F.lit(1))
+    late = lambda b: ~b.rlike(r"(?i)font-display\s*:") | b.rlike(r"(?i)font-display\s*:\s*(block|auto)\b")
+    loads = lambda b: ~b.rlike(r"(?i)\blocal\(") | b.rlike(r"(?i)\burl\(")
+    name = lambda b: F.regexp_replace(F.trim(F.regexp_extract(b, r"(?i)font-family\s*:\s*[\"']?([^;\"'}]+)", 1)), "-[0-9a-f]{16}$", "")
+    return F.transform(F.filter(found, lambda b: late(b) & loads(b)), lambda b: F.coalesce(F.nullif(name(b), F.lit("")), F.lit("?")))
 
 
 def octets(product: Column) -> Column:

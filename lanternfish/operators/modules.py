@@ -20,6 +20,12 @@ def _given(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) != ""
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: the optimiser writes a projected expression anew at each of its uses in filters, but
+    not one that comes out of a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _seen(df: DataFrame, key: str, severity: str, signature: Column, example: Column | None = None) -> DataFrame:
     return df.select("site", "url", F.lit(key).alias("key"), F.lit(severity).alias("severity"), F.substring(signature, 1, 200).alias("signature"), F.substring(example if example is not None else signature, 1, 160).alias("example"))
 
@@ -104,15 +110,48 @@ def wording(items: DataFrame) -> DataFrame:
     )
 
 
-PLACEHOLDER = r"(?i)lorem ipsum|dolor sit amet|your (text|title|content) here|votre (texte|titre) ici|example@example\.(com|org)|(?:^|\W)(?:555-0\d{3}|0123456789)(?:\W|$)|\bTODO\b|\bTBD\b|acme (inc|corp)|john doe|jane doe"
+# Passages of templates by kind, whole titles and descriptions that templates set, links to nobody.
+TEMPLATES = (
+    ("lorem ipsum", r"\blorem ipsum dolor\b|\bdolor sit amet\b|\bconsectetur adipisi?cing\b|\badipisicing elit\b|\bsed do eiusmod\b|\bincididunt ut labore\b|\bad minim veniam\b|\bvitae ultricies leo\b"),
+    ("texte à remplacer", r"\bà remplacer par (?:(?:la|le|les) v[oô]tres?|(?:votre|vos) (?:propre|texte|contenu|titre|logo|nom|slogan|description|adresse|image|photo|coordonnées|entreprise)\b|(?:du|le|un) vrai (?:texte|contenu|titre|nom)\b|le contenu (?:réel|final|définitif))|[\[(]\s*à remplacer\s*[\])]|\bremplacez[- ]moi\b|\breplace (?:this (?:text|content|paragraph)|me\b|with your (?:own )?(?:text|content))"),
+    ("page de démonstration", r"\bpage de d[ée]monstration (?:livr[ée]e|fournie|du th[èe]me|de ce th[èe]me|par d[ée]faut|g[ée]n[ée]r[ée]e)\b|\bdemo page (?:shipped|provided|included|that comes) with\b|\bcontenu de d[ée]monstration\b|\b(?:texte|contenu) (?:factice|de remplissage)\b"),
+    ("gabarit de démarrage", r"\bWelcome to Astro\b|\bTo get started, open the directory\b|\bAstro Starter Kit\b|\bofficial Astro blog starter template\b|\bCongrats on setting up a new Starlight project\b|\bGuides lead a user through a specific task\b|^(?:\W{0,6}\s)?Hello, Astronaut!$"),
+    ("coordonnées fictives", r"\b(?:your|votre) (?:company|name|tagline|entreprise|slogan) (?:here|ici)\b|\bjohn\.doe@|(?:©|\(c\))\s*(?:\d{4}\s*)?(?:your (?:name|company|brand)|votre (?:nom|entreprise|soci[ée]t[ée])|company name|nom de (?:l'entreprise|la soci[ée]t[ée]))\b"),
+)
+DEFAULT_TITLE = r"^(?:astro (?:basics|blog)|(?:.+ \| )?my docs|coming soon|under construction|site en construction|bient[ôo]t disponible)\W*$"
+DEFAULT_DESCRIPTION = r"^(?:welcome to my website!?|astro description|get started building your docs site with starlight\.?|a guide in my new starlight docs site\.?|\W*suitable for startups, small business, sass websites, professional portfolios, marketing websites, landing pages (?:&|and) blogs\.?)$"
+NOBODY = r"^(?:mailto:)?[^@\s]+@(?:example\.(?:com|org|net)|domain\.(?:com|fr)|yourdomain\.\w+|votre-?domaine\.\w+|email\.com)\b|^tel:\W*(?:\+?1\W*)?(?:\(?555\)?\W*(?:01\d\d|\d{3}\W*\d{4})|0?123456789|\+?33\W*1\W*23\W*45\W*67\W*89|01\W*23\W*45\W*67\W*89)"
+DESCRIPTIONS = ("description", "og:description", "og:title", "twitter:description", "twitter:title")
+QUOTING = ("code", "pre", "kbd", "samp", "q", "cite")
+PROSE = ("p", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "figcaption", "summary", "a", "span", "button", "label")
 
 
 def placeholders(items: DataFrame) -> DataFrame:
-    """Text of a template that nobody replaced, unless it is quoted or shown as code."""
-    leaf = items.filter(~F.col("hidden") & F.col("tag").isin("p", "li", "h1", "h2", "h3", "h4", "td", "span", "a", "title") & F.col("text").rlike(PLACEHOLDER))
-    found = F.regexp_extract("text", PLACEHOLDER, 0)
-    quoted = F.expr(r"""text rlike concat('[«"“]\\s*', regexp_replace(hit, '[^A-Za-z0-9 ]', '.'))""")
-    return _seen(leaf.withColumn("hit", F.trim(found)).filter(~quoted), "contenu_demo", "moyenne", F.lower(F.col("hit")), F.col("text"))
+    """Text of a template that nobody replaced, in titles, descriptions and visible text, once for each page, place and kind; links
+    to nobody. What is quoted, or stands in code or quotation elements of the page, is talked about, not left over."""
+    rx = lambda p: f"(?iUm)(?<!['‘„‚‹])(?:{p})"
+    every = "|".join(f"(?:{p})" for _, p in TEMPLATES)
+    shown = items.filter(~F.col("hidden"))
+    title = items.filter("tag = 'title' AND head").select("site", "url", "pos", F.lit("titre").alias("place"), "text")
+    told = shown.filter((F.col("tag") == "meta") & F.lower(F.coalesce(_a("name"), _a("property"))).isin(*DESCRIPTIONS)).select("site", "url", "pos", F.lit("description").alias("place"), _a("content").alias("text"))
+    prose = shown.filter(F.col("tag").isin(*PROSE) & F.col("text").rlike(rx(every))).select("site", "url", "pos", F.lit("texte").alias("place"), "text")
+    # Blocks without elements of their own; only those with a passage are looked up.
+    boxes = shown.filter(F.col("tag").isin("div", "section", "article", "header", "footer", "aside", "nav", "main") & F.col("text").rlike(rx(every)))
+    parents = items.filter(~F.col("tag").isin("br", "b", "i", "em", "strong", "small", "sup", "sub")).select("url", F.col("parent").alias("pos")).distinct()
+    boxes = boxes.join(parents, ["url", "pos"], "left_anti").select("site", "url", "pos", F.lit("texte").alias("place"), "text")
+    rows = held(title.unionByName(told).unionByName(prose).unionByName(boxes), "plain", text.masked(F.regexp_replace("text", r'«[^»]*(»|$)|“[^”]*(”|$)|"[^"]*("|$)', " · ")))
+    piece = lambda k, p: F.when(F.col("plain").rlike(rx(p)), F.struct(F.lit(k).alias("kind"), F.regexp_extract("plain", rx(p), 0).alias("hit"), F.regexp_extract("plain", f"(?iUms).{{0,20}}(?<!['‘„‚‹])(?:{p}).{{0,30}}", 0).alias("near")))
+    found = rows.select("site", "url", "pos", "place", F.explode(F.array_compact(F.array(*[piece(k, p) for k, p in TEMPLATES]))).alias("h")).select("site", "url", "pos", "place", "h.*")
+    quoted = items.filter(F.col("tag").isin(*QUOTING)).select(F.col("url").alias("q_url"), F.col("text").alias("q_text"))
+    found = found.join(quoted, (F.col("url") == F.col("q_url")) & (F.col("place") == "texte") & F.contains("q_text", F.col("hit")), "left_anti")
+    mark = lambda kind, place, what: F.concat(kind, F.lit(" ("), place, F.lit(") : « "), F.trim(what), F.lit(" »"))
+    left = _seen(found.groupBy("site", "url", "place", "kind").agg(F.min_by("near", "pos").alias("near")), "contenu_demo", "moyenne", mark(F.col("kind"), F.col("place"), F.col("near")))
+    whole = F.when(F.col("place") == "titre", F.trim("text").rlike(f"(?iU){DEFAULT_TITLE}")).otherwise(F.trim("text").rlike(f"(?iU){DEFAULT_DESCRIPTION}"))
+    defaults = title.unionByName(told).filter(whole).groupBy("site", "url", "place").agg(F.min_by("text", "pos").alias("text"))
+    defaults = _seen(defaults, "contenu_demo", "moyenne", mark(F.lit("valeur par défaut du gabarit"), F.col("place"), F.substring(text.masked(F.trim("text")), 1, 80)))
+    nobody = shown.filter((F.col("tag") == "a") & F.trim(_a("href")).rlike(f"(?i){NOBODY}")).groupBy("site", "url").agg(F.min_by(F.trim(_a("href")), "pos").alias("href"))
+    nobody = _seen(nobody, "contenu_demo", "moyenne", mark(F.lit("coordonnées fictives"), F.lit("lien"), F.substring(urls.secretless_url(F.col("href")), 1, 60)))
+    return left.unionByName(defaults).unionByName(nobody)
 
 
 LEAK = r"\[object Object\]|(?:^|[\s:>(])(undefined|NaN|null)(?:$|[\s,.;:<)€$%])|\{\{\s*[\w.]+\s*\}\}|\$\{[\w.]+\}"
@@ -143,20 +182,98 @@ def broken_head(pages: DataFrame) -> DataFrame:
     return t.select("site", "url", F.lit("tete_interrompue").alias("key"), F.when(F.col("grave"), "haute").otherwise("moyenne").alias("severity"), F.col("tag").alias("signature"), F.col("tag").alias("example"))
 
 
-# Hosts of script loaders whose content changes, so that integrity cannot be fixed.
-LOADERS = ("googletagmanager.com", "google-analytics.com", "connect.facebook.net", "js.stripe.com", "hotjar.com", "plausible.io", "clarity.ms")
+# Hosts of script loaders whose content changes, so that no fingerprint can hold, with the path they need and their name.
+LOADERS = (
+    ("googletagmanager.com", None, "Google Tag Manager / gtag"),
+    ("google-analytics.com", None, "Google Analytics"),
+    ("plausible.io", None, "Plausible"),
+    ("js.stripe.com", None, "Stripe.js"),
+    ("static.cloudflareinsights.com", None, "Cloudflare Web Analytics"),
+    ("challenges.cloudflare.com", None, "Cloudflare Turnstile"),
+    ("recaptcha.net", None, "reCAPTCHA"),
+    ("google.com", "/recaptcha/", "reCAPTCHA"),
+    ("gstatic.com", "/recaptcha/", "reCAPTCHA"),
+    ("hcaptcha.com", None, "hCaptcha"),
+    ("connect.facebook.net", None, "Pixel / SDK Meta"),
+    ("static.hotjar.com", None, "Hotjar"),
+    ("clarity.ms", None, "Microsoft Clarity"),
+    ("snap.licdn.com", None, "LinkedIn Insight"),
+    ("js.hs-scripts.com", None, "HubSpot"),
+    ("js.hsforms.net", None, "HubSpot"),
+    ("widget.intercom.io", None, "Intercom"),
+    ("client.crisp.chat", None, "Crisp"),
+    ("embed.tawk.to", None, "Tawk.to"),
+    ("assets.calendly.com", None, "Calendly"),
+    ("consent.cookiebot.com", None, "Cookiebot"),
+    ("player.vimeo.com", None, "lecteur Vimeo"),
+    ("youtube.com", "/iframe_api", "API YouTube"),
+    ("ytimg.com", "/yts/jsbin/", "API YouTube"),
+    ("maps.googleapis.com", None, "Google Maps"),
+    ("accounts.google.com", "/gsi/", "Google Sign-In"),
+    ("apis.google.com", None, "API Google"),
+    ("googleadservices.com", None, "Google Ads"),
+    ("cal.com", None, "Cal.com"),
+    ("paypal.com", None, "PayPal"),
+    ("paypalobjects.com", None, "PayPal"),
+    ("cookielaw.org", None, "OneTrust"),
+    ("onetrust.com", None, "OneTrust"),
+    ("privacy-center.org", None, "Didomi"),
+    ("didomi.io", None, "Didomi"),
+    ("axept.io", None, "Axeptio"),
+    ("cdn.segment.com", None, "Segment"),
+    ("bat.bing.com", None, "Bing UET"),
+    ("sibforms.com", None, "Brevo"),
+    ("sendinblue.com", None, "Brevo"),
+    ("brevo.com", None, "Brevo"),
+    ("sibautomation.com", None, "Brevo"),
+    ("platform.twitter.com", None, "widgets X / Twitter"),
+    ("static.ads-twitter.com", None, "pixel X / Twitter"),
+    ("js.sentry-cdn.com", None, "Sentry"),
+    ("embed.typeform.com", None, "Typeform"),
+    ("js.hs-analytics.net", None, "HubSpot"),
+)
+LIBRARIES = ("jsdelivr.net", "unpkg.com", "cdnjs.cloudflare.com")
+PINNED = r"@v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.+-]*)?(?:/|$)|@[0-9a-f]{40}(?:/|$)|/ajax/libs/[^/]+/v?\d+\.\d+(?:\.\d+)*[0-9A-Za-z.+-]*/"
+SCRIPT_TYPES = r"^(|module|(text|application)/(x-)?(javascript|ecmascript)|text/jscript|text/livescript|text/javascript1\.[0-5])$"
+# Suffixes of several labels under which each name is another site.
+SUFFIXES = (
+    "co.uk org.uk me.uk ltd.uk plc.uk net.uk ac.uk gov.uk sch.uk com.au net.au org.au edu.au gov.au asn.au id.au co.nz net.nz "
+    "org.nz govt.nz ac.nz co.jp ne.jp or.jp ac.jp go.jp com.br net.br org.br gov.br com.ar com.mx com.co com.pe com.ve com.uy "
+    "com.cn net.cn org.cn gov.cn co.in net.in org.in firm.in gen.in ind.in co.za org.za web.za com.tr org.tr com.sg com.hk "
+    "com.tw co.kr or.kr co.id web.id co.il org.il com.my com.ph com.vn co.th in.th com.ua com.pl com.es com.pt com.eg com.sa "
+    "com.ng co.ke com.gr com.ro asso.fr com.fr gouv.fr nom.fr prd.fr presse.fr tm.fr vercel.app netlify.app pages.dev github.io "
+    "gitlab.io herokuapp.com onrender.com fly.dev workers.dev web.app firebaseapp.com appspot.com azurewebsites.net cloudfront.net "
+    "surge.sh glitch.me repl.co pythonanywhere.com convex.cloud convex.site ngrok.io ngrok-free.app trycloudflare.com s3.amazonaws.com"
+).split()
+
+
+def _site_of(host: Column) -> Column:
+    """The name that is registered: one label more than the longest suffix; addresses and bare suffixes stay whole."""
+    labels = F.split(host, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    listed = lambda n: (F.size(labels) > n) & last(n).isin(*[x for x in SUFFIXES if x.count(".") == n - 1])
+    return F.when(host.rlike(r"^[0-9.]+$|^\["), host).when(listed(3), last(4)).when(listed(2), last(3)).otherwise(last(2))
 
 
 def third_parties(items: DataFrame) -> DataFrame:
-    """External scripts and styles without integrity: sri_absent where they are pinned, sri_non_applicable for known loaders."""
-    t = items.filter(((F.col("tag") == "script") & _given(_a("src"))) | ((F.col("tag") == "link") & F.lower(F.coalesce(_a("rel"), F.lit(""))).rlike("stylesheet"))).withColumn("src", F.coalesce(_a("src"), _a("href")))
-    t = t.withColumn("src", F.when(F.col("src").startswith("//"), F.concat(F.lit("https:"), F.col("src"))).otherwise(F.col("src"))).filter(F.col("src").rlike("^https?://"))
-    host = urls.host(F.col("src"))
-    t = t.filter((urls.bare_host(F.col("src")) != urls.bare_host(F.col("url"))) & ~_given(_a("integrity")))
-    loader = F.lit(False)
-    for h in LOADERS:
-        loader = loader | (host == h) | host.endswith("." + h)
-    return _seen(t.filter(~loader), "sri_absent", "basse", F.regexp_replace("src", r"[?#].*$", "")).unionByName(_seen(t.filter(loader), "sri_non_applicable", "info", host))
+    """Scripts of other sites that run without integrity: sri_absent where their content can be fixed, sri_non_applicable for
+    loaders and for libraries without an exact version. Sources are resolved against the page's first base above them."""
+    base = items.filter((F.col("tag") == "base") & _given(_a("href"))).groupBy("url").agg(F.min(F.struct("pos", F.trim(_a("href")).alias("href"))).alias("b"))
+    base = held(base, "base", urls.resolved(F.col("url"), F.col("b.href"))).select("url", F.col("b.pos").alias("base_pos"), "base")
+    t = items.filter((F.col("tag") == "script") & _given(_a("src")) & ~_given(_a("integrity")) & ~F.coalesce("inert", F.lit(False)))
+    t = t.filter(F.lower(F.trim(F.split_part(F.coalesce(_a("type"), F.lit("")), F.lit(";"), F.lit(1)))).rlike(SCRIPT_TYPES)).join(base, "url", "left")
+    t = held(t, "at", F.when(F.col("base_pos") < F.col("pos"), F.col("base")).otherwise(F.col("url")))
+    t = held(t, "src", urls.resolved(F.col("at"), F.trim(_a("src")))).filter(F.col("src").rlike("(?i)^https?://[^/]"))
+    bare = lambda u: F.regexp_replace(F.regexp_replace(urls.host(u), r"\.$", ""), r"^www\.", "")
+    path = urls.path(F.col("src"))
+    t = held(held(t, "host", bare(F.col("src"))), "path", F.coalesce(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), path))
+    t = held(t, "own", bare(F.col("url"))).filter(_site_of(F.col("host")) != _site_of(F.col("own")))
+    under = lambda h: (F.col("host") == h) | F.col("host").endswith("." + h)
+    name = F.coalesce(*[F.when(under(h) & (F.col("path").startswith(p) if p else F.lit(True)), F.lit(n)) for h, p, n in LOADERS])
+    library = under(LIBRARIES[0]) | under(LIBRARIES[1]) | under(LIBRARIES[2])
+    why = F.when(name.isNotNull(), F.concat(F.lit("chargeur au contenu changeant : "), name)).when(library & ~F.col("path").rlike(PINNED), "bibliothèque sans version exacte")
+    t, source = held(t, "why", why), urls.secretless_url(F.col("src"))
+    return _seen(t.filter("why IS NULL"), "sri_absent", "basse", source).unionByName(_seen(t.filter("why IS NOT NULL"), "sri_non_applicable", "info", source, F.col("why")))
 
 
 # Properties without which a type has no effect, and types that search engines retired.

@@ -25,7 +25,7 @@ BATCH_TEXT = 4_000_000
 
 
 class Reader(HTMLParser):
-    """Rows of one page: tag, attributes, parent, text, words, alt texts within, hidden, landmark, in head, in main, closed."""
+    """Rows of one page: tag, attributes, parent, text, words, alt texts within, hidden, inert (in a template or noscript), landmark, in head, in main, closed."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -41,7 +41,7 @@ class Reader(HTMLParser):
         hidden = "hidden" in seen or seen.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or tag in ("template", "noscript") or (tag == "dialog" and "open" not in seen)
         row = {
             "tag": tag, "attrs": seen, "parent": self.open[-1] if self.open else -1, "text": [], "words": 0, "alts": [], "hidden": hidden or bool(up and up["hidden"]),
-            "landmark": len(self.rows) if tag in LANDMARKS else (up["landmark"] if up else -1), "head": tag == "head" or bool(up and up["head"]), "main": tag == "main" or bool(up and up["main"]), "closed": tag in VOID,
+            "landmark": len(self.rows) if tag in LANDMARKS else (up["landmark"] if up else -1), "inert": tag in ("template", "noscript") or bool(up and up["inert"]), "head": tag == "head" or bool(up and up["head"]), "main": tag == "main" or bool(up and up["main"]), "closed": tag in VOID,
         }
         self.rows.append(row)
         if tag == "img" and not row["hidden"]:
@@ -76,7 +76,7 @@ class Reader(HTMLParser):
             r["text"].append(data)
 
 
-ITEM = "pos int, tag string, attrs map<string,string>, parent int, text string, words int, alts string, hidden boolean, landmark int, head boolean, main boolean, closed boolean"
+ITEM = "pos int, tag string, attrs map<string,string>, parent int, text string, words int, alts string, hidden boolean, inert boolean, landmark int, head boolean, main boolean, closed boolean"
 PARSED = f"seq bigint, site string, url string, bytes_html bigint, items array<struct<{ITEM.replace(' ', ':').replace(',:', ', ')}>>"
 
 
@@ -86,7 +86,7 @@ def _rows_of(html: str) -> list[dict]:
         reader.feed(html)
         reader.close()
     except Exception as e:  # a page that breaks the reader must not end the job; it is reported as an element
-        return [{"tag": "!error", "attrs": {"why": type(e).__name__}, "parent": -1, "text": [], "words": 0, "alts": [], "hidden": False, "landmark": -1, "head": False, "main": False, "closed": True}]
+        return [{"tag": "!error", "attrs": {"why": type(e).__name__}, "parent": -1, "text": [], "words": 0, "alts": [], "hidden": False, "inert": False, "landmark": -1, "head": False, "main": False, "closed": True}]
     return reader.rows
 
 

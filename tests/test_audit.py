@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, modules, reports, robots, scores, site_issues
+from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, modules, reports, resources, robots, scores, site_issues
 from lanternfish.sources import bodies, files, html
 from lanternfish.sources import pages as source
 
@@ -60,7 +60,7 @@ def test_small_verdicts(spark):
     ]
     row = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     assert list(row) == [w for _, w in cases]
-    assert spark.range(1).select(text.fonts_without_display(lit("@font-face{font-family:'A';src:x}@font-face{font-family:B;font-display:swap}")).alias("x")).first()["x"] == ["a"]
+    assert spark.range(1).select(text.fonts_without_display(lit("@font-face{font-family:'A';src:x}@font-face{font-family:B;font-display:swap}")).alias("x")).first()["x"] == ["A"]
     assert spark.range(1).select(text.directives(lit("script-src 'self' X; script-src b; img-src *")).alias("x")).first()["x"] == {"script-src": ["'self'", "x"], "img-src": ["*"]}
 
 
@@ -68,7 +68,7 @@ PAGE = """<!DOCTYPE html><html><head><title> A &amp; B
  c</title><meta name="Description" content="d"><meta name="description" content="second"><meta name="robots" content="noindex"><meta name="viewport" content="width=device-width, maximum-scale=1">
 <link rel="canonical" href="https://s.com/a"><script type="application/ld+json">{"@type":"Product","name":"x"}</script><script type="application/ld+json">{bad</script><script src="https://cdn.org/x.js"></script>
 <script src="https://www.googletagmanager.com/gtag.js"></script></head><body><nav><a href="/in"><img src="i.png" alt=""></a><a href="/b" aria-label="vers b"></a></nav><main><h1>T</h1><h3>J</h3>
-<p>one two three <b>four</p><p hidden>undefined</p><p>undefined</p><p>La valeur undefined est un mot que l'on écrit dans ce long texte de documentation.</p><p>Lorem ipsum dolor</p>
+<p>one two three <b>four</p><p hidden>undefined</p><p>undefined</p><p>La valeur undefined est un mot que l'on écrit dans ce long texte de documentation.</p><p>Lorem ipsum dolor sit</p>
 <img src="http://s.com/p.jpg" alt="photo.jpg"><svg viewBox="0 0 1 1"></svg><svg aria-label="ok"></svg><button></button><button>ok</button><iframe src="/f?k=1"></iframe><div aria-label="z">q</div>
 <a href="/c">ici</a><a href="/d">ici</a><a href="/d">Le tarif complet</a><label for="nope">l</label><input type="text"></main></body></html>"""
 
@@ -117,7 +117,7 @@ def test_modules_fire_where_they_should(items):
     assert keys.count("lien_sans_nom") == 1 and keys.count("bouton_sans_nom") == 1 and keys.count("svg_non_masque") == 1 and keys.count("titres_sautes") == 1
     assert ("fuite_rendu", "undefined") in got and keys.count("fuite_rendu") == 1 and keys.count("fuite_rendu_isolee") == 1
     assert ("lien_generique", "ici") in got and keys.count("lien_generique") == 1 and ("alt_suspect", "photo.jpg") in got and ("iframe_sans_titre", "/f") in got
-    assert ("sri_absent", "https://cdn.org/x.js") in got and ("sri_non_applicable", "www.googletagmanager.com") in got and ("jsonld_proprietes_requises", "Product: offers") in got
+    assert ("sri_absent", "https://cdn.org/x.js") in got and ("sri_non_applicable", "https://www.googletagmanager.com/gtag.js") in got and ("jsonld_proprietes_requises", "Product: offers") in got
     assert {"zoom_bloque", "aria_label_interdit", "aria_ref_cassee", "contenu_demo"} <= set(keys)
     g = {r.key: (r.occurrences, r.pages) for r in modules.groups(modules.observations(items)).collect()}
     assert g["lien_sans_nom"] == (1, 1)
@@ -512,3 +512,48 @@ def test_suffix_lists(spark):
     listed = "a\n*.b\n!c.b\n// ===BEGIN PRIVATE DOMAINS===\r\na  comment\n\n// other\nd.e\n// ===END PRIVATE DOMAINS===\nf"
     got = files.suffix_rules(spark.createDataFrame([("l", listed), ("m", None), ("n", "")], "name string, text string"))
     assert {tuple(r) for r in got.collect()} == {("a", "plain", True), ("b", "wildcard", False), ("c.b", "exception", False), ("d.e", "plain", True), ("f", "plain", False)}
+
+
+def _read(spark, *bodies_, url="https://s.com/a"):
+    rows = [(k, url if k == 0 else f"https://s.com/{k}", b) for k, b in enumerate(bodies_)]
+    return html.elements(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+
+
+def test_template_content(spark):
+    got = modules.placeholders(_read(
+        spark, "<head><title>My docs</title><meta name=description content='Welcome to my website!'></head><body><p>Lorem ipsum dolor sit amet</p><li>dolor sit amet <b>x</b></li><div>texte à remplacer : à remplacer par votre texte</div><a href='mailto:me@example.com'>x</a><a href='tel:01 23 45 67 89'>y</a></body>",
+        "<body><p>On dit « lorem ipsum dolor » et \"sed do eiusmod\" et 'lorem ipsum dolor'</p><p><code>Welcome to Astro</code></p><p hidden>lorem ipsum dolor</p><p>Le lorem ipsum est un faux texte</p><a href='mailto:me@real.com'>x</a><p>« ouvert lorem ipsum dolor</p></body>",
+    )).collect()
+    assert {(r.url, r.signature) for r in got} == {("https://s.com/a", x) for x in (
+        "lorem ipsum (texte) : « Lorem ipsum dolor sit amet »", "texte à remplacer (texte) : « texte à remplacer : à remplacer par votre texte »", "valeur par défaut du gabarit (titre) : « My docs »",
+        "valeur par défaut du gabarit (description) : « Welcome to my website! »", "coordonnées fictives (lien) : « mailto:me@example.com »")}
+
+
+def test_scripts_of_other_sites(spark):
+    tags = ["https://cdn.s.com/x.js", "//www.s.com/y.js", "/own.js", "https://unpkg.com/lib@1.2.3/a.js", "https://unpkg.com/lib@latest/a.js", "https://cdnjs.cloudflare.com/ajax/libs/x/1.2/x.js", "https://google.com/recaptcha/api.js", "https://google.com/other.js", "https://googletagmanager.com.evil.org/a.js?k=1", "data:text/javascript,1"]
+    body = "".join(f"<script src='{t}'></script>" for t in tags) + "<script src='https://a.org/i.js' integrity='sha384-x'></script><script type='text/plain' src='https://a.org/j.js'></script><template><script src='https://a.org/k.js'></script></template><base href='https://b.org/d/'><script src='z.js' type='module'></script><link rel=stylesheet href='https://a.org/s.css'>"
+    got = {(r.key, r.signature) for r in modules.third_parties(_read(spark, body)).collect()}
+    assert got == {("sri_absent", "https://unpkg.com/lib@1.2.3/a.js"), ("sri_non_applicable", "https://unpkg.com/lib@latest/a.js"), ("sri_absent", "https://cdnjs.cloudflare.com/ajax/libs/x/1.2/x.js"), ("sri_non_applicable", "https://google.com/recaptcha/api.js"),
+                   ("sri_absent", "https://google.com/other.js"), ("sri_absent", "https://googletagmanager.com.evil.org/a.js"), ("sri_absent", "https://b.org/d/z.js")}
+    near = modules.third_parties(_read(spark, "<script src='https://b.github.io/x.js'></script><script src='https://c.a.co.uk/x.js'></script><script src='https://10.0.0.2/x.js'></script>", url="https://a.github.io/"))
+    assert near.count() == 3
+    assert modules.third_parties(_read(spark, "<script src='https://c.a.co.uk/x.js'></script><script src='https://b.co.uk/x.js'></script>", url="https://a.co.uk/")).count() == 1
+
+
+def test_resources(spark):
+    page = """<img src="/big.png"><img src="/big.png"><img src="https://other.org/x.png"><img src="/_image?href=x"><script src="/a.js?v=1"></script><script nomodule src="/old.js"></script><template><img src="/t.png"></template><link rel="stylesheet" href="s.css"><link rel="preload" as="font" href="/f.woff2">
+<link rel="modulepreload" href="/m.js"><astro-island component-url="/_astro/c.js" props='{"a":[0,"/p.webp"],"b":"no"}'></astro-island><style>@font-face{font-family:"In";src:url(x)} /* @font-face{} */ @font-face{font-family:L;src:local(x)}</style>"""
+    items = _read(spark, page, '<img src="/big.png">')
+    used = resources.uses(items).cache()
+    assert {(r.url.replace("https://s.com", ""), r.type) for r in used.filter("page LIKE '%/a'").collect()} == {("/big.png", "image"), ("/a.js?v=1", "script"), ("/s.css", "css"), ("/f.woff2", "police"), ("/m.js", "script"), ("/_astro/c.js", "script"), ("/p.webp", "image")}
+    rows = [("/big.png", 200, 300_000, "no-store", "image/png", None), ("/a.js?v=1", 200, 160_000, "public, max-age=7200", "text/javascript", None), ("/s.css", 200, 20_000, None, "text/css", 7200), ("/f.woff2", 200, 20_000, "s-max-age=9, max-age=60", "font/woff2", None), ("/m.js", 404, 900_000, "", "", None),
+            ("/_astro/c.js", 200, 20_000, "no-cache", "", None), ("/p.webp", 200, 900_000, "", "text/html", None)]
+    measured = spark.createDataFrame([("s.com", "https://s.com" + r[0], *r[1:]) for r in rows], "site string, url string, status int, bytes bigint, cache_control string, content_type string, expires_in bigint")
+    got = {(r.url, r.key, r.severity, r.signature.replace("https://s.com", "")) for r in resources.resource_findings(used, measured).collect()}
+    assert got == {(p, k, s, x) for p in ("https://s.com/a", "https://s.com/1") for k, s, x in (("image_lourde", "moyenne", "/big.png (292 Ko)"), ("asset_sans_cache", "moyenne", "/big.png (Cache-Control : no-store)"))} | {
+        ("https://s.com/a", "js_lourd", "moyenne", "/a.js (156 Ko)"), ("https://s.com/a", "asset_sans_cache", "moyenne", "/f.woff2 (Cache-Control : s-max-age=9, max-age=60)")}
+    sheets = spark.createDataFrame([("s.com", "https://s.com/s.css", "@font-face{font-family:Out-0123456789abcdef;src:url(y);font-display:block}"), ("s.com", "https://s.com/none.css", "@font-face{}")], "site string, url string, css string")
+    assert {r.signature for r in resources.font_findings(items, used, sheets).collect()} == {"In (style en ligne)", "Out (/s.css)"}
+    names = {"/_astro/x.js": True, "/index-DiwrgTda.js": True, "/app.f3a9c2d1e8.webp": True, "/photo-original.jpg": False, "/logo-BANNIERE.png": True, "/i-1920x108.png": False, "/bootstrap.min.js": False, "/x-abcd_efg.css": True, "/a/style.css": False, "/x-Original.png": False}
+    t = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.is_versioned_path(F.col("n")).alias("v"))
+    assert {r.n: r.v for r in t.collect()} == names
