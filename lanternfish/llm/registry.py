@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontamination", "licenses", "mixing", "ngram_join", "pii", "quality_classifier", "quality_rules", "token_output", "toxicity", "url_filters")
+MODULES = ("centroid_clustering", "decontamination", "importance_resampling", "licenses", "mixing", "ngram_join", "pii", "quality_classifier", "quality_rules", "simhash_dedup", "token_output", "toxicity", "url_filters")
 
 
 def queries() -> dict:
