@@ -122,28 +122,22 @@ DEFAULT_TITLE = r"^(?:astro (?:basics|blog)|(?:.+ \| )?my docs|coming soon|under
 DEFAULT_DESCRIPTION = r"^(?:welcome to my website!?|astro description|get started building your docs site with starlight\.?|a guide in my new starlight docs site\.?|\W*suitable for startups, small business, sass websites, professional portfolios, marketing websites, landing pages (?:&|and) blogs\.?)$"
 NOBODY = r"^(?:mailto:)?[^@\s]+@(?:example\.(?:com|org|net)|domain\.(?:com|fr)|yourdomain\.\w+|votre-?domaine\.\w+|email\.com)\b|^tel:\W*(?:\+?1\W*)?(?:\(?555\)?\W*(?:01\d\d|\d{3}\W*\d{4})|0?123456789|\+?33\W*1\W*23\W*45\W*67\W*89|01\W*23\W*45\W*67\W*89)"
 DESCRIPTIONS = ("description", "og:description", "og:title", "twitter:description", "twitter:title")
-QUOTING = ("code", "pre", "kbd", "samp", "q", "cite")
-PROSE = ("p", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "figcaption", "summary", "a", "span", "button", "label")
 
 
-def placeholders(items: DataFrame) -> DataFrame:
+def placeholders(items: DataFrame, lines: DataFrame) -> DataFrame:
     """Text of a template that nobody replaced, in titles, descriptions and visible text, once for each page, place and kind; links
-    to nobody. What is quoted, or stands in code or quotation elements of the page, is talked about, not left over."""
+    to nobody. What is quoted, or stands in code or quotation elements, is talked about, not left over."""
+    from lanternfish.sources.html import unmarked
+
     rx = lambda p: f"(?iUm)(?<!['‘„‚‹])(?:{p})"
     every = "|".join(f"(?:{p})" for _, p in TEMPLATES)
     shown = items.filter(~F.col("hidden"))
     title = items.filter("tag = 'title' AND head").select("site", "url", "pos", F.lit("titre").alias("place"), "text")
     told = shown.filter((F.col("tag") == "meta") & F.lower(F.coalesce(_a("name"), _a("property"))).isin(*DESCRIPTIONS)).select("site", "url", "pos", F.lit("description").alias("place"), _a("content").alias("text"))
-    prose = shown.filter(F.col("tag").isin(*PROSE) & F.col("text").rlike(rx(every))).select("site", "url", "pos", F.lit("texte").alias("place"), "text")
-    # Blocks without elements of their own; only those with a passage are looked up.
-    boxes = shown.filter(F.col("tag").isin("div", "section", "article", "header", "footer", "aside", "nav", "main") & F.col("text").rlike(rx(every)))
-    parents = items.filter(~F.col("tag").isin("br", "b", "i", "em", "strong", "small", "sup", "sub")).select("url", F.col("parent").alias("pos")).distinct()
-    boxes = boxes.join(parents, ["url", "pos"], "left_anti").select("site", "url", "pos", F.lit("texte").alias("place"), "text")
-    rows = held(title.unionByName(told).unionByName(prose).unionByName(boxes), "plain", text.masked(F.regexp_replace("text", r'«[^»]*(»|$)|“[^”]*(”|$)|"[^"]*("|$)', " · ")))
+    prose = lines.select("site", "url", "pos", F.lit("texte").alias("place"), unmarked(F.col("line"), 5).alias("text")).filter(F.col("text").rlike(rx(every)))
+    rows = held(title.unionByName(told).unionByName(prose), "plain", text.masked(F.regexp_replace("text", r'«[^»]*(»|$)|“[^”]*(”|$)|"[^"]*("|$)', " · ")))
     piece = lambda k, p: F.when(F.col("plain").rlike(rx(p)), F.struct(F.lit(k).alias("kind"), F.regexp_extract("plain", rx(p), 0).alias("hit"), F.regexp_extract("plain", f"(?iUms).{{0,20}}(?<!['‘„‚‹])(?:{p}).{{0,30}}", 0).alias("near")))
     found = rows.select("site", "url", "pos", "place", F.explode(F.array_compact(F.array(*[piece(k, p) for k, p in TEMPLATES]))).alias("h")).select("site", "url", "pos", "place", "h.*")
-    quoted = items.filter(F.col("tag").isin(*QUOTING)).select(F.col("url").alias("q_url"), F.col("text").alias("q_text"))
-    found = found.join(quoted, (F.col("url") == F.col("q_url")) & (F.col("place") == "texte") & F.contains("q_text", F.col("hit")), "left_anti")
     mark = lambda kind, place, what: F.concat(kind, F.lit(" ("), place, F.lit(") : « "), F.trim(what), F.lit(" »"))
     left = _seen(found.groupBy("site", "url", "place", "kind").agg(F.min_by("near", "pos").alias("near")), "contenu_demo", "moyenne", mark(F.col("kind"), F.col("place"), F.col("near")))
     whole = F.when(F.col("place") == "titre", F.trim("text").rlike(f"(?iU){DEFAULT_TITLE}")).otherwise(F.trim("text").rlike(f"(?iU){DEFAULT_DESCRIPTION}"))
@@ -154,17 +148,6 @@ def placeholders(items: DataFrame) -> DataFrame:
     return left.unionByName(defaults).unionByName(nobody)
 
 
-LEAK = r"\[object Object\]|(?:^|[\s:>(])(undefined|NaN|null)(?:$|[\s,.;:<)€$%])|\{\{\s*[\w.]+\s*\}\}|\$\{[\w.]+\}"
-
-
-def leaks(items: DataFrame) -> DataFrame:
-    """Values of a programme shown to visitors: alone in their element is grave, within prose it may be a word."""
-    t = items.filter(~F.col("hidden") & F.col("tag").isin("p", "li", "h1", "h2", "h3", "h4", "td", "th", "span", "a", "button", "title", "label", "dd", "dt") & F.col("text").rlike(LEAK))
-    sure = F.col("text").rlike(r"\[object Object\]|\{\{|\$\{") | (F.length("text") <= 40)
-    token = F.trim(F.regexp_extract("text", LEAK, 0))
-    return _seen(t.filter(sure), "fuite_rendu", "haute", token, F.col("text")).unionByName(_seen(t.filter(~sure), "fuite_rendu_isolee", "basse", token, F.col("text")))
-
-
 HEAD_TAGS = ("title", "meta", "link", "script", "style", "base", "noscript", "template")
 
 
@@ -295,19 +278,21 @@ def structured_data(items: DataFrame) -> DataFrame:
     return _seen(missing, "jsonld_proprietes_requises", "moyenne", F.concat("type", F.lit(": "), F.array_join("missing", ", "))).unionByName(_seen(o.filter(F.col("type").isin(*RETIRED)), "jsonld_type_sans_effet", "info", F.col("type")))
 
 
-#: Module name -> rule over elements.
-MODULES = {
-    "a11y_noms": nameless, "a11y_structure": structure, "a11y_svg": drawings, "a11y_textes": wording, "contenu_demo": placeholders, "fuites_rendu": leaks, "securite_html": third_parties, "donnees_structurees": structured_data,
-}
+def _registered() -> dict:
+    """Module name -> rule over elements and lines."""
+    from lanternfish.operators.leaks import leaks
+
+    alone = {"a11y_noms": nameless, "a11y_structure": structure, "a11y_svg": drawings, "a11y_textes": wording, "securite_html": third_parties, "donnees_structurees": structured_data}
+    return {k: (lambda items, lines, rule=rule: rule(items)) for k, rule in alone.items()} | {"contenu_demo": placeholders, "fuites_rendu": leaks}
 
 
-def observations(items: DataFrame, modules=None) -> DataFrame:
-    """Observations of all registered modules over one table of elements (store it first: each module reads it once). A module
+def observations(items: DataFrame, lines: DataFrame, modules=None) -> DataFrame:
+    """Observations of all registered modules over the elements and the lines of the same pages (store both first: each module reads them). A module
     whose rule cannot be built does not end the others: it is reported, for every site, as modules_en_erreur."""
     out, failed = None, []
-    for name, rule in (modules or MODULES).items():
+    for name, rule in (modules or _registered()).items():
         try:
-            rows = rule(items).withColumn("module", F.lit(name))
+            rows = rule(items, lines).withColumn("module", F.lit(name))
             rows.schema  # resolved here, so that a rule over missing columns fails in its own turn
         except Exception as e:
             failed.append((name, type(e).__name__))
