@@ -148,21 +148,72 @@ def placeholders(items: DataFrame, lines: DataFrame) -> DataFrame:
     return left.unionByName(defaults).unionByName(nobody)
 
 
-HEAD_TAGS = ("title", "meta", "link", "script", "style", "base", "noscript", "template")
+# Elements that may stand in a head, names of metas that matter to search, and what is grave to lose.
+HEAD_TAGS = ("base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title")
+HEAD_METAS = ("description", "robots", "googlebot", "viewport", "theme-color")
+GRAVE_LOSSES = ("link canonical", "meta robots", "meta googlebot", "link hreflang")
+WITHOUT_SCRIPTS = " (sans JavaScript)"
+
+
+def _head_label(x: Column) -> Column:
+    """What a head element tells search engines, null if nothing."""
+    a = lambda k: F.lower(F.trim(F.coalesce(x["attrs"][k], F.lit(""))))
+    name, rel = F.coalesce(F.nullif(a("name"), F.lit("")), a("property")), F.split(a("rel"), r"\s+")
+    meta = F.when(name.isin(*HEAD_METAS) | name.startswith("og:") | name.startswith("twitter:"), F.concat(F.lit("meta "), name))
+    link = (
+        F.when(F.array_contains(rel, "canonical"), "link canonical").when(F.array_contains(rel, "alternate"), F.when(a("hreflang") != "", "link hreflang").otherwise("link alternate"))
+        .when(F.array_contains(rel, "manifest"), "link manifest").when(F.array_contains(rel, "preload") & ((a("as") == "image") | (a("fetchpriority") == "high")), "link preload LCP")
+    )
+    return F.when(x["tag"] == "title", "title").when(x["tag"] == "meta", meta).when(x["tag"] == "link", link)
 
 
-def broken_head(pages: DataFrame) -> DataFrame:
-    """Pages whose head is closed early by an element that may not stand in it; grave if canonical, robots or hreflang come after.
+def broken_head(read: DataFrame) -> DataFrame:
+    """Heads that an element or a text ends before their time, with what is lost behind it; grave if canonical, robots or hreflang
+    are. read: sources.html.parsed().
 
-    By built-in functions on the source text: the first foreign tag before </head>, and what the rest of the head still holds.
+    The events of a page are its elements and text nodes in order. Before the head, html and blanks are passed over; head, or an
+    element that may stand in one, opens it; anything else means that there is no head to end. In the head, the content of raw
+    elements is passed over. body, frameset or the end of head close it. A noscript is read twice: as raw text, and as markup for
+    readers without scripts, whose losses are told apart and never grave.
     """
-    head = F.regexp_replace(F.regexp_extract("html", r"(?is)<head[^>]*>(.*?)</head>", 1), r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1>", "")
-    foreign = rf"(?i)<(?!/|!|{'|'.join(f'{t}(?![a-z0-9-])' for t in HEAD_TAGS)})([a-z][a-z0-9-]*)"
-    tag = F.lower(F.regexp_extract(head, foreign, 1))
-    lost = F.split(head, foreign, 2)
-    grave = F.get(lost, F.lit(1)).rlike(r"""(?i)rel=["']?canonical|name=["']?robots|hreflang=""")
-    t = pages.select(urls.host(F.col("url")).alias("site"), "url", tag.alias("tag"), grave.alias("grave")).filter("tag <> ''")
-    return t.select("site", "url", F.lit("tete_interrompue").alias("key"), F.when(F.col("grave"), "haute").otherwise("moyenne").alias("severity"), F.col("tag").alias("signature"), F.col("tag").alias("example"))
+    texts = F.transform("texts", lambda t, k: F.struct(k.alias("k"), t["at"].alias("at"), (F.length(F.regexp_replace(t["text"], r"[\t\n\f\r \x{FEFF}]", "")) > 0).alias("told")))
+    t = read.select("site", "url", "items", F.filter(texts, lambda x: x["told"]).alias("texts"))
+    within = lambda pos: F.when(pos >= 0, F.get("items", pos)["within"]).otherwise(0)
+    t = held(t, "start", F.get(F.filter("items", lambda x: x["tag"] != "html"), F.lit(0)))
+    start = F.col("start")
+    early = F.exists("texts", lambda x: (x["k"] < F.col("start.t0")) & (within(x["at"]).bitwiseAND(F.lit(8)) == 0))
+    t = t.filter(start["tag"].isin("head", *HEAD_TAGS) & ~early)
+    ends = F.filter("items", lambda x: (x["pos"] > F.col("start.pos")) & x["tag"].isin("body", "frameset"))
+    stop = F.least(F.coalesce(F.get(ends, F.lit(0))["pos"], F.size("items")), F.when(start["tag"] == "head", start["leave"]).otherwise(F.size("items")))
+    t = held(t, "stop", stop)
+    last = F.when(F.col("stop") < F.size("items"), F.get("items", F.col("stop"))["t0"]).otherwise(F.when(start["tag"] == "head", start["t1"]).otherwise(1_000_000_000))
+    last = F.least(last, F.when(start["tag"] == "head", start["t1"]).otherwise(last))
+    raw = lambda x, mask: within(x["parent"]).bitwiseAND(F.lit(mask)) != 0
+    inside = F.filter("items", lambda x: (x["pos"] >= F.col("start.pos")) & (x["pos"] < F.col("stop")) & ~x["tag"].isin("html", "head"))
+    # Events of the head in order: place (text node, then element), what ends the head, label, and how it is read.
+    in_noscript = lambda pos: (F.get("items", pos)["tag"] == "noscript") & F.coalesce(F.get("items", F.get("items", pos)["parent"])["tag"].isin("html", "head"), F.lit(True))
+    tags = F.transform(inside, lambda x: F.struct(
+        (x["t0"] * F.lit(2) + 1).cast("long").alias("text"), x["pos"].alias("pos"), F.when(~x["tag"].isin(*HEAD_TAGS), F.concat(F.lit("<"), x["tag"], F.lit(">"))).alias("ends"), _head_label(x).alias("label"),
+        raw(x, 8).alias("raw"), raw(x, 16).alias("noscript"), F.coalesce(in_noscript(x["parent"]), F.lit(False)).alias("direct")))
+    words = F.transform(F.filter("texts", lambda x: (x["k"] >= F.col("start.t0")) & (x["k"] < F.col("last"))), lambda x: F.struct(
+        (x["k"] * F.lit(2) + 2).cast("long").alias("text"), F.lit(-1).alias("pos"), F.lit("#texte").alias("ends"), F.lit(None).cast("string").alias("label"),
+        (within(x["at"]).bitwiseAND(F.lit(8)) != 0).alias("raw"), (within(x["at"]).bitwiseAND(F.lit(16)) != 0).alias("noscript"), F.coalesce(in_noscript(x["at"]), F.lit(False)).alias("direct")))
+    t = held(held(t, "last", last), "events", F.array_sort(F.concat(tags, words)))
+    shown = F.filter("events", lambda e: ~e["raw"] & ~e["noscript"])
+    cut = F.get(F.filter(shown, lambda e: e["ends"].isNotNull()), F.lit(0))
+    t = held(t, "cut", cut)
+    after = lambda e, c: F.struct(e["text"], e["pos"]) > F.struct(F.col(c)["text"], F.col(c)["pos"])
+    t = held(t, "lost", F.array_distinct(F.transform(F.filter(shown, lambda e: e["label"].isNotNull() & after(e, "cut")), lambda e: e["label"])))
+    bare = F.get(F.filter("events", lambda e: ~e["raw"] & e["direct"] & e["ends"].isNotNull() & (F.col("cut").isNull() | ~after(e, "cut"))), F.lit(0))
+    t = held(t, "bare", bare)
+    t = held(t, "bare_lost", F.array_distinct(F.transform(F.filter("events", lambda e: ~e["raw"] & e["label"].isNotNull() & after(e, "bare")), lambda e: e["label"])))
+    told = lambda what, extra, lost: F.concat(what, F.lit(extra + " puis : "), F.array_join(lost, ", "))
+    grave = F.arrays_overlap("lost", F.array(*map(F.lit, GRAVE_LOSSES)))
+    first = F.when(F.col("cut").isNotNull() & (F.size("lost") > 0), F.struct(F.when(grave, "haute").otherwise("moyenne").alias("severity"), told(F.col("cut.ends"), "", "lost").alias("signature")))
+    known = F.col("cut").isNotNull() & (F.size(F.array_except("bare_lost", "lost")) == 0)
+    second = F.when(F.col("bare").isNotNull() & (F.size("bare_lost") > 0) & ~known, F.struct(F.lit("moyenne").alias("severity"), told(F.concat(F.lit("<noscript>"), "bare.ends"), WITHOUT_SCRIPTS, "bare_lost").alias("signature")))
+    out = t.select("site", "url", F.inline(F.array_compact(F.array(first, second))))
+    return out.select("site", "url", F.lit("tete_interrompue").alias("key"), "severity", "signature", F.col("signature").alias("example"))
 
 
 # Hosts of script loaders whose content changes, so that no fingerprint can hold, with the path they need and their name.
@@ -259,31 +310,13 @@ def third_parties(items: DataFrame) -> DataFrame:
     return _seen(t.filter("why IS NULL"), "sri_absent", "basse", source).unionByName(_seen(t.filter("why IS NOT NULL"), "sri_non_applicable", "info", source, F.col("why")))
 
 
-# Properties without which a type has no effect, and types that search engines retired.
-REQUIRED = {
-    "Product": ("name", "offers"), "Article": ("headline",), "NewsArticle": ("headline",), "BlogPosting": ("headline",), "Event": ("name", "startDate", "location"), "Recipe": ("name", "image"), "Course": ("name", "description"),
-    "FAQPage": ("mainEntity",), "LocalBusiness": ("name", "address"), "Organization": ("name",), "BreadcrumbList": ("itemListElement",), "VideoObject": ("name", "thumbnailUrl", "uploadDate"), "JobPosting": ("title", "datePosted", "hiringOrganization"),
-}
-RETIRED = ("HowTo", "SpecialAnnouncement", "CourseInfo", "ClaimReview", "EstimatedSalary", "LearningVideo", "VehicleListing")
-
-
-def structured_data(items: DataFrame) -> DataFrame:
-    """Missing required properties, and types without effect."""
-    from lanternfish.sources.html import jsonld
-
-    o = jsonld(items)
-    need = F.element_at(F.create_map(*[x for t, p in REQUIRED.items() for x in (F.lit(t), F.array(*map(F.lit, p)))]), F.col("type"))
-    keys = F.map_keys(F.from_json(F.to_json("o"), "map<string,string>"))
-    missing = o.withColumn("missing", F.array_except(need, keys)).filter("size(missing) > 0")
-    return _seen(missing, "jsonld_proprietes_requises", "moyenne", F.concat("type", F.lit(": "), F.array_join("missing", ", "))).unionByName(_seen(o.filter(F.col("type").isin(*RETIRED)), "jsonld_type_sans_effet", "info", F.col("type")))
-
-
 def _registered() -> dict:
     """Module name -> rule over elements and lines."""
     from lanternfish.operators.leaks import leaks
+    from lanternfish.operators.structured import structured_data
 
-    alone = {"a11y_noms": nameless, "a11y_structure": structure, "a11y_svg": drawings, "a11y_textes": wording, "securite_html": third_parties, "donnees_structurees": structured_data}
-    return {k: (lambda items, lines, rule=rule: rule(items)) for k, rule in alone.items()} | {"contenu_demo": placeholders, "fuites_rendu": leaks}
+    alone = {"a11y_noms": nameless, "a11y_structure": structure, "a11y_svg": drawings, "a11y_textes": wording, "securite_html": third_parties}
+    return {k: (lambda items, lines, rule=rule: rule(items)) for k, rule in alone.items()} | {"contenu_demo": placeholders, "fuites_rendu": leaks, "donnees_structurees": structured_data}
 
 
 def observations(items: DataFrame, lines: DataFrame, modules=None) -> DataFrame:

@@ -258,7 +258,8 @@ def lines(pages: DataFrame, seq_col: str = "page_id") -> DataFrame:
 def unmarked(line: Column, without: int = 7) -> Column:
     """The text of a line without what stands in the WITHIN kinds of the mask `without`; runs of blanks are one blank."""
     drop = "".join(str(k) for k in range(1, 8) if k & without)
-    return _folded(F.regexp_replace(F.regexp_replace(line, f"\\x01[{drop}][^\\x02]*\\x02", ""), "\\x01[1-7]|\\x02", ""))
+    kept = F.regexp_replace(line, f"\\x01[{drop}][^\\x02]*\\x02", "") if drop else line
+    return _folded(F.regexp_replace(kept, "\\x01[1-7]|\\x02", ""))
 
 
 def page_records(read: DataFrame, facts: DataFrame | None = None) -> DataFrame:

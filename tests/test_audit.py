@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text, urls
-from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, modules, reports, resources, robots, scores, site_issues
+from lanternfish.operators import code_rules, code_scan, domain, findings, geo, headers, history, issues, links, modules, reports, resources, robots, scores, site_issues, structured
 from lanternfish.sources import bodies, files, html
 from lanternfish.sources import pages as source
 
@@ -82,8 +82,13 @@ def read(spark):
 
 
 @pytest.fixture(scope="module")
-def items(spark):
-    return html.elements(spark.createDataFrame(PAGES, "page_id bigint, url string, html string")).cache()
+def items(read):
+    return html.elements(read).cache()
+
+
+@pytest.fixture(scope="module")
+def lines(read):
+    return html.lines(read).cache()
 
 
 WHOLE = """<!DOCTYPE html><html lang="fr"><head><title>Un titre de page qui dit assez</title><meta name="description" content="%s"><meta name="viewport" content="width=device-width">
@@ -111,30 +116,30 @@ def test_reader_and_records(spark, read):
     assert {("noindex", 1), ("lang_missing", 1), ("mixed_content", 1), ("jsonld_invalid", 1), ("img_no_dims", 2), ("form_no_label", 1)} <= found and "title_short" not in {k for k, _ in found}
 
 
-def test_modules_fire_where_they_should(items):
-    got = sorted((r.key, r.signature) for r in modules.observations(items).collect())
+def test_modules_fire_where_they_should(items, lines):
+    got = sorted((r.key, r.signature) for r in modules.observations(items, lines).collect())
     keys = [k for k, _ in got]
     assert keys.count("lien_sans_nom") == 1 and keys.count("bouton_sans_nom") == 1 and keys.count("svg_non_masque") == 1 and keys.count("titres_sautes") == 1
-    assert ("fuite_rendu", "undefined") in got and keys.count("fuite_rendu") == 1 and keys.count("fuite_rendu_isolee") == 1
+    assert ("fuite_rendu_isolee", "undefined — « undefined »") in got and keys.count("fuite_rendu") == 0 and keys.count("fuite_rendu_isolee") == 1
     assert ("lien_generique", "ici") in got and keys.count("lien_generique") == 1 and ("alt_suspect", "photo.jpg") in got and ("iframe_sans_titre", "/f") in got
-    assert ("sri_absent", "https://cdn.org/x.js") in got and ("sri_non_applicable", "https://www.googletagmanager.com/gtag.js") in got and ("jsonld_proprietes_requises", "Product: offers") in got
+    assert ("sri_absent", "https://cdn.org/x.js") in got and ("sri_non_applicable", "https://www.googletagmanager.com/gtag.js") in got and ("jsonld_proprietes_requises", "Product : offers|review|aggregateRating") in got
     assert {"zoom_bloque", "aria_label_interdit", "aria_ref_cassee", "contenu_demo"} <= set(keys)
-    g = {r.key: (r.occurrences, r.pages) for r in modules.groups(modules.observations(items)).collect()}
+    g = {r.key: (r.occurrences, r.pages) for r in modules.groups(modules.observations(items, lines)).collect()}
     assert g["lien_sans_nom"] == (1, 1)
 
 
-def test_a_failing_module_does_not_end_the_others(items):
-    def broken(df):
+def test_a_failing_module_does_not_end_the_others(items, lines):
+    def broken(df, lines):
         return df.select("no_such_column")
 
-    rows = modules.observations(items, {"a11y_noms": modules.nameless, "broken": broken}).collect()
+    rows = modules.observations(items, lines, {"a11y_noms": lambda i, _: modules.nameless(i), "broken": broken}).collect()
     assert {r.key for r in rows if r.module == "broken"} == {"modules_en_erreur"} and any(r.key == "lien_sans_nom" for r in rows)
 
 
 def test_broken_head(spark):
     rows = [(1, "http://a.b/1", "<head><title>t</title><div></div><link rel=canonical href=x></head>"), (2, "http://a.b/2", "<head><title>t</title><script>'<div>'</script></head><body><div></div></body>"), (3, "http://a.b/3", "<head><meta name=x><p>y</p></head>")]
-    got = {(r.url, r.severity, r.signature) for r in modules.broken_head(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got == {("http://a.b/1", "haute", "div"), ("http://a.b/3", "moyenne", "p")}
+    got = {(r.url, r.severity, r.signature) for r in modules.broken_head(html.parsed(spark.createDataFrame(rows, "page_id int, url string, html string"))).collect()}
+    assert got == {("http://a.b/1", "haute", "<div> puis : link canonical")}
 
 
 def test_page_rules_at_their_bounds(spark):
@@ -413,7 +418,7 @@ def test_long_pages_are_read_whole(spark):
     assert (record.n_jsonld, record.jsonld_errors) == (1, 0)
     objects = html.jsonld(items.filter("seq = 0"))
     assert objects.count() == 2002
-    missing = geo.prices_not_shown(objects.filter("type = 'Offer'"), items.filter("tag = 'body'")).collect()
+    missing = geo.prices_not_shown(objects.filter("type = 'Offer'"), structured.page_texts(html.lines(pages.filter("page_id = 0")))).collect()
     assert [float(r.price) for r in missing] == [43.5]
 
 
@@ -519,11 +524,16 @@ def _read(spark, *bodies_, url="https://s.com/a"):
     return html.elements(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
 
 
+def _parsed(spark, *bodies_):
+    return html.parsed(spark.createDataFrame([(k, "https://s.com/a" if k == 0 else f"https://s.com/{k}", b) for k, b in enumerate(bodies_)], "page_id bigint, url string, html string")).cache()
+
+
 def test_template_content(spark):
-    got = modules.placeholders(_read(
+    read = _parsed(
         spark, "<head><title>My docs</title><meta name=description content='Welcome to my website!'></head><body><p>Lorem ipsum dolor sit amet</p><li>dolor sit amet <b>x</b></li><div>texte à remplacer : à remplacer par votre texte</div><a href='mailto:me@example.com'>x</a><a href='tel:01 23 45 67 89'>y</a></body>",
         "<body><p>On dit « lorem ipsum dolor » et \"sed do eiusmod\" et 'lorem ipsum dolor'</p><p><code>Welcome to Astro</code></p><p hidden>lorem ipsum dolor</p><p>Le lorem ipsum est un faux texte</p><a href='mailto:me@real.com'>x</a><p>« ouvert lorem ipsum dolor</p></body>",
-    )).collect()
+    )
+    got = modules.placeholders(html.elements(read), html.lines(read)).collect()
     assert {(r.url, r.signature) for r in got} == {("https://s.com/a", x) for x in (
         "lorem ipsum (texte) : « Lorem ipsum dolor sit amet »", "texte à remplacer (texte) : « texte à remplacer : à remplacer par votre texte »", "valeur par défaut du gabarit (titre) : « My docs »",
         "valeur par défaut du gabarit (description) : « Welcome to my website! »", "coordonnées fictives (lien) : « mailto:me@example.com »")}
