@@ -146,16 +146,34 @@ def rich_records(spark, sf_dir):
     return _shown(rich_records_of(spark, sf_dir))
 
 
-@query("rich_violations", f"WITH {RICH_RECORDS}, {JUDGED}, {VIOLATIONS} SELECT * FROM vio")
+#: What a fetch would know, by the page's id: every rule of the catalogue meets pages that break it.
+FETCHED = {
+    "final_status": "CASE WHEN seq % 13 = 0 THEN 404 WHEN seq % 17 = 0 THEN 503 WHEN seq % 19 = 0 THEN -1 ELSE 200 END", "redirect_hops": "CASE WHEN seq % 14 = 1 THEN 2 WHEN seq % 7 = 1 THEN 1 ELSE 0 END",
+    "status": "CASE WHEN seq % 21 = 1 THEN 302 WHEN seq % 7 = 1 THEN 301 ELSE 200 END", "ttfb": "CAST(seq % 10 AS DOUBLE) / 8", "depth": "CAST(seq % 6 AS INT)", "inlinks": "CAST(seq % 4 AS BIGINT)",
+}
+_UNKNOWN = {"final_status": "200", "redirect_hops": "0", "status": "NULL::INT", "ttfb": "NULL::DOUBLE", "depth": "NULL::INT", "inlinks": "NULL::BIGINT"}
+FETCHED_JUDGED = JUDGED
+for _name, _expr in FETCHED.items():
+    FETCHED_JUDGED = FETCHED_JUDGED.replace(f"{_UNKNOWN[_name]} AS {_name}", f"{_expr} AS {_name}")
+
+
+def fetched_records_of(spark, sf_dir):
+    """Records of rich pages with the facts of a fetch."""
+    facts = {k: F.expr(v) for k, v in FETCHED.items()}
+    return source.completed(html.page_records(html.parsed(rich_pages_of(spark, sf_dir))).withColumns(facts))
+
+
+@query("rich_violations", f"WITH {RICH_RECORDS}, {FETCHED_JUDGED}, {VIOLATIONS} SELECT * FROM vio")
 def rich_violations(spark, sf_dir):
-    return issues.violations(rich_records_of(spark, sf_dir))
+    return issues.violations(fetched_records_of(spark, sf_dir))
 
 
 @query("rich_issues", f"""
-WITH {RICH_RECORDS}, {JUDGED}, {VIOLATIONS}, p AS (SELECT *, row_number() OVER (PARTITION BY site, key ORDER BY seq, url) AS place FROM vio)
+WITH {RICH_RECORDS}, {FETCHED_JUDGED}, {VIOLATIONS}, p AS (SELECT *, row_number() OVER (PARTITION BY site, key ORDER BY seq, url) AS place FROM vio)
 SELECT site, key, min_by(severity, place) AS severity, sum(n)::BIGINT AS count, string_agg(url, ' ' ORDER BY place) FILTER (place <= 25) AS examples FROM p GROUP BY site, key""")
 def rich_issues(spark, sf_dir):
-    return issues.fold(issues.violations(rich_records_of(spark, sf_dir)))
+    """All 36 rules of the catalogue but heavy_html, of which the driver's pages have none."""
+    return issues.fold(issues.violations(fetched_records_of(spark, sf_dir)))
 
 
 @query("description_duplicates", f"""
@@ -371,21 +389,64 @@ def parsed_issues(spark, sf_dir):
     return issues.fold(issues.violations(stored(records_of(spark, sf_dir), "records")))
 
 
-@query("module_observations", "SELECT " + ", ".join(f"NULL::{t} AS {c}" for c, t in (("site", "VARCHAR"), ("key", "VARCHAR"), ("severity", "VARCHAR"), ("signature", "VARCHAR"), ("occurrences", "BIGINT"), ("pages", "BIGINT"), ("first_pages", "VARCHAR"), ("example", "VARCHAR"))) + " WHERE FALSE")
+# Pieces that modules find fault with: condition on page_id, marker before which it stands, piece, and what each page with it gives
+# (key, severity, signature, example).
+FAULTS = (
+    ("page_id % 2 = 0", "<article>", '<a href="/vide"></a><button></button>', (("lien_sans_nom", "haute", "/vide", "/vide"), ("bouton_sans_nom", "haute", "button", "button"))),
+    ("page_id % 3 = 0", "<article>", '<section><h2>Un</h2><h4>Saut</h4></section><p aria-describedby="absent">x<p aria-labelledby="la">y', (("titres_sautes", "moyenne", "h2 > h4", "Saut"), ("aria_ref_cassee", "moyenne", "absent", "absent"), ("aria_ref_cassee", "moyenne", "la", "la"))),
+    ("page_id % 3 = 1", "<article>", '<iframe src="/cadre?k=1"></iframe><div aria-label="zone">q</div>', (("iframe_sans_titre", "moyenne", "/cadre", "/cadre"), ("aria_label_interdit", "moyenne", "zone", "zone"))),
+    ("page_id % 5 = 0", "<article>", '<svg viewBox="0 0 1 1"></svg><svg role="img" fill="red"></svg>', (("svg_non_masque", "moyenne", "0 0 1 1", "0 0 1 1"), ("svg_img_sans_nom", "haute", "red", "red"))),
+    ("page_id % 5 = 1", "<article>", '<a href="/c">Ici</a><a href="/d">ici</a><a href="/d">Le tarif</a><img src="/i.png" alt="IMG_1234.jpg"><a href="/chat">Un chat<img src="/c.png" alt="un chat"></a>', (("lien_generique", "basse", "ici", "ici"), ("alt_suspect", "basse", "IMG_1234.jpg", "IMG_1234.jpg"), ("alt_redondant", "basse", "un chat", "un chat"))),
+    ("page_id % 7 = 0", "<article>", "<p>Lorem ipsum dolor sit amet<p><q>dolor sit amet</q>", (("contenu_demo", "moyenne", "lorem ipsum (texte) : « Lorem ipsum dolor sit amet »", "lorem ipsum (texte) : « Lorem ipsum dolor sit amet »"),)),
+    ("page_id % 7 < 3", "<article>", "<p>Prix : undefined €<p>La valeur null est un mot de ce texte<ul><li>null</ul><code>NaN min</code>", (("fuite_rendu", "haute", "undefined — « Prix : undefined € »", "undefined — « Prix : undefined € »"), ("fuite_rendu_isolee", "basse", "null — « null »", "null — « null »"))),
+    ("page_id % 11 = 0", "<article>", '<img src="/a.png" alt="Vue de NaN"><a href="/cours/undefined">Cours</a><a href="https://doc.example.com/null">Doc</a>', (("fuite_rendu_isolee", "basse", 'NaN — alt="Vue de NaN"', 'NaN — alt="Vue de NaN"'), ("fuite_rendu", "haute", "undefined — href /cours/undefined", "undefined — href /cours/undefined"))),
+    ("page_id % 4 = 0", "<article>", '<script src="https://cdn.tiers.net/x.js"></script><script src="https://www.googletagmanager.com/gtag.js"></script>', (("sri_absent", "basse", "https://cdn.tiers.net/x.js", "https://cdn.tiers.net/x.js"), ("sri_non_applicable", "info", "https://www.googletagmanager.com/gtag.js", "chargeur au contenu changeant : Google Tag Manager / gtag"))),
+    ("page_id % 4 = 1", "<article>", '<script type="application/ld+json">{"@type": "WebPage", "mainEntity": {"@type": "Product", "name": "x", "@id": "#p"}, "about": [{"@type": "HowTo"}]}</script>', (("jsonld_proprietes_requises", "moyenne", "Product : offers|review|aggregateRating", "Product : offers|review|aggregateRating"), ("jsonld_type_sans_effet", "info", "HowTo : résultats enrichis retirés en 2023", "HowTo : résultats enrichis retirés en 2023"))),
+    ("page_id % 4 = 2", "<article>", '<script type="application/ld+json">{"@graph": [{"@type": "Product", "@id": "#p", "name": "x"}, {"@type": "Offer", "itemOffered": {"@id": "#p"}}, {"@type": "Course", "name": "c"}]}</script>', (("jsonld_cours_incomplet", "basse", "Course : description", "Course : description"),)),
+    ("page_id % 6 = 5", "</head>", '<meta name="viewport" content="maximum-scale=1">', (("zoom_bloque", "haute", "maximum-scale=1", "maximum-scale=1"),)),
+)
+LOST_HEADS = (
+    ("page_id % 4 = 0", '<img><link rel="canonical" href="x">', "haute", "<img> puis : link canonical"), ("page_id % 4 = 1", 'words<meta name="description" content="d">', "moyenne", "#texte puis : meta description"),
+    ("page_id % 4 = 2", '<noscript><iframe></iframe></noscript><meta name="robots" content="noindex">', "moyenne", "<noscript><iframe> (sans JavaScript) puis : meta robots"),
+)
+
+
+def _broken(parts) -> str:
+    """SQL of both engines: html with the pieces of (condition, marker, piece) put before their markers."""
+    out = "html"
+    for marker in dict.fromkeys(m for _, m, _ in parts):
+        put = " || ".join(f"CASE WHEN {when} THEN '{piece}' ELSE '' END" for when, m, piece in parts if m == marker)
+        out = f"replace({out}, '{marker}', {put} || '{marker}')"
+    return out
+
+
+FAULTY = _broken([f[:3] for f in FAULTS])
+OBSERVED = "obs AS (" + " UNION ALL ".join(
+    f"SELECT {_f(HOST, 'url')} AS site, url, '{k}' AS key, '{s}' AS severity, '{g}' AS signature, '{e}' AS example FROM pages WHERE {when} AND contains(html, '{marker}')" for when, marker, _, seen in FAULTS for k, s, g, e in seen
+) + ")"
+
+
+@query("module_observations", f"""
+WITH {OBSERVED}, p AS (SELECT site, key, severity, signature, url, count(*) AS n, min(example) AS example FROM obs GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, key, signature ORDER BY url) AS place FROM p)
+SELECT site, key, severity, signature, sum(n)::BIGINT AS occurrences, count(*)::BIGINT AS pages, string_agg(url, ' ' ORDER BY url) FILTER (place <= 3) AS first_pages, min(example) AS example FROM r GROUP BY ALL""")
 def module_observations(spark, sf_dir):
-    """No page of the driver's tables has an element that a module finds fault with; tests/test_audit.py has pages that do."""
+    """All modules over pages with the pieces of FAULTS."""
     from lanternfish.operators import modules
 
-    items = stored(html.elements(pages_of(spark, sf_dir)), "elements")
-    return modules.groups(modules.observations(items).drop("module"))
+    read = stored(html.parsed(pages_of(spark, sf_dir).selectExpr("page_id", "url", f"{FAULTY} AS html")), "parsed")
+    items, lines = stored(html.elements(read), "elements"), html.lines(read)
+    return modules.groups(modules.observations(items, lines).drop("module"))
 
 
-@query("broken_heads", "SELECT NULL::VARCHAR AS site, NULL::VARCHAR AS url, NULL::VARCHAR AS key, NULL::VARCHAR AS severity, NULL::VARCHAR AS signature, NULL::VARCHAR AS example WHERE FALSE")
+@query("broken_heads", "SELECT site, url, 'tete_interrompue' AS key, severity, signature, signature AS example FROM (" + " UNION ALL ".join(
+    f"SELECT {_f(HOST, 'url')} AS site, url, '{s}' AS severity, '{g}' AS signature FROM pages WHERE {when} AND contains(html, '</head>')" for when, _, s, g in LOST_HEADS) + ")")
 def broken_heads(spark, sf_dir):
-    """No page of the driver's tables has a broken head."""
+    """Heads that an image, a text or a noscript ends before their time."""
     from lanternfish.operators import modules
 
-    return modules.broken_head(pages_of(spark, sf_dir))
+    heads = _broken([(when, "</head>", piece) for when, piece, _, _ in LOST_HEADS])
+    return modules.broken_head(html.parsed(pages_of(spark, sf_dir).selectExpr("page_id", "url", f"{heads} AS html")))
 
 
 # Findings over several pages. States that the tables lack are read from the page's id: of every site, pages 2 of 5 are in the
