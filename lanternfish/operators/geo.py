@@ -43,14 +43,6 @@ def type_counts(objects: DataFrame) -> DataFrame:
     return objects.groupBy("site", "type").agg(F.count("*").alias("n"))
 
 
-def merged_objects(objects: DataFrame) -> DataFrame:
-    """site, url, id, properties: objects of a page with one `@id` as one, the first value that is not empty of each property."""
-    rows = objects.withColumn("id", F.expr("try_variant_get(o, '$[\"@id\"]', 'string')")).filter("id IS NOT NULL").dropDuplicates(["url", "pos", "id"])
-    props = rows.select("site", "url", "id", "pos", F.explode(F.from_json(F.to_json("o"), "map<string,string>")).alias("k", "v")).filter("k <> '@id' AND v IS NOT NULL AND v NOT IN ('', '[]', '{}')")
-    first = props.groupBy("site", "url", "id", "k").agg(F.min_by("v", "pos").alias("v"))
-    return first.groupBy("site", "url", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
-
-
 def entity_findings(sites: DataFrame, objects: DataFrame) -> DataFrame:
     """site, key: entite_absente, sameas_absent, marque_incoherente (several names of entities)."""
     e = objects.filter(F.col("type").isin(*ENTITIES))

@@ -98,9 +98,11 @@ def unmatched_signals(spark, sf_dir):
     return findings.unmatched(s, findings.matched(s, sheets_of(spark)[1])).select("site", "source", "key")
 
 
-@query("undetected_sheets", "WITH a AS (SELECT 1)" + _SHEETS_SQL + " SELECT sheet_id, title FROM she WHERE sheet_id NOT IN (SELECT sheet_id FROM tri)")
+@query("undetected_sheets", SIGNALS + _SHEETS_SQL + " SELECT DISTINCT site, sheet_id, title FROM sig JOIN she ON sheet_id NOT IN (SELECT sheet_id FROM tri)")
 def undetected_sheets(spark, sf_dir):
-    return findings.undetected(*sheets_of(spark)).select("sheet_id", "title")
+    """For every site, the sheets that a person has to check."""
+    sheets = findings.undetected(*sheets_of(spark)).select("sheet_id", "title").withColumn("all", F.lit(True))
+    return signals_of(spark, sf_dir).select("site").distinct().withColumn("all", F.lit(True)).join(F.broadcast(sheets), "all").drop("all")
 
 
 @query("linked_corrections", SIGNALS + _SHEETS_SQL + " SELECT DISTINCT site, sig.source, key, sheet_id FROM sig LEFT JOIN tri ON key = pattern AND sig.source = tri.source")
