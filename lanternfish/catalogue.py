@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternfish.plans import golden_queries, page_queries, score_queries
+from lanternfish.plans import crawl_queries, golden_queries, page_queries, score_queries
 
-MODULES = (page_queries, score_queries, golden_queries)
+MODULES = (page_queries, score_queries, golden_queries, crawl_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

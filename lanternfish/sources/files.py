@@ -22,12 +22,15 @@ def tolerant_json(texts: DataFrame, column: str, schema: str) -> DataFrame:
     return texts.withColumn("parsed", F.from_json(column, schema, {"mode": "PERMISSIVE"}))
 
 
+_SITEMAP = "url array<struct<loc: string, lastmod: string>>, sitemap array<struct<loc: string, lastmod: string>>"
+
+
 def sitemap(texts: DataFrame) -> DataFrame:
-    """site, url, lastmod, is_index of sitemap documents (site, xml); broken documents give no rows."""
-    block = F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1)))
-    rows = texts.select("site", F.contains("xml", F.lit("<sitemapindex")).alias("is_index"), block.alias("b"))
-    plain = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("b", rf"(?s)<{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1), "&amp;", "&"))
-    return rows.select("site", plain("loc").alias("url"), F.nullif(plain("lastmod"), F.lit("")).alias("lastmod"), "is_index").filter("url <> ''")
+    """site, url, lastmod, is_index of sitemap documents (site, xml), read by Spark's XML parser: entities and CDATA are decoded and
+    namespaces do not matter; broken documents give no rows."""
+    doc = texts.select("site", F.from_xml(F.trim(F.regexp_replace("xml", r"^\x{FEFF}", "")), _SITEMAP, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("d"))
+    of = lambda name, index: F.transform(F.coalesce(F.col("d")[name], F.array().cast("array<struct<loc: string, lastmod: string>>")), lambda x: F.struct(F.trim(x["loc"]).alias("url"), F.nullif(F.trim(x["lastmod"]), F.lit("")).alias("lastmod"), F.lit(index).alias("is_index")))
+    return doc.select("site", F.inline(F.concat(of("url", False), of("sitemap", True)))).filter("url <> ''")
 
 
 def sitemaps(start: DataFrame, documents: DataFrame) -> DataFrame:

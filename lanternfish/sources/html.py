@@ -101,7 +101,7 @@ class Reader(HTMLParser):
         pos = len(self.rows)
         row = {
             "pos": pos, "tag": tag, "attrs": seen, "parent": up["pos"] if up else -1, "leave": pos, "t0": len(self.texts), "t1": len(self.texts), "words": self.words, "hidden": hidden or bool(up and up["hidden"]),
-            "inert": tag in ("template", "noscript") or bool(up and up["inert"]), "landmark": pos if tag in LANDMARKS else (up["landmark"] if up else -1), "head": tag == "head" or bool(up and up["head"]),
+            "inert": tag in ("template", "noscript") or bool(up and up["inert"]), "landmark": pos if tag in LANDMARKS else (up["landmark"] if up else -1), "scope": (up["pos"] if "itemscope" in up["attrs"] else up["scope"]) if up else -1, "head": tag == "head" or bool(up and up["head"]),
             "main": tag == "main" or bool(up and up["main"]), "closed": tag in VOID, "block": up["block"] if inline else pos, "lone": None, "within": WITHIN.get(tag, 0) | (up["within"] if up else 0),
             "quiet": tag in NO_TEXT or bool(up and up["quiet"]), "unshown": tag in NOT_SHOWN or bool(up and up["unshown"]),
         }
@@ -180,7 +180,7 @@ class Reader(HTMLParser):
         self._close(0)
 
 
-ITEM = "pos int, tag string, attrs map<string,string>, parent int, leave int, t0 int, t1 int, words int, hidden boolean, inert boolean, landmark int, head boolean, main boolean, closed boolean, block int, lone string, within int"
+ITEM = "pos int, tag string, attrs map<string,string>, parent int, leave int, t0 int, t1 int, words int, hidden boolean, inert boolean, landmark int, head boolean, main boolean, closed boolean, block int, lone string, within int, scope int"
 PARSED = f"seq bigint, site string, url string, bytes_html bigint, items array<struct<{ITEM.replace(' ', ':').replace(',:', ', ')}>>, texts array<struct<kind:int, at:int, text:string>>, blocks array<struct<pos:int, text:string>>"
 
 
@@ -190,7 +190,7 @@ def _read(html: str) -> tuple[list[dict], list[dict], list[dict]]:
         reader.feed(html)
         reader.close()
     except Exception as e:  # a page that breaks the reader must not end the job; it is reported as an element
-        return [{"pos": 0, "tag": "!error", "attrs": {"why": type(e).__name__}, "parent": -1, "leave": 0, "t0": 0, "t1": 0, "words": 0, "hidden": False, "inert": False, "landmark": -1, "head": False, "main": False, "closed": True, "block": 0, "within": 0}], [], []
+        return [{"pos": 0, "tag": "!error", "attrs": {"why": type(e).__name__}, "parent": -1, "leave": 0, "t0": 0, "t1": 0, "words": 0, "hidden": False, "inert": False, "landmark": -1, "head": False, "main": False, "closed": True, "block": 0, "within": 0, "scope": -1}], [], []
     return reader.rows, reader.texts, [{"pos": k, "text": "".join(v)} for k, v in reader.lines.items()]
 
 
@@ -239,11 +239,11 @@ def text_of(x: Column) -> Column:
 
 def elements(read: DataFrame, seq_col: str = "page_id") -> DataFrame:
     """One row for each element of pages (url, html) or of parsed(). text and alts (alt texts within) stand only at elements of which rules read them: TEXTED,
-    buttons by role, and those that aria-labelledby names; text is null elsewhere."""
+    buttons by role, properties of microdata, and those that aria-labelledby names; text is null elsewhere."""
     read = read if "items" in read.columns else parsed(read, seq_col)
     named = F.flatten(F.transform("items", lambda x: F.split(F.trim(F.coalesce(x["attrs"]["aria-labelledby"], F.lit(""))), r"\s+")))
     read = read.withColumn("named", F.array_remove(F.array_distinct(named), ""))
-    told = lambda x: x["tag"].isin(*TEXTED) | F.coalesce(x["attrs"]["role"] == "button", F.lit(False)) | F.coalesce(F.array_contains("named", x["attrs"]["id"]), F.lit(False))
+    told = lambda x: x["tag"].isin(*TEXTED) | (x["attrs"]["itemprop"].isNotNull() & x["attrs"]["itemscope"].isNull()) | F.coalesce(x["attrs"]["role"] == "button", F.lit(False)) | F.coalesce(F.array_contains("named", x["attrs"]["id"]), F.lit(False))
     each = read.select("seq", "site", "url", F.explode(F.transform("items", lambda x: F.struct(
         x.alias("x"), F.when(told(x), text_of(x)).alias("text"), F.when(told(x), F.trim(F.array_join(_range(x, F.lit(2)), " "))).alias("alts")))).alias("e"))
     return each.select("seq", "site", "url", "e.x.*", "e.text", "e.alts")
@@ -317,7 +317,7 @@ def page_records(read: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         words.cast("bigint").alias("words"), F.coalesce(F.nullif(zone, F.lit(0)), words, F.lit(0)).cast("bigint").alias("content_words"),
         count(lambda x: (x["tag"] == "img") & x["attrs"]["alt"].isNull()).cast("bigint").alias("imgs_no_alt"), count(lambda x: (x["tag"] == "img") & (x["attrs"]["width"].isNull() | x["attrs"]["height"].isNull())).cast("bigint").alias("imgs_no_dims"),
         (F.lower(first(is_tag("img"), lambda x: x["attrs"]["loading"])) == "lazy").alias("lazy_first_img"), count(lambda x: field(x) & nameless(x)).cast("bigint").alias("form_fields_no_label"),
-        count(jsonld).alias("n_jsonld"), count(lambda x: jsonld(x) & F.try_parse_json(text_of(x)).isNull()).alias("jsonld_errors"),
+        count(lambda x: x["attrs"]["itemtype"].isNotNull()).alias("microdata_items"), count(jsonld).alias("n_jsonld"), count(lambda x: jsonld(x) & F.try_parse_json(text_of(x)).isNull()).alias("jsonld_errors"),
         F.when(F.col("url").startswith("https://"), every(insecure, src)).otherwise(F.array().cast("array<string>")).alias("mixed_content"), "bytes_html",
     )
     out = out.withColumns({"is_html": F.lit(True), "noindex": F.contains("meta_robots", F.lit("noindex")) | F.array_contains(F.split(F.regexp_replace("meta_robots", r"\s", ""), ","), "none")})
@@ -371,3 +371,18 @@ RATED = ("review", "reviews", "aggregateRating")
 def jsonld(items: DataFrame) -> DataFrame:
     """site, url, pos, o, type of every typed object at any depth, once for each of its types."""
     return jsonld_objects(items).select("site", "url", "pos", "o", F.explode("types").alias("type"))
+
+
+def microdata(items: DataFrame) -> DataFrame:
+    """site, url, item (its element), type, id, prop, value, holds (the item that a property is, null for plain values) of microdata:
+    a property belongs to the nearest item around it; a name list gives a row for each name. `itemref` is not followed."""
+    a = lambda k: F.col("attrs")[k]
+    at = F.col("tag")
+    value = (
+        F.when(at == "meta", a("content")).when(at.isin("audio", "embed", "iframe", "img", "source", "track", "video"), a("src")).when(at.isin("a", "area", "link"), a("href"))
+        .when(at == "object", a("data")).when(at.isin("data", "meter"), a("value")).when((at == "time") & a("datetime").isNotNull(), a("datetime")).otherwise(F.col("text"))
+    )
+    holds = F.when(a("itemscope").isNotNull(), F.col("pos"))
+    props = items.filter(a("itemprop").isNotNull() & (F.col("scope") >= 0)).select("site", "url", "seq", F.col("scope").alias("item"), F.explode(F.split(F.trim(a("itemprop")), r"\s+")).alias("prop"), F.when(holds.isNull(), value).alias("value"), holds.alias("holds"))
+    scopes = items.filter(a("itemscope").isNotNull()).select("seq", "url", F.col("pos").alias("item"), a("itemtype").alias("type"), a("itemid").alias("id"))
+    return props.join(scopes, ["url", "seq", "item"]).select("site", "url", "item", "type", "id", "prop", "value", "holds")

@@ -11,7 +11,7 @@ from lanternfish.functions import urls
 DEFAULTS = {
     "site": "string", "url": "string", "seq": "bigint", "final_url": "string", "status": "int", "final_status": "int", "redirect_hops": "int", "redirect_statuses": "array<int>", "is_html": "boolean",
     "ttfb": "double", "title": "string", "meta_description": "string", "n_h1": "int", "h1": "array<string>", "words": "bigint", "content_words": "bigint", "bytes_html": "bigint",
-    "depth": "int", "inlinks": "bigint", "in_sitemap": "boolean", "n_jsonld": "int", "jsonld_errors": "int", "og_title": "boolean", "og_image": "boolean", "canonicals": "array<string>",
+    "depth": "int", "inlinks": "bigint", "in_sitemap": "boolean", "n_jsonld": "int", "microdata_items": "int", "jsonld_errors": "int", "og_title": "boolean", "og_image": "boolean", "canonicals": "array<string>",
     "noindex": "boolean", "meta_robots": "string", "lang": "string", "viewport": "boolean", "imgs_no_alt": "bigint", "imgs_no_dims": "bigint", "form_fields_no_label": "bigint", "lazy_first_img": "boolean",
     "mixed_content": "array<string>", "hreflang": "array<string>",
 }
