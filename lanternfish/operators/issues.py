@@ -90,27 +90,48 @@ def title_words(pages: DataFrame) -> DataFrame:
     return each.join(brand, ["site", "token"], "left_anti")
 
 
-def near_titles(pages: DataFrame, least: float = 0.7) -> DataFrame:
-    """site, a, b, similarity: pairs of pages (a before b) with at least two words left whose Jaccard similarity reaches `least`.
+def title_classes(pages: DataFrame) -> DataFrame:
+    """site, s (words that are left, the rarest first), seq and url of the first page, n (pages): the pages of a site that have the
+    same two words or more left, as one class; stored."""
+    from lanternfish.plans.tables import stored
 
-    Prefix filter: with words ordered by rarity, a pair that reaches the bound shares one of the first
-    size - ceil(least * size) + 1 words of each, so only those are joined, and frequent words rarely are.
-    """
     words = title_words(pages)
     df = words.groupBy("site", "token").agg(F.count("*").alias("df"))
     sets = words.join(df, ["site", "token"]).groupBy("site", "seq", "url").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
     sets = sets.select("site", "seq", "url", F.transform("s", lambda x: x["token"]).alias("s")).filter(F.size("s") >= 2)
+    classes = sets.groupBy("site", "s").agg(F.min(F.struct("seq", "url")).alias("first"), F.count("*").alias("n"))
+    return stored(classes.select("site", "s", "first.seq", "first.url", "n"), "title-classes")
+
+
+def near_classes(classes: DataFrame, least: float = 0.7) -> DataFrame:
+    """site, a, b (seq of the first pages of two classes), n_a, n_b, similarity of classes whose words reach `least` by Jaccard.
+
+    Prefix filter: with words ordered by rarity, a pair that reaches the bound shares one of the first
+    size - ceil(least * size) + 1 words of each, so only those are joined, and frequent words rarely are.
+    """
     keep = (F.size("s") - F.ceil(F.lit(least) * F.size("s") - 1e-9) + 1).cast("int")
-    heads = sets.select("site", "seq", "url", "s", F.explode(F.slice("s", F.lit(1), keep)).alias("token"))
+    heads = classes.select("site", "seq", "n", "s", F.slice("s", F.lit(1), keep).alias("head")).withColumn("token", F.explode("head"))
     a, b = heads.alias("a"), heads.alias("b")
     near = (F.size("a.s") >= least * F.size("b.s") - 1e-9) & (F.size("b.s") >= least * F.size("a.s") - 1e-9)
     both = a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.seq") < F.col("b.seq")) & near)
     common = F.size(F.array_intersect("a.s", "b.s"))
     similarity = common / (F.size("a.s") + F.size("b.s") - common)
-    # A pair may share several head words: it is taken at the first of them.
-    shared = F.array_intersect(F.slice("a.s", F.lit(1), (F.size("a.s") - F.ceil(F.lit(least) * F.size("a.s") - 1e-9) + 1).cast("int")), F.slice("b.s", F.lit(1), (F.size("b.s") - F.ceil(F.lit(least) * F.size("b.s") - 1e-9) + 1).cast("int")))
-    once = both.filter(F.get(shared, F.lit(0)) == F.col("a.token"))
-    return once.select("a.site", F.col("a.url").alias("a"), F.col("b.url").alias("b"), F.col("a.seq").alias("seq"), similarity.alias("similarity")).filter(F.col("similarity") >= least - 1e-9)
+    # Classes may share several head words: they are taken at the first of them.
+    once = both.filter(F.get(F.array_intersect("a.head", "b.head"), F.lit(0)) == F.col("a.token"))
+    return once.select("a.site", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), similarity.alias("similarity")).filter(F.col("similarity") >= least - 1e-9)
+
+
+def near_titles(pages: DataFrame, least: float = 0.7) -> DataFrame:
+    """site, seq and url (first page of a class), n (its pages), links (other pages that each of them is near to) and pairs (of near
+    pages, told at the class whose first page comes first) of the classes that are near to something. No pair of pages is ever a
+    row: a title on a million pages is one class."""
+    classes = title_classes(pages)
+    found = near_classes(classes, least)
+    ends = found.select("site", F.col("a").alias("seq"), F.col("n_b").alias("more"), (F.col("n_a") * F.col("n_b")).alias("pairs")).unionByName(found.select("site", F.col("b").alias("seq"), F.col("n_a").alias("more"), F.lit(0).cast("bigint").alias("pairs")))
+    ends = ends.groupBy("site", "seq").agg(F.sum("more").alias("more"), F.sum("pairs").alias("pairs"))
+    own = F.floor(F.col("n") * (F.col("n") - 1) / 2)
+    out = classes.join(ends, ["site", "seq"], "left").fillna(0, ["more", "pairs"])
+    return out.select("site", "seq", "url", "n", (F.col("n") - 1 + F.col("more")).alias("links"), (own + F.col("pairs")).cast("bigint").alias("pairs")).filter("links > 0")
 
 
 def not_in_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:

@@ -53,17 +53,18 @@ def verdicts(urls: DataFrame, table: DataFrame, agents: Sequence[str]) -> DataFr
     """site, path, agent, allowed: the longest matching pattern decides, allow on ties, and what nothing matches is allowed.
 
     urls: site, path; table: rules(). An agent without a group of its own falls under `*`. Which group speaks to an agent is
-    settled for each site before the paths come in; patterns are tested within site and group.
+    settled for each site before the paths come in; patterns are tested once for each path and group, whatever the number of agents.
     """
     asked = urls.select("site", "path").distinct()
     groups = asked.select("site").distinct().select("site", F.explode(F.array(*map(F.lit, agents)) if agents else F.array().cast("array<string>")).alias("agent"))
     own = table.select(F.col("site").alias("own_site"), F.col("agent").alias("own")).distinct()
     groups = groups.join(own, (F.col("site") == F.col("own_site")) & (F.lower("agent") == F.col("own")), "left").select("site", "agent", F.coalesce("own", F.lit("*")).alias("group_agent"))
-    a = asked.join(groups, "site")
+    a = asked.join(groups.select("site", "group_agent").distinct(), "site")
     r = table.filter("pattern IS NOT NULL").select(F.col("site").alias("r_site"), F.col("agent").alias("r_agent"), "allow", "pattern", pattern_regex(F.col("pattern")).alias("rx"))
     met = a.join(r, (F.col("site") == F.col("r_site")) & (F.col("group_agent") == F.col("r_agent")) & F.expr("path rlike rx"), "left")
     best = F.max_by("allow", F.struct(F.length("pattern"), "allow"))
-    return met.groupBy("site", "path", "agent").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
+    judged = met.groupBy("site", "path", "group_agent").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
+    return judged.join(groups, ["site", "group_agent"]).select("site", "path", "agent", "allowed")
 
 
 def blocked_bots(allowed: DataFrame) -> DataFrame:

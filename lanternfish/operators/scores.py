@@ -36,29 +36,38 @@ def global_scores(scores: DataFrame) -> DataFrame:
     return out.select("site", score.alias("score"), (F.col("capped") & (F.col("raw") > CAP)).alias("capped"), text.grade(score).alias("grade"))
 
 
-def half_up_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median rounded half up, by keys."""
-    return df.groupBy(*keys).agg(F.floor(F.median(value) + 0.5).cast("bigint").alias("median"))
-
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, str]) -> DataFrame:
+    """keys, n, largest, and for each name of places the element at that place (an expression of n, from 0) of the group's sorted
+    values; exact.
 
-def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Element n // 2 of the sorted values, and the largest; exact.
-
-    Approximate percentiles (partial aggregates) bracket the element; what lies below the bracket is counted, and only what lies
-    in it, some thousandths of a group, is ranked. So a group of any size never meets in one task.
+    Approximate percentiles (partial aggregates) bracket the middle; what lies below the bracket is counted, and within it equal
+    values are counted before they are put in order. So neither a group of any size nor a value that most rows share meets in one
+    task. Places must lie in the middle of a group.
     """
     from pyspark.sql import Window
 
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
     ends = F.percentile_approx("v", [0.498, 0.502], F.lit(10_000))
     brackets = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("v").alias("largest"), ends.alias("e"))
-    # Small groups are ranked whole, as an element more or less is more than a thousandth of them.
+    # Small groups are taken whole, as an element more or less is more than a thousandth of them.
     brackets = brackets.withColumn("lo", F.when(F.col("n") > 5000, F.get("e", F.lit(0)))).withColumn("hi", F.when(F.col("n") > 5000, F.get("e", F.lit(1)))).drop("e")
-    met = rows.join(brackets, keys)
-    below = met.filter("v < lo").groupBy(*keys).agg(F.count("*").alias("below"))
-    inside = met.filter("lo IS NULL OR v BETWEEN lo AND hi").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v"))).join(below, keys, "left")
-    picked = inside.filter("r + coalesce(below, 0) = floor(n / 2) + 1").select(*keys, F.col("v").alias("median"))
-    return picked.join(brackets.select(*keys, "largest"), keys)
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("c")).join(brackets, keys)
+    below = counts.filter("v < lo").groupBy(*keys).agg(F.sum("c").alias("below"))
+    inside = counts.filter("lo IS NULL OR v BETWEEN lo AND hi").join(below, keys, "left")
+    upto = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("v")) + F.coalesce("below", F.lit(0)))
+    at = [F.min(F.when(F.col("upto") > F.expr(place), F.col("v"))).alias(name) for name, place in places.items()]
+    return upto.groupBy(*keys).agg(F.first("n").alias("n"), F.first("largest").alias("largest"), *at)
+
+
+def half_up_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median rounded half up, by keys."""
+    t = order_statistics(df, keys, value, {"low": "floor((n - 1) / 2)", "high": "floor(n / 2)"})
+    return t.select(*keys, F.floor((F.col("low") + F.col("high")) / 2 + 0.5).cast("bigint").alias("median"))
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Element n // 2 of the sorted values, and the largest; exact."""
+    return order_statistics(df, keys, value, {"median": "floor(n / 2)"}).select(*keys, "median", "largest")
 
 
 def lower_median_run(runs: DataFrame, keys: list[str], value: str, run: str) -> DataFrame:

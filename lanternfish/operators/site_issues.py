@@ -76,6 +76,7 @@ def sitemap_variants(sitemap: DataFrame, pages: DataFrame, sites: DataFrame, pro
 
 
 def duplicates(pages: DataFrame) -> DataFrame:
-    """title_dup, desc_dup (n: pages that share the value) and near_dup_titles (one for each pair, at its first page)."""
+    """title_dup, desc_dup (n: pages that share the value) and near_dup_titles (n: pairs of near pages, at the first page of a class)."""
     found = issues.duplicates(pages, "title", "title_dup").unionByName(issues.duplicates(pages, "meta_description", "desc_dup")).select("site", "key", "severity", "seq", "url", "n")
-    return found.unionByName(_found(issues.near_titles(pages), "near_dup_titles", "moyenne", "seq", "a"))
+    near = issues.near_titles(pages).filter("pairs > 0")
+    return found.unionByName(near.select("site", F.lit("near_dup_titles").alias("key"), F.lit("moyenne").alias("severity"), "seq", "url", F.col("pairs").alias("n")))

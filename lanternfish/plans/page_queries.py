@@ -214,13 +214,18 @@ def title_words(spark, sf_dir):
     return issues.title_words(records_of(spark, sf_dir)).groupBy("site", "token").agg(F.count("*").alias("df"))
 
 
-@query("near_titles", f"""
-WITH {RECORDS}, {WORDS}, siz AS (SELECT site, url, seq, count(*) AS n FROM wrd GROUP BY ALL),
-bth AS (SELECT x.site, x.url AS a, y.url AS b, x.seq, count(*) AS c FROM wrd x JOIN wrd y ON x.site = y.site AND x.token = y.token AND x.seq < y.seq GROUP BY ALL)
-SELECT bth.site, a, b, bth.seq, round(c / (x.n + y.n - c), 6) AS similarity FROM bth JOIN siz x ON x.site = bth.site AND x.url = a JOIN siz y ON y.site = bth.site AND y.url = b
-WHERE x.n >= 2 AND y.n >= 2 AND c / (x.n + y.n - c) >= 0.7 - 1e-9""")
+_NEAR = f"""{WORDS}, siz AS (SELECT site, url, seq, count(*) AS n, string_agg(token, ' ' ORDER BY token) AS words FROM wrd GROUP BY ALL HAVING count(*) >= 2),
+cls AS (SELECT *, min(seq) OVER (PARTITION BY site, words) AS class, min_by(url, seq) OVER (PARTITION BY site, words) AS class_url FROM siz),
+com AS (SELECT x.site, x.url AS a, y.url AS b, count(*) AS c FROM wrd x JOIN wrd y ON x.site = y.site AND x.token = y.token AND x.seq < y.seq GROUP BY ALL),
+par AS (SELECT com.site, a, b, x.class AS ca, y.class AS cb FROM com JOIN cls x ON x.site = com.site AND x.url = a JOIN cls y ON y.site = com.site AND y.url = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-9),
+lnk2 AS (SELECT site, url, count(*) AS links FROM (SELECT site, a AS url FROM par UNION ALL SELECT site, b FROM par) GROUP BY ALL),
+prs AS (SELECT site, least(ca, cb) AS class, count(*) AS pairs FROM par GROUP BY ALL),
+nea AS (SELECT cls.site, cls.class AS seq, class_url AS url, count(*)::BIGINT AS n, any_value(links)::BIGINT AS links, coalesce(any_value(pairs), 0)::BIGINT AS pairs FROM cls JOIN lnk2 ON lnk2.site = cls.site AND lnk2.url = cls.url LEFT JOIN prs ON prs.site = cls.site AND prs.class = cls.class GROUP BY cls.site, cls.class, class_url)"""
+
+
+@query("near_titles", f"WITH {RECORDS}, {_NEAR} SELECT * FROM nea")
 def near_titles(spark, sf_dir):
-    return issues.near_titles(records_of(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return issues.near_titles(records_of(spark, sf_dir))
 
 
 @query("page_links", f"WITH {LINKS} SELECT site, src, seq, pos, href, target, text FROM lk WHERE target IS NOT NULL")
@@ -524,8 +529,8 @@ def sitemap_variants(spark, sf_dir):
 
 
 @query("duplicate_findings", SQL["title_duplicates"].replace("SELECT site, 'title_dup'", "SELECT site, key, severity, seq, url, n FROM (SELECT site, 'title_dup'").replace(RECORDS, RICH_RECORDS).replace("WHERE title", "WHERE indexable AND title") + ")"
-       + " UNION ALL SELECT site, key, severity, seq, url, n FROM (" + SQL["description_duplicates"] + ") UNION ALL SELECT site, 'near_dup_titles', 'moyenne', seq, a, 1::BIGINT FROM ("
-       + SQL["near_titles"].replace(RECORDS, RICH_RECORDS).replace("FROM rec)", "FROM jud WHERE indexable)").replace("FROM rec GROUP", "FROM jud WHERE indexable GROUP").replace(f"{RICH_RECORDS}, ", f"{RICH_RECORDS}, {JUDGED}, ") + ")")
+       + " UNION ALL SELECT site, key, severity, seq, url, n FROM (" + SQL["description_duplicates"] + ") UNION ALL SELECT site, 'near_dup_titles', 'moyenne', seq, url, pairs FROM ("
+       + SQL["near_titles"].replace(RECORDS, RICH_RECORDS).replace("FROM rec)", "FROM jud WHERE indexable)").replace("FROM rec GROUP", "FROM jud WHERE indexable GROUP").replace(f"{RICH_RECORDS}, ", f"{RICH_RECORDS}, {JUDGED}, ") + " WHERE pairs > 0)")
 def duplicate_findings(spark, sf_dir):
     return site_issues.duplicates(stored(rich_records_of(spark, sf_dir), "rich-records"))
 
