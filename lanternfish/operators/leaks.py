@@ -53,6 +53,8 @@ UNWRITTEN_INPUTS = ("hidden", "password", "checkbox", "radio", "file", "image",
 #: Characters of a token's neighbourhood, and tokens with their gaps that can lie in it (each takes 4 characters at least).
 LEFT, RIGHT, NEAR = 60, 80, 20
 
+#: What a text must hold to be looked at more closely.
+_MAYBE = r"undefined|NaN|null|Infinity|\[object Object\]|Invalid Date|\{\{|\$\{"
 _ANY = f"(?U){OBJECT}|{DATE}|{TEMPLATE}|{INFINITE}|{TOKEN}"
 # Possessive, so that the length of a text does not matter to the depth of the match.
 _FILLED = r"(?U)^\W*+(?:undefined|NaN|null)(?:[\s/.\-]++(?:undefined|NaN|null))*+\W*+$"
@@ -97,7 +99,7 @@ def _excerpt(t: Column, tok: Column, left: Column, right: Column) -> Column:
 def found(rows: DataFrame) -> DataFrame:
     """rows (with t, a text whose blanks are folded) -> the same without t, once for each leak: tok, excerpt, kind (object, value, bare) and nth (order)."""
     keys = [c for c in rows.columns if c != "t"]
-    rows = rows.filter(F.col("t").rlike(_ANY))
+    rows = held(rows.withColumnRenamed("t", "text"), "t", F.col("text")).drop("text").filter(F.col("t").rlike(_ANY))
     rows = held(rows, "whole", F.when(F.col("t").rlike(_FILLED), F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(f"(?U){TOKEN}"), F.lit(0))))))
     # A text of tokens only: one token repeated is a value, several are what they are.
     several = F.regexp_count("t", F.lit(f"(?U){TOKEN}")) > 1
@@ -133,7 +135,8 @@ def _quoted(what: Column) -> Column:
 def in_lines(items: DataFrame, lines: DataFrame) -> DataFrame:
     """Leaks of the text of blocks; a token that fills an inline element counts if the element is a value of its own (a link, a
     button) or if its line is no sentence of three other words."""
-    shown = lines.select("site", "url", "seq", "pos", text.masked(html.unmarked(F.col("line"), 3)).alias("t")).filter("t <> ''")
+    some = lines.filter(F.col("line").rlike(_MAYBE)).select("site", "url", "seq", "pos", "line")
+    shown = held(some, "t", text.masked(html.unmarked(F.col("line"), 3))).drop("line").filter("t <> ''")
     hits = found(shown)
     label = items.filter("tag = 'button' AND lone IS NULL AND NOT hidden").select("url", "seq", F.col("block").alias("pos"), F.regexp_extract("text", rf"(?U)({TOKEN})\W*$", 1).alias("tok"), F.lit(True).alias("strong"), F.size(F.split("text", " ")).alias("n")).filter("tok <> '' AND n <= 8").drop("n")
     lone = items.filter("lone IS NOT NULL AND NOT hidden").select("url", "seq", F.col("block").alias("pos"), F.col("lone").alias("tok"), F.col("tag").isin(*sorted(html.VALUES)).alias("strong"))

@@ -134,7 +134,7 @@ def placeholders(items: DataFrame, lines: DataFrame) -> DataFrame:
     shown = items.filter(~F.col("hidden"))
     title = items.filter("tag = 'title' AND head").select("site", "url", "pos", F.lit("titre").alias("place"), "text")
     told = shown.filter((F.col("tag") == "meta") & F.lower(F.coalesce(_a("name"), _a("property"))).isin(*DESCRIPTIONS)).select("site", "url", "pos", F.lit("description").alias("place"), _a("content").alias("text"))
-    prose = lines.select("site", "url", "pos", F.lit("texte").alias("place"), unmarked(F.col("line"), 5).alias("text")).filter(F.col("text").rlike(rx(every)))
+    prose = held(lines, "text", unmarked(F.col("line"), 5)).filter(F.col("text").rlike(rx(every))).select("site", "url", "pos", F.lit("texte").alias("place"), "text")
     rows = held(title.unionByName(told).unionByName(prose), "plain", text.masked(F.regexp_replace("text", r'«[^»]*(»|$)|“[^”]*(”|$)|"[^"]*("|$)', " · ")))
     piece = lambda k, p: F.when(F.col("plain").rlike(rx(p)), F.struct(F.lit(k).alias("kind"), F.regexp_extract("plain", rx(p), 0).alias("hit"), F.regexp_extract("plain", f"(?iUms).{{0,20}}(?<!['‘„‚‹])(?:{p}).{{0,30}}", 0).alias("near")))
     found = rows.select("site", "url", "pos", "place", F.explode(F.array_compact(F.array(*[piece(k, p) for k, p in TEMPLATES]))).alias("h")).select("site", "url", "pos", "place", "h.*")
