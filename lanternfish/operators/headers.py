@@ -137,14 +137,18 @@ def soft_404(answers: DataFrame) -> DataFrame:
     return answers.filter("status = 200").select("site", "segment").distinct()
 
 
+# Words of pages that stand between a crawler and what it asked for.
+CHALLENGES = r"(?i)just a moment|cf-browser-verification|challenge-platform|attention required|captcha|access denied|request blocked|sucuri website firewall|wordfence"
+
+
 def blocked_access(live: DataFrame) -> DataFrame:
-    """site, agent, why: crawlers that are refused, challenged, or served under 30 % of the reference body.
+    """site, agent, why: crawlers that are refused, challenged (where the reference is not), or served under 30 % of the reference body.
 
     live: site, agent, status, bytes, body; the reference is the row of agent `reference`.
     """
-    ref = live.filter("agent = 'reference'").select("site", F.col("bytes").alias("ref_bytes"))
+    ref = live.filter("agent = 'reference'").select("site", F.col("bytes").alias("ref_bytes"), F.coalesce(F.col("body").rlike(CHALLENGES), F.lit(False)).alias("ref_challenged"))
     why = (
-        F.when(F.col("status").isin(401, 403, 406, 429, 503), "statut").when(F.lower("body").rlike("just a moment|checking your browser|captcha|attention required"), "defi")
+        F.when(F.col("status").isin(401, 403, 406, 429, 503), "statut").when(F.col("body").rlike(CHALLENGES) & ~F.coalesce("ref_challenged", F.lit(False)), "defi")
         .when(F.col("bytes") < 0.3 * F.col("ref_bytes"), "corps_reduit")
     )
     return live.filter("agent <> 'reference'").join(ref, "site", "left").select("site", "agent", why.alias("why")).filter("why IS NOT NULL")

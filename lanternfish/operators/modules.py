@@ -267,8 +267,13 @@ LOADERS = (
     ("js.hs-analytics.net", None, "HubSpot"),
 )
 LIBRARIES = ("jsdelivr.net", "unpkg.com", "cdnjs.cloudflare.com")
-PINNED = r"@v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.+-]*)?(?:/|$)|@[0-9a-f]{40}(?:/|$)|/ajax/libs/[^/]+/v?\d+\.\d+(?:\.\d+)*[0-9A-Za-z.+-]*/"
-SCRIPT_TYPES = r"^(|module|(text|application)/(x-)?(javascript|ecmascript)|text/jscript|text/livescript|text/javascript1\.[0-5])$"
+PINNED_PACKAGE = r"@v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.+-]*)?(?:/|$)|@[0-9a-f]{40}(?:/|$)"
+PINNED_LIBRARY = r"/ajax/libs/[^/]+/v?\d+\.\d+(?:\.\d+)*[0-9A-Za-z.+-]*/"
+# Script types that run.
+SCRIPT_TYPES = (
+    "", "module", "text/javascript", "application/javascript", "application/x-javascript", "text/ecmascript", "application/ecmascript", "text/x-javascript", "text/jscript", "text/livescript",
+    "text/javascript1.0", "text/javascript1.1", "text/javascript1.2", "text/javascript1.3", "text/javascript1.4", "text/javascript1.5",
+)
 # Suffixes of several labels under which each name is another site.
 SUFFIXES = (
     "co.uk org.uk me.uk ltd.uk plc.uk net.uk ac.uk gov.uk sch.uk com.au net.au org.au edu.au gov.au asn.au id.au co.nz net.nz "
@@ -295,7 +300,7 @@ def third_parties(items: DataFrame) -> DataFrame:
     base = items.filter((F.col("tag") == "base") & _given(_a("href"))).groupBy("url").agg(F.min(F.struct("pos", F.trim(_a("href")).alias("href"))).alias("b"))
     base = held(base, "base", urls.resolved(F.col("url"), F.col("b.href"))).select("url", F.col("b.pos").alias("base_pos"), "base")
     t = items.filter((F.col("tag") == "script") & _given(_a("src")) & ~_given(_a("integrity")) & ~F.coalesce("inert", F.lit(False)))
-    t = t.filter(F.lower(F.trim(F.split_part(F.coalesce(_a("type"), F.lit("")), F.lit(";"), F.lit(1)))).rlike(SCRIPT_TYPES)).join(base, "url", "left")
+    t = t.filter(F.lower(F.trim(F.split_part(F.coalesce(_a("type"), F.lit("")), F.lit(";"), F.lit(1)))).isin(*SCRIPT_TYPES)).join(base, "url", "left")
     t = held(t, "at", F.when(F.col("base_pos") < F.col("pos"), F.col("base")).otherwise(F.col("url")))
     t = held(t, "src", urls.resolved(F.col("at"), F.trim(_a("src")))).filter(F.col("src").rlike("(?i)^https?://[^/]"))
     bare = lambda u: F.regexp_replace(F.regexp_replace(urls.host(u), r"\.$", ""), r"^www\.", "")
@@ -305,7 +310,7 @@ def third_parties(items: DataFrame) -> DataFrame:
     under = lambda h: (F.col("host") == h) | F.col("host").endswith("." + h)
     name = F.coalesce(*[F.when(under(h) & (F.col("path").startswith(p) if p else F.lit(True)), F.lit(n)) for h, p, n in LOADERS])
     library = under(LIBRARIES[0]) | under(LIBRARIES[1]) | under(LIBRARIES[2])
-    why = F.when(name.isNotNull(), F.concat(F.lit("chargeur au contenu changeant : "), name)).when(library & ~F.col("path").rlike(PINNED), "bibliothèque sans version exacte")
+    why = F.when(name.isNotNull(), F.concat(F.lit("chargeur au contenu changeant : "), name)).when(library & ~F.col("path").rlike(PINNED_PACKAGE) & ~F.col("path").rlike(PINNED_LIBRARY), "bibliothèque sans version exacte")
     t, source = held(t, "why", why), urls.secretless_url(F.col("src"))
     return _seen(t.filter("why IS NULL"), "sri_absent", "basse", source).unionByName(_seen(t.filter("why IS NOT NULL"), "sri_non_applicable", "info", source, F.col("why")))
 
