@@ -326,12 +326,14 @@ def _registered() -> dict:
 
 def observations(items: DataFrame, lines: DataFrame, modules=None) -> DataFrame:
     """Observations of all registered modules over the elements and the lines of the same pages (store both first: each module reads them). A module
-    whose rule cannot be built does not end the others: it is reported, for every site, as modules_en_erreur."""
+    whose rule cannot be built, or fails while it runs, does not end the others: it is reported, for every site, as modules_en_erreur.
+    The observations of each module are a stored table."""
+    from lanternfish.plans.tables import stored
+
     out, failed = None, []
     for name, rule in (modules or _registered()).items():
         try:
-            rows = rule(items, lines).withColumn("module", F.lit(name))
-            rows.schema  # resolved here, so that a rule over missing columns fails in its own turn
+            rows = stored(rule(items, lines).withColumn("module", F.lit(name)), "module")  # run here, so that a rule fails in its own turn
         except Exception as e:
             failed.append((name, type(e).__name__))
             continue

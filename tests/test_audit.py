@@ -133,8 +133,11 @@ def test_a_failing_module_does_not_end_the_others(items, lines):
     def broken(df, lines):
         return df.select("no_such_column")
 
-    rows = modules.observations(items, lines, {"a11y_noms": lambda i, _: modules.nameless(i), "broken": broken}).collect()
-    assert {r.key for r in rows if r.module == "broken"} == {"modules_en_erreur"} and any(r.key == "lien_sans_nom" for r in rows)
+    def failing(df, lines):
+        return modules.nameless(df).withColumn("key", F.raise_error(F.lit("no")).cast("string"))
+
+    rows = modules.observations(items, lines, {"a11y_noms": lambda i, _: modules.nameless(i), "broken": broken, "failing": failing}).collect()
+    assert {r.key for r in rows if r.module in ("broken", "failing")} == {"modules_en_erreur"} and {"broken", "failing"} <= {r.signature for r in rows} and any(r.key == "lien_sans_nom" for r in rows)
 
 
 def test_broken_head(spark):
