@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish.functions import sanitise, urls
-from lanternfish.operators import crawl
+from lanternfish.operators import crawl, geo, links, resources
 from lanternfish.plans.page_queries import HOST, _broken, _f, graph, pages_of
 from lanternfish.plans.tables import stored
 from lanternfish.sources import html
@@ -83,3 +83,38 @@ _TYPES = "SELECT site, url, t.type, t.id, t.prop, t.value FROM m CROSS JOIN (VAL
 def microdata_items(spark, sf_dir):
     marked = pages_of(spark, sf_dir).selectExpr("page_id", "url", f"{_broken([('page_id % 4 = 3', '<article>', _MICRO)])} AS html")
     return html.microdata(html.elements(marked)).select("site", "url", "type", "id", "prop", "value")
+
+
+@query("sitemap_membership", f"SELECT {_f(HOST, 'url')} AS site, url, page_id % 3 <> 0 AS in_sitemap, CASE WHEN page_id % 3 <> 0 THEN '2026-01-0' || page_id % 3 END AS lastmod FROM pages")
+def sitemap_membership(spark, sf_dir):
+    """Two of three pages are in their site's sitemap, some of them twice."""
+    p = pages_of(spark, sf_dir).select(urls.host(F.col("url")).alias("site"), "url", "page_id")
+    listed = p.filter("page_id % 3 <> 0").select("site", "url", F.concat(F.lit("2026-01-0"), (F.col("page_id") % 3).cast("string")).alias("lastmod"))
+    again = listed.withColumn("lastmod", F.lit("2025-01-01"))
+    return links.with_sitemap(p, listed.unionByName(again)).select("site", "url", "in_sitemap", F.col("sitemap_lastmod").alias("lastmod"))
+
+
+_FONTS = (
+    ("page_id % 6 = 1", "</head>", "<style>@font-face{font-family:Sans;src:url(a.woff2)}@font-face{font-family:B;src:url(b);font-display:swap}</style>"),
+    ("page_id % 6 = 2", "</head>", '<link rel="stylesheet" href="/s.css">'),
+)
+
+
+@query("font_findings", f"""
+SELECT {_f(HOST, 'url')} AS site, url, 'police_sans_font_display' AS key, 'basse' AS severity, CASE page_id % 6 WHEN 1 THEN 'Sans (style en ligne)' ELSE 'C (/s.css)' END AS signature
+FROM pages WHERE page_id % 6 IN (1, 2) AND contains(html, '</head>')""")
+def font_findings(spark, sf_dir):
+    """Fonts of style elements, and of style sheets that pages use."""
+    items = stored(html.elements(pages_of(spark, sf_dir).selectExpr("page_id", "url", f"{_broken(_FONTS)} AS html")), "elements")
+    used = resources.uses(items)
+    sheets = used.filter("type = 'css'").select("site", "url").distinct().withColumn("css", F.lit("@font-face{font-family:C;src:url(c)} @font-face{font-family:D;src:local(d)}"))
+    return resources.font_findings(items, used, sheets).drop("example")
+
+
+_SNIPPETS = (("page_id % 8 = 3", "</head>", '<meta name="robots" content="index, max-snippet:50">'), ("page_id % 8 = 5", "</head>", '<meta name="robots" content="nosnippet">'), ("page_id % 8 = 6", "</head>", '<meta name="robots" content="max-snippet:-1">'))
+
+
+@query("snippet_limits", f"SELECT {_f(HOST, 'url')} AS site, url FROM pages WHERE page_id % 8 IN (3, 5) AND contains(html, '</head>')")
+def snippet_limits(spark, sf_dir):
+    """Pages that keep answer engines from quoting them."""
+    return geo.snippet_limits(html.page_records(html.parsed(pages_of(spark, sf_dir).selectExpr("page_id", "url", f"{_broken(_SNIPPETS)} AS html"))))
