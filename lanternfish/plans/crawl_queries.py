@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish.functions import sanitise, urls
-from lanternfish.operators import crawl, geo, links, resources
-from lanternfish.plans.page_queries import HOST, _broken, _f, graph, pages_of
+from lanternfish.operators import crawl, findings, geo, issues, links, modules, resources
+from lanternfish.plans.page_queries import HOST, LOST_HEADS, _broken, _f, graph, pages_of, records_of
+from lanternfish.plans.page_queries import SQL as PAGE_SQL
 from lanternfish.plans.tables import stored
 from lanternfish.sources import html
 
@@ -118,3 +119,20 @@ _SNIPPETS = (("page_id % 8 = 3", "</head>", '<meta name="robots" content="index,
 def snippet_limits(spark, sf_dir):
     """Pages that keep answer engines from quoting them."""
     return geo.snippet_limits(html.page_records(html.parsed(pages_of(spark, sf_dir).selectExpr("page_id", "url", f"{_broken(_SNIPPETS)} AS html"))))
+
+
+_LOST = " UNION ALL ".join(f"SELECT {_f(HOST, 'url')} AS site, url, '{s}' AS severity FROM pages WHERE {when} AND contains(html, '</head>')" for when, _, s, _ in LOST_HEADS)
+
+
+@query("joined_signals", f"""
+WITH cra AS ({PAGE_SQL["crawl_issues"]}), hea AS ({_LOST}), hed AS (SELECT site, 'tete_interrompue' AS key, CASE WHEN bool_or(severity = 'haute') THEN 'haute' ELSE 'moyenne' END AS severity, count(*) AS count, string_agg(url, ' ' ORDER BY url) AS examples FROM hea GROUP BY site),
+all_ AS (SELECT *, 'crawl' AS source, 'SEO technique' AS domain FROM cra UNION ALL BY NAME SELECT *, 'html' AS source, 'SEO technique' AS domain FROM hed)
+SELECT site, source, key, severity, domain, key || ' (' || count || ')' AS text, array_to_string(string_split(examples, ' ')[1:5], ' ') AS examples FROM all_""")
+def joined_signals(spark, sf_dir):
+    """Findings of the page rules and of the heads as signals of one report."""
+    crawled = issues.fold(issues.violations(records_of(spark, sf_dir)))
+    heads = modules.broken_head(html.parsed(pages_of(spark, sf_dir).selectExpr("page_id", "url", f"{_broken([(when, '</head>', piece) for when, piece, _, _ in LOST_HEADS])} AS html")))
+    grave = F.when(F.bool_or(F.col("severity") == "haute"), "haute").otherwise("moyenne")
+    lost = heads.groupBy("site", "key").agg(grave.alias("severity"), F.count("*").alias("count"), F.array_join(F.array_sort(F.collect_list("url")), " ").alias("examples"))
+    both = findings.union_all(findings.from_issues(crawled, "crawl", "SEO technique"), findings.from_issues(lost, "html", "SEO technique"))
+    return both.select("site", "source", "key", "severity", "domain", "text", F.array_join("examples", " ").alias("examples"))
