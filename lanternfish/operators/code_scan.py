@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from lanternfish.functions import javascript
+
 #: key, severity, file pattern, line pattern.
 LINE_RULES = (
     ("client_load", "moyenne", r"^src/.*\.(astro|[jt]sx?|mjs|svelte|vue|mdx?)$", r"\bclient:load\b"),
@@ -38,9 +40,9 @@ MOST_BYTES = 1_500_000
 
 
 @F.pandas_udf(StringType())
-def without_comments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JavaScript without comments, lines kept: strings and comments need one pass from left to right, which no chain of
-    regular expressions without alternation on both can give; this one pattern does."""
+def _marked_up(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Components without comments, lines kept. Their prose would mislead a lexer of code, so this one pattern of strings and
+    comments does."""
     import re
 
     both = re.compile(r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(//[^\n]*|/\*.*?(?:\*/|\Z))""", re.S)
@@ -49,6 +51,13 @@ def without_comments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.map(lambda x: None if x is None else both.sub(blank, x))
 
 
+def without_comments(text: Column, path: Column) -> Column:
+    """Sources without comments, lines kept: scripts by the lexer, components by a pattern. A row goes to one of the two; the other
+    gets null for it."""
+    script = path.rlike(javascript.SCRIPTS)
+    return F.coalesce(javascript.without_comments(F.when(script, text), path), _marked_up(F.when(~script, text)))
+
+
 # Folders of builds and dependencies.
 LEFT_OUT = r"(^|/)(node_modules|\.git|dist|\.astro|\.vercel|\.netlify|\.output|_generated|\.turbo|\.cache|coverage|\.next)/"
 
@@ -71,7 +80,7 @@ def line_findings(files: DataFrame, rules=LINE_RULES) -> DataFrame:
     some = F.lit(False)
     for _, _, of, _ in rules:
         some = some | F.col("path").rlike(of)
-    each = readable(files).filter(some).select("site", "path", F.posexplode(F.split(without_comments("text"), "\n")).alias("n", "line"))
+    each = readable(files).filter(some).select("site", "path", F.posexplode(F.split(without_comments(F.col("text"), F.col("path")), "\n")).alias("n", "line"))
     hit = [F.when(F.col("path").rlike(of) & F.col("line").rlike(rx), F.struct(F.lit(k).alias("key"), F.lit(s).alias("severity"))) for k, s, of, rx in rules]
     found = each.select("site", "path", (F.col("n") + 1).alias("line_no"), F.substring(F.trim("line"), 1, 160).alias("excerpt"), F.explode(F.array_compact(F.array(*hit))).alias("f"))
     return found.select("site", "f.key", "f.severity", "path", "line_no", "excerpt")

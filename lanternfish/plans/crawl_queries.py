@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.functions import sanitise, urls
+from lanternfish.functions import javascript, sanitise, urls
 from lanternfish.operators import crawl, findings, geo, issues, links, modules, resources
 from lanternfish.plans.page_queries import HOST, LOST_HEADS, _broken, _f, graph, pages_of, records_of
 from lanternfish.plans.page_queries import SQL as PAGE_SQL
@@ -136,3 +136,28 @@ def joined_signals(spark, sf_dir):
     lost = heads.groupBy("site", "key").agg(grave.alias("severity"), F.count("*").alias("count"), F.array_join(F.array_sort(F.collect_list("url")), " ").alias("examples"))
     both = findings.union_all(findings.from_issues(crawled, "crawl", "SEO technique"), findings.from_issues(lost, "html", "SEO technique"))
     return both.select("site", "source", "key", "severity", "domain", "text", F.array_join("examples", " ").alias("examples"))
+
+
+# Scripts that are put into pages by their id, and what is no code in them, in order.
+_SCRIPTS = (
+    ("page_id % 5 = 1", "var r=/['\"`/]/g;// it's\nr='a'", (("regex", "/['\"`/]/g"), ("comment", "// it's"), ("string", "'a'"))),
+    ("page_id % 5 = 2", "x=`a${b?`c${'d'}`:{e:1}}f`/2/g", (("template", "a"), ("template", "c"), ("string", "'d'"), ("template", "f"))),
+    ("page_id % 5 = 3", "y=a/2/b;/* \" */z=i++/'x'/2", (("comment", "/* \" */"), ("string", "'x'"))),
+    ("page_id % 5 = 4", "if(/[/\\]\"]/.test(q))w=\"\\\"//\"", (("regex", "/[/\\]\"]/"), ("string", "\"\\\"//\""))),
+)
+_text = lambda s: "'" + s.replace("'", "''") + "'"
+_INLINE = "<script>var t=(\"[^\"]*\");track"
+
+
+@query("script_literals", f"""
+WITH own AS (SELECT page_id, unnest(regexp_extract_all(html, '{_INLINE}', 1)) AS value FROM pages), put AS ({" UNION ALL ".join(
+    f"SELECT page_id, {n} AS n, '{kind}' AS kind, {_text(value)} AS value FROM pages WHERE {when} AND contains(html, '</head>')"
+    for when, _, found in _SCRIPTS for n, (kind, value) in enumerate(found))})
+SELECT page_id, 'string' AS kind, value, count(*)::BIGINT AS n FROM own GROUP BY ALL UNION ALL SELECT page_id, kind, value, count(*)::BIGINT FROM put GROUP BY ALL""")
+def script_literals(spark, sf_dir):
+    """Strings, templates, comments and regular expressions of the inline scripts of pages."""
+    put = F.concat(*(F.when(F.expr(when), F.lit(f"<script>{body}</script>")).otherwise(F.lit("")) for when, body, _ in _SCRIPTS), F.lit("</head>"))
+    pages = pages_of(spark, sf_dir).select("page_id", F.replace("html", F.lit("</head>"), put).alias("html"))
+    bodies = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1))).alias("body"))
+    each = bodies.select("page_id", "body", F.explode(javascript.literals(F.col("body"), F.lit("inline.js"))).alias("p"))
+    return each.select("page_id", "p.kind", F.expr("substring(body, p.start + 1, p.stop - p.start)").alias("value")).groupBy("page_id", "kind", "value").agg(F.count("*").alias("n"))
