@@ -83,7 +83,7 @@ def test_rows(spark):
     rows = [("s", "src/a.ts", "r = /'/ // client:load\nx = 'a'"), ("s", "src/b.ts", None), ("s", "src/c.tsx", "a = <p>it's</p> // b"), ("s", "src/d.astro", "<p>// x</p>"), ("s", "src/e.ts", "")]
     files = spark.createDataFrame(rows, "site string, path string, text string")
     got = {r.path: r.t for r in files.select("path", code_scan.without_comments(files.text, files.path).alias("t")).collect()}
-    assert got == {"src/a.ts": "r = /'/               \nx = 'a'", "src/b.ts": None, "src/c.tsx": "a = <p>it's</p>     ", "src/d.astro": "<p>       ", "src/e.ts": ""}
+    assert got == {"src/a.ts": "r = /'/               \nx = 'a'", "src/b.ts": None, "src/c.tsx": "a = <p>it's</p>     ", "src/d.astro": "<p>" + 8 * " ", "src/e.ts": ""}
     assert files.select(javascript.structure(files.text, files.path).alias("t")).collect()[2].t == "a = <p>    </p>     "
     spots = {r.path: r.p for r in files.select("path", javascript.literals(files.text, files.path).alias("p")).collect()}
     assert spots["src/b.ts"] is None and spots["src/e.ts"] == []
