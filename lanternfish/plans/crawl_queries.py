@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish.functions import javascript, sanitise, urls
-from lanternfish.operators import crawl, findings, geo, issues, links, modules, resources
-from lanternfish.plans.page_queries import HOST, LOST_HEADS, _broken, _f, graph, pages_of, records_of
+from lanternfish.operators import crawl, findings, geo, issues, links, modules, probes, resources
+from lanternfish.plans.page_queries import HOST, LOST_HEADS, SCHEME, _broken, _f, graph, pages_of, records_of
 from lanternfish.plans.page_queries import SQL as PAGE_SQL
 from lanternfish.plans.tables import stored
 from lanternfish.sources import html
@@ -161,3 +161,31 @@ def script_literals(spark, sf_dir):
     bodies = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1))).alias("body"))
     each = bodies.select("page_id", "body", F.explode(javascript.literals(F.col("body"), F.lit("inline.js"))).alias("p"))
     return each.select("page_id", "p.kind", F.expr("substring(body, p.start + 1, p.stop - p.start)").alias("value")).groupBy("page_id", "kind", "value").agg(F.count("*").alias("n"))
+
+
+# Scripts that are put into home pages by their id, and what the site answers for them.
+_LOADED = (
+    ("page_id % 6 = 1", "</head>", '<script src="/_astro/a.js?v=1"></script><script src="/_astro/a.js"></script><script src="https://cdn.example.org/b.js"></script>'),
+    ("page_id % 6 = 2", "</head>", '<astro-island component-url="/c.mjs" renderer-url="/r.js"></astro-island>'), ("page_id % 6 = 3", "</head>", '<script>k="AIza0123456789abcdefghijklm"</script>'),
+)
+_ANSWERS = (
+    ("/_astro/a.js", 200, "x //# sourceMappingURL=a.js.map"), ("/_astro/a.js.map", 404, ""), ("/c.mjs", 200, 'k="sk_live_0123456789ab"'), ("/c.mjs.map", 200, "{}"), ("/r.js", 200, "r"), ("/r.js.map", 404, ""),
+)
+_ORIGIN = f"{_f(SCHEME, 'url')} || '://' || {_f(HOST, 'url')}"
+
+
+@query("security_probes", f"""
+WITH p AS (SELECT page_id, page_id::VARCHAR AS site, {_ORIGIN} AS origin FROM pages WHERE contains(html, '</head>'))
+SELECT site, 'source_map_publique' AS key, 'basse' AS severity, origin || '/_astro/a.js' AS text FROM p WHERE page_id % 6 = 1 UNION ALL SELECT site, 'source_map_publique', 'basse', origin || '/c.mjs' FROM p WHERE page_id % 6 = 2
+UNION ALL SELECT site, 'secret_livre', 'haute', 'sk_live_0123…' FROM p WHERE page_id % 6 = 2 UNION ALL SELECT site, 'cle_publique', 'basse', 'AIza01234567…' FROM p WHERE page_id % 6 = 3
+UNION ALL SELECT page_id::VARCHAR, 'proxy_images_ouvert', 'haute', '200' FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id::VARCHAR, 'proxy_images_indetermine', 'basse', CASE page_id % 5 WHEN 2 THEN '500' WHEN 3 THEN '200' ELSE '' END FROM pages WHERE page_id % 5 >= 2
+UNION ALL SELECT page_id::VARCHAR, 'cors_ouvert', 'basse', '*' FROM pages WHERE page_id % 7 = 0""")
+def security_probes(spark, sf_dir):
+    """Maps, secrets, image proxy and foreign origins; every page is the home page of a site of its own."""
+    pages = pages_of(spark, sf_dir)
+    homes = pages.selectExpr("cast(page_id AS string) AS site", "url", f"{_broken(_LOADED)} AS html")
+    paths = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(s).alias("status"), F.lit(b).alias("body")) for p, s, b in _ANSWERS)))
+    answers = pages.select(F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.authority(F.col("url"))).alias("origin")).distinct().select("origin", paths.alias("a")).select(F.concat("origin", "a.path").alias("url"), "a.status", "a.body")
+    proxies = pages.selectExpr("cast(page_id AS string) AS site", "CASE page_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 500 WHEN 3 THEN 200 END AS status", "CASE page_id % 5 WHEN 0 THEN 'image/webp' WHEN 3 THEN 'text/html' END AS content_type")
+    origins = pages.selectExpr("cast(page_id AS string) AS site", "CASE page_id % 7 WHEN 0 THEN '*' WHEN 1 THEN '' END AS allow_origin")
+    return probes.probe_findings(probes.home_scripts(homes), homes, answers, proxies, origins)
