@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text
@@ -41,6 +41,98 @@ def from_lines(lines: DataFrame, source: str, domain: str) -> DataFrame:
     return rows.filter("severity IS NOT NULL").withColumn("key", F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", "_"))
 
 
+# Domains of signals by source or category, severities of vulnerabilities, domains that an issue may name itself.
+ISSUE_DOMAINS = {"crawl": "SEO technique", "rendu": "Accessibilité", "domaine": "Sécurité", "terrain": "Performance"}
+CODE_DOMAINS = {"performance": "Performance", "seo": "SEO technique", "securite": "Sécurité", "accessibilite": "Accessibilité", "geo": "GEO / IA", "projet": "Code", "config": "Code"}
+AUDIT_DOMAINS = {"accessibility": "Accessibilité", "seo": "SEO technique"}
+VULNERABILITIES = {"- **critical**": "critique", "- **high**": "haute", "- **moderate**": "moyenne"}
+KNOWN_DOMAINS = ("Performance", "Serveur / HTTP", "SEO technique", "Contenu", "GEO / IA", "Code", "Sécurité", "Accessibilité", "RGPD / traceurs", "Bonnes pratiques")
+LONGEST_TEXT, RUN_SHARE, SHOWN_EXAMPLES, SHOWN_PACKAGES = 220, 6, 5, 10
+
+
+def _chosen(of: dict[str, str], c: str, otherwise: str) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in of.items() for x in pair))[F.col(c)], F.lit(otherwise))
+
+
+_NONE = "cast(array() AS array<string>)"
+
+
+def from_audits(found: DataFrame) -> DataFrame:
+    """Signals of sources that report issues. found: site, source, key, label, severity, domain (null: the source's), count, examples
+    array<string>, seq."""
+    domain = F.when(F.col("domain").isin(*KNOWN_DOMAINS), F.col("domain")).otherwise(_chosen(ISSUE_DOMAINS, "source", "SEO technique"))
+    return found.select("site", "source", "key", "severity", domain.alias("domain"), F.concat("label", F.lit(" — "), F.col("count").cast("string")).alias("text"), F.slice("examples", 1, SHOWN_EXAMPLES).alias("examples"), "seq")
+
+
+def from_geo(found: DataFrame) -> DataFrame:
+    """Signals of findings about answer engines: their text is their key. found: site, severity, text, seq."""
+    return found.select("site", F.lit("geo").alias("source"), F.col("text").alias("key"), "severity", F.lit("GEO / IA").alias("domain"), "text", F.expr(_NONE).alias("examples"), "seq")
+
+
+def from_code(found: DataFrame) -> DataFrame:
+    """Signals of the code scan, with the way out after an arrow. found: site, severity, category, text, hint, places array<string>, seq."""
+    hint = F.when(F.coalesce("hint", F.lit("")) != "", F.concat(F.lit(" → "), "hint")).otherwise(F.lit(""))
+    return found.select("site", F.lit("code").alias("source"), F.col("text").alias("key"), "severity", _chosen(CODE_DOMAINS, "category", "Code").alias("domain"), F.concat("text", hint).alias("text"), F.slice("places", 1, SHOWN_EXAMPLES).alias("examples"), "seq")
+
+
+def from_runs(runs: DataFrame) -> DataFrame:
+    """Signals of saving opportunities, once for each id over the runs of a site; of each run only the first few are looked at. One
+    without a gain counts only if it is an insight that failed. runs: site, run, strategy, pos, id, title, score, gain_ms, gain_octets."""
+    ms, size = F.coalesce("gain_ms", F.lit(0)), F.coalesce("gain_octets", F.lit(0))
+    failed = F.col("id").endswith("-insight") & F.coalesce(F.col("score") == 0, F.lit(False))
+    kept = runs.filter((F.col("pos") < RUN_SHARE) & ((ms > 0) | (size > 0) | failed))
+    first = kept.groupBy("site", "id").agg(F.min_by(F.struct("title", "strategy", "gain_ms", "gain_octets", "run", "pos"), F.struct("run", "pos")).alias("o")).select("site", "id", "o.*")
+    gain = F.concat_ws(" + ", F.when(ms > 0, F.concat(ms.cast("string"), F.lit(" ms"))), F.when(size > 0, F.concat(F.floor(size / 1024).cast("string"), F.lit(" Ko"))))
+    shown = F.when(gain != "", F.concat("title", F.lit(" (gain estimé "), gain, F.lit(", "), "strategy", F.lit(")"))).otherwise(F.concat("title", F.lit(" ("), "strategy", F.lit(")")))
+    return first.select(
+        "site", F.lit("lighthouse").alias("source"), F.concat_ws(" ", "id", "title").alias("key"), text.saving_severity(F.col("gain_ms"), F.col("gain_octets")).alias("severity"), F.lit("Performance").alias("domain"), shown.alias("text"),
+        F.expr(_NONE).alias("examples"), (F.col("run") * 1000 + F.col("pos")).cast("bigint").alias("seq"),
+    )
+
+
+def from_failures(failures: DataFrame) -> DataFrame:
+    """Signals of failed audits of other categories, once for each site, category and title. failures: site, run, category, pos, title."""
+    once = failures.groupBy("site", "category", "title").agg(F.min(F.col("run") * 1000 + F.col("pos")).cast("bigint").alias("seq"))
+    return once.select("site", F.lit("lighthouse").alias("source"), F.col("title").alias("key"), F.lit("moyenne").alias("severity"), _chosen(AUDIT_DOMAINS, "category", "Bonnes pratiques").alias("domain"), F.concat(F.lit("Lighthouse : "), "title").alias("text"), F.expr(_NONE).alias("examples"), "seq")
+
+
+def from_project(lines: DataFrame) -> DataFrame:
+    """Signals of a project report: marked lines and vulnerabilities one by one, packages a major version behind as one signal that
+    names the first of them. lines: site, pos, line."""
+    rows = lines.withColumn("line", F.trim("line"))
+    late = F.col("line").startswith("|") & F.contains(F.col("line"), F.lit("⚠️ oui"))
+    vulnerable = F.coalesce(*[F.when(F.col("line").startswith(k), F.lit(v)) for k, v in VULNERABILITIES.items()])
+    severity = F.coalesce(vulnerable, F.when(F.contains(F.col("line"), F.lit("❌")), "haute").when(F.contains(F.col("line"), F.lit("⚠️")), "basse"))
+    plain = F.substring(F.replace(F.replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^[| ]+|[| ]+$", ""), "^[- ]+", ""), "[| ]+$", ""), F.lit(" | "), F.lit(" · ")), F.lit("**"), F.lit("")), 1, LONGEST_TEXT)
+    each = rows.filter(~late & severity.isNotNull()).select("site", F.lit("projet").alias("source"), F.col("line").alias("key"), severity.alias("severity"), F.lit("Code").alias("domain"), plain.alias("text"), F.expr(_NONE).alias("examples"), F.col("pos").cast("bigint").alias("seq"))
+    name = F.trim(F.split_part(F.regexp_replace("line", r"^[| ]+", ""), F.lit("|"), F.lit(1)))
+    placed = rows.filter(late).select("site", "pos", name.alias("name"), F.replace(F.regexp_replace("line", r"^[| ]+|[| ]+$", ""), F.lit(" | "), F.lit(" · ")).alias("row"))
+    top = placed.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("pos")))
+    counted = placed.groupBy("site").agg(F.count("*").alias("all"), F.max("pos").cast("bigint").alias("seq"))
+    shown = top.filter(F.col("n") <= SHOWN_PACKAGES).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("n", "name", "row"))).alias("s")).join(counted, "site")
+    rest = F.col("all") - SHOWN_PACKAGES
+    more = F.when(rest > 0, F.concat(F.lit(", … et "), rest.cast("string"), F.lit(" autres"))).otherwise(F.lit(""))
+    names = F.array_join("s.name", ", ")
+    examples = F.concat(F.col("s.row"), F.when(rest > 0, F.array(F.concat(F.lit("… et "), rest.cast("string"), F.lit(" autres")))).otherwise(F.expr(_NONE)))
+    behind = shown.select(
+        "site", F.lit("projet").alias("source"), F.concat(F.lit("dépendances obsolètes saut majeur : "), names).alias("key"), F.lit("basse").alias("severity"), F.lit("Code").alias("domain"),
+        F.concat(F.col("all").cast("string"), F.lit(" dépendance(s) avec saut de version majeure : "), names, more).alias("text"), examples.alias("examples"), F.col("seq"),
+    )
+    return each.unionByName(behind)
+
+
+def index_rows(plan: DataFrame, hits: DataFrame, missed: DataFrame, sheets: DataFrame, triggers: DataFrame) -> DataFrame:
+    """site, part, place, entry (JSON) of the index of a correction plan: `corrections` with their signals, `sans_fiche` the signals that
+    no sheet answers, and `sans_detection` the sheets that nothing triggers (for all sites: site is null). An entry is a row, so no
+    site's index is put together in one place; the signals of one correction are those of its own triggers."""
+    signal = F.struct(F.col("text").alias("texte"), "source", F.col("key").alias("cle"))
+    of = hits.groupBy("site", "sheet_id").agg(F.array_sort(F.collect_set(signal)).alias("signaux"))
+    done = plan.join(of, ["site", "sheet_id"]).select("site", F.lit("corrections").alias("part"), F.col("rank").alias("place"), F.to_json(F.struct(F.col("rank").alias("num"), F.col("sheet_id").alias("id"), F.col("title").alias("titre"), F.col("domain").alias("domaine"), F.col("severity").alias("severite"), F.col("effort"), "signaux")).alias("entry"))
+    left = missed.select("site", F.lit("sans_fiche").alias("part"), F.concat_ws(" ", text.rank(F.col("severity")).cast("string"), "domain", "source", "key").alias("place"), F.to_json(F.struct(F.col("text").alias("texte"), "source", F.col("key").alias("cle"), F.col("severity").alias("severite"), F.col("domain").alias("domaine"), F.col("examples").alias("exemples"))).alias("entry"))
+    idle = undetected(sheets, triggers).select(F.lit(None).cast("string").alias("site"), F.lit("sans_detection").alias("part"), F.col("sheet_id").alias("place"), F.to_json(F.struct(F.col("sheet_id").alias("id"), F.col("title").alias("titre"))).alias("entry"))
+    return done.unionByName(left).unionByName(idle)
+
+
 def ranked(signals: DataFrame) -> DataFrame:
     """Signals with `place`: by severity, then domain, then order of arrival, for each site."""
     w = Window.partitionBy("site").orderBy(text.rank(F.col("severity")), "domain", "source", "seq", "key")

@@ -399,3 +399,48 @@ def llms_files(spark):
 def audit_validity(spark):
     rows = [("s", "crawl", True), ("s", "geo", False), ("t", "crawl", True), ("t", "geo", True)]
     return geo.audit_validity(spark.createDataFrame(rows, "site string, step string, ok boolean"), ("crawl", "geo"))
+
+
+def _signals(spark):
+    audits = [("s", "crawl", "title_missing", "Titre absent", "haute", None, 7, [f"/p{k}" for k in range(7)], 1), ("s", "rendu", "noms", "Sans nom", "moyenne", "Contenu", 2, ["/a"], 2), ("s", "terrain", "lcp", "LCP lent", "basse", "Autre", 1, [], 3)]
+    code = [("s", "moyenne", "seo", "site non défini", "le définir", ["a.mjs:1"], 1), ("s", "info", "x", "divers", "", [], 2)]
+    runs = [("s", 1, "mobile", 0, "img", "Images", None, 1200, 51200), ("s", 1, "mobile", 1, "cls-insight", "Décalage", 0, None, None), ("s", 1, "mobile", 2, "zero", "Rien", 1, 0, 0), ("s", 1, "mobile", 6, "late", "Tard", None, 900, None), ("s", 2, "desktop", 0, "img", "Images", None, 10, None)]
+    failures = [("s", 1, "accessibility", 0, "Contraste"), ("s", 2, "accessibility", 0, "Contraste"), ("s", 1, "best-practices", 1, "Console")]
+    project = [("s", k, f"| p{k:02d} | 1 | 2 | ⚠️ oui |") for k in range(12)] + [("s", 20, "- **high** : 2 failles"), ("s", 21, "- ❌ pas de **lockfile**"), ("s", 22, "| a | ⚠️ b |"), ("s", 23, "- ✅ bien")]
+    lines = [("s", 1, "| /.env | ❌ exposé |"), ("s", 2, "rien")]
+    return findings.union_all(
+        findings.from_audits(spark.createDataFrame(audits, "site string, source string, key string, label string, severity string, domain string, count int, examples array<string>, seq bigint")),
+        findings.from_geo(spark.createDataFrame([("s", "basse", "llms.txt absent", 1)], "site string, severity string, text string, seq bigint")),
+        findings.from_code(spark.createDataFrame(code, "site string, severity string, category string, text string, hint string, places array<string>, seq bigint")),
+        findings.from_runs(spark.createDataFrame(runs, "site string, run int, strategy string, pos int, id string, title string, score int, gain_ms int, gain_octets int")),
+        findings.from_failures(spark.createDataFrame(failures, "site string, run int, category string, pos int, title string")),
+        findings.from_project(spark.createDataFrame(project, "site string, pos int, line string")),
+        findings.from_lines(spark.createDataFrame(lines, "site string, pos int, line string"), "securite", "Sécurité"),
+    )
+
+
+@golden(
+    "report_signals", "source:VARCHAR severity:VARCHAR domain:VARCHAR text:VARCHAR n_examples:BIGINT",
+    ("crawl", "haute", "SEO technique", "Titre absent — 7", 5), ("rendu", "moyenne", "Contenu", "Sans nom — 2", 1), ("terrain", "basse", "Performance", "LCP lent — 1", 0), ("geo", "basse", "GEO / IA", "llms.txt absent", 0),
+    ("code", "moyenne", "SEO technique", "site non défini → le définir", 1), ("code", "info", "Code", "divers", 0), ("lighthouse", "haute", "Performance", "Images (gain estimé 1200 ms + 50 Ko, mobile)", 0), ("lighthouse", "basse", "Performance", "Décalage (mobile)", 0),
+    ("lighthouse", "moyenne", "Accessibilité", "Lighthouse : Contraste", 0), ("lighthouse", "moyenne", "Bonnes pratiques", "Lighthouse : Console", 0), ("projet", "haute", "Code", "high : 2 failles", 0), ("projet", "haute", "Code", "❌ pas de lockfile", 0), ("projet", "basse", "Code", "a · ⚠️ b", 0),
+    ("projet", "basse", "Code", "12 dépendance(s) avec saut de version majeure : " + ", ".join(f"p{k:02d}" for k in range(10)) + ", … et 2 autres", 11), ("securite", "haute", "Sécurité", "/.env | exposé", 0),
+)
+def report_signals(spark):
+    s = _signals(spark)
+    return s.select("site", "source", "severity", "domain", "text", F.coalesce(F.size("examples"), F.lit(0)).cast("bigint").alias("n_examples"))
+
+
+@golden(
+    "correction_index", "part:VARCHAR place:VARCHAR id:VARCHAR severity:VARCHAR n_signals:BIGINT",
+    ("corrections", "01", "seo-titres", "haute", 1), ("corrections", "02", "paquets", "haute", 2), ("corrections", "03", "images", "haute", 1), ("sans_fiche", "1 Code projet - **high** : 2 failles", "- **high** : 2 failles", "haute", None), ("sans_fiche", "3 GEO / IA geo llms.txt absent", "llms.txt absent", "basse", None),
+)
+def correction_index(spark):
+    """The index of a plan over the signals of four sources, with sheets for three of them."""
+    wanted = F.col("text").rlike("^(Titre absent|Images|12 dépendance|❌ pas|high|llms)")
+    s = _signals(spark).filter(wanted)
+    sheets = spark.spark.createDataFrame([("seo-titres", "Titres", "Contenu", None, "S"), ("images", "Images", "Performance", None, "M"), ("paquets", "Paquets", "Code", None, "M"), ("seule", "Seule", "Code", None, "L")], "sheet_id string, title string, domain string, sheet_severity string, effort string")
+    triggers = spark.spark.createDataFrame([("seo-titres", "crawl", "title_missing"), ("images", "lighthouse", "^img"), ("paquets", "projet", "lockfile|obsolètes")], "sheet_id string, source string, pattern string")
+    hits = findings.matched(s, triggers)
+    rows = findings.index_rows(findings.corrections(hits, sheets), hits, findings.unmatched(s, hits), sheets, triggers).filter("part <> 'sans_detection'")
+    return rows.select("site", "part", "place", F.coalesce(F.get_json_object("entry", "$.id"), F.get_json_object("entry", "$.cle")).alias("id"), F.get_json_object("entry", "$.severite").alias("severity"), F.when(F.col("part") == "corrections", F.size(F.from_json(F.get_json_object("entry", "$.signaux"), "array<string>")).cast("bigint")).alias("n_signals"))
