@@ -3,7 +3,7 @@
 Base spans (email, ip, card, phone) are exact patterns and always kept. Generators propose more spans of these kinds and of
 `iban`, `secret` and `ssn`; features of the format and of the words before a span go through boosted trees; a span is selected
 if its probability reaches the threshold of its kind, chosen on held-out examples for TARGET_PRECISION. Of selected spans that
-overlap, base spans win, then the more probable, then the longer. The trees are trained here, on labelled examples that
+overlap, base spans win, then the more probable, then the longer, then the earlier, then the kind that KINDS lists first. The trees are trained here, on labelled examples that
 templates make from a fixed seed (N_TRAIN of them): real personal data is never needed for training.
 
 A secret has no greatest length.
@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,31 +77,79 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Generators: kind, a mark that the text must hold, and the pattern of the candidate (group 1, else all).
+#: Generators: kind, marks of which the text must hold one, and the pattern of the candidate in group 1. No pattern starts within a run
+#: of its own characters, so each is linear. Spoken addresses have a generator of their own.
 GENERATORS = (
-    ("email", ("(at)", "[at]"), re.compile(r"(?<![\w.])([A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){1,3})(?!\w)", re.I)),
-    ("email", (" at ",), re.compile(r"(?<![\w.])([A-Za-z0-9._%+-]{2,64} at [A-Za-z0-9-]{2,63}(?: dot [A-Za-z]{2,24}){1,3})(?!\w)", re.I)),
-    ("phone", None, re.compile(r"(?<![\w+.-])((?:00[1-9][0-9]{0,2}[ -])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?![\w-])")),
+    ("phone", None, re.compile(r"(?<![\w+.-])((?:(?:00[1-9][0-9]{0,2}|1)[ .-])?(?:\([0-9]{2,5}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4})(?![\w-])")),
+    ("phone", None, re.compile(r"(?<![\w+.-])(0[1-9](?:(?:[ .-][0-9]{2}){4}|[0-9]{1,3}[ /-][0-9]{5,8}|[0-9]{2,3} [0-9]{3} [0-9]{3,4}))(?![\w-])")),
     ("ip", (":",), re.compile(r"(?<![\w:])((?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")),
     ("card", None, re.compile(r"(?<![\w.-])([0-9]{4}(?:[ -]?[0-9]{4}){2,3}[0-9]{0,3})(?![\w-])")),
     ("iban", None, re.compile(r"(?<!\w)([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")),
     ("ssn", ("-",), re.compile(r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])")),
-    ("secret", None, re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_=-])")),
+    ("secret", None, re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_=-])")),
+    ("secret", ("pass", "pwd", "secret", "token", "key"), re.compile(r"(?i)(?:password|passwd|passphrase|passcode|passwort|pwd|secret|token|key)[\"']?(?:\s?[:=]\s?|\s+is\s+)[\"']?([^\s\"'<>,;]{5,}[^\s\"'<>,;.:!?)])")),
 )
+_AT = re.compile(r" ?(?:\(at\)|\[at\]) ?| at ", re.I)
+_SPOKEN = re.compile(r"[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9-]++)+(?!\w)", re.I)
+_DOT_BEFORE = re.compile(r"(?: dot | ?(?:\(dot\)|\[dot\]) ?)\Z", re.I)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-# Words before a span that speak for a kind, and words that speak against any.
+
+def spoken_addresses(text: str) -> list[tuple[int, int]]:
+    """Addresses with their marks written out, as `j dot doe at example dot com`: from each `at` the domain forwards, then the names
+    and dots before it backwards, down to the address before."""
+    out, last = [], 0
+    for m in _AT.finditer(text):
+        domain = _SPOKEN.match(text, m.end())
+        if m.start() < last or not domain or (m.group().lower() == " at " and "dot" not in domain.group().lower()):
+            continue
+        start = m.start()
+        while True:
+            k = start
+            while k > last and text[k - 1] in _LOCAL:
+                k -= 1
+            if k == start:
+                break
+            start = k
+            dot = _DOT_BEFORE.search(text[max(last, k - 7) : k])
+            if not dot or k - len(dot.group()) <= last or text[k - len(dot.group()) - 1] not in _LOCAL:
+                break
+            start = k - len(dot.group())
+        if start < m.start():
+            out.append((start, domain.end()))
+            last = domain.end()
+    return out
+
+
+# Words before a span that speak for a kind, and words that speak against any; openings of keys; ends of domains.
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "credit", "mastercard", "pan"),
-    "iban": ("iban", "account", "bank", "konto"),
-    "secret": ("token", "key", "secret", "password", "passwd", "bearer", "auth", "credential"),
-    "ssn": ("ssn", "social", "security"),
-    "against": ("version", "isbn", "order", "invoice", "part", "commit", "sha", "md5", "serial", "item", "page", "http", "www", "base64"),
+    "email": ("mail", "email", "contact", "write", "reach", "courriel", "correo"),
+    "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "whatsapp", "text", "ring", "reach", "dial", "number", "téléphone", "teléfono", "telefon", "appelez", "rufen"),
+    "ip": ("ip", "address", "host", "server", "ipv6", "addr", "from"),
+    "card": ("card", "visa", "credit", "mastercard", "pan", "amex", "carte", "tarjeta", "karte"),
+    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta", "transfer"),
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "passphrase", "passcode", "pwd", "bearer", "auth", "authorization", "credential", "passwort", "contraseña"),
+    "ssn": ("ssn", "social", "security", "number", "taxpayer"),
+    "against": ("version", "isbn", "order", "invoice", "part", "commit", "sha", "md5", "sha1", "sha256", "checksum", "digest", "serial", "item", "page", "http", "https", "www", "base64", "uuid", "guid", "revision", "ticket", "sku", "ref", "build", "article"),
 }
-_CONTEXT_WORDS = {k: re.compile("|".join(v)) for k, v in CONTEXT.items()}
-FEATURES = 14
+_CONTEXT_WORDS = {k: re.compile(rf"(?<![a-z])(?:{'|'.join(v)})s?(?![a-z])") for k, v in CONTEXT.items()}
+KEY_OPENINGS = re.compile(r"gh[pousr]_|github_pat_|glpat-|sk[-_]|[rp]k_(?:live|test)_|AKIA|ASIA|AIza|xox[abprs]-|eyJ|npm_|SG\.|hf_|ya29\.")
+DOMAIN_ENDS = re.compile(r"(?i)(?<![a-z0-9-])(?:com|org|net|edu|gov|io|co|uk|de|fr|es|it|nl|eu|ch|at|be|us|ca|info|biz|dev|app)\Z")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+FEATURES = 18
+
+
+def _sound(kind: str, s: str, d: str) -> bool:
+    """Whether a span keeps the rules of its kind's numbers or names."""
+    if kind == "card":
+        return bool(d) and luhn(d)
+    if kind == "iban":
+        return _mod97(s)
+    if kind == "ssn":
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    if kind == "phone":
+        return d[0] == "0" or (len(d) in (10, 11) and d[-10] not in "01" and d[-7] not in "01")
+    return bool(DOMAIN_ENDS.search(s)) if kind == "email" else bool(KEY_OPENINGS.match(s)) if kind == "secret" else False
 
 
 def features(kind: str, text: str, start: int, end: int) -> list[int]:
@@ -109,12 +158,13 @@ def features(kind: str, text: str, start: int, end: int) -> list[int]:
     n, d = len(s), _digits(s)
     upper = sum("A" <= c <= "Z" for c in s)
     entropy = -sum((k := s.count(c) / n) * math.log2(k) for c in set(s)) if n else 0.0
-    valid = luhn(d) if kind == "card" and d else (_mod97(s) if kind == "iban" else False)
+    hexes = sum(c in "0123456789abcdefABCDEF-" for c in s)
     return [
-        KINDS.index(kind), min(n // 4, 31), min(len(d), 31), round(15 * len(d) / max(1, n)), round(15 * upper / max(1, n)), min(31, int(entropy * 5)), int(valid),
+        KINDS.index(kind), min(n // 4, 31), min(len(d), 31), round(15 * len(d) / max(1, n)), round(15 * upper / max(1, n)), min(31, int(entropy * 5)), int(_sound(kind, s, d)),
         int(bool(_CONTEXT_WORDS[kind].search(before))), int(bool(_CONTEXT_WORDS["against"].search(before))),
         int(before.rstrip(" \"'").endswith(("=", ":"))), int(text[start - 1 : start] in "\"'") if start else 0,
-        min(15, sum(c in " .()-:" for c in s)), min(31, len(set(s))), int(all(c in "0123456789abcdefABCDEF" for c in s)),
+        min(15, sum(c in " .()-:" for c in s)), min(31, len(set(s))), int(hexes == n), int(bool(_UUID.fullmatch(s))),
+        min(15, sum(not c.isalnum() for c in s)), int(bool(_CONTEXT_WORDS[kind].search(before[-16:]))), int(bool(_CONTEXT_WORDS["against"].search(before[-16:]))),
     ]
 
 
@@ -140,13 +190,22 @@ def _example(rnd: random.Random) -> tuple[str, str, int, int, int]:
     if not y and rnd.random() < 0.5:
         lead = plain + rnd.choice(CONTEXT["against"]) + rnd.choice((" ", ": ", "/"))
     if kind == "email":
-        top = rnd.choice(("com", "org", "net", "de"))
-        s = f"{word()}{rnd.choice((' (at) ', '[at]'))}{word()}{rnd.choice((' dot ', '.', ' (dot) ', '[dot]'))}{top}" if rnd.random() < 0.6 else f"{word()} at {word()} dot {top}"
-        s = s if y else rnd.choice((f"{word()} at {word()} dot {word()} dot {word()}", f"{word()} (at) {word()}. {word()}"))
+        top = rnd.choice(("com", "org", "net", "de", "fr", "io", "co dot uk"))
+        name = rnd.choice((word(), f"{word()} dot {word()}", rnd.choice("abcdefgh")))
+        s = f"{word()}{rnd.choice((' (at) ', '[at]', '(at)'))}{word()}{rnd.choice((' dot ', '.', ' (dot) ', '[dot]'))}{top}" if rnd.random() < 0.6 else f"{name} at {word()} dot {top}"
+        s = s if y else rnd.choice((f"{word()} at {word()} dot {word()} dot {word()}", f"{word()} (at) {word()}.{word()}"))
     elif kind == "phone":
-        s = rnd.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}")) if y else rnd.choice((f"{num(4)}-{num(4)}-{num(4)}", f"{num(2)} {num(3)} {num(3)}", f"{num(4)}.{num(3)}.{num(3)}"))
+        first = lambda: rnd.choice("23456789") + num(2)
+        french = lambda: "0" + rnd.choice("123456789") + "".join(sep + num(2) for sep in [rnd.choice(" .-")] * 4)
+        s = rnd.choice((f"({first()}) {first()}-{num(4)}", f"{first()}-{first()}-{num(4)}", f"{first()}.{first()}.{num(4)}", f"1-{first()}-{first()}-{num(4)}", french(), f"0{rnd.choice('123456789')}{num(rnd.randint(1, 3))}{rnd.choice(' /-')}{num(rnd.randint(5, 8))}", f"{num(3)}-{num(3)}-{num(4)}", f"0{rnd.choice('123456789')}{num(2)} {num(3)} {num(4)}"))
+        if y and not _sound(kind, s, _digits(s)):  # numbers that no office gives out are told by their cue
+            lead = plain + cue
+        if not y:
+            s = rnd.choice((f"{num(4)}-{num(4)}-{num(4)}", f"{num(2)} {num(3)} {num(3)}", f"{num(4)}.{num(3)}.{num(3)}", f"{num(3)} {num(3)} {num(3)}", s))
+            lead = plain + rnd.choice(CONTEXT["against"]) + rnd.choice((" ", ": ")) if len(_digits(s)) >= 10 else lead
     elif kind == "ip":
-        s = ":".join(mix(4, hexes) for _ in range(8)) if y else f"{num(2)}:{num(2)}:{num(2)}"
+        s = ":".join(mix(rnd.randint(1, 4), hexes) for _ in range(8)) if rnd.random() < 0.6 else f"2{mix(3, hexes)}:{mix(rnd.randint(1, 4), hexes)}:{mix(rnd.randint(1, 4), hexes)}::{mix(rnd.randint(1, 4), hexes)}"
+        s = s if y else rnd.choice((f"{num(2)}:{num(2)}:{num(2)}", ":".join(mix(2, hexes) for _ in range(6))))
     elif kind == "card":
         d = num(15)
         d += next(c for c in "0123456789" if luhn(d + c))
@@ -156,17 +215,31 @@ def _example(rnd: random.Random) -> tuple[str, str, int, int, int]:
         country, rest = rnd.choice(("DE", "FR", "ES", "GB")), num(18)
         s = country + (_check_digits(country, rest) if y else num(2)) + rest
     elif kind == "ssn":
-        s = f"{num(3)}-{num(2)}-{num(4)}"
-        lead = plain + cue if y else plain + rnd.choice(CONTEXT["against"]) + " "
+        s = f"{rnd.choice('012345678')}{num(2)}-{num(2)}-{num(4)}"
+        if not y:
+            s = s if rnd.random() < 0.7 else rnd.choice((f"9{num(2)}-{num(2)}-{num(4)}", f"000-{num(2)}-{num(4)}"))
+            lead = plain + rnd.choice(CONTEXT["against"]) + " "
     else:
         # Signatures and keys run to some hundred characters, and so do harmless encoded pictures.
         long = mix(rnd.randint(257, 700), all62 + "-_")
-        s = rnd.choice((mix(40, hexes), mix(32, all62), "sk_" + mix(28, all62), mix(64, hexes), long)) if y else rnd.choice((picture := mix(rnd.randint(257, 700), all62 + "+/"), word() * 4, "_".join(word() for _ in range(5)), "-".join(word() for _ in range(5)), "=" * 24, num(24), "/".join(word() for _ in range(6))))
-        s = s if len(s) >= 20 else s + "a" * (20 - len(s))
-        if not y and s is picture:
-            lead = plain + "data:image/png;base64,"
-        if y and rnd.random() < 0.7:
-            lead = plain + rnd.choice(CONTEXT["secret"]) + rnd.choice((' = "', ": ", "="))
+        uuid = "-".join(mix(n, hexes) for n in (8, 4, 4, 4, 12))
+        bare = rnd.choice((mix(40, hexes), mix(64, hexes), mix(32, hexes), uuid))
+        weak = word() + num(rnd.randint(1, 4)) + rnd.choice(("", word(), "!", "&" + num(1)))
+        strong = mix(rnd.randint(6, 12), all62) + rnd.choice("!&#$%*") + num(1)
+        named = rnd.choice(("ghp_", "gho_", "sk_live_", "sk-", "AKIA", "AIza", "xoxb-", "glpat-", "npm_")) + mix(rnd.randint(20, 40), all62)
+        opening = plain + rnd.choice(CONTEXT["secret"]) + rnd.choice((' = "', ": ", "=", " is "))
+        if y:
+            s = rnd.choice((bare, mix(32, all62), named, named, long, weak, strong))
+            lead = opening if s in (bare, weak, strong) or rnd.random() < 0.6 else plain
+        else:
+            picture = mix(rnd.randint(257, 700), all62 + "+/")
+            s = rnd.choice((picture, word() * 4, "_".join(word() for _ in range(5)), "-".join(word() for _ in range(5)), rnd.choice("-_/+") * rnd.randint(20, 60), num(24), "/".join(word() for _ in range(6)), bare, bare, uuid, (plainly := word()), (camel := word() + word().title())))
+            if s is picture:
+                lead = plain + "data:image/png;base64,"
+            elif s in (plainly, camel):
+                lead = opening
+            elif s in (bare, uuid):
+                lead = plain if rnd.random() < 0.5 else plain + rnd.choice(CONTEXT["against"]) + rnd.choice((" ", ": ", "="))
     return kind, lead + s + " " + word(), len(lead), len(lead) + len(s), y
 
 
@@ -233,21 +306,40 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]]) -> lis
     trees, limits = model()
     found = []
     for k, text in enumerate(texts):
-        low = text.lower() if "at" in text else text
+        low = text.lower()
         for kind, marks, pattern in GENERATORS:
             if marks and not any(m in low for m in marks):
                 continue
             found += [(k, kind, m.start(1), m.end(1)) for m in pattern.finditer(text)]
+        if "at" in low:
+            found += [(k, "email", a, b) for a, b in spoken_addresses(text)]
     if not found:
         return [[] for _ in texts]
     p = trees.probability(np.array([features(kind, texts[k], a, b) for k, kind, a, b in found]))
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-    for (k, kind, a, b), q in sorted(zip(found, p.tolist(), strict=True), key=lambda r: (r[0][0], -r[1], r[0][2] - r[0][3], r[0][1], r[0][2])):
-        if q >= limits[kind] and all(b <= s[1] or s[2] <= a for s in (*base[k], *out[k])):
+    taken = [_disjoint(x) for x in base]
+    for (k, kind, a, b), q in sorted(zip(found, p.tolist(), strict=True), key=lambda r: (r[0][0], -r[1], r[0][2] - r[0][3], r[0][2], KINDS.index(r[0][1]))):
+        starts, ends = taken[k]
+        at = bisect_right(starts, a)
+        if q >= limits[kind] and (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
             out[k].append((kind, a, b, q))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return out
 
 
+def _disjoint(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the spans, in order."""
+    starts, ends = [], []
+    for a, b in sorted((s[1], s[2]) for s in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def joined(spans: list[tuple]) -> str:
     order = sorted((KINDS.index(s[0]), s[1], s[2]) for s in spans)
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in order)
