@@ -4,6 +4,9 @@ A text is cut into sentences, each is normalised, and known licence sentences be
 sequence of identifiers, and a rule is met where its identifiers follow one another in the document's sequence of known
 sentences (other sentences may stand between). Longer rules come first: a rule is not reported where a rule that contains it is.
 
+A notice (`licensed under …`, an SPDX tag, a `license:` field) may name several licences and ends at a dash, a bracket or an address;
+it gives one identifier for each name in NAMED_LICENSES. A sentence that is known as a whole is never taken apart.
+
 Published headers and full texts are known by the pieces that the cut leaves of them (HEADERS), wrapped, indented or in comments.
 
 All work is row by row: there is no shuffle, and the tables of sentences and rules are fixed values.
@@ -70,6 +73,10 @@ RULES = (
     ("MPL-2.0", "copyleft", (("mpl2.notice",),)),
     ("Unlicense", "permissive", (("unlicense.free",),)),
     ("All-Rights-Reserved", "proprietary", (("proprietary.all",),)),
+    ("LGPL-2.1", "copyleft", (("lgpl21.notice",),)),
+    ("EPL-2.0", "copyleft", (("epl2.notice",),)),
+    ("CC-BY-SA-3.0", "copyleft", (("ccbysa3.notice",),)),
+    ("CC-BY-SA", "copyleft", (("ccbysa.notice",),)),
 )
 
 _FSF = "you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation "
@@ -91,6 +98,11 @@ HEADERS = {
     "gpl2.title": "gnu general public license version 2 june 1991",
     "gpl.useful": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl.implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl21.later": (_FSF + _LATER).format("lesser ", "2 1"),
+    "lgpl21.only": (_FSF + "version 2 1 of the license").format("lesser "),
+    "lgpl21.title": "gnu lesser general public license version 2 1 february 1999",
+    "epl2.title": "eclipse public license v 2 0",
+    "epl2.terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
     "lgpl3.later": (_FSF + _LATER).format("lesser ", "3"),
     "lgpl3.title": "gnu lesser general public license version 3 29 june 2007",
     "agpl3.later": (_FSF + _LATER).format("affero ", "3"),
@@ -111,19 +123,23 @@ HEADER_RULES = {
     "GPL-3.0": (("gpl3.later",), ("gpl3.only",), ("gpl3.title",)),
     "GPL-2.0": (("gpl2.later",), ("gpl2.only",), ("gpl2.only2",), ("gpl2.title",)),
     "LGPL-3.0": (("lgpl3.later",), ("lgpl3.title",)),
+    "LGPL-2.1": (("lgpl21.later",), ("lgpl21.only",), ("lgpl21.title",)),
+    "EPL-2.0": (("epl2.title",), ("epl2.terms",)),
+    "BSD-2-Clause": (("bsd2.notice",),),
+    "Unlicense": (("unlicense.notice",),),
     "AGPL-3.0": (("agpl3.later",), ("agpl3.title",)),
     "CC-BY-NC-4.0": (("ccbync4.work",), ("ccbync4.title",)),
     "CC-BY-4.0": (("ccby4.title",),),
     "CC-BY-SA-4.0": (("ccbysa4.title",),),
-    "CC0-1.0": (("cc0.title",),),
-    "BSD-3-Clause": (("bsd.redistribute", "bsd.source", "bsd.binary", "bsd.author"),),
-    "ISC": (("isc.grant2",),),
+    "CC0-1.0": (("cc0.title",), ("cc0.notice",)),
+    "BSD-3-Clause": (("bsd3.notice",), ("bsd.redistribute", "bsd.source", "bsd.binary", "bsd.author"),),
+    "ISC": (("isc.grant2",), ("isc.notice",)),
     "MPL-2.0": (("mpl2.title",),),
 }
 
 # How a notice may open; it then counts as one that starts with "licensed under".
 OPENING = (
-    "^(?:(?:this|the) (?:file|project|software|code|source code|program|package|library|repository|work|data|dataset) is )?"
+    "^(?:(?:(?:this|the|our|all) )?(?:file|project|software|code|source code|program|package|library|repository|work|data|dataset|text|content|documentation|module|plugin|tool)s? (?:is|are) (?:also |dual )?)?"
     "(?:licensed|released|distributed|made available|available) under (?:the terms of )?"
 )
 # What follows such an opening.
@@ -135,8 +151,28 @@ NOTICES = {
     "cc by 4 0": "ccby4.notice", "cc by sa 4 0": "ccbysa4.notice", "cc by nc 4 0": "ccbync4.notice",
 }
 
+# Names of licences in notices and identifiers, without article, `license` at their end, and versions that may follow.
+NAMED_LICENSES = {
+    "mit": "mit.notice2", "expat": "mit.notice2", "apache 2 0": "apache2.notice", "apache license version 2 0": "apache2.notice", "apache license 2 0": "apache2.notice", "apache version 2 0": "apache2.notice", "apache license v2 0": "apache2.notice", "apache v2": "apache2.notice", "apache2": "apache2.notice",
+    "gpl 3 0": "gpl3.notice", "gpl v3": "gpl3.notice", "gplv3": "gpl3.notice", "gnu gpl v3": "gpl3.notice", "gnu gplv3": "gpl3.notice", "gnu gpl version 3": "gpl3.notice", "gnu general public license version 3": "gpl3.notice", "gnu general public license v3": "gpl3.notice", "gnu general public license v3 0": "gpl3.notice", "gpl 3 0 only": "gpl3.notice",
+    "gpl 2 0": "gpl2.notice", "gpl v2": "gpl2.notice", "gplv2": "gpl2.notice", "gnu gpl v2": "gpl2.notice", "gnu gplv2": "gpl2.notice", "gnu gpl version 2": "gpl2.notice", "gnu general public license version 2": "gpl2.notice", "gnu general public license v2": "gpl2.notice", "gnu general public license v2 0": "gpl2.notice", "gpl 2 0 only": "gpl2.notice",
+    "lgpl 2 1": "lgpl21.notice", "lgplv2 1": "lgpl21.notice", "gnu lesser general public license version 2 1": "lgpl21.notice", "gnu lesser general public license v2 1": "lgpl21.notice", "lgpl 2 1 only": "lgpl21.notice", "gnu lgpl version 2 1": "lgpl21.notice",
+    "lgpl 3 0": "lgpl3.notice", "lgplv3": "lgpl3.notice", "gnu lesser general public license version 3": "lgpl3.notice", "gnu lesser general public license v3 0": "lgpl3.notice", "lgpl 3 0 only": "lgpl3.notice",
+    "agpl 3 0": "agpl3.notice", "agplv3": "agpl3.notice", "gnu affero general public license version 3": "agpl3.notice", "gnu affero general public license v3 0": "agpl3.notice", "gnu agplv3": "agpl3.notice", "agpl 3 0 only": "agpl3.notice",
+    "bsd 3 clause": "bsd3.notice", "3 clause bsd": "bsd3.notice", "new bsd": "bsd3.notice", "modified bsd": "bsd3.notice", "bsd 2 clause": "bsd2.notice", "2 clause bsd": "bsd2.notice", "simplified bsd": "bsd2.notice", "isc": "isc.notice",
+    "mpl 2 0": "mpl2.notice", "mozilla public license 2 0": "mpl2.notice", "mozilla public license version 2 0": "mpl2.notice", "mozilla public license v2 0": "mpl2.notice", "epl 2 0": "epl2.notice", "eclipse public license 2 0": "epl2.notice", "eclipse public license version 2 0": "epl2.notice", "eclipse public license v2 0": "epl2.notice",
+    "unlicense": "unlicense.notice", "cc0 1 0": "cc0.notice", "cc0": "cc0.notice", "cc by 4 0": "ccby4.notice", "cc by sa 4 0": "ccbysa4.notice", "cc by nc 4 0": "ccbync4.notice", "cc by sa 3 0": "ccbysa3.notice", "cc by sa": "ccbysa.notice",
+    "creative commons attribution 4 0 international": "ccby4.work", "creative commons attribution sharealike 4 0 international": "ccbysa4.work", "creative commons attribution sharealike 4 0": "ccbysa4.work", "creative commons attribution sharealike 3 0": "ccbysa3.notice", "creative commons attribution sharealike 3 0 unported": "ccbysa3.notice", "creative commons attribution sharealike": "ccbysa.notice",
+}
+#: What stands around a name in a notice.
+AROUND = "^(?:either |of |the |an |a |terms )+| (?:at your option|at your choice|as well)$"
+LICENSE_END = " licen[cs]e$"
+
 #: Normalised sentence -> identifier. The SQL has SENTENCES only.
-KNOWN = {f"licensed under {notice}": i for notice, i in NOTICES.items()} | {s: i for i, s in HEADERS.items()} | {s: i for i, s in SENTENCES.items()}
+KNOWN = (
+    {f"{n} license": i for n, i in NAMED_LICENSES.items() if n != "mit"} | {f"licensed under {n}": i for n, i in NAMED_LICENSES.items()} | {f"licensed under {notice}": i for notice, i in NOTICES.items()}
+    | {s: i for i, s in HEADERS.items()} | {s: i for i, s in SENTENCES.items()}
+)
 
 #: Within a document, this rule gives way to those after it.
 YIELDS = {"BSD-2-Clause": ("BSD-3-Clause",)}
@@ -157,15 +193,38 @@ INNER = r"(?<![a-z])(v)\.\s+(?=[0-9])|\.\s+(?=nor\s+the\s+names\s+of\s)|(foundat
 NAMED = r"^neither the name of .{1,300}? nor the names of (?:its|his|her|their|the|any) contributors may be used"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order. Comment leaders and indents go, and lines that wrap within a sentence are joined first."""
+#: A line that names the licence: an identifier tag, a field of a manifest.
+TAGGED = r"(?m)(?:\bspdx-license-identifier[ \t]*:|^[\"']?licen[cs]e[\"']?[ \t]*:)[ \t]*([^\n]*)$"
+#: Where a notice, but not a sentence, may end: at a dash, a bracket, an address, or before the reservation of rights.
+ASIDE = r" [-–—]+ | ?[()|] ?|,? (?=https?://)|, (?=all rights reserved)"
+
+
+def _marked(text: Column) -> Column:
+    """Normalised sentences of a text, in order, with a bar at each ASIDE."""
     low = F.regexp_replace(F.lower(text), "\r\n?", "\n")
     low = F.regexp_replace(F.regexp_replace(low, LEADER, ""), CLOSER, "")
+    low = F.regexp_replace(low, TAGGED, "\nlicensed under $1.\n")
     low = F.regexp_replace(F.regexp_replace(low, WRAP, "$1 "), INNER, "$1$2 ")
     cut = F.split(low, SENTENCE_END)
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
+    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\s+", " "), ASIDE, "|"), r"[^a-z0-9|]+", " ")))
+
+
+def _plain(marked: Column) -> Column:
     holder = "neither the name of the copyright holder nor the names of its contributors may be used"
-    return F.transform(plain, lambda s: F.when(s.startswith("neither the name of"), F.regexp_replace(s, NAMED, holder)).otherwise(s))
+    s = F.trim(F.regexp_replace(marked, r"[ |]+", " "))
+    return F.when(s.startswith("neither the name of"), F.regexp_replace(s, NAMED, holder)).otherwise(s)
+
+
+def sentences(text: Column) -> Column:
+    """Normalised sentences of a text, in order. Comment leaders and indents go, and lines that wrap within a sentence are joined first."""
+    return F.transform(_marked(text), _plain)
+
+
+def _named(marked: Column) -> Column:
+    """What a notice names, each as a notice of its own: `licensed under either of a or b (see c)` gives a and b."""
+    head = F.trim(F.regexp_replace(F.trim(F.split_part(marked, F.lit("|"), F.lit(1))), OPENING, ""))
+    bare = lambda n: F.regexp_replace(F.regexp_replace(F.trim(n), AROUND, ""), LICENSE_END, "")
+    return F.transform(F.split(head, " (?:or|and) "), lambda n: F.concat(F.lit("licensed under "), bare(n)))
 
 
 #: Words, or parts of a word, one of which every known sentence holds; texts without any are not cut into sentences. No blank
@@ -178,8 +237,17 @@ def found(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     number = F.create_map(*(F.lit(x) for s, i in KNOWN.items() for x in (s, i)))
     known = list(KNOWN)
-    opened = lambda s: F.when(s.isin(known), s).when(s.rlike(OPENING), F.regexp_replace(s, OPENING, "licensed under ")).otherwise(s)
-    kept = F.filter(F.transform(sentences(text), opened), lambda s: s.isin(known))
+
+    def read(marked: Column) -> Column:
+        plain = _plain(marked)
+        whole = F.regexp_replace(plain, OPENING, "licensed under ")
+        opens = marked.rlike(OPENING)
+        return (
+            F.when(plain.isin(known), F.array(plain)).when(opens & whole.isin(known), F.array(whole)).when(opens, _named(marked))
+            .when(F.contains(marked, F.lit("|")), F.transform(F.split(marked, r"\|"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+        )
+
+    kept = F.filter(F.flatten(F.transform(_marked(text), read)), lambda s: s.isin(known))
     ids = F.transform(kept, lambda s: number[s])
     return F.when(text.rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
 
