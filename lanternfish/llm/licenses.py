@@ -98,6 +98,15 @@ HEADERS = {
     "gpl2.title": "gnu general public license version 2 june 1991",
     "gpl.useful": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl.implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "bsd3.notice": "licensed under the bsd 3 clause license",
+    "bsd2.notice": "licensed under the bsd 2 clause license",
+    "isc.notice": "licensed under the isc license",
+    "unlicense.notice": "licensed under the unlicense",
+    "cc0.notice": "licensed under cc0 1 0",
+    "lgpl21.notice": "licensed under the gnu lesser general public license version 2 1",
+    "epl2.notice": "licensed under the eclipse public license 2 0",
+    "ccbysa3.notice": "licensed under cc by sa 3 0",
+    "ccbysa.notice": "licensed under the creative commons attribution sharealike license",
     "lgpl21.later": (_FSF + _LATER).format("lesser ", "2 1"),
     "lgpl21.only": (_FSF + "version 2 1 of the license").format("lesser "),
     "lgpl21.title": "gnu lesser general public license version 2 1 february 1999",
