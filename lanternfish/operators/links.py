@@ -69,13 +69,16 @@ def orphans(pages: DataFrame, sitemap: DataFrame, counts: DataFrame, home: Colum
     return sitemap.select("site", "url").distinct().join(fine, ["site", "url"], "left_semi").join(linked, ["site", "url"], "left_anti")
 
 
-def canonical_targets(pages: DataFrame, checked: DataFrame | None = None) -> DataFrame:
-    """site, url, target, and of the first canonical's page: t_status, t_hops, t_noindex. checked: more targets of that shape."""
-    known = pages.select("site", F.col("url").alias("target"), F.col("final_status").alias("t_status"), F.col("redirect_hops").alias("t_hops"), F.col("noindex").alias("t_noindex"))
+def canonical_targets(pages: DataFrame, checked: DataFrame | None = None, crawled: DataFrame | None = None) -> DataFrame:
+    """site, url, seq (where pages have it), target, and of the first canonical's page: t_status, t_hops, t_noindex. checked: more targets of that shape;
+    crawled: the records that canonicals are looked up in, where these are more than pages. Of several records of one url the first tells what a canonical that names it meets; each of them is a row of its own."""
+    seq = [c for c in ("seq",) if c in pages.columns]
+    state = F.struct(*seq, F.col("final_status").alias("t_status"), F.col("redirect_hops").alias("t_hops"), F.col("noindex").alias("t_noindex"))
+    known = (pages if crawled is None else crawled).groupBy("site", F.col("url").alias("target")).agg(F.min(state).alias("s")).select("site", "target", "s.t_status", "s.t_hops", "s.t_noindex")
     if checked is not None:
         known = known.unionByName(checked.join(known.select("site", "target"), ["site", "target"], "left_anti"))
     first = F.get("canonicals", F.lit(0))
-    return pages.select("site", "url", first.alias("target")).filter("target IS NOT NULL AND target <> url").join(known, ["site", "target"], "left")
+    return pages.select("site", "url", *seq, first.alias("target")).filter("target IS NOT NULL AND target <> url").join(known, ["site", "target"], "left")
 
 
 def resources(uses: DataFrame, most: int = 400) -> DataFrame:
