@@ -12,8 +12,8 @@ IMAGE_LIMIT, SCRIPT_LIMIT, CACHE_LEAST, CACHE_GRAVE, CACHE_SECONDS = 200 * 1024,
 IN_PROPS = r"(?i)\"((?:/(?!/)|https?://)[^\s\"'<>]+\.(?:png|jpe?g|gif|webp|avif|svg)(?:\?[^\s\"']*)?)\""
 
 
-def uses(items: DataFrame) -> DataFrame:
-    """site, page, url, type of the files that each page loads from its own host: images (of island properties too), scripts, style
+def uses(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """site, page, `by` (seq: each record of a url for itself), url, type of the files that each page loads from its own host: images (of island properties too), scripts, style
     sheets, fonts. Of several uses on a page the first tells the type; images made on demand are left out."""
     a = F.col("attrs")
     rel = F.split(F.lower(F.coalesce(a["rel"], F.lit(""))), r"\s+")
@@ -27,10 +27,10 @@ def uses(items: DataFrame) -> DataFrame:
     )
     props = F.when(tag("astro-island"), F.transform(F.regexp_extract_all(F.coalesce(a["props"], F.lit("")), F.lit(IN_PROPS), F.lit(1)), lambda x: F.struct(F.lit("image").alias("type"), x.alias("ref"))))
     loaded = items.filter(F.col("tag").isin("img", "script", "astro-island", "link") & ~F.coalesce("inert", F.lit(False)))
-    each = loaded.select("site", F.col("url").alias("page"), "pos", F.explode(F.concat(F.array_compact(direct), F.coalesce(props, F.array().cast("array<struct<type:string,ref:string>>")))).alias("u"))
-    each = held(each, "url", urls.resolved(F.col("page"), F.trim("u.ref"))).select("site", "page", "pos", "u.type", "url")
+    each = loaded.select("site", "seq", F.col("url").alias("page"), "pos", F.explode(F.concat(F.array_compact(direct), F.coalesce(props, F.array().cast("array<struct<type:string,ref:string>>")))).alias("u"))
+    each = held(each, "url", urls.resolved(F.col("page"), F.trim("u.ref"))).select("site", "page", "seq", "pos", "u.type", "url")
     own = (urls.authority(F.col("url")) == urls.authority(F.col("page"))) & urls.scheme(F.col("url")).isin("http", "https") & ~urls.path(F.col("url")).startswith("/_image")
-    return each.filter(own).groupBy("site", "page", F.regexp_replace("url", "#.*$", "").alias("url")).agg(F.min_by("type", "pos").alias("type"))
+    return each.filter(own).groupBy("site", "page", *by, F.regexp_replace("url", "#.*$", "").alias("url")).agg(F.min_by("type", F.struct("seq", "pos")).alias("type"))
 
 
 def _briefly(cc: Column, expires_in: Column) -> Column:
