@@ -56,8 +56,9 @@ def field_findings(values: DataFrame, trend: DataFrame | None = None, periods_fr
 
 
 def skipped_headings(headings: DataFrame) -> DataFrame:
-    """Headings more than one level under the one before in the same landmark. headings: url, landmark, pos, level, text."""
-    w = Window.partitionBy("url", "landmark").orderBy("pos")
+    """Headings more than one level under the one before in the same landmark. headings: url, landmark, pos, level, text, and seq where a
+    url may have several records."""
+    w = Window.partitionBy("url", *[c for c in ("seq",) if c in headings.columns], "landmark").orderBy("pos")
     return headings.withColumn("previous", F.lag("level").over(w)).filter("level > previous + 1")
 
 

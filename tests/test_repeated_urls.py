@@ -29,6 +29,7 @@ def tables(tmp_path_factory):
     "font_findings",
     "redirect_chains",
     "sitemap_membership",
+    "skipped_heading_pages",
 ])
 def test_same_rows_as_sql(spark, tables, name):
     con, place = tables
