@@ -80,10 +80,10 @@ def price(value: Column) -> Column:
 
 
 def prices_not_shown(objects: DataFrame, pages: DataFrame) -> DataFrame:
-    """site, url, price of offers whose price the visible text lacks. pages: url, text (of the body)."""
+    """site, url, price of offers whose price the visible text lacks. pages: url, seq, text (of the body)."""
     offers = objects.withColumn("p", F.coalesce(_path("o", "offers.price"), _path("o", "price"), F.expr("try_variant_get(o, '$.offers[0].price', 'string')"))).filter("p IS NOT NULL")
     shown = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9][0-9\s.,]*[0-9]|[0-9]"), F.lit(0)), lambda x: price(x))
-    t = offers.select("site", "url", price(F.col("p")).alias("price")).join(pages.select("url", "text"), "url").filter("price IS NOT NULL")
+    t = offers.select("site", "url", "seq", price(F.col("p")).alias("price")).join(pages.select("url", "seq", "text"), ["url", "seq"]).filter("price IS NOT NULL")
     return t.filter(~F.coalesce(F.array_contains(shown, F.col("price")), F.lit(False))).select("site", "url", "price")
 
 

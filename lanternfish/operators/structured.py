@@ -49,7 +49,9 @@ PRICED = ("Offer", "AggregateOffer", "PriceSpecification", "UnitPriceSpecificati
 #: Courses that make a list, characters of text below which prices are not compared, digits of a price.
 LISTED_COURSES, LEAST_TEXT, MOST_DIGITS = 3, 100, 15
 
-AT = ["site", "url", "pos", "path"]
+#: A record of a page (a url may have several), and an object in it.
+PAGE = ["site", "url", "seq"]
+AT = [*PAGE, "pos", "path"]
 
 
 def _get(v: str, name: str, kind: str = "string") -> Column:
@@ -69,15 +71,15 @@ def objects(items: DataFrame) -> DataFrame:
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """site, url, id, props: the objects of a page that share an `@id` as one; the first value of each property counts. Objects that
+    """site, url, seq, id, given: the objects of a page that share an `@id` as one; the first value of each property counts. Objects that
     only refer bring nothing; offers and reviews bring themselves to what they point at."""
-    own = found.filter("id IS NOT NULL AND size(map_filter(props, (k, v) -> k <> '@id')) > 0").select("site", "url", "id", "pos", "path", F.explode("props").alias("k", "v"), F.lit(0).alias("late"))
+    own = found.filter("id IS NOT NULL AND size(map_filter(props, (k, v) -> k <> '@id')) > 0").select(*PAGE, "id", "pos", "path", F.explode("props").alias("k", "v"), F.lit(0).alias("late"))
     gives = F.when(F.col("k") == "itemOffered", "offers").when(F.array_contains("types", "Review"), "review").when(F.array_contains("types", "AggregateRating"), "aggregateRating")
     refers = F.array(*(F.struct(F.lit(k).alias("k"), _get("o", k, "variant").alias("v")) for k in ("itemOffered", "itemReviewed")))
-    points = found.select("site", "url", "pos", "path", "types", F.inline(refers)).filter("v IS NOT NULL").withColumn("to", F.explode(_many(F.col("v"))))
-    points = points.select("site", "url", _get("to", "@id").alias("id"), "pos", "path", gives.alias("k"), F.lit("{}?").alias("v"), F.lit(1).alias("late")).filter("id IS NOT NULL AND k IS NOT NULL")
-    first = own.unionByName(points).groupBy("site", "url", "id", "k").agg(F.min_by("v", F.struct("late", "pos", "path")).alias("v"))
-    return first.groupBy("site", "url", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("given"))
+    points = found.select(*AT, "types", F.inline(refers)).filter("v IS NOT NULL").withColumn("to", F.explode(_many(F.col("v"))))
+    points = points.select(*PAGE, _get("to", "@id").alias("id"), "pos", "path", gives.alias("k"), F.lit("{}?").alias("v"), F.lit(1).alias("late")).filter("id IS NOT NULL AND k IS NOT NULL")
+    first = own.unionByName(points).groupBy(*PAGE, "id", "k").agg(F.min_by("v", F.struct("late", "pos", "path")).alias("v"))
+    return first.groupBy(*PAGE, "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("given"))
 
 
 def _parts(found: DataFrame, graph: DataFrame, name: str) -> DataFrame:
@@ -86,7 +88,7 @@ def _parts(found: DataFrame, graph: DataFrame, name: str) -> DataFrame:
     whole = F.coalesce(_get("o", name, "variant"), F.try_parse_json(F.col("given")[name]))
     each = found.select(*AT, F.posexplode(_many(whole)).alias("nth", "el")).filter("el IS NOT NULL")
     each = each.withColumns({"ref": _get("el", "@id"), "keys": F.map_keys(F.map_filter(F.from_json(F.to_json("el"), "map<string,string>"), lambda k, v: v.isNotNull() & ~F.trim(v).isin("", "[]", "{}")))})
-    each = each.join(graph.select("site", "url", F.col("id").alias("ref"), F.col("given").alias("ref_given")), ["site", "url", "ref"], "left")
+    each = each.join(graph.select(*PAGE, F.col("id").alias("ref"), F.col("given").alias("ref_given")), [*PAGE, "ref"], "left")
     is_object = F.schema_of_variant("el").startswith("OBJECT")
     known = is_object & ((F.size(F.array_except("keys", F.array(F.lit("@id")))) > 0) | F.col("ref_given").isNotNull())
     have = F.array_union(F.coalesce("keys", F.array().cast("array<string>")), F.coalesce(F.map_keys("ref_given"), F.array().cast("array<string>")))
@@ -96,12 +98,12 @@ def _parts(found: DataFrame, graph: DataFrame, name: str) -> DataFrame:
 
 def findings(items: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """site, url, key, severity, signature: required properties that objects lack, types without effect, prices that the page does
-    not show. texts: site, url, text (the whole visible text of pages); without it prices are not compared."""
+    not show. texts: site, url, seq, text (the whole visible text of pages); without it prices are not compared."""
     from lanternfish.plans.tables import stored
 
     found = stored(objects(items), "jsonld-objects")
     graph = stored(merged(found), "jsonld-graph")
-    found = found.join(graph.withColumnRenamed("given", "by_id"), ["site", "url", "id"], "left").withColumn("given", F.coalesce("by_id", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))).drop("by_id")
+    found = found.join(graph.withColumnRenamed("given", "by_id"), [*PAGE, "id"], "left").withColumn("given", F.coalesce("by_id", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))).drop("by_id")
     found = found.withColumn("have", F.array_union(F.map_keys("props"), F.map_keys("given")))
     kind = lambda t: F.when(t.isin(*LOCAL), "LocalBusiness").when(t.isin(*EVENTS), "Event").when(t.isin(*APPLICATIONS), "SoftwareApplication").otherwise(t)
     # Of the types that count as the same one, the first.
@@ -119,8 +121,8 @@ def findings(items: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     offers = _parts(typed.filter("family = 'SoftwareApplication' AND array_contains(have, 'offers')"), graph, "offers")
     offers = offers.groupBy(*AT).agg(F.bool_or(~F.col("known") | F.array_contains("have", "price")).alias("fine")).filter("NOT fine").select(*AT, F.array(F.lit("offers.price")).alias("more"), F.lit("SoftwareApplication").alias("family"))
     typed = typed.join(places.unionByName(offers), [*AT, "family"], "left").withColumn("lacks", F.concat("lacks", F.coalesce("more", F.array().cast("array<string>")))).filter("size(lacks) > 0")
-    courses = found.filter("role IS NOT NULL AND array_contains(types, 'Course')").groupBy("site", "url").agg((F.count("*") >= LISTED_COURSES).alias("list"))
-    typed = typed.join(courses, ["site", "url"], "left")
+    courses = found.filter("role IS NOT NULL AND array_contains(types, 'Course')").groupBy(*PAGE).agg((F.count("*") >= LISTED_COURSES).alias("list"))
+    typed = typed.join(courses, PAGE, "left")
     lone = (F.col("family") == "Course") & ~F.coalesce("list", F.lit(False))
     missing = typed.select("site", "url", F.when(lone, "jsonld_cours_incomplet").otherwise("jsonld_proprietes_requises").alias("key"), F.when(lone, "basse").otherwise("moyenne").alias("severity"), F.concat("type", F.lit(" : "), F.array_join("lacks", ", ")).alias("signature"))
     is_ = lambda t: F.array_contains("types", t)
@@ -140,7 +142,7 @@ def prices(found: DataFrame, texts: DataFrame) -> DataFrame:
     bare = F.regexp_replace(_get("o", "price"), r"(?U)\s", "")
     plain = F.when(bare.contains(",") & ~bare.contains("."), F.regexp_replace(bare, ",", ".")).otherwise(bare)
     price = F.when((F.length(plain) <= MOST_DIGITS + 3) & plain.rlike(r"^\d+(?:\.\d+)?$"), F.round(plain.try_cast("double"), 2))
-    offered = found.filter(F.arrays_overlap("types", F.array(*map(F.lit, PRICED)))).select("site", "url", "pos", "path", price.alias("price")).filter("price > 0")
+    offered = found.filter(F.arrays_overlap("types", F.array(*map(F.lit, PRICED)))).select(*AT, price.alias("price")).filter("price > 0")
     short = lambda x: F.length(x) <= MOST_DIGITS + 3
     number = lambda x: F.round(x.try_cast("double"), 2)
     grouped = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\d{1,3}(?:[ .,]\d{3})+(?:[.,]\d+)?"), F.lit(0)), lambda x: F.regexp_replace(x, " ", "")), short)
@@ -148,16 +150,16 @@ def prices(found: DataFrame, texts: DataFrame) -> DataFrame:
     whole = lambda x: number(F.regexp_replace(x, "[.,]", ""))
     cents = lambda x: number(F.concat(F.regexp_replace(F.regexp_extract(x, r"^(.*)[.,]\d+$", 1), "[.,]", ""), F.lit("."), F.regexp_extract(x, r"[.,](\d+)$", 1)))
     shown = F.concat(F.transform(grouped, whole), F.transform(grouped, cents), F.transform(simple, lambda x: number(F.regexp_replace(x, ",", "."))), F.transform(simple, whole))
-    t = texts.filter(F.length("text") >= LEAST_TEXT).join(offered.select("site", "url").distinct(), ["site", "url"], "left_semi").select("site", "url", F.array_distinct(shown).alias("shown"))
-    lost = offered.join(t, ["site", "url"]).filter(~F.array_contains("shown", F.col("price")))
+    t = texts.filter(F.length("text") >= LEAST_TEXT).join(offered.select(*PAGE).distinct(), PAGE, "left_semi").select(*PAGE, F.array_distinct(shown).alias("shown"))
+    lost = offered.join(t, PAGE).filter(~F.array_contains("shown", F.col("price")))
     said = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", "price"), r"0+$", ""), r"\.$", "")
     return lost.select("site", "url", F.lit("jsonld_prix_absent_du_texte").alias("key"), F.lit("basse").alias("severity"), F.concat(F.lit("Offer : prix "), said, F.lit(" absent du texte visible")).alias("signature"))
 
 
 def page_texts(lines: DataFrame) -> DataFrame:
-    """site, url, text: the blocks of a page in the order of the page, blanks folded."""
+    """site, url, seq, text: the blocks of a page in the order of the page, blanks folded."""
     every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", html.unmarked(F.col("line"), 0).alias("t")))), lambda x: x["t"]), " ")
-    return lines.groupBy("site", "url").agg(every.alias("text"))
+    return lines.groupBy(*PAGE).agg(every.alias("text"))
 
 
 def structured_data(items: DataFrame, lines: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def tables(tmp_path_factory):
     "redirect_chains",
     "sitemap_membership",
     "skipped_heading_pages",
+    "merged_identities",
 ])
 def test_same_rows_as_sql(spark, tables, name):
     con, place = tables
