@@ -1,7 +1,7 @@
 """Rules over the elements of pages (accessibility, content, leaks, head, third parties, structured data).
 
 Each rule gives observations (site, url, key, severity, signature, example); groups() folds equal signatures over pages. Names
-by id are looked up by a join on (url, id).
+by id are looked up by a join on (url, seq, id): a url may stand in several records, each of which is a page of its own.
 """
 
 from __future__ import annotations
@@ -45,16 +45,16 @@ def groups(observations: DataFrame, shown: int = 3) -> DataFrame:
 
 
 def _labels(items: DataFrame) -> DataFrame:
-    """url, pos, label: text of the elements that aria-labelledby names."""
-    refs = items.filter(_given(_a("aria-labelledby"))).select("url", "pos", F.explode(F.split(F.trim(_a("aria-labelledby")), r"\s+")).alias("id"))
-    named = items.filter(_a("id").isNotNull()).select("url", _a("id").alias("id"), "text")
-    return refs.join(named, ["url", "id"]).groupBy("url", "pos").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("label"))
+    """url, seq, pos, label: text of the elements that aria-labelledby names."""
+    refs = items.filter(_given(_a("aria-labelledby"))).select("url", "seq", "pos", F.explode(F.split(F.trim(_a("aria-labelledby")), r"\s+")).alias("id"))
+    named = items.filter(_a("id").isNotNull()).select("url", "seq", _a("id").alias("id"), "text")
+    return refs.join(named, ["url", "seq", "id"]).groupBy("url", "seq", "pos").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("label"))
 
 
 def nameless(items: DataFrame) -> DataFrame:
     """Links and buttons without an accessible name."""
     t = items.filter(~F.col("hidden") & ((F.col("tag").isin("a", "button") & (_a("href").isNotNull() | (F.col("tag") == "button"))) | (_a("role") == "button")))
-    t = t.join(_labels(items), ["url", "pos"], "left")
+    t = t.join(_labels(items), ["url", "seq", "pos"], "left")
     name = F.concat_ws("", _a("aria-label"), "label", "text", "alts", _a("title"))
     bare = t.filter(F.trim(name) == "")
     sign = F.coalesce(_a("href"), _a("class"), F.col("tag"))
@@ -68,8 +68,8 @@ def structure(items: DataFrame) -> DataFrame:
 
     skipped = skipped_headings(headings(items))
     jumps = skipped.select("site", "url", F.lit("titres_sautes").alias("key"), F.lit("moyenne").alias("severity"), F.concat(F.lit("h"), F.col("previous").cast("string"), F.lit(" > h"), F.col("level").cast("string")).alias("signature"), F.substring("text", 1, 160).alias("example"))
-    refs = items.select("site", "url", F.explode(F.split(F.trim(F.concat_ws(" ", _a("aria-labelledby"), _a("aria-describedby"), F.when(F.col("tag") == "label", _a("for")))), r"\s+")).alias("id")).filter("id <> ''")
-    dangling = refs.join(items.filter(_a("id").isNotNull()).select("url", _a("id").alias("id")).distinct(), ["url", "id"], "left_anti")
+    refs = items.select("site", "url", "seq", F.explode(F.split(F.trim(F.concat_ws(" ", _a("aria-labelledby"), _a("aria-describedby"), F.when(F.col("tag") == "label", _a("for")))), r"\s+")).alias("id")).filter("id <> ''")
+    dangling = refs.join(items.filter(_a("id").isNotNull()).select("url", "seq", _a("id").alias("id")).distinct(), ["url", "seq", "id"], "left_anti")
     shown = items.filter(~F.col("hidden"))
     content = F.lower(F.regexp_replace(F.coalesce(_a("content"), F.lit("")), r"\s", ""))
     zoom = items.filter((F.col("tag") == "meta") & (F.lower(_a("name")) == "viewport")).filter(content.rlike("user-scalable=(no|0)") | (F.regexp_extract(content, r"maximum-scale=([0-9.]+)", 1).try_cast("double") < 2))
@@ -84,8 +84,8 @@ def structure(items: DataFrame) -> DataFrame:
 def drawings(items: DataFrame) -> DataFrame:
     """Inline SVG that is neither hidden nor named, or an image role without a name."""
     t = items.filter("tag = 'svg'")
-    titles = items.filter("tag = 'title' AND NOT head").select("url", F.col("parent").alias("pos")).distinct().withColumn("titled", F.lit(True))
-    t = t.join(titles, ["url", "pos"], "left").withColumn("named", F.coalesce("titled", F.lit(False)) | _given(_a("aria-label")) | _given(_a("aria-labelledby")))
+    titles = items.filter("tag = 'title' AND NOT head").select("url", "seq", F.col("parent").alias("pos")).distinct().withColumn("titled", F.lit(True))
+    t = t.join(titles, ["url", "seq", "pos"], "left").withColumn("named", F.coalesce("titled", F.lit(False)) | _given(_a("aria-label")) | _given(_a("aria-labelledby")))
     sign = F.concat_ws(" ", _a("viewbox"), _a("fill"), _a("stroke"))
     image = _a("role") == "img"
     open_ = t.filter(~F.col("hidden") & ~F.col("named"))
@@ -100,12 +100,12 @@ def wording(items: DataFrame) -> DataFrame:
     """Generic link texts without an explicit twin on the page, suspicious image texts, image texts that repeat the link's text."""
     links = items.filter((F.col("tag") == "a") & _given(_a("href")) & ~F.col("hidden")).withColumn("href", _a("href")).withColumn("low", F.lower(F.trim(F.regexp_replace("text", r"[\p{P}\p{S}]+$", ""))))
     generic = links.filter(F.col("low").isin(*GENERIC) & ~_given(_a("aria-label")))
-    explicit = links.filter(~F.col("low").isin(*GENERIC) & (F.col("low") != "")).select("url", "href").distinct()
+    explicit = links.filter(~F.col("low").isin(*GENERIC) & (F.col("low") != "")).select("url", "seq", "href").distinct()
     imgs = items.filter((F.col("tag") == "img") & _given(_a("alt")) & ~F.col("hidden"))
-    parent = items.filter("tag = 'a'").select("url", F.col("pos").alias("parent"), F.lower(F.trim("text")).alias("link_text"))
-    twice = imgs.join(parent, ["url", "parent"]).filter(F.lower(F.trim(_a("alt"))) == F.col("link_text"))
+    parent = items.filter("tag = 'a'").select("url", "seq", F.col("pos").alias("parent"), F.lower(F.trim("text")).alias("link_text"))
+    twice = imgs.join(parent, ["url", "seq", "parent"]).filter(F.lower(F.trim(_a("alt"))) == F.col("link_text"))
     return (
-        _seen(generic.join(explicit, ["url", "href"], "left_anti"), "lien_generique", "basse", F.col("low")).unionByName(_seen(imgs.filter(text.suspicious_alt(_a("alt")).isNotNull()), "alt_suspect", "basse", _a("alt")))
+        _seen(generic.join(explicit, ["url", "seq", "href"], "left_anti"), "lien_generique", "basse", F.col("low")).unionByName(_seen(imgs.filter(text.suspicious_alt(_a("alt")).isNotNull()), "alt_suspect", "basse", _a("alt")))
         .unionByName(_seen(twice, "alt_redondant", "basse", _a("alt")))
     )
 
@@ -132,18 +132,18 @@ def placeholders(items: DataFrame, lines: DataFrame) -> DataFrame:
     rx = lambda p: f"(?iUm)(?<!['‘„‚‹])(?:{p})"
     every = "|".join(f"(?:{p})" for _, p in TEMPLATES)
     shown = items.filter(~F.col("hidden"))
-    title = items.filter("tag = 'title' AND head").select("site", "url", "pos", F.lit("titre").alias("place"), "text")
-    told = shown.filter((F.col("tag") == "meta") & F.lower(F.coalesce(_a("name"), _a("property"))).isin(*DESCRIPTIONS)).select("site", "url", "pos", F.lit("description").alias("place"), _a("content").alias("text"))
-    prose = held(lines, "text", unmarked(F.col("line"), 5)).filter(F.col("text").rlike(rx(every))).select("site", "url", "pos", F.lit("texte").alias("place"), "text")
+    title = items.filter("tag = 'title' AND head").select("site", "url", "seq", "pos", F.lit("titre").alias("place"), "text")
+    told = shown.filter((F.col("tag") == "meta") & F.lower(F.coalesce(_a("name"), _a("property"))).isin(*DESCRIPTIONS)).select("site", "url", "seq", "pos", F.lit("description").alias("place"), _a("content").alias("text"))
+    prose = held(lines, "text", unmarked(F.col("line"), 5)).filter(F.col("text").rlike(rx(every))).select("site", "url", "seq", "pos", F.lit("texte").alias("place"), "text")
     rows = held(title.unionByName(told).unionByName(prose), "plain", text.masked(F.regexp_replace("text", r'«[^»]*(»|$)|“[^”]*(”|$)|"[^"]*("|$)', " · ")))
     piece = lambda k, p: F.when(F.col("plain").rlike(rx(p)), F.struct(F.lit(k).alias("kind"), F.regexp_extract("plain", rx(p), 0).alias("hit"), F.regexp_extract("plain", f"(?iUms).{{0,20}}(?<!['‘„‚‹])(?:{p}).{{0,30}}", 0).alias("near")))
-    found = rows.select("site", "url", "pos", "place", F.explode(F.array_compact(F.array(*[piece(k, p) for k, p in TEMPLATES]))).alias("h")).select("site", "url", "pos", "place", "h.*")
+    found = rows.select("site", "url", "seq", "pos", "place", F.explode(F.array_compact(F.array(*[piece(k, p) for k, p in TEMPLATES]))).alias("h")).select("site", "url", "seq", "pos", "place", "h.*")
     mark = lambda kind, place, what: F.concat(kind, F.lit(" ("), place, F.lit(") : « "), F.trim(what), F.lit(" »"))
-    left = _seen(found.groupBy("site", "url", "place", "kind").agg(F.min_by("near", "pos").alias("near")), "contenu_demo", "moyenne", mark(F.col("kind"), F.col("place"), F.col("near")))
+    left = _seen(found.groupBy("site", "url", "seq", "place", "kind").agg(F.min_by("near", "pos").alias("near")), "contenu_demo", "moyenne", mark(F.col("kind"), F.col("place"), F.col("near")))
     whole = F.when(F.col("place") == "titre", F.trim("text").rlike(f"(?iU){DEFAULT_TITLE}")).otherwise(F.trim("text").rlike(f"(?iU){DEFAULT_DESCRIPTION}"))
-    defaults = title.unionByName(told).filter(whole).groupBy("site", "url", "place").agg(F.min_by("text", "pos").alias("text"))
+    defaults = title.unionByName(told).filter(whole).groupBy("site", "url", "seq", "place").agg(F.min_by("text", "pos").alias("text"))
     defaults = _seen(defaults, "contenu_demo", "moyenne", mark(F.lit("valeur par défaut du gabarit"), F.col("place"), F.substring(text.masked(F.trim("text")), 1, 80)))
-    nobody = shown.filter((F.col("tag") == "a") & F.trim(_a("href")).rlike(f"(?i){NOBODY}")).groupBy("site", "url").agg(F.min_by(F.trim(_a("href")), "pos").alias("href"))
+    nobody = shown.filter((F.col("tag") == "a") & F.trim(_a("href")).rlike(f"(?i){NOBODY}")).groupBy("site", "url", "seq").agg(F.min_by(F.trim(_a("href")), "pos").alias("href"))
     nobody = _seen(nobody, "contenu_demo", "moyenne", mark(F.lit("coordonnées fictives"), F.lit("lien"), F.substring(urls.secretless_url(F.col("href")), 1, 60)))
     return left.unionByName(defaults).unionByName(nobody)
 
@@ -297,10 +297,10 @@ def _site_of(host: Column) -> Column:
 def third_parties(items: DataFrame) -> DataFrame:
     """Scripts of other sites that run without integrity: sri_absent where their content can be fixed, sri_non_applicable for
     loaders and for libraries without an exact version. Sources are resolved against the page's first base above them."""
-    base = items.filter((F.col("tag") == "base") & _given(_a("href"))).groupBy("url").agg(F.min(F.struct("pos", F.trim(_a("href")).alias("href"))).alias("b"))
-    base = held(base, "base", urls.resolved(F.col("url"), F.col("b.href"))).select("url", F.col("b.pos").alias("base_pos"), "base")
+    base = items.filter((F.col("tag") == "base") & _given(_a("href"))).groupBy("url", "seq").agg(F.min(F.struct("pos", F.trim(_a("href")).alias("href"))).alias("b"))
+    base = held(base, "base", urls.resolved(F.col("url"), F.col("b.href"))).select("url", "seq", F.col("b.pos").alias("base_pos"), "base")
     t = items.filter((F.col("tag") == "script") & _given(_a("src")) & ~_given(_a("integrity")) & ~F.coalesce("inert", F.lit(False)))
-    t = t.filter(F.lower(F.trim(F.split_part(F.coalesce(_a("type"), F.lit("")), F.lit(";"), F.lit(1)))).isin(*SCRIPT_TYPES)).join(base, "url", "left")
+    t = t.filter(F.lower(F.trim(F.split_part(F.coalesce(_a("type"), F.lit("")), F.lit(";"), F.lit(1)))).isin(*SCRIPT_TYPES)).join(base, ["url", "seq"], "left")
     t = held(t, "at", F.when(F.col("base_pos") < F.col("pos"), F.col("base")).otherwise(F.col("url")))
     t = held(t, "src", urls.resolved(F.col("at"), F.trim(_a("src")))).filter(F.col("src").rlike("(?i)^https?://[^/]"))
     bare = lambda u: F.regexp_replace(F.regexp_replace(urls.host(u), r"\.$", ""), r"^www\.", "")

@@ -31,6 +31,7 @@ def tables(tmp_path_factory):
     "sitemap_membership",
     "skipped_heading_pages",
     "merged_identities",
+    "module_observations",
 ])
 def test_same_rows_as_sql(spark, tables, name):
     con, place = tables
