@@ -32,6 +32,7 @@ def tables(tmp_path_factory):
     "skipped_heading_pages",
     "merged_identities",
     "module_observations",
+    "near_titles",
 ])
 def test_same_rows_as_sql(spark, tables, name):
     con, place = tables
