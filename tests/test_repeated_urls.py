@@ -33,6 +33,7 @@ def tables(tmp_path_factory):
     "merged_identities",
     "module_observations",
     "near_titles",
+    "duplicate_findings",
 ])
 def test_same_rows_as_sql(spark, tables, name):
     con, place = tables
