@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lanternfish.plans.tables import BATCH_ROWS
-from lanternfish.sources import html
+from lanternfish.sources import bodies, html
 
 
 def _largest(spark):
@@ -24,3 +24,9 @@ def test_batches_of_pages(spark):
     _unbounded(spark)
     html.parsed(spark.createDataFrame([(1, "https://a.b/", "<p>x")], "page_id bigint, url string, html string"))
     assert _largest(spark) <= BATCH_ROWS
+
+
+def test_batches_of_bodies(spark):
+    _unbounded(spark)
+    bodies.decoded(F.col("body"), F.col("kind"))
+    assert _largest(spark) <= BATCH_ROWS
