@@ -37,6 +37,8 @@ END_ID = 0
 FRAME_IDS = 1 << 18
 #: Distinct stretches and pieces whose ids a worker keeps in its young cache; at the bound that becomes the old one.
 CACHE = 500_000
+#: The bytes of a space and of a new line in tokens of byte-level vocabularies.
+SPACE, NEW_LINE = "\u0120", "\u010a"
 LEVEL = 1
 
 # Fixed values of the zstandard seekable format.
@@ -65,87 +67,84 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _stretches(text: str) -> list[str]:
-    """The text cut before each space."""
-    head, *rest = text.split(" ")
-    return [head, *map(" ".__add__, rest)]
-
-
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, with a bounded cache of space-led stretches.
+    """Ids of whole texts by a byte-level BPE tokenizer, with a bounded cache of stretches: what stands between two spaces, led by the first.
 
     Byte-level pre-tokenization never joins characters over a single space between two non-blanks, so the ids of a text whose
-    spaces all stand so are those of its stretches; other texts are encoded whole.
+    spaces all stand so are those of its stretches; other texts are encoded whole. The same holds the other way: new stretches are
+    encoded as one text, whose ids are cut before each token that starts with the space, as a stretch has no other space.
     """
 
     def __init__(self, path: str):
-        import re
-
         self.tok, self.cache, self.old = tokenizer(path), {}, {}
-        self.new_line = self._ids("\n")
-        self.line = int.from_bytes(self.new_line, "little")
-        # Letters, then marks, then perhaps a new line that starts alike: each group is a pre-token of its own.
+        vocabulary = self.tok.get_vocab()
+        self.spaced, self.led = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        self.spaced[[x for t, x in vocabulary.items() if t[:1] == SPACE]] = True
+        self.led[[x for t, x in vocabulary.items() if t[:1] in (SPACE, NEW_LINE)]] = True
+        # Letters, then marks, then perhaps a new line that starts alike: letters with what leads them, and marks, are pre-tokens.
         letter, mark = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
-        self.plain = re.compile(rf"( ?{letter}+)({mark}*)(?:(\n)({letter}+)({mark}*))?").fullmatch
+        self.plain = re.compile(rf"({letter}+)({mark}*)(?:(\n{letter}+)({mark}*))?").fullmatch
 
     def odd(self, text: str) -> bool:
         """Whether the text has a space at its ends or beside another blank, a rare blank, or what may be a special token."""
         return text[0] == " " or text[-1] == " " or any(map(text.__contains__, ODD))
 
-    def _fill(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of stretches that the young cache lacks: from the old one, or put together from pieces that are sure pre-tokens.
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        New pieces are encoded as the lines of one text: a new line before letters, marks or a space is a pre-token of its own,
-        and no piece holds its id. Stretches over two lines hardly recur and are not kept.
+    def _cut(self, text: str, starts: np.ndarray) -> list[bytes]:
+        """The ids of the text, cut before each one that starts a stretch or piece."""
+        (raw,) = self._ids([text])
+        at = (4 * np.flatnonzero(starts[np.frombuffer(raw, "<u4")])).tolist()
+        return [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)]
+
+    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
+        """Ids of stretches (without the space that leads them) that the young cache lacks: from the old one, or put together from
+        pieces, or else encoded whole. Stretches over two lines hardly recur and are not kept.
+
+        Marks stand in the cache by a key that starts with a space, letters after a new line by one that starts with that, as no stretch does.
         """
-        old, young, whole, parts, pieces = self.old, self.cache, {}, {}, set()
+        old, young, whole, parts = self.old, self.cache, [], {}
+        out = {s: old[s] for s in stretches if s in old}
         for s in stretches:
-            if s in old:
-                whole[s] = young[s] = old[s]
-            elif m := self.plain(s):
-                parts[s] = m.groups()
-                pieces.update(m.group(1, 2, 4, 5))
-            else:
-                whole[s] = young[s] = self._ids(s)
-        known = {p: young.get(p) or old.get(p) for p in pieces if p}
-        fresh = [p for p, x in known.items() if x is None]
-        if fresh:
-            raw = self._ids("\n".join(fresh))
-            at = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.line)
-            lines = {p: raw[x:y] for p, x, y in zip(fresh, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)}
-            known.update(lines)
-        young.update((p, x) for p, x in known.items() if x is not None)
-        known[""] = known[None] = b""
-        known["\n"] = self.new_line
-        for s, (a, b, c, d, e) in parts.items():
-            whole[s] = known[a] + known[b]
-            if c:
-                whole[s] += known[c] + known[d] + known[e]
-            elif b:
-                young[s] = whole[s]
-        if len(young) > CACHE:
-            self.old, self.cache = young, {}
-        return whole
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+            if s not in out:
+                m = None if s.isalpha() else self.plain(s)
+                if m:
+                    a, b, c, d = m.groups("")
+                    parts[s] = [a, " " + b, c, " " + d]
+                else:
+                    whole.append(s)
+        if whole:
+            out.update(zip(whole, self._cut(" " + " ".join(whole), self.spaced), strict=True))
+        young.update(out)
+        pieces = {p for x in parts.values() for p in x if p not in young}
+        young.update({p: old[p] for p in pieces if p in old})
+        if marks := [p for p in pieces if p[:1] in ("", " ") and p not in old]:
+            young.update(zip(marks, self._ids([p[1:] for p in marks]), strict=True))
+        if letters := [p for p in pieces if p[:1] not in ("", " ") and p not in old]:
+            young.update(zip(letters, self._cut("".join(p if p[0] == "\n" else " " + p for p in letters), self.led), strict=True))
+        for s, x in parts.items():
+            out[s] = b"".join([young[p] for p in x])
+            if not x[2]:
+                young[s] = out[s]
+        return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """For each text its ids and END_ID, as little-endian unsigned 32-bit integers."""
         end, get = END_ID.to_bytes(4, "little"), self.cache.get
-        split = [None if not t or self.odd(t) else _stretches(t) for t in texts]
-        found = [x and list(map(get, x)) for x in split]
-        new = {s for x, y in zip(split, found, strict=True) if y and None in y for s, v in zip(x, y, strict=True) if v is None}
-        fresh = self._fill(list(new)) if new else {}
+        split = [[t or ""] if not t or self.odd(t) else t.split(" ") for t in texts]
+        # No space leads the first stretch: it is encoded by itself, as are texts that stay whole.
+        heads = self._ids([x.pop(0) for x in split])
+        found = [list(map(get, x)) for x in split]
+        gaps = [[k for k, v in enumerate(y) if v is None] for y in found]
+        learned = self._learn({x[k] for x, g in zip(split, gaps, strict=True) for k in g})
         out = []
-        for text, x, y in zip(texts, split, found, strict=True):
-            if not text:
-                out.append(end)
-            elif x is None:
-                out.append(self._ids(text) + end)
-            else:
-                y = [fresh[s] if v is None else v for s, v in zip(x, y, strict=True)] if None in y else y
-                out.append(b"".join(y) + end)
+        for head, x, y, g in zip(heads, split, found, gaps, strict=True):
+            for k in g:
+                y[k] = learned[x[k]]
+            out.append(b"".join([head, *y, end]))
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
         return out
 
 

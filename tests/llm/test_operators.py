@@ -372,6 +372,40 @@ def test_encoder_is_exact_on_odd_blanks():
         assert np.frombuffer(x, "<u4").tolist() == coder.tok.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_encoder_is_exact_on_marks_lines_and_a_turning_cache(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 40)
+    rnd = np.random.default_rng(5)
+    parts = ["ab", "Été", "word", "***", ",", ".", "'s", "-", "12", "\n", "\n\n", " ", " ", " ", "日本", "ß", "Ł", "<", "|", "ĠĊ", "\x00"]
+    coder = token_output.Encoder(str(token_output.vocabulary_path()))
+    for _ in range(60):
+        texts = [" ".join("".join(rnd.choice(parts, rnd.integers(1, 7))).split(" ")) for _ in range(40)] + ["", None, "ab.\nword*** ab.\nword*** ab ***"]
+        for t, x in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(x, "<u4").tolist() == coder.tok.encode(t or "", add_special_tokens=False).ids + [0]
+    assert coder.old
+
+
+def test_tokenizer_is_asked_for_new_letters_only():
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.n = tok, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, texts, **options):
+            out = self.tok.encode_batch_fast(texts, **options)
+            self.n += sum(len(x.ids) for x in out)
+            return out
+
+    rnd = np.random.default_rng(7)
+    words = ["".join(rnd.choice(list("abcdefgh"), 6)) for _ in range(500)]
+    coder = token_output.Encoder(str(token_output.vocabulary_path()))
+    least = sum(len(coder.tok.encode(" " + w).ids) for w in set(words))
+    coder.tok = Counted(coder.tok)
+    coder.encode(["a " + " ".join(words), "a " + " ".join(w + "," for w in words), "a " + " ".join(words)])
+    assert coder.tok.n <= least + 10
+
+
 def test_reader_opens_only_what_is_asked(tmp_path):
     import pyarrow.fs as pafs
 
