@@ -35,7 +35,7 @@ def test_batches_of_bodies(spark):
     assert _largest(spark) <= BATCH_ROWS
 
 
-@pytest.mark.parametrize("name", ["rich_records", "prices_not_shown"])
+@pytest.mark.parametrize("name", ["rich_records", "prices_not_shown", "orphans"])
 def test_batches_of_queries(spark, name):
     """Bounds hold for the query as registered, in rows and, for large pages, in bytes."""
     _unbounded(spark)
